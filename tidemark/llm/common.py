@@ -34,10 +34,15 @@ def _app_dir(spark: SparkSession) -> str:
     return f"{scratch_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{_app_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder as Parquet and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{_app_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import quality_rules, sharding
+from tidemark.llm import bpe_trie, quality_rules, sharding, simhash, token_store
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op6_simhash": simhash.op6_simhash,
+    "op7_bpe_trie": bpe_trie.op7_bpe_trie,
+    "op9_token_store": token_store.op9_token_store,
 }
 
 ORACLE_SQL = {
