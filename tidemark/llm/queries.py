@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe_trie, quality_rules, sharding, simhash, token_store
+from tidemark.llm import bpe_trie, licenses, quality_rules, sharding, simhash, token_store
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_licenses": licenses.op2_licenses,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op6_simhash": simhash.op6_simhash,
     "op7_bpe_trie": bpe_trie.op7_bpe_trie,
@@ -14,5 +15,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_sharding": sharding.OP1_SQL,
+    "op2_licenses": licenses.OP2_SQL,
     "op3_quality_rules": quality_rules.OP3_SQL,
 }
