@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe_trie, licenses, quality_rules, sharding, simhash, token_store
+from tidemark.llm import bpe_trie, decontaminate, licenses, quality_rules, sharding, simhash, token_store
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_licenses": licenses.op2_licenses,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_simhash": simhash.op6_simhash,
     "op7_bpe_trie": bpe_trie.op7_bpe_trie,
     "op9_token_store": token_store.op9_token_store,
