@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe_trie, decontaminate, licenses, quality_rules, sharding, simhash, token_store
+from tidemark.llm import bpe_trie, decontaminate, hmm, licenses, quality_rules, sharding, simhash, token_store
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_simhash": simhash.op6_simhash,
     "op7_bpe_trie": bpe_trie.op7_bpe_trie,
+    "op8_hmm": hmm.op8_hmm,
     "op9_token_store": token_store.op9_token_store,
 }
 
