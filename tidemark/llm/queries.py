@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe_trie, decontaminate, hmm, licenses, quality_rules, sharding, simhash, token_store
+from tidemark.llm import bpe_trie, decontaminate, hmm, kneser_ney, licenses, quality_rules, sharding, simhash, token_store
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_bpe_trie": bpe_trie.op7_bpe_trie,
     "op8_hmm": hmm.op8_hmm,
     "op9_token_store": token_store.op9_token_store,
+    "op10_kneser_ney": kneser_ney.op10_kneser_ney,
 }
 
 ORACLE_SQL = {
