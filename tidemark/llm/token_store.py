@@ -10,12 +10,15 @@ executor only repeats its segments. The payload of each segment is the coded bin
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +27,14 @@ from tidemark.llm.common import scratch_path
 MAGIC = b"DAC1"
 BLOCK = 512
 END_ID = 2
-#: A segment is closed at this many tokens; one document more may be in it.
-SEGMENT_TOKENS = 1 << 20
-#: Words that a Python worker keeps encoded, and the longest word worth keeping.
-STORE_WORDS, STORE_BYTES = 800_000, 64
+#: A segment is closed at this many tokens; what was encoded with the last of them is in it too.
+SEGMENT_TOKENS = 1 << 18
+#: Words that a Python worker keeps encoded; at the bound the store starts anew, which costs time only.
+STORE_WORDS = 500_000
+#: Text encoded at a time.
+CHUNK_BYTES = 2 << 20
+# A mark behind a plain letter and before white space: the tokenizer's words end there anyway.
+MARKS = r"([a-z\x{e0}-\x{f6}\x{f8}-\x{ff}])([,.;:!?])([ \n])"
 
 SEGMENT = "part int, segment int, n_tokens long, doc_ids array<long>, offsets array<long>, payload binary"
 
@@ -98,45 +105,101 @@ class DacReader:
 
 
 class WordEncoder:
-    """A tokenizer whose words stand apart at white space, with the words it has met kept by their bytes.
+    """A tokenizer whose words stand apart at white space, with the words it has met kept.
 
-    Where the tokenizer drops white space, the ids of a text are those of its words one after another.
+    For tokenizers that drop white space, lower the case and part letters from marks: the ids of a text
+    are those of its words one after another, and `Word,` is `word` and `,`. So few distinct words are
+    left; each goes through the library once, and its ids are gathered for every place it stands at.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
         self.t.no_truncation()
         self.t.no_padding()
-        self.store: dict[bytes, bytes] = {}
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        """Ids of single words. The library takes many in one text, parted by line ends; offsets tell whose each id is."""
-        out = []
-        groups = [[w.decode() for w in words[i : i + 256]] for i in range(0, len(words), 256)]
+        self.special = [s.content for s in self.t.get_added_tokens_decoder().values()]
+        vocab = self.t.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a run of letters
+        self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
+        self._forget()
+
+    def words(self, texts: pa.Array) -> pa.ListArray:
+        low = pc.ascii_lower(texts)
+        for s in self.special:  # a special token's string counts as it is written only
+            low = pc.if_else(pc.match_substring(low, s), texts, low)
+        return pc.ascii_split_whitespace(pc.replace_substring_regex(low, MARKS, r"\1 \2\3"))
+
+    def _ids(self, words: list[str]) -> tuple[list[str], list[np.ndarray], list[np.ndarray]]:
+        """The words in another order, their ids one after another, and how many each has, both in parts.
+
+        The library takes many words in one text, parted by line ends. A word of letters makes one run,
+        whose last id is marked; offsets tell whose the ids of others are.
+        """
+        order, ids, counts = [], [], []
+        letters, other = [], []
+        for w in words:
+            (letters if w.isalpha() else other).append(w)
+        groups = [letters[i : i + 256] for i in range(0, len(letters), 256)]
+        for group, e in zip(groups, self.t.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False)):
+            got = np.array(e.ids, "<u4")
+            cuts = np.flatnonzero(self.ends[got]) + 1
+            if len(cuts) == len(group):
+                order += group
+                ids.append(got)
+                counts.append(np.diff(cuts, prepend=0))
+            else:  # a letter that falls apart in lower case
+                other += group
+        groups = [other[i : i + 256] for i in range(0, len(other), 256)]
         for group, e in zip(groups, self.t.encode_batch(["\n".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
             starts = np.cumsum([0] + [len(w) + 1 for w in group[:-1]])
-            cuts = np.searchsorted([x[0] for x in e.offsets], starts).tolist() + [len(ids)]
-            raw = ids.tobytes()
-            out += [raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
-        return out
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        parts = [t.split() for t in texts]
-        store = self.store
-        new = {w for p in parts for w in p if w not in store}
-        if len(store) + len(new) > STORE_WORDS:
-            store.clear()
-            new = {w for p in parts for w in p}
-        words = list(new)
-        store.update(zip(words, self._ids(words)))
-        out = [b"".join([store[w] for w in p]) for p in parts]
-        for w in words:
-            if len(w) > STORE_BYTES:
-                del store[w]
-        return out
+            order += group
+            ids.append(np.array(e.ids, "<u4"))
+            counts.append(np.diff(np.searchsorted([x[0] for x in e.offsets], starts), append=len(e.ids)))
+        return order, ids, counts
+
+    def _learn(self, words: list[str]) -> None:
+        order, ids, counts = self._ids(words)
+        self.store.update(zip(order, range(len(self.count), len(self.count) + len(order))))
+        count = np.concatenate([self.count, *counts])
+        self.ids, self.count, self.first = np.concatenate([self.ids, *ids]), count, np.cumsum(count) - count
+
+    def _forget(self) -> None:
+        """Words of the store have places in count and first: how many ids, and where they begin in ids."""
+        self.store: dict[str, int] = {}
+        self.ids, self.count, self.first = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after another, and where each text ends in them. A null text is empty."""
+        lists = self.words(pc.fill_null(texts, ""))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.store) > STORE_WORDS:
+            self._forget()
+        place = np.fromiter(map(self.store.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            some = [words[i] for i in new.tolist()]
+            self._learn(some)
+            place[new] = np.fromiter(map(self.store.get, some), np.int64, len(some))
+        at = place[np.asarray(coded.indices)]
+        each = self.count[at]
+        to = np.cumsum(each)
+        gathered = self.ids[np.repeat(self.first[at] - (to - each), each) + np.arange(int(each.sum()))]
+        offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        return gathered, np.concatenate([[0], to])[offsets[1:]]
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, stop) of runs of texts of about CHUNK_BYTES; a longer text is alone."""
+    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64) + 16)
+    start = 0
+    while start < len(texts):
+        before = sizes[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, before + CHUNK_BYTES)))
+        yield start, stop
+        start = stop
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -150,7 +213,7 @@ def write_store(docs: DataFrame, path: str, to: str, end_id: int = END_ID, segme
     inside its tasks, a segment at a time.
     """
     sort = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.rand(9)]
-    ordered = docs.select("doc_id", F.col("text").cast("binary").alias("text")).repartitionByRange(*sort).sortWithinPartitions(*sort)
+    ordered = docs.select("doc_id", "text").repartitionByRange(*sort).sortWithinPartitions(*sort)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -158,62 +221,63 @@ def write_store(docs: DataFrame, path: str, to: str, end_id: int = END_ID, segme
         part = TaskContext.get().partitionId()
         if path not in _encoders:
             _encoders[path] = WordEncoder(path)
-        encoder, end = _encoders[path], np.array([end_id], "<u4").tobytes()
         segment, doc_ids, offsets, ids, n = 0, [], [0], [], 0
 
         def close() -> pa.RecordBatch:
-            payload = dac_encode(np.frombuffer(b"".join(ids), "<u4"))
-            row = [[part], [segment], [n], [doc_ids], [offsets], [payload]]
+            row = [[part], [segment], [n], [doc_ids], [offsets], [dac_encode(np.concatenate(ids))]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], ["part", "segment", "n_tokens", "doc_ids", "offsets", "payload"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                chunk = batch.slice(at, 128)
-                for doc_id, coded in zip(chunk.column(0).to_pylist(), encoder.encode([x or b"" for x in chunk.column(1).to_pylist()])):
-                    doc_ids.append(doc_id)
-                    ids += [coded, end]
-                    n += len(coded) // 4 + 1
-                    offsets.append(n)
-                    if n >= segment_tokens:
-                        yield close()
-                        segment, doc_ids, offsets, ids, n = segment + 1, [], [0], [], 0
+            for start, stop in slices(batch.column(1)):
+                got, ends = _encoders[path].encode(batch.column(1).slice(start, stop - start))
+                ids.append(np.insert(got, ends, end_id))
+                doc_ids += batch.column(0).slice(start, stop - start).to_pylist()
+                offsets += (n + ends + np.arange(1, len(ends) + 1)).tolist()
+                n = offsets[-1]
+                if n >= segment_tokens:
+                    yield close()
+                    segment, doc_ids, offsets, ids, n = segment + 1, [], [0], [], 0
         if doc_ids:
             yield close()
 
     ordered.mapInArrow(run, SEGMENT).write.parquet(to)
 
 
-def segments(spark: SparkSession, path: str) -> DataFrame:
-    """The store's segments with `first`: how many tokens lie before each.
+def firsts(store: DataFrame) -> DataFrame:
+    """part, segment and `first`: how many tokens lie before the segment.
 
     Sums go first inside a part, then over the parts, of which there are as many as the writer had tasks.
     """
-    rows = spark.read.schema(SEGMENT).parquet(path)
-    sizes = rows.select("part", "segment", "n_tokens")
+    sizes = store.select("part", "segment", "n_tokens")
     before = (Window.unboundedPreceding, -1)
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(*before)), F.lit(0)).alias("base"))
     inside = sizes.select("part", "segment", F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("segment").rowsBetween(*before)), F.lit(0)).alias("shift"))
-    firsts = inside.join(parts, "part").select("part", "segment", (F.col("base") + F.col("shift")).alias("first"))
-    return rows.join(firsts, ["part", "segment"])
+    return inside.join(parts, "part").select("part", "segment", (F.col("base") + F.col("shift")).alias("first"))
 
 
-def read_docs(store: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, read by place from the segments."""
+def read_docs(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, read by place from the store's segments.
+
+    The payloads are read where they lie; only the documents' rows are joined to their segment's start.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                reader = DacReader(row["payload"])
-                doc_ids, offsets, first = row["doc_ids"], row["offsets"], row["first"]
-                crc = [zlib.crc32(reader.read(a, b).astype("<u4").tobytes()) for a, b in zip(offsets, offsets[1:])]
+            for i in range(batch.num_rows):
+                part, segment, payload = (batch.column(k)[i].as_py() for k in (0, 1, 4))
+                doc_ids, offsets = batch.column(2)[i].values, np.asarray(batch.column(3)[i].values)
+                reader, n = DacReader(payload), len(doc_ids)
+                crc = [zlib.crc32(reader.read(a, b).astype("<u4").tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64()), pa.array([first + x for x in offsets[:-1]], pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64())],
-                    ["doc_id", "start", "n_tokens", "ids_crc32"],
+                    [pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, segment, np.int32)), doc_ids, pa.array(offsets[:-1]), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())],
+                    ["part", "segment", "doc_id", "place", "n_tokens", "ids_crc32"],
                 )
 
-    return store.select("doc_ids", "offsets", "payload", "first").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    store = spark.read.schema(SEGMENT).parquet(path)
+    rows = store.select("part", "segment", "doc_ids", "offsets", "payload").mapInArrow(run, "part int, segment int, doc_id long, place long, n_tokens long, ids_crc32 long")
+    return rows.join(firsts(store), ["part", "segment"]).select("doc_id", (F.col("first") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,4 +285,4 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     to = scratch_path(spark, "tokens")
     write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), to)
-    return read_docs(segments(spark, to))
+    return read_docs(spark, to)
