@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe_trie, decontaminate, hmm, kneser_ney, licenses, quality_rules, sharding, simhash, token_store
+from tidemark.llm import bpe_trie, decontaminate, hmm, kneser_ney, licenses, quality_rules, sharding, simhash, token_store, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_licenses": licenses.op2_licenses,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_warc": warc.op4_warc,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_simhash": simhash.op6_simhash,
     "op7_bpe_trie": bpe_trie.op7_bpe_trie,
@@ -20,4 +21,5 @@ ORACLE_SQL = {
     "op1_sharding": sharding.OP1_SQL,
     "op2_licenses": licenses.OP2_SQL,
     "op3_quality_rules": quality_rules.OP3_SQL,
+    "op4_warc": warc.OP4_SQL,
 }
