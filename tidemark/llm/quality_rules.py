@@ -61,26 +61,32 @@ def measure(text: bytes | None) -> tuple[int, ...]:
     return (len(words), len(joined.decode("utf-8", "replace")), len(joined) - len(joined.translate(None, SYMBOLS)), len(lines), len(lines) - len(set(lines)), repeated, letters, max(map(len, words), default=0))
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = batch.schema.get_field_index("__text")
-        found = [measure(x) for x in batch.column(at).to_pylist()]
-        columns = [c for i, c in enumerate(batch.columns) if i != at]
-        names = [n for i, n in enumerate(batch.schema.names) if i != at]
-        yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x[i] for x in found], pa.int64()) for i in range(len(MEASURES)))], [*names, *(f"__{m}" for m in MEASURES)])
+def _measured(keep_text: bool):
+    """Adds the measurements of the text, the last column, to a batch."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(batch.num_columns - 1)
+            found = [m for at in range(0, len(text), 256) for m in map(measure, text.slice(at, 256).cast(pa.binary()).to_pylist())]
+            columns = batch.columns if keep_text else batch.columns[:-1]
+            names = batch.schema.names[: len(columns)]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x[i] for x in found], pa.int64()) for i in range(len(MEASURES)))], [*names, *(f"__{m}" for m in MEASURES)])
 
-def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs' columns but text, then `__`-named measurements and __failed, the bits of the failed rules.
+    return run
+
+
+def ledger(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """docs' columns (without text unless asked), then `__`-named measurements and __failed, the bits of the failed rules.
 
     A null or empty text has no words, so few_words fails. Rows stay apart, repeated ones too.
     """
-    kept = [c for c in docs.columns if c != text]
-    # Columns go through under plain numbered names, so that no name of theirs can clash.
-    inner = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), F.col(f"`{text}`").cast("binary").alias("__text"))
-    schema = ", ".join([*(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)), *(f"__{m} long" for m in MEASURES)])
-    out = inner.mapInArrow(_measured, schema)
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), *(f"__{m}" for m in MEASURES), failures().alias("__failed"))
+    names = [*(c for c in docs.columns if c != text), text]
+    # Columns go through under numbers, so that no name of theirs can clash.
+    inner = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
+    names = names if keep_text else names[:-1]
+    schema = ", ".join([*(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)), *(f"__{m} long" for m in MEASURES)])
+    out = inner.mapInArrow(_measured(keep_text), schema)
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), *(f"__{m}" for m in MEASURES), failures().alias("__failed"))
 
 
 def failures() -> Column:
@@ -116,9 +122,8 @@ def ablations(rows: DataFrame, version: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, version: str = POLICY) -> DataFrame:
     """The rows of docs that pass the policy, with docs' columns as they were."""
-    measured = ledger(docs.withColumn("__whole", F.col("text")))
-    rows = measured.where(passes(F.col("__failed"), version))
-    return rows.select(*(F.col("__whole").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    rows = ledger(docs, keep_text=True).where(passes(F.col("__failed"), version))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, piece: i
     return found.join(least, "__component").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, distance: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
     """docs with one row of each component: the least doc_id, and of rows that repeat it just one; nulls go last."""
     fps = fingerprints(docs, words)
     found = classes(fps.select("doc_id", "__rid", "__fp"), distance)
