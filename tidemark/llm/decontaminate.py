@@ -220,9 +220,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, items: str = "__items")
 
     A null or empty text holds none; items without letters or digits, or without an id, match nothing.
     Repeated items count once for each id. Every block of items adds one column and one step to the
-    same pass over docs, so rows stay in place and nothing is shuffled.
+    same pass over docs, so rows stay in place and nothing is shuffled. A column of docs named `items` is left out.
     """
-    names = docs.columns
+    names = [c for c in docs.columns if c != items]
     out = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
     kinds, parts, at = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)], [], names.index("text")
     for b, rows in enumerate(blocks(benchmark)):
@@ -235,7 +235,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, items: str = "__items")
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item, with docs' columns."""
-    return contamination(docs, benchmark).where(F.size("__items") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+    names = {c: c if c == "text" else f"n{i}" for i, c in enumerate(docs.columns)}
+    found = contamination(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), benchmark)
+    return found.where(F.size("__items") == 0).select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

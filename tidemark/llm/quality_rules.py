@@ -78,9 +78,11 @@ def _measured(keep_text: bool):
 def ledger(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
     """docs' columns (without text unless asked), then `__`-named measurements and __failed, the bits of the failed rules.
 
-    A null or empty text has no words, so few_words fails. Rows stay apart, repeated ones too.
+    A null or empty text has no words, so few_words fails. Rows stay apart, repeated ones too. Columns of
+    docs that are named like the ledger's own are left out.
     """
-    names = [*(c for c in docs.columns if c != text), text]
+    own = {*(f"__{m}" for m in MEASURES), "__failed"}
+    names = [*(c for c in docs.columns if c != text and c not in own), text]
     # Columns go through under numbers, so that no name of theirs can clash.
     inner = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
     names = names if keep_text else names[:-1]
@@ -122,8 +124,9 @@ def ablations(rows: DataFrame, version: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, version: str = POLICY) -> DataFrame:
     """The rows of docs that pass the policy, with docs' columns as they were."""
-    rows = ledger(docs, keep_text=True).where(passes(F.col("__failed"), version))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = ledger(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), names["text"], keep_text=True)
+    return rows.where(passes(F.col("__failed"), version)).select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,21 +50,20 @@ def fingerprint(text: bytes | None, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """docs' columns, then __rid (a number for each row) and __fp (the bits as a signed long), written down.
+    """rid (a number for each row), fp (the bits as a signed long) and docs' columns as c0, c1 and so on, written down.
 
-    A null text counts as empty.
+    Numbered names can't clash with any others. A null text counts as empty.
     """
     names = docs.columns
     inner = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("text").cast("binary").alias("bytes"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(x, words) for x in batch.column(1).to_pylist()], np.uint64)
+            fps = np.array([fingerprint(x, words) for at in range(0, batch.num_rows, 256) for x in batch.column(1).slice(at, 256).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], ["rid", "fp", *batch.schema.names[2:]])
 
     schema = ", ".join(["rid long", "fp long", *(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names))])
-    out = inner.mapInArrow(run, schema)
-    return materialize(out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("rid").alias("__rid"), F.col("fp").alias("__fp")), "fps")
+    return materialize(inner.mapInArrow(run, schema), "fps", "zstd")
 
 
 def blocks(distance: int) -> list[tuple[int, int]]:
@@ -223,15 +222,14 @@ def links(reps: DataFrame, distance: int, piece: int = PIECE) -> DataFrame:
 
 
 def classes(fps: DataFrame, distance: int, piece: int = PIECE) -> DataFrame:
-    """fps (from fingerprints) with __component, one number for each group of linked rows.
+    """fps (from fingerprints) with component, one number for each group of linked rows.
 
     Equal fingerprints are one node from the start, so copies never meet in pairs.
     """
     if not 0 <= distance <= 12:
         raise ValueError("distance must be from 0 to 12")
-    distinct = fps.select(F.col("__fp").alias("fp")).distinct()
-    roots = components(links(distinct, distance, piece)).select(F.col("node").alias("__fp"), "root")
-    return fps.join(roots, "__fp", "left").withColumn("__component", F.coalesce("root", "__fp")).drop("root")
+    roots = components(links(fps.select("fp").distinct(), distance, piece)).select(F.col("node").alias("fp"), "root")
+    return fps.join(roots, "fp", "left").withColumn("component", F.coalesce("root", "fp")).drop("root")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, piece: int = PIECE) -> DataFrame:
@@ -240,18 +238,21 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, piece: i
     Rows with a null doc_id link like others; a component with null doc_ids only has a null component_id.
     Repeated rows stay, each with the same answer. An empty table gives no rows.
     """
-    found = classes(fingerprints(docs.select("doc_id", "text"), words).drop("text"), distance, piece).select("doc_id", F.col("__fp").alias("fp"), "__component")
-    found = materialize(found, "classes")
-    least = found.groupBy("__component").agg(F.min("doc_id").alias("component_id"))
-    return found.join(least, "__component").select("doc_id", "fp", "component_id")
+    inner = docs.select("doc_id", "text")
+    fps = fingerprints(inner.withColumn("doc_id", F.col("doc_id").cast("long")), words).select(F.col("c0").alias("doc_id"), "fp")
+    found = materialize(classes(fps, distance, piece), "classes")
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "component").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
     """docs with one row of each component: the least doc_id, and of rows that repeat it just one; nulls go last."""
     fps = fingerprints(docs, words)
-    found = classes(fps.select("doc_id", "__rid", "__fp"), distance)
-    best = found.groupBy("__component").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__rid").alias("rid"))).alias("b"))
-    return fps.join(best.select(F.col("b.rid").alias("__rid")), "__rid", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    key = F.col(f"c{docs.columns.index('doc_id')}")
+    found = classes(fps.select("rid", "fp", key.alias("doc_id")), distance)
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"))).alias("b"))
+    kept = fps.join(best.select(F.col("b.rid").alias("rid")), "rid", "left_semi")
+    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
