@@ -58,6 +58,16 @@ def sql(layers: list[L.Layer], columns: str, grain: str = "week", index: bool =
 P, C, T, S, R = L.PRESSURE, L.COUNTS, L.TREND, L.SIGNALS, L.RELATIVE
 FULL = [*P, *C, *T, *S]
 
+
+
+def _head(first: int, last: int, half: float) -> str:
+    """Weighted mean of the log returns of so many sessions ago; null unless all are there."""
+    weights = [(k, 0.5 ** ((k - first) / half)) for k in range(first, last + 1)]
+    return "(" + " + ".join(f"{w!r}D * {L.lag('lr', k)}" for k, w in weights) + f") / {sum(w for _, w in weights)!r}D"
+
+
+HEADS: list[L.Layer] = [{f"head_{a}_{b}": _head(a, b, h) for a, b, h in ((1, 3, 2), (4, 10, 4), (11, 20, 7), (21, 60, 20), (1, 20, 7))}]
+
 SPECS: dict[str, tuple] = {
     "p04_daily_return": (P, "ticker session ~ret"),
     "p05_p06_close_location_wicks": (P, "ticker session ~cl ~uw ~lw"),
@@ -92,6 +102,7 @@ SPECS: dict[str, tuple] = {
     "w29_path_excursions": (L.labels(5), "ticker session ~mae ~mfe mature reason"),
     "w30_asymmetric_tails": (L.labels(5), "ticker session #tail_down #tail_up"),
     "p20_direction_bands": (L.labels(20), "ticker session direction"),
+    "w23_decayed_momentum": ([*P, {"lr": "ln(close / nullif(pc, 0))"}, *HEADS], "ticker session ~head_1_3 ~head_4_10 ~head_11_20 ~head_21_60 ~head_1_20"),
     "w33_triple_barrier": (L.barrier(10, 0.08, 0.08), "ticker session #up_at #down_at barrier barrier_strict"),
 }
 

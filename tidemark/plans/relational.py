@@ -145,6 +145,7 @@ TEXTS: dict[str, str] = {
     "w37_latest_version": "SELECT ticker, CAST(effective_from AS STRING) AS effective_from, version FROM (SELECT ticker, effective_from, version, row_number() OVER (PARTITION BY ticker ORDER BY effective_from DESC, version DESC) AS k FROM $members) t WHERE k = 1",
     "w38_phased_ic": "WITH r AS (SELECT session, (dense_rank() OVER (ORDER BY session) - 1) % 5 AS phase, (rank() OVER (PARTITION BY session ORDER BY cl) + (count(*) OVER (PARTITION BY session, cl) - 1) / 2D) AS a, (rank() OVER (PARTITION BY session ORDER BY fwd) + (count(*) OVER (PARTITION BY session, fwd) - 1) / 2D) AS b FROM $features WHERE cl IS NOT NULL AND fwd IS NOT NULL) "
     "SELECT phase, round(avg(ic), 6) AS ic FROM (SELECT session, phase, corr(a, b) AS ic FROM r GROUP BY session, phase HAVING count(*) >= 5 AND var_pop(a) > 0 AND var_pop(b) > 0) t GROUP BY phase",
+    "w39_calendar_change": "SELECT ticker, CAST(session AS STRING) AS session, round(close / nullif(last_value(close) OVER (PARTITION BY ticker ORDER BY d RANGE BETWEEN UNBOUNDED PRECEDING AND 20 PRECEDING), 0) - 1, 5) AS chg FROM (SELECT ticker, session, close, datediff(session, DATE '1970-01-01') AS d FROM $days) t",
     "w46_technical_label": "SELECT ticker, CAST(session AS STRING) AS session, CASE WHEN sma200 IS NULL THEN 'unavailable' WHEN close > sma20 AND sma20 > sma50 AND sma50 > sma200 THEN 'strong' WHEN close > sma50 THEN 'constructive' WHEN close > sma200 THEN 'weakening' ELSE 'weak' END AS label FROM $features",
     "x10_distribution_with_removal": "WITH d AS (SELECT ticker, session, pos, close, distribution FROM $features), j AS (SELECT i.ticker, i.session, e.pos AS at, max(m.close) AS top, max(e.close) AS base FROM d i JOIN d e ON e.ticker = i.ticker AND e.pos <= i.pos AND i.pos - e.pos < 25 AND e.distribution LEFT JOIN d m ON m.ticker = i.ticker AND m.pos > e.pos AND m.pos <= i.pos GROUP BY i.ticker, i.session, e.pos) "
     "SELECT ticker, CAST(session AS STRING) AS session, count(*) AS active FROM j WHERE top IS NULL OR top < 1.05D * base GROUP BY ticker, session",
