@@ -25,23 +25,23 @@ def emas(df: DataFrame, spans: tuple[int, ...] = (10, 20, 50)) -> DataFrame:
     return df.select("ticker", "session", "close").groupBy("ticker").applyInPandas(run, "ticker string, session date, " + ", ".join(f"ema{n} double" for n in spans))
 
 
-def remember(raw: np.ndarray, half_life: float = 5.0, window: int = 10) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Risk memory: the score fades by half in half_life sessions unless a new one is higher; age counts since then."""
+def remember(raw: np.ndarray, half_life: float = 5.0, window: int = 10, active: float = 20.0) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Risk memory: a score fades by half in half_life sessions and is forgotten after `window`, unless a new one is as high.
+
+    Labels: unavailable without a score; inactive below `active`; else fading when carried, persistent when
+    renewed while active, new otherwise. Missing scores leave the memory as it was.
+    """
     scores, ages, labels = np.full(len(raw), np.nan), np.full(len(raw), np.nan), []
-    fade, score, age = 0.5 ** (1 / half_life), 0.0, 0
+    fade, held, age = 0.5 ** (1 / half_life), None, 0
     for i, x in enumerate(raw):
-        if np.isnan(x):
+        if not np.isfinite(x):
             labels.append("unavailable")
             continue
-        faded = score * fade
-        if x >= 30:
-            label, age = ("persistent" if score >= 30 and age == 0 else "new"), 0
-        else:
-            age += 1
-            label = "fading" if faded >= 15 and age <= window else "inactive"
-        score = max(x, faded)
-        scores[i], ages[i] = score, age
-        labels.append(label)
+        was_active = held is not None and held >= active
+        carried = held * fade if held is not None and age + 1 < window else -np.inf
+        held, age = (x, 0) if x >= carried else (carried, age + 1)
+        scores[i], ages[i] = held, age
+        labels.append("inactive" if held < active else "fading" if age else "persistent" if was_active else "new")
     return scores, ages, labels
 
 

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import layers as L
+from tidemark.operators import state
 from tidemark.plans import layered
 from tidemark.sources import bars as B
 
@@ -33,6 +34,8 @@ def _frames(spark: SparkSession, sf_dir: str, names: set[str]) -> dict[str, Data
         "groups": lambda: B.groups(spark, sf_dir),
         "features": lambda: L.stack(layered.base(spark, sf_dir, "week", True), FEATURES),
         "trades": lambda: B.market_events(spark, sf_dir),
+        "emas": lambda: state.emas(B.bars(spark, sf_dir)),
+        "strong": lambda: L.stack(B.bars(spark, sf_dir), L.STRENGTH),
         "members": lambda: spark_sql(spark, sf_dir, MEMBERS),
     }
     return {n: made[n]() if n in made else B.table(spark, sf_dir, n) for n in names}
@@ -43,6 +46,9 @@ def spark_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(re.sub(r"\$(\w+)", r"{\1}", text), **_frames(spark, sf_dir, names))
 
 
+EMAS_SQL = f"SELECT ticker, session, " + ", ".join(f"list_reduce(c, lambda e, x: e + (x - e) * {2 / (n + 1)!r}::DOUBLE) AS ema{n}" for n in (10, 20, 50)) + f" FROM (SELECT ticker, session, list(close) OVER (PARTITION BY ticker ORDER BY session ROWS UNBOUNDED PRECEDING) AS c FROM ({B.bars_sql()}))"
+
+
 def _calls(text: str, name: str, write: Callable[[str, str], str]) -> str:
     """Rewrites two-argument calls of a function whose arguments may hold calls themselves."""
     while (at := text.find(name + "(")) >= 0:
@@ -67,6 +73,10 @@ def duck_sql(text: str) -> str:
     names = set(re.findall(r"\$(\w+)", text))
     built = {"bars": B.bars_sql(), "days": B.bars_sql("day"), "market": B.index_bars_sql(), "groups": B.GROUPS_SQL, "trades": B.MARKET_EVENTS_SQL}
     ctes = [f"{n} AS ({built[n]})" for n in sorted(names & set(built))]
+    if "emas" in names:
+        ctes.append(f"emas AS ({EMAS_SQL})")
+    if "strong" in names:
+        ctes.append("strong AS (WITH " + layered.stack_sql(L.STRENGTH) + " SELECT * FROM top)")
     if "features" in names:
         ctes.append(layered.stack_sql(FEATURES, "week", True) + ", features AS (SELECT * FROM top)")
     text = re.sub(r"\$(\w+)", r"\1", text)
@@ -162,6 +172,57 @@ TEXTS: dict[str, str] = {
     "r08_latest_quote": "SELECT symbol, ns, price FROM (SELECT symbol, ns, price, row_number() OVER (PARTITION BY symbol ORDER BY ns DESC, event_id DESC) AS k FROM $trades WHERE kind = 'quote') t WHERE k = 1",
 }
 
+_SCORED = (
+    "WITH x AS (SELECT f.ticker, f.session, f.close, f.sma50, f.off_high, f.off_low, f.adr_20, f.dollar_volume_20, f.vr, f.volume, f.mean_volume_50, f.over_pivot, f.pivot_breakout, f.pocket_pivot, f.m_chg_20, e.ema10, e.ema20, e.ema50, s.rating_raw AS rs, "
+    "least(100D, least(greatest(f.ext_ma20, 0D) * 2, 30D) + least(greatest(f.chg_20 * 100, 0D) * 0.8D, 30D) + least(greatest(f.chg_10 * f.close / nullif(f.atr14, 0), 0D) * 4, 25D)) AS overheat "
+    "FROM $features f JOIN $emas e ON f.ticker = e.ticker AND f.session = e.session JOIN $strong s ON f.ticker = s.ticker AND f.session = s.session WHERE s.rating_raw IS NOT NULL), "
+    "y AS (SELECT *, CASE WHEN m_chg_20 > 0 THEN 11D ELSE 0D END + CASE WHEN rs >= 95 THEN 9D WHEN rs >= 85 THEN 6D WHEN rs >= 70 THEN 3D ELSE 0D END AS s_market, "
+    "least(15D, CASE WHEN rs >= 98 THEN 8D WHEN rs >= 95 THEN 6D WHEN rs >= 90 THEN 4D WHEN rs >= 80 THEN 2D ELSE 0D END + CASE WHEN ema10 > ema20 AND ema20 > sma50 THEN 4D ELSE 0D END + CASE WHEN off_high > -0.10 THEN 3D ELSE 0D END) AS s_trend, "
+    "least(15D, CASE WHEN volume / nullif(mean_volume_50, 0) >= 1.8 THEN 7D WHEN volume / nullif(mean_volume_50, 0) >= 1.4 THEN 5D WHEN volume / nullif(mean_volume_50, 0) >= 1.0 THEN 2D ELSE 0D END + CASE WHEN pivot_breakout THEN 3D ELSE 0D END + CASE WHEN over_pivot >= 0 AND over_pivot <= 5 THEN 3D ELSE 0D END + CASE WHEN pocket_pivot THEN 2D ELSE 0D END) AS s_breakout, "
+    "CASE WHEN volume / nullif(mean_volume_50, 0) > 1.2 THEN 3D ELSE 2D END AS s_institution, least(5D, 2.5D + CASE WHEN off_high < -0.05 THEN 1.5D ELSE 0D END + CASE WHEN adr_20 < 6 THEN 1D ELSE 0D END) AS s_reward, "
+    "close > 10 AND close > ema50 AND ema10 > ema20 AND rs > 90 AND dollar_volume_20 > 50000 AND coalesce(off_low > 0.7, true) AND coalesce(off_high > -0.2, true) AS passed FROM x) "
+)
+
+TEXTS |= {
+    "p16_dimension_scores": _SCORED + "SELECT ticker, CAST(session AS STRING) AS session, s_market, s_trend, s_breakout, s_institution, s_reward FROM y",
+    "p17_total_and_grade": _SCORED + "SELECT ticker, CAST(session AS STRING) AS session, round(t, 4) AS total, CASE WHEN NOT passed THEN 'unfiltered' WHEN t >= 85 THEN 'A' WHEN t >= 75 THEN 'B' WHEN t >= 65 THEN 'C' ELSE 'out' END AS grade FROM (SELECT ticker, session, passed, greatest(0D, (s_market + s_trend + s_breakout + s_institution + s_reward) / 60 * 100 - CASE WHEN overheat IS NULL THEN 0D ELSE least(greatest(overheat - 40, 0D) / 60 * 25, 25D) END) AS t FROM y) z",
+    "p15b_must_and_optional_filters": _SCORED + "SELECT ticker, CAST(session AS STRING) AS session FROM y WHERE passed",
+    "p24_breakout_evidence": "SELECT ticker, CAST(session AS STRING) AS session, coalesce(over_pivot > 0 AND over_pivot <= 5, false) AS in_buy_zone, coalesce(volume / nullif(mean_volume_50, 0) >= 1.4, false) AS volume_confirmed FROM $features WHERE pivot_breakout",
+    "p25_p26_rule_points": "SELECT ticker, CAST(session AS STRING) AS session, pts, avail, round(CASE WHEN avail / 40 >= 0.8 THEN pts / avail * 100 END, 6) AS score FROM (SELECT ticker, session, CASE WHEN chg_20 <= -0.05 THEN 20D WHEN chg_20 <= 0 THEN 10D ELSE 0D END + CASE WHEN rel_20 <= -0.03 THEN 20D WHEN rel_20 <= 0 THEN 10D ELSE 0D END AS pts, CASE WHEN chg_20 IS NOT NULL THEN 20D ELSE 0D END + CASE WHEN rel_20 IS NOT NULL THEN 20D ELSE 0D END AS avail FROM $features) t",
+    "p27_nullable_boolean": "SELECT ticker, CAST(session AS STRING) AS session, CASE WHEN count(ret) OVER (PARTITION BY ticker ORDER BY session ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) = 10 THEN CASE WHEN ret > 0 THEN 1D ELSE 0D END END AS up_when_known FROM $features",
+    "p29_code_ranges": "SELECT sector, count(*) AS n FROM (SELECT CASE WHEN code BETWEEN 100 AND 999 THEN 'agriculture' WHEN code BETWEEN 1000 AND 1499 THEN 'mining' WHEN code IN (2834, 2836) THEN 'pharma' WHEN code BETWEEN 2000 AND 3999 THEN 'manufacturing' WHEN code BETWEEN 4000 AND 4999 THEN 'utilities' WHEN code BETWEEN 6000 AND 6799 THEN 'finance' ELSE 'other' END AS sector FROM (SELECT (p_partkey * 37) % 9000 AS code FROM $part) t) u GROUP BY sector",
+    "p30_ticker_normalisation": "SELECT DISTINCT upper(trim(replace(p_brand, '#', '.'))) AS ticker FROM $part WHERE length(trim(p_brand)) > 0",
+    "a11_multi_class_metrics": "SELECT direction, count(*) AS n, round(avg(CASE WHEN guess = direction THEN 1D ELSE 0D END), 6) AS recall_ FROM (SELECT direction, CASE WHEN cl > 0.3 THEN 'up' WHEN cl < -0.3 THEN 'down' ELSE 'neutral' END AS guess FROM $features WHERE direction IS NOT NULL AND cl IS NOT NULL) t GROUP BY direction",
+    "a17_quintile_means": "SELECT q, count(*) AS n, round(avg(fwd), 6) AS mean_fwd FROM (SELECT ntile(5) OVER (ORDER BY vr, ticker, session) AS q, least(fwd, 5D) AS fwd FROM $features WHERE vr IS NOT NULL AND fwd IS NOT NULL) t GROUP BY q",
+    "a22_compounded_return": "SELECT ticker, CAST(session AS STRING) AS session, round(exp(s) - 1, 4) AS compounded FROM (SELECT ticker, session, CASE WHEN count(l) OVER (PARTITION BY ticker ORDER BY session ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) = 10 THEN sum(l) OVER (PARTITION BY ticker ORDER BY session ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) END AS s FROM (SELECT ticker, session, ln(1 + least(ret, 1D)) AS l FROM $features WHERE ret > -1) t) u WHERE s IS NOT NULL",
+    "a25_period_description": "SELECT ticker, y AS year, n, round(last / first - 1, 5) AS total_return, round(worst, 6) AS max_drawdown FROM (SELECT ticker, year(session) AS y, count(*) AS n, max(CASE WHEN k = 1 THEN close END) AS first, max(CASE WHEN z = 1 THEN close END) AS last, min(close / top - 1) AS worst FROM (SELECT ticker, session, close, row_number() OVER (PARTITION BY ticker, year(session) ORDER BY session) AS k, row_number() OVER (PARTITION BY ticker, year(session) ORDER BY session DESC) AS z, max(close) OVER (PARTITION BY ticker, year(session) ORDER BY session ROWS UNBOUNDED PRECEDING) AS top FROM $bars) t GROUP BY ticker, year(session)) u",
+    "a29_t_statistics": "SELECT ticker, count(*) AS n, round(avg(v) / nullif(stddev_samp(v) / sqrt(count(*) + 0D), 0), 6) AS t FROM (SELECT ticker, least(fwd, 1D) AS v FROM $features WHERE fwd IS NOT NULL) x GROUP BY ticker",
+    "a32_quota_cohort": "SELECT c_custkey, c_mktsegment FROM (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY CASE WHEN c_mktsegment = 'BUILDING' THEN 1 WHEN c_mktsegment = 'MACHINERY' THEN 2 ELSE 3 END ORDER BY CASE WHEN c_acctbal > 9000 THEN 0 ELSE 1 END, md5(CAST(c_custkey AS STRING))) AS k FROM $customer) t WHERE k <= 40",
+    "a36_evidence_coverage": "SELECT ticker, round(avg(CASE WHEN vr IS NOT NULL THEN 1D ELSE 0D END), 6) AS vr, round(avg(CASE WHEN cl IS NOT NULL THEN 1D ELSE 0D END), 6) AS cl, round(avg(CASE WHEN sma200 IS NOT NULL THEN 1D ELSE 0D END), 6) AS sma200, round(avg(CASE WHEN rel_20 IS NOT NULL THEN 1D ELSE 0D END), 6) AS rel_20 FROM $features GROUP BY ticker",
+    "w20_high_level_distribution": "WITH c AS (SELECT ticker, session, CASE WHEN chg_60 >= 0.20 THEN 30D ELSE 0D END + CASE WHEN off_high >= -0.15 THEN 25D ELSE 0D END + CASE WHEN close > sma50 THEN 20D ELSE 0D END + CASE WHEN (close - sma20) / nullif(atr20, 0) >= 1 THEN 25D ELSE 0D END AS context, "
+    "least(40D, CASE WHEN distribution THEN 25D ELSE 0D END + CASE WHEN non_progress THEN 15D ELSE 0D END + CASE WHEN sv <= -0.75 THEN 15D ELSE 0D END + CASE WHEN cl <= -0.5 THEN 10D ELSE 0D END + CASE WHEN churn_10 >= 2 THEN 15D ELSE 0D END + CASE WHEN distribution_10 >= 2 THEN 15D ELSE 0D END) + least(30D, CASE WHEN uw >= 0.35 AND vr >= 1.2 THEN 15D ELSE 0D END + CASE WHEN failed_breakout THEN 20D ELSE 0D END + CASE WHEN failed_10 >= 2 THEN 10D ELSE 0D END) AS supply, "
+    "CASE WHEN close < sma20 THEN 30D ELSE 0D END + CASE WHEN close < sma50 THEN 25D ELSE 0D END + CASE WHEN chg_20 <= -0.10 THEN 25D ELSE 0D END AS structure FROM $features WHERE sma50 IS NOT NULL), m AS (SELECT *, max(context) OVER (PARTITION BY ticker ORDER BY session ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS top FROM c) "
+    "SELECT ticker, CAST(session AS STRING) AS session, top AS context, round(0.35D * top + 0.40D * supply + 0.25D * structure, 6) AS raw, CASE WHEN top < 60 THEN 'inactive' WHEN supply >= 40 AND structure >= 40 THEN 'confirmed' WHEN supply >= 40 THEN 'distribution' ELSE 'watch' END AS state FROM m",
+    "w22_group_stress": "WITH g AS (SELECT g.grp, f.session, count(*) AS n, avg(f.rel_5) AS rel, avg(CASE WHEN f.close > f.sma20 THEN 1D ELSE 0D END) AS above, avg(CASE WHEN f.ret < 0 AND f.vr > 1 THEN 1D ELSE 0D END) AS down, avg(CASE WHEN f.distribution THEN 1D ELSE 0D END) AS dist, avg(f.vr) AS mvr FROM $features f JOIN $groups g ON f.ticker = g.ticker WHERE f.sma20 IS NOT NULL GROUP BY g.grp, f.session HAVING count(*) >= 3) "
+    "SELECT grp, CAST(session AS STRING) AS session, n, CASE WHEN rel <= -0.03 THEN 20D WHEN rel <= -0.015 THEN 10D ELSE 0D END + CASE WHEN above <= 0.45 THEN 20D WHEN above <= 0.60 THEN 10D ELSE 0D END + CASE WHEN down >= 0.60 THEN 15D WHEN down >= 0.40 THEN 7.5D ELSE 0D END + CASE WHEN dist >= 0.30 THEN 20D WHEN dist >= 0.15 THEN 10D ELSE 0D END + CASE WHEN mvr >= 1.30 THEN 10D WHEN mvr >= 1.10 THEN 5D ELSE 0D END AS stress FROM g",
+    "w24_agreement": "SELECT ticker, CAST(session AS STRING) AS session, round(abs(chg_5) * (sign(chg_5) * sign(m_chg_5) + sign(chg_5) * sign(rel_5)) / 2, 5) AS agreement FROM $features WHERE chg_5 IS NOT NULL AND m_chg_5 IS NOT NULL",
+    "w31_relative_target": "SELECT f.ticker, CAST(f.session AS STRING) AS session, round(f.fwd - (z.m_close / nullif(a.m_open, 0) - 1), 5) AS excess FROM (SELECT ticker, session, fwd, label_end, lead(session) OVER (PARTITION BY ticker ORDER BY session) AS entry_day FROM $features) f JOIN $market a ON a.session = f.entry_day JOIN $market z ON z.session = f.label_end WHERE f.fwd IS NOT NULL",
+    "w32_market_outcomes": "SELECT CAST(session AS STRING) AS session, CASE WHEN x IS NULL THEN NULL WHEN x > 0.02 THEN 1D ELSE 0D END AS opportunity, CASE WHEN lo IS NULL THEN NULL WHEN lo < -0.05 THEN 1D ELSE 0D END AS risk FROM (SELECT session, lead(m_close, 5) OVER (ORDER BY session) / nullif(m_close, 0) - 1 AS x, CASE WHEN count(m_close) OVER (ORDER BY session ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) = 5 THEN min(m_close) OVER (ORDER BY session ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) / nullif(m_close, 0) - 1 END AS lo FROM $market) t",
+    "w43_crosses_when_known": "SELECT ticker, CAST(session AS STRING) AS session, CASE WHEN sma50 IS NULL OR p IS NULL OR ps IS NULL THEN NULL WHEN p <= ps AND close > sma50 THEN 1D ELSE 0D END AS crossed_above FROM (SELECT ticker, session, close, sma50, lag(close) OVER (PARTITION BY ticker ORDER BY session) AS p, lag(sma50) OVER (PARTITION BY ticker ORDER BY session) AS ps FROM $features) t",
+    "w45_bottom_screen": "SELECT ticker, CAST(session AS STRING) AS session, recent_capitulation, reclaimed FROM (SELECT ticker, session, k, max(CASE WHEN vr >= 1.5 AND ret < 0 AND cl <= -0.5 THEN 1D ELSE 0D END) OVER (PARTITION BY ticker ORDER BY session ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS recent_capitulation, max(CASE WHEN cross_up AND vr >= 1.1 THEN 1D ELSE 0D END) OVER (PARTITION BY ticker ORDER BY session ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS reclaimed FROM (SELECT ticker, session, vr, ret, cl, cross_up, row_number() OVER (PARTITION BY ticker ORDER BY session DESC) AS k FROM $features) u WHERE k <= 90) t WHERE k = 1",
+    "x15_early_reversal": "SELECT ticker, CAST(session AS STRING) AS session, score, CASE WHEN a AND b AND score >= 75 THEN 'watch' ELSE 'none' END AS state FROM (SELECT ticker, session, coalesce(low > low_before, false) AS a, coalesce(cross_up, false) AS b, CASE WHEN low > low_before THEN 25D ELSE 0D END + CASE WHEN cross_up THEN 25D ELSE 0D END + CASE WHEN vr >= 1.2 AND ret > 0 THEN 25D ELSE 0D END + CASE WHEN rel_5 > 0 THEN 25D ELSE 0D END AS score FROM (SELECT *, min(low) OVER (PARTITION BY ticker ORDER BY session ROWS BETWEEN 20 PRECEDING AND 6 PRECEDING) AS low_before FROM $features) t) u",
+    "x17_transition_outcomes": "SELECT state, count(*) AS n, round(avg(least(fwd, 1D)), 6) AS mean_fwd FROM (SELECT ticker, session, fwd, CASE WHEN close > sma20 THEN 'above' ELSE 'below' END AS state, lag(CASE WHEN close > sma20 THEN 'above' ELSE 'below' END) OVER (PARTITION BY ticker ORDER BY session) AS was FROM $features WHERE sma20 IS NOT NULL) t WHERE was IS NOT NULL AND was <> state AND fwd IS NOT NULL GROUP BY state",
+    "g07_unified_risk": "SELECT source, count(*) AS n, round(avg(CASE WHEN flag = y THEN 1D ELSE 0D END), 6) AS accuracy, round(avg(CASE WHEN flag THEN 1D ELSE 0D END), 6) AS signal_rate FROM (SELECT 'individual' AS source, distribution AS flag, tail_down AS y FROM $features WHERE tail_down IS NOT NULL UNION ALL SELECT 'slow', coalesce(chg_20 <= -0.05, false), tail_down FROM $features WHERE tail_down IS NOT NULL UNION ALL SELECT 'any', distribution OR coalesce(chg_20 <= -0.05, false), tail_down FROM $features WHERE tail_down IS NOT NULL) t GROUP BY source",
+    "g08_state_outcomes": "SELECT state, count(*) AS n, round(avg(CASE WHEN tail_down THEN 1D ELSE 0D END), 6) AS tail_rate, round(avg(least(mfe, 5D)), 5) AS mean_mfe FROM (SELECT CASE WHEN close > sma50 AND sma20 > sma50 THEN 'uptrend' WHEN close < sma50 THEN 'below' ELSE 'mixed' END AS state, tail_down, mfe FROM $features WHERE sma50 IS NOT NULL AND tail_down IS NOT NULL) t GROUP BY state",
+    "g09_universe_rows": "SELECT ticker, CAST(session AS STRING) AS session, round(close, 8) AS close, round(off_high, 6) AS off_high, round(pct, 6) AS momentum_pct FROM (SELECT ticker, session, close, off_high, CASE WHEN mom_63 IS NOT NULL THEN (rank() OVER (PARTITION BY mom_63 IS NULL ORDER BY mom_63) + (count(*) OVER (PARTITION BY mom_63) - 1) / 2D) / count(mom_63) OVER () END AS pct FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY session DESC) AS k FROM $features) t WHERE k = 1) u",
+    "g10_monitor_difference": "SELECT ticker, CAST(session AS STRING) AS session, label, was FROM (SELECT ticker, session, k, label, lead(label) OVER (PARTITION BY ticker ORDER BY k) AS was FROM (SELECT ticker, session, row_number() OVER (PARTITION BY ticker ORDER BY session DESC) AS k, CASE WHEN close > sma50 THEN 'above' ELSE 'below' END AS label FROM $features WHERE sma50 IS NOT NULL) t WHERE k <= 2) u WHERE k = 1",
+    "j22_identity_ladder": "SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN a.c_mktsegment <> b.c_mktsegment THEN 'rejected' WHEN a.c_nationkey <> b.c_nationkey THEN 'review' ELSE 'same' END AS verdict FROM $customer a JOIN $customer b ON upper(trim(a.c_name)) = upper(trim(b.c_name)) AND a.c_custkey <= b.c_custkey) t GROUP BY verdict",
+    "m02_purged_training": "SELECT count(*) AS n FROM $features WHERE label_end < DATE '2000-01-01' AND fwd IS NOT NULL",
+    "m10_recency_weights": "SELECT ticker, round(sum(w), 5) AS total, round(sum(w * CASE WHEN tail_down THEN 1D ELSE 0D END) / sum(w), 6) AS rate FROM (SELECT ticker, tail_down, power(0.5D, datediff(DATE '2002-01-01', session) / 252D) AS w FROM $features WHERE tail_down IS NOT NULL) t GROUP BY ticker",
+    "m13_promotion_gates": "SELECT year, n, hit, n >= 50 AND hit >= 0.5 AS promoted FROM (SELECT year(session) AS year, count(*) AS n, round(avg(CASE WHEN tail_up THEN 1D ELSE 0D END), 6) AS hit FROM $features WHERE tail_up IS NOT NULL GROUP BY year(session)) t",
+    "r12_liveness": "SELECT symbol, CASE WHEN newest - last > 86400000000000 THEN 'stale' WHEN newest - last > 3600000000000 THEN 'pending' ELSE 'live' END AS state FROM (SELECT symbol, max(ns) AS last FROM $trades GROUP BY symbol) t CROSS JOIN (SELECT max(ns) AS newest FROM $trades) u",
+}
+
 
 def query(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: spark_sql(spark, sf_dir, text)

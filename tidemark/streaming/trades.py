@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_backward
+from tidemark.sources.storage import cut
 
 
 def normalise(raw: DataFrame) -> DataFrame:
@@ -58,6 +59,7 @@ def effective(trades: DataFrame, changes: DataFrame, rounds: int = 10) -> DataFr
     link = changes.groupBy("old_id").agg(F.max_by(F.struct("new_id", "price"), F.struct(F.coalesce("new_id", F.lit(-1)), "price")).alias("c")).select("old_id", F.col("c.new_id").alias("new_id"), F.col("c.price").alias("new_price"))
     link = link.withColumn("gone", F.col("new_id").isNull())
     for _ in range(max(1, rounds.bit_length())):
+        link = cut(link)  # each round reads the links twice; a written table keeps the plan from doubling
         nxt = link.select(F.col("old_id").alias("new_id"), F.col("new_id").alias("n2"), F.col("new_price").alias("p2"), F.col("gone").alias("g2"))
         hop = link.join(nxt, "new_id", "left")
         link = hop.select("old_id", F.when(F.col("g2").isNull(), F.col("new_id")).otherwise(F.col("n2")).alias("new_id"), F.when(F.col("g2").isNull(), F.col("new_price")).otherwise(F.col("p2")).alias("new_price"), (F.col("gone") | F.coalesce("g2", F.lit(False))).alias("gone"))
