@@ -18,22 +18,26 @@ from tidemark.sources.storage import cut
 
 def normalise(raw: DataFrame) -> DataFrame:
     """JSON messages (column value) to typed events; control messages and invalid ones keep a reason and no price."""
-    m = F.from_json("value", "T string, S string, t string, bp double, bs double, ap double, `as` double, p double, s double, i long, x string")
+    # A map keeps `S` and `s` apart, which a struct's field names would not.
+    m = F.from_json("value", "map<string, string>")
+    text = lambda k: F.col("m")[k]
+    number = lambda k: F.expr(f"try_cast(m['{k}'] AS double)")
     e = raw.select(m.alias("m"))
-    kind = F.when(F.col("m.T") == "q", "quote").when(F.col("m.T") == "t", "trade").when(F.col("m.T") == "c", "correction").when(F.col("m.T") == "x", "cancel").otherwise("control")
-    fraction = F.rpad(F.regexp_extract("m.t", r"\.(\d{1,9})", 1), 9, "0")
-    seconds = F.unix_timestamp(F.to_timestamp(F.regexp_replace("m.t", r"\.\d+", "")))
-    ns = seconds * 1_000_000_000 + F.when(fraction == "", 0).otherwise(fraction.cast("long"))
-    crossed = (F.col("m.bp") > F.col("m.ap")) | (F.col("m.bp") <= 0) | F.col("m.bp").isNull() | F.col("m.ap").isNull()
-    reason = F.when(kind == "control", "control").when((kind == "quote") & crossed, "invalid_quote").when((kind == "trade") & (F.coalesce(F.col("m.p"), F.lit(0)) <= 0), "invalid_trade")
+    kind = F.when(text("T") == "q", "quote").when(text("T") == "t", "trade").when(text("T") == "c", "correction").when(text("T") == "x", "cancel").otherwise("control")
+    fraction = F.rpad(F.regexp_extract(text("t"), r"\.(\d{1,9})", 1), 9, "0")
+    at = F.try_to_timestamp(F.regexp_replace(text("t"), r"\.\d+", ""))
+    ns = F.unix_timestamp(at) * 1_000_000_000 + fraction.cast("long")
+    bid, ask = number("bp"), number("ap")
+    crossed = F.coalesce((bid > ask) | (bid <= 0), F.lit(True))
+    reason = F.when(kind == "control", "control").when(at.isNull(), "invalid_time").when((kind == "quote") & crossed, "invalid_quote").when((kind == "trade") & (F.coalesce(number("p"), F.lit(0.0)) <= 0), "invalid_trade")
     return e.select(
-        F.upper(F.trim("m.S")).alias("symbol"),
-        F.col("m.i").alias("event_id"),
-        F.to_timestamp("m.t").alias("event_ts"),
+        F.upper(F.trim(text("S"))).alias("symbol"),
+        F.expr("try_cast(m['i'] AS long)").alias("event_id"),
+        F.try_to_timestamp(text("t")).alias("event_ts"),
         ns.alias("ns"),
         kind.alias("kind"),
-        F.when(kind == "quote", (F.col("m.bp") + F.col("m.ap")) / 2).otherwise(F.col("m.p")).alias("price"),
-        F.when(kind == "quote", (F.col("m.bs") + F.col("m.as")) * 100).otherwise(F.col("m.s")).alias("size"),
+        F.when(kind == "quote", (bid + ask) / 2).otherwise(number("p")).alias("price"),
+        F.when(kind == "quote", (number("bs") + number("as")) * 100).otherwise(number("s")).alias("size"),
         reason.alias("reason"),
     )
 
