@@ -121,8 +121,8 @@ TEXTS: dict[str, str] = {
     "(SELECT sum(CASE WHEN p AND y THEN 1D ELSE 0D END) AS tp, sum(CASE WHEN p AND NOT y THEN 1D ELSE 0D END) AS fp, sum(CASE WHEN NOT p AND y THEN 1D ELSE 0D END) AS fn, sum(CASE WHEN NOT p AND NOT y THEN 1D ELSE 0D END) AS tn FROM (SELECT distribution AS p, tail_down AS y FROM $features WHERE tail_down IS NOT NULL) t) u",
     "a10_metrics_cube": "SELECT coalesce(grp, 'all') AS grp, coalesce(CAST(y AS STRING), 'all') AS year, n, round(hit, 6) AS hit, CASE WHEN n < 50 THEN 'insufficient' ELSE 'ok' END AS status FROM (SELECT g.grp, year(f.session) AS y, count(*) AS n, avg(CASE WHEN f.tail_down THEN 1D ELSE 0D END) AS hit FROM $features f JOIN $groups g ON f.ticker = g.ticker WHERE f.tail_down IS NOT NULL GROUP BY CUBE (g.grp, year(f.session))) t",
     "a12_rank_ic": "WITH r AS (SELECT session, (rank() OVER (PARTITION BY session ORDER BY vr) + (count(*) OVER (PARTITION BY session, vr) - 1) / 2D) AS a, (rank() OVER (PARTITION BY session ORDER BY fwd) + (count(*) OVER (PARTITION BY session, fwd) - 1) / 2D) AS b FROM $features WHERE vr IS NOT NULL AND fwd IS NOT NULL) "
-    "SELECT CAST(session AS STRING) AS session, round(corr(a, b), 6) AS ic FROM r GROUP BY session HAVING count(*) >= 5",
-    "a13_correlations": "SELECT round(corr(vr, abs(ret)), 5) AS vr_ret, round(corr(cl, uw), 6) AS cl_uw, round(sum(CASE WHEN distribution AND non_progress THEN 1D ELSE 0D END) / nullif(sum(CASE WHEN distribution OR non_progress THEN 1D ELSE 0D END), 0), 6) AS jaccard FROM $features WHERE ret < 5",
+    "SELECT CAST(session AS STRING) AS session, round(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 6) AS ic FROM r GROUP BY session HAVING count(*) >= 5",
+    "a13_correlations": "SELECT round(covar_pop(vr, abs(ret)) / nullif(stddev_pop(CASE WHEN ret IS NOT NULL THEN vr END) * stddev_pop(CASE WHEN vr IS NOT NULL THEN abs(ret) END), 0), 5) AS vr_ret, round(covar_pop(cl, uw) / nullif(stddev_pop(cl) * stddev_pop(uw), 0), 6) AS cl_uw, round(sum(CASE WHEN distribution AND non_progress THEN 1D ELSE 0D END) / nullif(sum(CASE WHEN distribution OR non_progress THEN 1D ELSE 0D END), 0), 6) AS jaccard FROM $features WHERE ret < 5",
     "a14_roc_auc": "WITH r AS (SELECT tail_down AS y, rank() OVER (ORDER BY vr) + (count(*) OVER (PARTITION BY vr) - 1) / 2D AS k FROM $features WHERE vr IS NOT NULL AND tail_down IS NOT NULL) "
     "SELECT round((sum(CASE WHEN y THEN k ELSE 0D END) - p * (p + 1) / 2) / nullif(p * q, 0), 6) AS auc FROM (SELECT y, k, sum(CASE WHEN y THEN 1D ELSE 0D END) OVER () AS p, sum(CASE WHEN y THEN 0D ELSE 1D END) OVER () AS q FROM r) t GROUP BY p, q",
     "a15_brier_log_loss": "SELECT round(avg((p - y) * (p - y)), 6) AS brier, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS log_loss FROM (SELECT least(0.99D, greatest(0.01D, vr / 4)) AS p, CASE WHEN tail_down THEN 1D ELSE 0D END AS y FROM $features WHERE vr IS NOT NULL AND tail_down IS NOT NULL) t",
@@ -154,7 +154,7 @@ TEXTS: dict[str, str] = {
     "w36_event_study": "SELECT ticker, CAST(session AS STRING) AS session, round(x5 - m5, 5) AS car FROM (SELECT ticker, session, pivot_breakout, lead(close, 5) OVER (PARTITION BY ticker ORDER BY session) / nullif(entry, 0) - 1 AS x5, lead(m_close, 5) OVER (PARTITION BY ticker ORDER BY session) / nullif(lead(m_open, 1) OVER (PARTITION BY ticker ORDER BY session), 0) - 1 AS m5 FROM $features) t WHERE pivot_breakout AND x5 IS NOT NULL AND x5 < 100",
     "w37_latest_version": "SELECT ticker, CAST(effective_from AS STRING) AS effective_from, version FROM (SELECT ticker, effective_from, version, row_number() OVER (PARTITION BY ticker ORDER BY effective_from DESC, version DESC) AS k FROM $members) t WHERE k = 1",
     "w38_phased_ic": "WITH r AS (SELECT session, (dense_rank() OVER (ORDER BY session) - 1) % 5 AS phase, (rank() OVER (PARTITION BY session ORDER BY cl) + (count(*) OVER (PARTITION BY session, cl) - 1) / 2D) AS a, (rank() OVER (PARTITION BY session ORDER BY fwd) + (count(*) OVER (PARTITION BY session, fwd) - 1) / 2D) AS b FROM $features WHERE cl IS NOT NULL AND fwd IS NOT NULL) "
-    "SELECT phase, round(avg(ic), 6) AS ic FROM (SELECT session, phase, corr(a, b) AS ic FROM r GROUP BY session, phase HAVING count(*) >= 5 AND var_pop(a) > 0 AND var_pop(b) > 0) t GROUP BY phase",
+    "SELECT phase, round(avg(ic), 6) AS ic FROM (SELECT session, phase, covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) AS ic FROM r GROUP BY session, phase HAVING count(*) >= 5) t GROUP BY phase",
     "w39_calendar_change": "SELECT ticker, CAST(session AS STRING) AS session, round(close / nullif(last_value(close) OVER (PARTITION BY ticker ORDER BY d RANGE BETWEEN UNBOUNDED PRECEDING AND 20 PRECEDING), 0) - 1, 5) AS chg FROM (SELECT ticker, session, close, datediff(session, DATE '1970-01-01') AS d FROM $days) t",
     "w46_technical_label": "SELECT ticker, CAST(session AS STRING) AS session, CASE WHEN sma200 IS NULL THEN 'unavailable' WHEN close > sma20 AND sma20 > sma50 AND sma50 > sma200 THEN 'strong' WHEN close > sma50 THEN 'constructive' WHEN close > sma200 THEN 'weakening' ELSE 'weak' END AS label FROM $features",
     "x10_distribution_with_removal": "WITH d AS (SELECT ticker, session, pos, close, distribution FROM $features), j AS (SELECT i.ticker, i.session, e.pos AS at, max(m.close) AS top, max(e.close) AS base FROM d i JOIN d e ON e.ticker = i.ticker AND e.pos <= i.pos AND i.pos - e.pos < 25 AND e.distribution LEFT JOIN d m ON m.ticker = i.ticker AND m.pos > e.pos AND m.pos <= i.pos GROUP BY i.ticker, i.session, e.pos) "
