@@ -241,7 +241,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, piece: i
     inner = docs.select("doc_id", "text")
     fps = fingerprints(inner.withColumn("doc_id", F.col("doc_id").cast("long")), words).select(F.col("c0").alias("doc_id"), "fp")
     found = materialize(classes(fps, distance, piece), "classes")
-    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # Written down, so that the join stands on two plain exchanges and a hot component can be split.
+    least = materialize(found.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     return found.join(least, "component").select("doc_id", "fp", "component_id")
 
 
