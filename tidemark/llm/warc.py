@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import in_order, materialize
 
-FANOUT, FILE_RECORDS = 16, 4096
+FANOUT, FILE_RECORDS = 16, 1024
 
 
 def record(url: Column, page_id: Column, body: Column) -> Column:
