@@ -183,6 +183,16 @@ _SCORED = (
     "close > 10 AND close > ema50 AND ema10 > ema20 AND rs > 90 AND dollar_volume_20 > 50000 AND coalesce(off_low > 0.7, true) AND coalesce(off_high > -0.2, true) AS passed FROM x) "
 )
 
+#: Monthly series by order priority with a first release after 15 days and a revision after 60; replay dates and what each sees.
+_MACRO = (
+    "WITH base AS (SELECT substring(o_orderpriority, 1, 1) AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS obs, avg(o_totalprice) / 10000 AS value FROM $orders GROUP BY substring(o_orderpriority, 1, 1), CAST(date_trunc('month', o_orderdate) AS DATE)), "
+    "v AS (SELECT series, obs, value, date_add(obs, 45) AS known FROM base UNION ALL SELECT series, obs, value * 1.01D, date_add(obs, 90) FROM base), d AS (SELECT DISTINCT date_add(obs, 27) AS seen_at FROM base), "
+    "latest AS (SELECT d.seen_at, v.series, v.obs, v.value, dense_rank() OVER (PARTITION BY d.seen_at, v.series ORDER BY v.obs DESC) AS back, row_number() OVER (PARTITION BY d.seen_at, v.series ORDER BY v.obs DESC, v.known DESC) AS k, row_number() OVER (PARTITION BY d.seen_at, v.series, v.obs ORDER BY v.known DESC) AS newest FROM d JOIN v ON v.known <= d.seen_at), "
+    "w AS (SELECT seen_at, count(DISTINCT series) AS n_series, "
+    + ", ".join(f"max(CASE WHEN series = '{i}' AND back = 1 AND newest = 1 THEN value END) AS v{i}, max(CASE WHEN series = '{i}' AND back = 4 AND newest = 1 THEN value END) AS p{i}" for i in (1, 2, 3, 4))
+    + " FROM latest WHERE back <= 4 GROUP BY seen_at) "
+)
+
 TEXTS |= {
     "p16_dimension_scores": _SCORED + "SELECT ticker, CAST(session AS STRING) AS session, s_market, s_trend, s_breakout, s_institution, s_reward FROM y",
     "p17_total_and_grade": _SCORED + "SELECT ticker, CAST(session AS STRING) AS session, round(t, 4) AS total, CASE WHEN NOT passed THEN 'unfiltered' WHEN t >= 85 THEN 'A' WHEN t >= 75 THEN 'B' WHEN t >= 65 THEN 'C' ELSE 'out' END AS grade FROM (SELECT ticker, session, passed, greatest(0D, (s_market + s_trend + s_breakout + s_institution + s_reward) / 60 * 100 - CASE WHEN overheat IS NULL THEN 0D ELSE least(greatest(overheat - 40, 0D) / 60 * 25, 25D) END) AS t FROM y) z",
@@ -221,6 +231,21 @@ TEXTS |= {
     "m10_recency_weights": "SELECT ticker, round(sum(w), 5) AS total, round(sum(w * CASE WHEN tail_down THEN 1D ELSE 0D END) / sum(w), 6) AS rate FROM (SELECT ticker, tail_down, power(0.5D, datediff(DATE '2002-01-01', session) / 252D) AS w FROM $features WHERE tail_down IS NOT NULL) t GROUP BY ticker",
     "m13_promotion_gates": "SELECT year, n, hit, n >= 50 AND hit >= 0.5 AS promoted FROM (SELECT year(session) AS year, count(*) AS n, round(avg(CASE WHEN tail_up THEN 1D ELSE 0D END), 6) AS hit FROM $features WHERE tail_up IS NOT NULL GROUP BY year(session)) t",
     "r12_liveness": "SELECT symbol, CASE WHEN newest - last > 86400000000000 THEN 'stale' WHEN newest - last > 3600000000000 THEN 'pending' ELSE 'live' END AS state FROM (SELECT symbol, max(ns) AS last FROM $trades GROUP BY symbol) t CROSS JOIN (SELECT max(ns) AS newest FROM $trades) u",
+    "a19_exact_quantiles": "SELECT ticker, round(percentile_cont(0.05) WITHIN GROUP (ORDER BY least(ret, 5D)), 6) AS q05, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY least(ret, 5D)), 6) AS q95 FROM $features WHERE ret IS NOT NULL GROUP BY ticker",
+    "g01_macro_risk_replay": _MACRO + "SELECT CAST(seen_at AS STRING) AS seen_at, n_series, round(CASE WHEN n_series >= 4 THEN CASE WHEN v1 >= 15 THEN 25D ELSE 0D END + CASE WHEN v2 >= 15 THEN 25D ELSE 0D END + CASE WHEN v3 - p3 >= 0.1 THEN 25D ELSE 0D END + CASE WHEN v4 - p4 <= -0.1 THEN 25D ELSE 0D END END, 6) AS risk FROM w",
+    "g02_visible_vintages": _MACRO + "SELECT CAST(seen_at AS STRING) AS seen_at, series, CAST(obs AS STRING) AS obs, round(value, 6) AS value FROM latest WHERE k = 1",
+    "w40_policy_directions": _MACRO + "SELECT CAST(seen_at AS STRING) AS seen_at, CASE WHEN p1 IS NULL THEN 'unavailable' WHEN v1 > p1 + 0.05 THEN 'tightening' WHEN v1 < p1 - 0.05 THEN 'easing' ELSE 'flat' END AS rates, CASE WHEN p2 IS NULL THEN 'unavailable' WHEN v2 > p2 THEN 'up' ELSE 'down' END AS oil FROM w",
+    "w44_yearly_inflation": "SELECT CAST(a.mth AS STRING) AS month, round(a.v / nullif(b.v, 0) - 1, 6) AS yoy FROM (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS mth, avg(o_totalprice) AS v FROM $orders GROUP BY CAST(date_trunc('month', o_orderdate) AS DATE)) a JOIN (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS mth, avg(o_totalprice) AS v FROM $orders GROUP BY CAST(date_trunc('month', o_orderdate) AS DATE)) b ON year(a.mth) = year(b.mth) + 1 AND month(a.mth) = month(b.mth)",
+    "p21_decision_ladder": "SELECT ticker, CAST(session AS STRING) AS session, CASE WHEN score >= 70 THEN 'immediate' WHEN high_level AND score >= 40 THEN 'confluence' WHEN high_level THEN 'high' WHEN score >= 40 THEN 'watch' ELSE 'none' END AS decision, CASE WHEN score >= 70 THEN 'down' WHEN score >= 40 AND chg_20 > 0 THEN 'neutral' WHEN chg_20 > 0.01 THEN 'up' WHEN chg_20 < -0.01 THEN 'down' ELSE 'neutral' END AS final_direction FROM (SELECT ticker, session, chg_20, coalesce(chg_60 >= 0.20 AND off_high >= -0.15, false) AS high_level, CASE WHEN distribution THEN 25 ELSE 0 END + CASE WHEN close < sma20 THEN 20 ELSE 0 END + CASE WHEN vr >= 1.5 THEN 20 WHEN vr >= 1.2 THEN 12 ELSE 0 END + CASE WHEN cl <= -0.6 THEN 10 ELSE 0 END + CASE WHEN sv <= -1 THEN 10 ELSE 0 END AS score FROM $features) t",
+    "g05_risk_context_panel": "SELECT f.ticker, CAST(f.session AS STRING) AS session, greatest(CASE WHEN f.distribution THEN 60D ELSE 0D END, coalesce(g.stress, 0D)) AS risk, g.n FROM $features f LEFT JOIN (SELECT x.grp, y.session, count(*) AS n, 100 * avg(CASE WHEN y.close < y.sma20 THEN 1D ELSE 0D END) AS stress FROM $features y JOIN $groups x ON x.ticker = y.ticker WHERE y.sma20 IS NOT NULL GROUP BY x.grp, y.session HAVING count(*) >= 3) g ON g.session = f.session AND g.grp = substring(f.ticker, 7, 1) WHERE g.n IS NOT NULL",
+    "j15_tiered_controls": "WITH e AS (SELECT ticker, session, off_high, vol_63 FROM $features WHERE pivot_breakout AND vol_63 IS NOT NULL AND off_high IS NOT NULL), c AS (SELECT ticker, session, off_high, vol_63 FROM $features WHERE NOT pivot_breakout AND vol_63 IS NOT NULL AND off_high IS NOT NULL), "
+    "p AS (SELECT e.ticker, e.session, c.ticker AS control_ticker, c.session AS control, CASE WHEN c.ticker = e.ticker THEN 1 ELSE 2 END AS tier, row_number() OVER (PARTITION BY e.ticker, e.session ORDER BY CASE WHEN c.ticker = e.ticker THEN 1 ELSE 2 END, abs(datediff(c.session, e.session)), round(abs(e.off_high - c.off_high), 9), c.ticker, c.session) AS k FROM e JOIN c ON substring(c.ticker, 7, 1) = substring(e.ticker, 7, 1) AND abs(datediff(c.session, e.session)) <= 63) "
+    "SELECT ticker, CAST(session AS STRING) AS session, control_ticker, CAST(control AS STRING) AS control, tier FROM p WHERE k = 1",
+    "x23_monthly_reclassification": "SELECT ticker, CAST(effective AS STRING) AS effective, CAST(date_add(effective, 45) AS STRING) AS expires, CASE WHEN b >= 1 THEN 'cyclical' WHEN b >= 0 THEN 'core' ELSE 'defensive' END AS class FROM (SELECT ticker, session, lead(session) OVER (PARTITION BY ticker ORDER BY session) AS effective, beta_63 AS b, row_number() OVER (PARTITION BY ticker, year(session), month(session) ORDER BY session DESC) AS k FROM $features) t WHERE k = 1 AND b IS NOT NULL AND effective IS NOT NULL",
+    "x21_assignment_intervals": "WITH s AS (SELECT ticker, session, CASE WHEN beta_63 >= 1 THEN 'cyclical' ELSE 'core' END AS code FROM $features WHERE beta_63 IS NOT NULL), i AS (SELECT ticker, session, code, sum(new) OVER (PARTITION BY ticker ORDER BY session ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN lag(code) OVER (PARTITION BY ticker ORDER BY session) = code THEN 0 ELSE 1 END AS new FROM s) t), "
+    "g AS (SELECT ticker, island, min(code) AS code, min(session) AS a FROM i GROUP BY ticker, island) SELECT ticker, code, CAST(a AS STRING) AS effective_from, CAST(lead(a) OVER (PARTITION BY ticker ORDER BY a) AS STRING) AS effective_to FROM g",
+    "a21b_best_group_by_residual": "WITH m AS (SELECT g.grp, f.session, avg(f.chg_5) AS gc FROM $features f JOIN $groups g ON f.ticker = g.ticker WHERE f.chg_5 < 5 GROUP BY g.grp, f.session), c AS (SELECT f.ticker, m.grp, covar_pop(f.chg_5 - f.m_chg_5, m.gc - f.m_chg_5) / nullif(stddev_pop(f.chg_5 - f.m_chg_5) * stddev_pop(m.gc - f.m_chg_5), 0) AS r FROM $features f JOIN m ON m.session = f.session WHERE f.chg_5 < 5 AND f.m_chg_5 IS NOT NULL GROUP BY f.ticker, m.grp) "
+    "SELECT ticker, grp, round(r, 5) AS r FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY r DESC, grp) AS k FROM c) t WHERE k = 1",
 }
 
 

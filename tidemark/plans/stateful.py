@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, models, state
+from tidemark.operators import asof, models, patterns, state
 from tidemark.operators import layers as L
 from tidemark.plans import layered, relational
 from tidemark.sources import bars as B
@@ -177,7 +177,109 @@ def m09_threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 M09_SQL = Q("SELECT t / 10.0D AS t, round((sum(CASE WHEN vr >= t / 10.0D AND tail_down THEN 1D ELSE 0D END) / nullif(sum(CASE WHEN tail_down THEN 1D ELSE 0D END), 0) + sum(CASE WHEN vr < t / 10.0D AND NOT tail_down THEN 1D ELSE 0D END) / nullif(sum(CASE WHEN NOT tail_down THEN 1D ELSE 0D END), 0)) / 2, 6) AS balanced FROM $features, (SELECT unnest(range(5, 31)) AS t) WHERE tail_down IS NOT NULL AND vr IS NOT NULL GROUP BY t")
 
 
+def x06_contractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = L.stack(B.bars(spark, sf_dir), [*L.PRESSURE, *L.TREND])
+    return patterns.contractions(rows).selectExpr("ticker", "CAST(session AS STRING) AS session", "stage", "base", "n_legs", "round(pivot, 6) AS pivot", "round(distance, 6) AS distance", "round(dry_up, 6) AS dry_up")
+
+
+def x11_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest support and resistance: candidate levels, clustered where they lie within half a mean range.
+
+    Candidates are an array of each row; sorted, a gap over half the range starts a new cluster, whose mean is
+    the level and whose size the confluence. No row meets another.
+    """
+    rows = L.stack(B.bars(spark, sf_dir), [*L.PRESSURE, *L.TREND, {"low_20": f"min(low) {L.prior(20)}", "high_20": f"max(high) {L.prior(20)}", "low_60": f"min(low) {L.prior(60)}", "high_60": f"max(high) {L.prior(60)}"}]).where("atr20 IS NOT NULL AND sma50 IS NOT NULL")
+    return rows.selectExpr("ticker", "session", "close", "atr20", "array_sort(array_compact(array(sma10, sma20, sma50, sma200, low_20, high_20, low_60, high_60, high_252, low_252))) AS levels").selectExpr(
+        "ticker", "CAST(session AS STRING) AS session", "close",
+        "aggregate(slice(levels, 2, size(levels)), struct(array(struct(levels[0] AS total, 1D AS n, levels[0] AS last)) AS cs), (a, x) -> CASE WHEN x - element_at(a.cs, -1).last <= 0.5 * atr20 "
+        "THEN struct(concat(slice(a.cs, 1, size(a.cs) - 1), array(struct(element_at(a.cs, -1).total + x AS total, element_at(a.cs, -1).n + 1D AS n, x AS last))) AS cs) ELSE struct(concat(a.cs, array(struct(x AS total, 1D AS n, x AS last))) AS cs) END).cs AS cs",
+    ).selectExpr(
+        "ticker", "session", "round(array_max(filter(transform(cs, c -> c.total / c.n), z -> z <= close)), 6) AS support", "round(array_min(filter(transform(cs, c -> c.total / c.n), z -> z > close)), 6) AS resistance", "CAST(size(cs) AS DOUBLE) AS clusters"
+    )
+
+
+X11_SQL = "WITH " + layered.stack_sql([*L.PRESSURE, *L.TREND, {"low_20": f"min(low) {L.prior(20)}", "high_20": f"max(high) {L.prior(20)}", "low_60": f"min(low) {L.prior(60)}", "high_60": f"max(high) {L.prior(60)}"}]) + """,
+lv AS (SELECT ticker, session, close, atr20, unnest([sma10, sma20, sma50, sma200, low_20, high_20, low_60, high_60, high_252, low_252]) AS x FROM top WHERE atr20 IS NOT NULL AND sma50 IS NOT NULL),
+g AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY ticker, session ORDER BY x) <= 0.5 * atr20 THEN 0 ELSE 1 END AS new FROM lv WHERE x IS NOT NULL),
+c AS (SELECT *, sum(new) OVER (PARTITION BY ticker, session ORDER BY x ROWS UNBOUNDED PRECEDING) AS k FROM g),
+z AS (SELECT ticker, session, close, k, avg(x) AS level FROM c GROUP BY ticker, session, close, k)
+SELECT ticker, session::VARCHAR AS session, round(max(level) FILTER (level <= close), 6) AS support, round(min(level) FILTER (level > close), 6) AS resistance, count(*)::DOUBLE AS clusters FROM z GROUP BY ticker, session"""
+
+
+def x14_bottom_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = L.stack(layered.base(spark, sf_dir, "week", True), [*layered.FULL, *L.RELATIVE]).selectExpr(
+        "ticker", "session", "low", "close",
+        "CASE WHEN chg_20 IS NULL OR sma20 IS NULL THEN NULL ELSE CASE WHEN chg_20 <= -0.08 THEN 10D ELSE 0D END + CASE WHEN close < sma20 THEN 5D ELSE 0D END + CASE WHEN off_high <= -0.15 THEN 5D ELSE 0D END END AS location",
+        "CASE WHEN distress THEN 10D ELSE 0D END + CASE WHEN vr >= 1.8 THEN 8D ELSE 0D END + CASE WHEN churn_10 >= 2 THEN 7D ELSE 0D END AS exhaustion",
+        "CASE WHEN vr IS NULL THEN NULL ELSE CASE WHEN recovery THEN 15D ELSE 0D END + CASE WHEN ret > 0 AND vr >= 1.2 AND cl >= 0.4 THEN 10D ELSE 0D END + CASE WHEN sv >= 0.75 THEN 5D ELSE 0D END END AS demand",
+        "CASE WHEN cross_up THEN 12D ELSE 0D END + CASE WHEN close > sma10 THEN 5D ELSE 0D END AS structure",
+    )
+    return patterns.bottom_states(rows).selectExpr("ticker", "CAST(session AS STRING) AS session", "state")
+
+
+def x16_support_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = L.stack(B.bars(spark, sf_dir), [{"support": L.full("min", "low", 20, "OVER (PARTITION BY ticker ORDER BY session ROWS BETWEEN 25 PRECEDING AND 6 PRECEDING)")}])
+    return patterns.support_touches(rows).selectExpr("ticker", "CAST(session AS STRING) AS session", "round(level, 6) AS level", "kind", "outcome")
+
+
+def p31_us_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by US session, by New York's clock."""
+    local = F.from_utc_timestamp("event_ts", "America/New_York")
+    minute = F.hour(local) * 60 + F.minute(local)
+    name = F.when((minute >= 240) & (minute < 570), "pre").when((minute >= 570) & (minute < 960), "regular").when((minute >= 960) & (minute < 1200), "post").otherwise("unknown")
+    return B.market_events(spark, sf_dir).select(name.alias("us_session"), F.to_date(local).cast("string").alias("trading_date")).groupBy("us_session", "trading_date").agg(F.count("*").alias("n"))
+
+
+P31_SQL = f"""
+SELECT CASE WHEN m >= 240 AND m < 570 THEN 'pre' WHEN m >= 570 AND m < 960 THEN 'regular' WHEN m >= 960 AND m < 1200 THEN 'post' ELSE 'unknown' END AS us_session, d AS trading_date, count(*) AS n
+FROM (SELECT hour(l) * 60 + minute(l) AS m, l::DATE::VARCHAR AS d FROM (SELECT (event_ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS l FROM ({B.MARKET_EVENTS_SQL}))) GROUP BY 1, 2"""
+
+
+def r01_normalised_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as provider messages, read back by the normaliser; counts by kind and reason."""
+    e = B.market_events(spark, sf_dir)
+    stamp = F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    kind = F.when(F.col("kind") == "trade", "t").when(F.col("kind") == "quote", "q").when(F.col("kind") == "correction", "c").otherwise("x")
+    odd = F.col("event_id") % 50 == 0
+    message = F.to_json(F.struct(kind.alias("T"), F.col("symbol").cast("string").alias("S"), stamp.alias("t"), F.col("event_id").alias("i"), F.col("price").alias("p"), F.col("size").alias("s"), F.when(kind == "q", F.col("price")).alias("bp"), F.when(kind == "q", F.when(odd, F.col("price") - 1).otherwise(F.col("price") + 0.01)).alias("ap"), F.lit(1).alias("bs"), F.lit(1).alias("as")))
+    got = T.normalise(e.select(message.alias("value")))
+    return got.groupBy("kind", F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"), F.max("ns").alias("newest_ns"))
+
+
+R01_SQL = f"""
+SELECT kind, CASE WHEN kind = 'quote' AND event_id % 50 = 0 THEN 'invalid_quote' ELSE 'ok' END AS reason, count(*) AS n, max(ns) AS newest_ns FROM ({B.MARKET_EVENTS_SQL}) GROUP BY 1, 2"""
+
+
+def m04_robust_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features clipped at their 0.005 and 0.995 quantiles, filled by the median, standardised and clipped at 12."""
+    f = _features(spark, sf_dir).select("ticker", "session", "vr", "cl", "chg_20")
+    stats = f.agg(*(F.percentile(c, F.array(F.lit(0.005), F.lit(0.5), F.lit(0.995))).alias(c) for c in ("vr", "cl", "chg_20")))
+    q = F.broadcast(stats.select(*(F.col(c)[i].alias(f"{c}_{n}") for c in ("vr", "cl", "chg_20") for i, n in enumerate(("lo", "mid", "hi")))))  # one row
+    filled = f.crossJoin(q).select("ticker", "session", *(F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"{c}_lo")), F.col(f"{c}_hi"))).otherwise(F.col(f"{c}_mid")).alias(c) for c in ("vr", "cl", "chg_20")))
+    moments = F.broadcast(filled.agg(*(x for c in ("vr", "cl", "chg_20") for x in (F.avg(c).alias(f"{c}_m"), F.stddev_pop(c).alias(f"{c}_s")))))
+    z = [F.round(F.least(F.lit(12.0), F.greatest(F.lit(-12.0), F.try_divide(F.col(c) - F.col(f"{c}_m"), F.col(f"{c}_s")))), 5).alias(c) for c in ("vr", "cl", "chg_20")]
+    return filled.crossJoin(moments).select("ticker", F.col("session").cast("string").alias("session"), *z)
+
+
+M04_SQL = Q(
+    "WITH f AS (SELECT ticker, session, vr, cl, chg_20 FROM $features), q AS (SELECT "
+    + ", ".join(f"quantile_cont({c}, 0.005) AS {c}_lo, quantile_cont({c}, 0.5) AS {c}_mid, quantile_cont({c}, 0.995) AS {c}_hi" for c in ("vr", "cl", "chg_20"))
+    + " FROM f), g AS (SELECT ticker, session, "
+    + ", ".join(f"coalesce(CASE WHEN {c} IS NOT NULL THEN least(greatest({c}, {c}_lo), {c}_hi) END, {c}_mid) AS {c}" for c in ("vr", "cl", "chg_20"))
+    + " FROM f, q) SELECT ticker, CAST(session AS STRING) AS session, "
+    + ", ".join(f"round(least(12, greatest(-12, ({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0))), 5) AS {c}" for c in ("vr", "cl", "chg_20"))
+    + " FROM g"
+)
+
+
 QUERIES = {
+    "x06_contractions": x06_contractions,
+    "x11_zones": x11_zones,
+    "x14_bottom_state": x14_bottom_state,
+    "x16_support_touches": x16_support_touches,
+    "p31_us_sessions": p31_us_sessions,
+    "r01_normalised_messages": r01_normalised_messages,
+    "m04_robust_design": m04_robust_design,
     "j03_asof_benchmark": j03_asof_benchmark,
     "j04_asof_with_expiry": j04_asof_with_expiry,
     "j14_greedy_pairs": j14_greedy_pairs,
@@ -198,6 +300,10 @@ QUERIES = {
     "a30_block_bootstrap": a30_block_bootstrap,
 }
 ORACLE_SQL = {
+    "x11_zones": X11_SQL,
+    "p31_us_sessions": P31_SQL,
+    "r01_normalised_messages": R01_SQL,
+    "m04_robust_design": M04_SQL,
     "j03_asof_benchmark": J03_SQL,
     "j04_asof_with_expiry": J04_SQL,
     "w02_ema": W02_SQL,
