@@ -251,3 +251,45 @@ def backtest(signals: DataFrame, slots: int = 5, stop: float = 0.07, take: float
         return pd.DataFrame(rows, columns=["session", "equity", "positions"])
 
     return signals.select("ticker", "session", "close", "score").withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(lambda pdf: run(pdf), "session date, equity double, positions long")
+
+
+def core_satellite(signals: DataFrame, slots: int = 4, core: float = 0.5, stop: float = 2.5, trail: float = 3.0, every: int = 5) -> DataFrame:
+    """Equity of a core in the index, scaled by exposure, and up to `slots` satellites.
+
+    A satellite leaves `stop` mean ranges under its entry or `trail` under its highest high since. One state
+    over all tickers: the walk over sessions is one group of as many rows as the universe has bars.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["session", "score", "ticker"], ascending=[True, False, True])
+        index, before, cash, held, rows = core, None, 1.0 - core, {}, []
+        for k, (session, day) in enumerate(pdf.groupby("session", sort=True)):
+            m, exposure = day["m_close"].iloc[0], day["exposure"].iloc[0]
+            if before and pd.notna(m):
+                index *= 1 + exposure * (m / before - 1)
+            before = m if pd.notna(m) else before
+            bars = {r.ticker: r for r in day.itertuples()}
+            for t in list(held):
+                r = bars.get(t)
+                if r is None:
+                    continue
+                entry, size, top, span = held[t]
+                top = max(top, r.high)
+                if r.close <= max(entry - stop * span, top - trail * span):
+                    cash += size * r.close / entry
+                    del held[t]
+                else:
+                    held[t] = (entry, size, top, span)
+            if k % every == 0:
+                for r in day.itertuples():
+                    if len(held) >= slots:
+                        break
+                    if r.ticker not in held and cash > 0 and exposure >= 0.5:
+                        size = cash / (slots - len(held))
+                        held[r.ticker] = (r.close, size, r.high, r.atr20)
+                        cash -= size
+            value = index + cash + sum(size * (bars[t].close if t in bars else entry) / entry for t, (entry, size, _, _) in held.items())
+            rows.append((session, value, len(held)))
+        return pd.DataFrame(rows, columns=["session", "equity", "positions"])
+
+    return signals.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(lambda pdf: run(pdf), "session date, equity double, positions long")

@@ -183,6 +183,15 @@ _SCORED = (
     "close > 10 AND close > ema50 AND ema10 > ema20 AND rs > 90 AND dollar_volume_20 > 50000 AND coalesce(off_low > 0.7, true) AND coalesce(off_high > -0.2, true) AS passed FROM x) "
 )
 
+def _luhn(digits: str) -> str:
+    """Whether the text of 14 digits passes the Luhn check: from the right, every second digit doubled."""
+    terms = []
+    for i in range(1, 15):
+        d = f"CAST(substring({digits}, {i}, 1) AS INT)"
+        terms.append(f"CASE WHEN {d} * 2 > 9 THEN {d} * 2 - 9 ELSE {d} * 2 END" if i % 2 else d)
+    return "(" + " + ".join(terms) + ") % 10 = 0"
+
+
 #: Monthly series by order priority with a first release after 15 days and a revision after 60; replay dates and what each sees.
 _MACRO = (
     "WITH base AS (SELECT substring(o_orderpriority, 1, 1) AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS obs, avg(o_totalprice) / 10000 AS value FROM $orders GROUP BY substring(o_orderpriority, 1, 1), CAST(date_trunc('month', o_orderdate) AS DATE)), "
@@ -246,6 +255,24 @@ TEXTS |= {
     "g AS (SELECT ticker, island, min(code) AS code, min(session) AS a FROM i GROUP BY ticker, island) SELECT ticker, code, CAST(a AS STRING) AS effective_from, CAST(lead(a) OVER (PARTITION BY ticker ORDER BY a) AS STRING) AS effective_to FROM g",
     "a21b_best_group_by_residual": "WITH m AS (SELECT g.grp, f.session, avg(f.chg_5) AS gc FROM $features f JOIN $groups g ON f.ticker = g.ticker WHERE f.chg_5 < 5 GROUP BY g.grp, f.session), c AS (SELECT f.ticker, m.grp, covar_pop(f.chg_5 - f.m_chg_5, m.gc - f.m_chg_5) / nullif(stddev_pop(f.chg_5 - f.m_chg_5) * stddev_pop(m.gc - f.m_chg_5), 0) AS r FROM $features f JOIN m ON m.session = f.session WHERE f.chg_5 < 5 AND f.m_chg_5 IS NOT NULL GROUP BY f.ticker, m.grp) "
     "SELECT ticker, grp, round(r, 5) AS r FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY r DESC, grp) AS k FROM c) t WHERE k = 1",
+    "p28_isin_check": "SELECT p_partkey, concat('US', body, tail) AS isin, " + _luhn("concat('3028', body, tail)") + " AS valid FROM (SELECT p_partkey, lpad(CAST((p_partkey * 7919) % 1000000000 AS STRING), 9, '0') AS body, CAST(p_partkey % 10 AS STRING) AS tail FROM $part) t",
+    "p18_rule_prediction": "SELECT ticker, CAST(session AS STRING) AS session, CASE WHEN veto >= 2 THEN 'down' WHEN score >= 70 AND veto = 0 THEN 'up' WHEN score <= 30 THEN 'down' ELSE 'neutral' END AS direction, veto, round(least(0.9D, 0.5D + abs(score - 50) / 100), 6) AS probability FROM (SELECT ticker, session, CASE WHEN distribution THEN 1 ELSE 0 END + CASE WHEN failed_breakout THEN 1 ELSE 0 END + CASE WHEN close < sma50 THEN 1 ELSE 0 END AS veto, CASE WHEN close > sma20 THEN 25D ELSE 0D END + CASE WHEN sma20 > sma50 THEN 25D ELSE 0D END + CASE WHEN rel_20 > 0 THEN 25D ELSE 0D END + CASE WHEN vr > 1 AND ret > 0 THEN 25D ELSE 0D END AS score FROM $features WHERE sma50 IS NOT NULL) t",
+    "s04_last_n_by_row_number": "SELECT ticker, CAST(session AS STRING) AS session, k FROM (SELECT ticker, session, row_number() OVER (PARTITION BY ticker ORDER BY session DESC) AS k FROM $bars WHERE ticker IN ('Brand#1', 'Brand#2', 'Brand#3')) t WHERE k <= 30",
+    "s05_latest_segment": "SELECT o_custkey, o_orderkey, CAST(segment AS BIGINT) AS segment FROM (SELECT *, max(segment) OVER (PARTITION BY o_custkey) AS top FROM (SELECT o_custkey, o_orderkey, sum(new) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS segment FROM (SELECT o_custkey, o_orderkey, o_orderdate, CASE WHEN datediff(CAST(o_orderdate AS DATE), lag(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) > 180 THEN 1 ELSE 0 END AS new FROM $orders) t) u) v WHERE segment = top",
+    "s01_one_ticker_history": "SELECT ticker, CAST(session AS STRING) AS session, round(close, 8) AS close FROM $bars WHERE ticker = 'Brand#7' AND session BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'",
+    "t04_prune_oldest": "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM $orders) t WHERE k > 5",
+    "t05_argmax_tuple": "SELECT ticker, CAST(session AS STRING) AS session FROM (SELECT ticker, session, row_number() OVER (PARTITION BY ticker ORDER BY distribution_20 DESC, volume DESC, session DESC) AS k FROM $features WHERE distribution_20 IS NOT NULL) t WHERE k = 1",
+    "u05_pool_with_limits": "SELECT ticker, source FROM (SELECT ticker, source, row_number() OVER (ORDER BY pri, rnk, ticker) AS place FROM (SELECT ticker, source, pri, rnk, row_number() OVER (PARTITION BY ticker ORDER BY pri, rnk) AS seen FROM (SELECT 'Brand#1' AS ticker, 'fixed' AS source, 0 AS pri, 1 AS rnk UNION ALL SELECT ticker, 'peer', 1, rnk FROM (SELECT ticker, row_number() OVER (ORDER BY ticker) AS rnk FROM $groups WHERE grp = '1') p WHERE rnk <= 16 UNION ALL SELECT ticker, 'candidate', 2, rnk FROM (SELECT ticker, row_number() OVER (ORDER BY mean_v DESC, ticker) AS rnk FROM (SELECT ticker, avg(volume) AS mean_v FROM $bars GROUP BY ticker) m) c WHERE rnk <= 10) a) b WHERE seen = 1) d WHERE place <= 30",
+    "u06_pool_overlay": "SELECT coalesce(a.ticker, b.ticker) AS ticker, coalesce(b.state, 'included') AS state FROM (SELECT ticker FROM $groups WHERE grp = '2') a FULL OUTER JOIN (SELECT 'Brand#20' AS ticker, 'excluded' AS state UNION ALL SELECT 'Brand#9', 'added') b ON a.ticker = b.ticker",
+    "w25_feature_frame": "SELECT ticker, CAST(session AS STRING) AS session, round(chg_5, 5) AS chg_5, round(chg_20, 5) AS chg_20, round(chg_60, 5) AS chg_60, round(vr, 6) AS vr, round(cl, 6) AS cl, round(uw, 6) AS uw, round(lw, 6) AS lw, round(sv, 6) AS sv, round(vol_63, 5) AS vol_63, round(off_high, 6) AS off_high, round(rel_5, 5) AS rel_5, round(rel_20, 5) AS rel_20, round(ext_ma20, 4) AS ext_ma20, round(atr20 / nullif(close, 0), 5) AS range_share, round(m_chg_5, 5) AS m_chg_5, round(m_chg_20, 5) AS m_chg_20 FROM $features",
+    "w26_market_context": "SELECT CAST(session AS STRING) AS session, n, round(100 * (0.4D * above + 0.3D * rising + 0.3D * (1 - dist)), 5) AS opportunity, round(100 * (0.5D * (1 - above) + 0.5D * dist), 5) AS risk FROM (SELECT session, count(*) AS n, avg(CASE WHEN close > sma50 THEN 1D ELSE 0D END) AS above, avg(CASE WHEN chg_20 > 0 THEN 1D ELSE 0D END) AS rising, avg(CASE WHEN distribution THEN 1D ELSE 0D END) AS dist FROM $features WHERE sma50 IS NOT NULL GROUP BY session HAVING count(*) >= 5) t",
+    "m08_boundary_grid": "SELECT cut / 10D AS cut, n, round(hit, 6) AS hit, row_number() OVER (ORDER BY hit DESC, cut) AS place FROM (SELECT g.cut, count(*) AS n, avg(CASE WHEN f.tail_down THEN 1D ELSE 0D END) AS hit FROM $features f JOIN (SELECT 10 AS cut UNION ALL SELECT 12 UNION ALL SELECT 15 UNION ALL SELECT 18 UNION ALL SELECT 20 UNION ALL SELECT 25) g ON f.vr >= g.cut / 10D WHERE f.tail_down IS NOT NULL GROUP BY g.cut) t",
+    "m11_frozen_linear_scores": "SELECT ticker, CAST(session AS STRING) AS session, round(0.1D + 0.5D * coalesce(vr, 1D) - 0.2D * coalesce(cl, 0D) + 0.3D * coalesce(least(rel_20, 5D), 0D), 5) AS score FROM $features",
+    "m12_evaluation_contract": "SELECT fold, n, round(coverage, 6) AS coverage, round(rate - base, 6) AS lift, CASE WHEN n < 50 THEN 'insufficient' WHEN rate > base THEN 'supported' ELSE 'not_supported' END AS evidence_status FROM (SELECT year(session) AS fold, count(*) AS n, avg(CASE WHEN vr IS NOT NULL THEN 1D ELSE 0D END) AS coverage, avg(CASE WHEN distribution THEN CASE WHEN tail_down THEN 1D ELSE 0D END END) AS rate, avg(CASE WHEN tail_down THEN 1D ELSE 0D END) AS base FROM $features WHERE tail_down IS NOT NULL GROUP BY year(session)) t WHERE rate IS NOT NULL",
+    "m16_paired_evidence": "SELECT grp, n, round((ma - mb) / nullif(sqrt((va + vb) / 2), 0), 5) AS standardised_difference FROM (SELECT g.grp, count(*) AS n, avg(CASE WHEN f.tail_down THEN f.vr END) AS ma, avg(CASE WHEN NOT f.tail_down THEN f.vr END) AS mb, var_samp(CASE WHEN f.tail_down THEN f.vr END) AS va, var_samp(CASE WHEN NOT f.tail_down THEN f.vr END) AS vb FROM $features f JOIN $groups g ON f.ticker = g.ticker WHERE f.tail_down IS NOT NULL AND f.vr IS NOT NULL GROUP BY g.grp) t",
+    "g03_period_returns": "SELECT id, ticker, n, round(last / first - 1, 5) AS total_return FROM (SELECT p.id, b.ticker, count(*) AS n, max(CASE WHEN b.session = e.a THEN b.close END) AS first, max(CASE WHEN b.session = e.z THEN b.close END) AS last FROM (SELECT 1 AS id, DATE '1995-06-01' AS a, DATE '1996-06-01' AS z UNION ALL SELECT 2, DATE '1997-01-01', DATE '1999-01-01') p JOIN $bars b ON b.session >= p.a AND b.session < p.z JOIN (SELECT q.id, c.ticker, min(c.session) AS a, max(c.session) AS z FROM (SELECT 1 AS id, DATE '1995-06-01' AS a, DATE '1996-06-01' AS z UNION ALL SELECT 2, DATE '1997-01-01', DATE '1999-01-01') q JOIN $bars c ON c.session >= q.a AND c.session < q.z GROUP BY q.id, c.ticker) e ON e.id = p.id AND e.ticker = b.ticker GROUP BY p.id, b.ticker) t",
+    "g04_group_context": "SELECT g.grp, CAST(f.session AS STRING) AS session, count(*) AS members, round(avg(f.chg_20), 4) AS mean_chg_20, round(avg(CASE WHEN f.close > f.sma50 THEN 1D ELSE 0D END), 6) AS breadth FROM $features f JOIN $groups g ON f.ticker = g.ticker WHERE f.sma50 IS NOT NULL AND f.chg_20 IS NOT NULL GROUP BY g.grp, f.session",
+    "g06_risk_comparison": "SELECT fold, round(tp / nullif(tp + fp, 0), 6) AS precision_, round(tp / nullif(tp + fn, 0), 6) AS recall_ FROM (SELECT year(session) AS fold, sum(CASE WHEN climax AND tail_down THEN 1D ELSE 0D END) AS tp, sum(CASE WHEN climax AND NOT tail_down THEN 1D ELSE 0D END) AS fp, sum(CASE WHEN NOT climax AND tail_down THEN 1D ELSE 0D END) AS fn FROM (SELECT session, tail_down, coalesce(chg_15 >= 0.25 AND vr >= 1.5, false) AS climax FROM $features WHERE tail_down IS NOT NULL) t GROUP BY year(session)) u",
 }
 
 

@@ -9,6 +9,7 @@ from tidemark.operators import asof, models, patterns, state
 from tidemark.operators import layers as L
 from tidemark.plans import layered, relational
 from tidemark.sources import bars as B
+from tidemark.sources import storage
 from tidemark.streaming import trades as T
 
 Q = relational.duck_sql
@@ -272,7 +273,70 @@ M04_SQL = Q(
 )
 
 
+def k01_upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers upserted by a batch of changed ones."""
+    old = B.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    new = old.where("c_custkey % 7 = 0").select((F.col("c_custkey") + F.when(F.col("c_custkey") % 2 == 0, 0).otherwise(10_000_000)).alias("c_custkey"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    return storage.merged(old, new, ["c_custkey"]).select("c_custkey", F.round("c_acctbal", 4).alias("c_acctbal"))
+
+
+K01_SQL = "WITH n AS (SELECT c_custkey + CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 10000000 END AS c_custkey, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 7 = 0) SELECT c_custkey, round(c_acctbal, 4) AS c_acctbal FROM n UNION ALL SELECT c_custkey, round(c_acctbal, 4) FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM n)"
+
+
+def k02_idempotent_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two overlapping batches of events in one table."""
+    e = B.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return storage.appended(e.where("event_id % 3 <> 0"), e.where("event_id % 2 = 0"), ["event_id"])
+
+
+K02_SQL = "SELECT event_id, user_id, event_type FROM events WHERE event_id % 3 <> 0 OR event_id % 2 = 0"
+
+
+def m05_logistic_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balanced logistic probabilities for sessions from 2000 on, from labels that ended before."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    f = _features(spark, sf_dir).where("tail_down IS NOT NULL AND vr IS NOT NULL AND cl IS NOT NULL AND rel_20 IS NOT NULL")
+    f = f.select("ticker", "session", "label_end", F.col("tail_down").cast("double").alias("label"), "vr", "cl", F.least("rel_20", F.lit(5.0)).alias("rel_20"))
+    f = VectorAssembler(inputCols=["vr", "cl", "rel_20"], outputCol="features").transform(f)
+    past = f.where("label_end < DATE '2000-01-01'")
+    share = past.agg(F.avg("label")).first()[0]
+    if share is None or share in (0.0, 1.0):
+        return f.limit(0).select("ticker", F.col("session").cast("string").alias("session"), F.lit(0.0).alias("p"))
+    weighted = past.withColumn("w", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
+    model = LogisticRegression(weightCol="w", regParam=0.01, maxIter=50).fit(weighted)
+    return model.transform(f.where("session >= DATE '2000-01-01'")).select("ticker", F.col("session").cast("string").alias("session"), F.round(vector_to_array("probability")[1], 4).alias("p"))
+
+
+def m06_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees for the forward return of sessions from 2000 on, from labels that ended before."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    f = _features(spark, sf_dir).where("fwd IS NOT NULL AND vr IS NOT NULL AND cl IS NOT NULL AND rel_20 IS NOT NULL")
+    f = f.select("ticker", "session", "label_end", F.least("fwd", F.lit(1.0)).alias("label"), "vr", "cl", F.least("rel_20", F.lit(5.0)).alias("rel_20"))
+    f = VectorAssembler(inputCols=["vr", "cl", "rel_20"], outputCol="features").transform(f)
+    past = f.where("label_end < DATE '2000-01-01'")
+    if past.isEmpty():
+        return f.limit(0).select("ticker", F.col("session").cast("string").alias("session"), F.lit(0.0).alias("predicted"))
+    model = GBTRegressor(maxIter=10, maxDepth=3, seed=7).fit(past)
+    return model.transform(f.where("session >= DATE '2000-01-01'")).select("ticker", F.col("session").cast("string").alias("session"), F.round("prediction", 4).alias("predicted"))
+
+
+def x19_core_satellite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A core in the index, sized by its trend, and satellites with stops by mean range."""
+    f = _features(spark, sf_dir).where("mom_63 IS NOT NULL AND atr20 IS NOT NULL").select("ticker", "session", "close", "high", "m_close", F.col("mom_63").alias("score"), "atr20", F.when(F.col("m_chg_20") > 0, 1.0).otherwise(0.2).alias("exposure"))
+    return state.core_satellite(f).selectExpr("CAST(session AS STRING) AS session", "round(equity, 6) AS equity", "positions")
+
+
 QUERIES = {
+    "k01_upsert_last_wins": k01_upsert_last_wins,
+    "k02_idempotent_append": k02_idempotent_append,
+    "m05_logistic_walk_forward": m05_logistic_walk_forward,
+    "m06_boosted_trees": m06_boosted_trees,
+    "x19_core_satellite": x19_core_satellite,
     "x06_contractions": x06_contractions,
     "x11_zones": x11_zones,
     "x14_bottom_state": x14_bottom_state,
@@ -300,6 +364,8 @@ QUERIES = {
     "a30_block_bootstrap": a30_block_bootstrap,
 }
 ORACLE_SQL = {
+    "k01_upsert_last_wins": K01_SQL,
+    "k02_idempotent_append": K02_SQL,
     "x11_zones": X11_SQL,
     "p31_us_sessions": P31_SQL,
     "r01_normalised_messages": R01_SQL,
