@@ -194,3 +194,63 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 10
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_contraction_and_reasons(spark):
+    from tidemark.operators import patterns
+
+    rise = np.linspace(50, 100, 140)
+    base = np.concatenate([rise, np.linspace(100, 82, 10), np.linspace(82, 98, 10), np.linspace(98, 88, 8), np.linspace(88, 97, 8), np.linspace(97, 93, 5), np.linspace(93, 96.5, 5)])
+    got = patterns.contraction(base * 1.001, base * 0.999, base, np.full(len(base), 1e6), 0.03)
+    assert got["stage"] in ("near_pivot", "forming") and got["n_legs"] >= 2 and got["first_depth"] > got["last_depth"]
+    assert patterns.contraction(base[:50], base[:50], base[:50], base[:50], 0.03)["stage"] == "insufficient_history"
+    assert patterns.contraction(base[::-1], base[::-1], base[::-1], base, 0.03)["stage"] == "below_ma50"
+    rows = spark.createDataFrame(history(len(base), base).assign(atr20=1.0))
+    out = patterns.contractions(rows, 50).orderBy("session").collect()
+    assert len(out) == len(range(50, len(base) + 1, 50)) + (len(base) % 50 > 0) and out[-1].stage == got["stage"]
+
+
+def test_support_touch_outcomes(spark):
+    from tidemark.operators import patterns
+
+    close = np.array([10.0, 10, 9.9, 10.5, 10.6, 10.7, 10.8, 10.9, 11, 11, 9.2, 9, 9, 9, 9, 9, 9])
+    low = close.copy()
+    low[2], low[10] = 9.4, 9.0
+    pdf = history(len(close), close, open=close, low=low).assign(support=9.5)
+    got = [(r.kind, r.outcome) for r in patterns.support_touches(spark.createDataFrame(pdf)).orderBy("session").collect()]
+    assert got == [("intersection", "accepted"), ("gap_through", "failed")]
+
+
+def test_bottom_state_holds_and_breaks(spark):
+    from tidemark.operators import patterns
+
+    n = 16
+    close = np.full(n, 10.0)
+    close[-1] = 8.0
+    pdf = history(n, close, low=close).assign(location=0.0, exhaustion=0.0, demand=0.0, structure=0.0)
+    pdf.loc[2, ["location", "exhaustion", "demand", "structure"]] = [15, 10, 20, 15]
+    pdf.loc[0, "location"] = np.nan
+    got = [r.state for r in patterns.bottom_states(spark.createDataFrame(pdf)).orderBy("session").collect()]
+    assert got[0] == "unavailable" and got[1] == "none" and got[2:13] == ["confirmed"] * 11 and got[-1] == "none"
+
+
+def test_lifecycle_ids_do_not_depend_on_later_rows(spark):
+    n = 30
+    close = np.full(n, 10.0)
+    close[20] = 12.0
+    pdf = history(n, close).assign(tight_platform=[i == 10 for i in range(n)], top=11.0, bottom=9.0)
+    whole = state.lifecycle(spark.createDataFrame(pdf)).orderBy("session").collect()
+    assert [r.stage for r in whole] == ["opened", "breakout"]
+    part = state.lifecycle(spark.createDataFrame(pdf.iloc[:15])).collect()
+    assert part[0].event == whole[0].event
+
+
+def test_portfolios_keep_their_cash(spark):
+    n = 40
+    up, down = history(n, 100 * 1.01 ** np.arange(n), "UP"), history(n, 100 * 0.97 ** np.arange(n), "DOWN")
+    pdf = pd.concat([up.assign(score=2.0), down.assign(score=1.0)])
+    out = state.backtest(spark.createDataFrame(pdf), slots=1).orderBy("session").collect()
+    assert out[0].equity == pytest.approx(1.0) and out[-1].equity > 1.2 and max(r.positions for r in out) == 1
+    pdf = pdf.assign(m_close=100.0, exposure=1.0, atr20=2.0)
+    out = state.core_satellite(spark.createDataFrame(pdf), slots=2).orderBy("session").collect()
+    assert out[0].equity == pytest.approx(1.0) and all(r.equity > 0.5 for r in out)
