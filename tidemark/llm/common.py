@@ -53,7 +53,7 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def in_order(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+def in_order(df: DataFrame, keys: list[str], label: str, compression: str = "snappy") -> DataFrame:
     """Sorts over all partitions and keeps each row's place as columns: part, row (from 0 in its part).
 
     Rows with equal keys are salted in the range exchange, so that a key with a third of all
@@ -68,7 +68,7 @@ def in_order(df: DataFrame, keys: list[str], label: str) -> DataFrame:
         .withColumn("part", F.spark_partition_id())
         .withColumn("row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )
-    return materialize(placed, label)
+    return materialize(placed, label, compression)
 
 
 def empty_like(spark: SparkSession, schema: T.StructType) -> DataFrame:

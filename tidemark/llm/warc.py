@@ -29,29 +29,42 @@ def record(url: Column, page_id: Column, body: Column) -> Column:
     return F.concat(head, F.coalesce(body, F.lit("")), F.lit("\r\n\r\n"))
 
 
-def archive(pages: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
-    """page_id, file, place (in the file, from 0), offset (in bytes), size and content of each record, in order of page_id.
+def placed(pages: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
+    """page_id, file, place (in the file, from 0), size and content of each page's record, in order of page_id.
 
     Null columns count as empty (a null page_id comes first and is named `none`). Rows that repeat a
-    page_id follow each other by their content. Offsets add up inside a file, which is bounded.
+    page_id follow each other by their content.
     """
     text = record(F.col("url"), F.col("page_id"), F.col("html"))
     rows = pages.select("page_id", text.alias("content")).withColumn("size", F.octet_length("content").cast("long"))
-    ordered = in_order(rows.withColumn("tie", F.xxhash64("content")), ["page_id", "tie"], "records")
+    ordered = in_order(rows.withColumn("tie", F.xxhash64("content")), ["page_id", "tie"], "records", "zstd")
     # One row for each range partition.
     parts = ordered.groupBy("part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select("part", before.alias("base"))
-    placed = ordered.join(F.broadcast(parts), "part").withColumn("number", F.col("base") + F.col("row"))
-    placed = placed.select("page_id", F.expr(f"number div {file_records}").alias("file"), (F.col("number") % file_records).alias("place"), "size", "content")
+    out = ordered.join(F.broadcast(parts), "part").withColumn("number", F.col("base") + F.col("row"))
+    return out.select("page_id", F.expr(f"number div {file_records}").alias("file"), (F.col("number") % file_records).alias("place"), "size", "content")
+
+
+def with_offsets(rows: DataFrame) -> DataFrame:
+    """rows with offset, the bytes of their file before them; a window holds one file, which is bounded."""
     inside = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.select("page_id", "file", "place", F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("offset"), "size", "content")
+    return rows.withColumn("offset", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+
+
+def archive(pages: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
+    """placed() with offsets: what a writer of the files needs."""
+    return with_offsets(placed(pages, file_records)).select("page_id", "file", "place", "offset", "size", "content")
 
 
-def leaves(records: DataFrame) -> DataFrame:
-    """file, place, offset, size and the leaf's hash: over the record's own hash and its range."""
-    own = F.sha2(F.concat_ws("|", F.lit("leaf"), F.col("offset").cast("string"), F.col("size").cast("string"), F.sha2(F.col("content").cast("binary"), 256)), 256)
-    return records.select("file", "place", "offset", "size", own.alias("hash"))
+def digest(content: Column) -> Column:
+    return F.sha2(content.cast("binary"), 256)
+
+
+def leaves(records: DataFrame, own: Column | None = None) -> DataFrame:
+    """file, place, offset, size and the leaf's hash: over the record's own hash (of content by default) and its range."""
+    leaf = F.sha2(F.concat_ws("|", F.lit("leaf"), F.col("offset").cast("string"), F.col("size").cast("string"), digest(F.col("content")) if own is None else own), 256)
+    return records.select("file", "place", "offset", "size", leaf.alias("hash"))
 
 
 def tree(leaf_rows: DataFrame, levels: int) -> DataFrame:
@@ -94,28 +107,28 @@ def audit(one: DataFrame, two: DataFrame, levels: int) -> DataFrame:
     return suspects.select("file", "place", status.alias("status"))
 
 
-def damaged(records: DataFrame) -> DataFrame:
-    """A replica with faults for drills: of each 97 records one begins with another byte, and full files of an odd number lack their last."""
-    marked = records.where(~((F.col("file") % 2 == 1) & (F.col("place") == FILE_RECORDS - 1)))
+def drill(content: Column) -> Column:
+    """What a replica with faults for drills has: of each 97 records one begins with another byte, full files of an odd number lack their last (null)."""
     hit = F.crc32(F.concat_ws("|", F.col("file").cast("string"), F.col("place").cast("string"))) % 97 == 13
-    return marked.withColumn("content", F.when(hit, F.concat(F.lit("X"), F.expr("substring(content, 2)"))).otherwise(F.col("content")))
+    lost = (F.col("file") % 2 == 1) & (F.col("place") == FILE_RECORDS - 1)
+    return F.when(~lost, F.when(hit, F.concat(F.lit("X"), F.expr("substring(content, 2)"))).otherwise(content))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's record in the first replica, with what the audit of a damaged second replica says of it."""
+    """Every page's record in the first replica, with what the audit of a damaged second replica says of it.
+
+    Both replicas' records are hashed where their bytes lie; only hashes and ranges go on to the trees.
+    """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    records = materialize(archive(pages), "archive", "zstd")
+    hashed = placed(pages).select("page_id", "file", "place", "size", digest(F.col("content")).alias("a"), digest(drill(F.col("content"))).alias("b"))
+    records = materialize(with_offsets(hashed), "archive")
     levels = height(FILE_RECORDS)
-    first = leaves(records)
-    one, two = materialize(tree(first, levels), "tree"), materialize(tree(leaves(damaged(records)), levels), "tree")
+    one = materialize(tree(leaves(records, F.col("a")), levels), "tree")
+    two = materialize(tree(leaves(records.where("b IS NOT NULL"), F.col("b")), levels), "tree")
     found = audit(one, two, levels)
     rows = records.select("page_id", "file", "place", "offset", "size").join(one.where("level = 0").select("file", "place", F.col("hash").alias("leaf")), ["file", "place"])
     roots = one.where(F.col("level") == levels).select("file", F.col("hash").alias("file_root"))
-    return (
-        rows.join(found, ["file", "place"], "left")
-        .join(roots, "file")
-        .select("page_id", "file", "place", "offset", "size", F.lower("leaf").alias("leaf"), F.coalesce("status", F.lit("intact")).alias("status"), "file_root")
-    )
+    return rows.join(found, ["file", "place"], "left").join(roots, "file").select("page_id", "file", "place", "offset", "size", "leaf", F.coalesce("status", F.lit("intact")).alias("status"), "file_root")
 
 
 OP4_SQL = f"""
