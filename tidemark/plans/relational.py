@@ -88,6 +88,19 @@ def duck_sql(text: str) -> str:
     return f"WITH {', '.join(ctes)} {rest}"
 
 
+def _numbers(first: int, last: int) -> str:
+    """A constant table of one column n."""
+    return " UNION ALL ".join(f"SELECT {i} AS n" for i in range(first, last + 1))
+
+
+def _near(days: int) -> tuple[str, str, str]:
+    """Band joins by date as equi-joins: a bucket of each event, the three around each control, and the exact test."""
+    bucket = lambda a: f"CAST(floor(datediff({a}.session, DATE '1970-01-01') / {days + 1}) AS BIGINT)"
+    return bucket("e"), f"(SELECT c.*, {bucket('c')} + k.n AS near FROM c JOIN ({_numbers(-1, 1)}) k ON k.n IS NOT NULL)", f"abs(datediff(c.session, e.session)) <= {days}"
+
+
+NEAR_60, NEAR_63, NEAR_120 = _near(60), _near(63), _near(120)
+
 TEXTS: dict[str, str] = {
     "j01_calendar_intersection": "SELECT CAST(b.session AS STRING) AS session, count(*) AS n FROM $bars b JOIN $market m ON b.session = m.session GROUP BY b.session",
     "j05_interval_join": "SELECT b.ticker, CAST(b.session AS STRING) AS session, CAST(m.version AS DOUBLE) AS version FROM $bars b LEFT JOIN $members m ON b.ticker = m.ticker AND m.effective_from <= b.session AND (m.effective_to IS NULL OR b.session < m.effective_to)",
@@ -98,12 +111,12 @@ TEXTS: dict[str, str] = {
     "j10_one_to_one_check": "SELECT ticker, CAST(session AS STRING) AS session, count(*) AS n FROM $bars GROUP BY ticker, session HAVING count(*) > 1",
     "j11_paired_with_baseline": "SELECT a.ticker, a.y AS year, round(a.m - b.m, 6) AS excess FROM (SELECT ticker, year(session) AS y, avg(ret) AS m FROM $features WHERE ret < 5 GROUP BY ticker, year(session)) a JOIN (SELECT year(session) AS y, avg(m_chg_5) AS m FROM $features GROUP BY year(session)) b ON a.y = b.y",
     "j12_nearest_control": "WITH e AS (SELECT ticker, session, off_high FROM $features WHERE pocket_pivot AND off_high IS NOT NULL), c AS (SELECT ticker, session, off_high FROM $features WHERE NOT pocket_pivot AND off_high IS NOT NULL), "
-    "p AS (SELECT e.ticker, e.session, c.session AS control, row_number() OVER (PARTITION BY e.ticker, e.session ORDER BY round(abs(e.off_high - c.off_high), 9), abs(datediff(c.session, e.session)), c.session) AS k FROM e JOIN c ON e.ticker = c.ticker AND abs(datediff(c.session, e.session)) <= 60) "
+    "p AS (SELECT e.ticker, e.session, c.session AS control, row_number() OVER (PARTITION BY e.ticker, e.session ORDER BY round(abs(e.off_high - c.off_high), 9), abs(datediff(c.session, e.session)), c.session) AS k FROM (SELECT e.*, " + NEAR_60[0] + " AS near FROM e) e JOIN " + NEAR_60[1] + " c ON e.ticker = c.ticker AND e.near = c.near AND " + NEAR_60[2] + ") "
     "SELECT ticker, CAST(session AS STRING) AS session, CAST(control AS STRING) AS control FROM p WHERE k = 1",
     "j13_sampled_controls": "WITH e AS (SELECT ticker, session FROM $features WHERE pivot_breakout), c AS (SELECT ticker, session FROM $features WHERE NOT pivot_breakout), "
-    "p AS (SELECT e.ticker, e.session, c.session AS control, row_number() OVER (PARTITION BY e.ticker, e.session ORDER BY md5(concat(e.ticker, '|', CAST(e.session AS STRING), '|', CAST(c.session AS STRING)))) AS k FROM e JOIN c ON e.ticker = c.ticker AND abs(datediff(c.session, e.session)) <= 120) "
+    "p AS (SELECT e.ticker, e.session, c.session AS control, row_number() OVER (PARTITION BY e.ticker, e.session ORDER BY md5(concat(e.ticker, '|', CAST(e.session AS STRING), '|', CAST(c.session AS STRING)))) AS k FROM (SELECT e.*, " + NEAR_120[0] + " AS near FROM e) e JOIN " + NEAR_120[1] + " c ON e.ticker = c.ticker AND e.near = c.near AND " + NEAR_120[2] + ") "
     "SELECT ticker, CAST(session AS STRING) AS session, CAST(control AS STRING) AS control, k FROM p WHERE k <= 5",
-    "j18_next_session": "SELECT o.o_orderkey, CAST(min(m.session) AS STRING) AS next_session FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM $orders WHERE o_orderkey % 10 = o_custkey % 10) o JOIN (SELECT DISTINCT session FROM $market) m ON m.session > o.d AND m.session <= date_add(o.d, 7) GROUP BY o.o_orderkey",
+    "j18_next_session": "SELECT o.o_orderkey, CAST(min(m.session) AS STRING) AS next_session FROM (SELECT t.o_orderkey, date_add(t.d, k.n) AS day FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM $orders) t JOIN (" + _numbers(1, 7) + ") k ON k.n IS NOT NULL) o JOIN (SELECT DISTINCT session FROM $market) m ON m.session = o.day GROUP BY o.o_orderkey",
     "j19_group_members": "SELECT g.grp, b.ticker, count(*) AS n FROM $groups g JOIN $bars b ON g.ticker = b.ticker GROUP BY g.grp, b.ticker",
     "j20_metrics_inside_membership": "WITH x AS (SELECT b.ticker, b.session, b.close, m.version FROM $bars b JOIN $members m ON b.ticker = m.ticker AND m.effective_from <= b.session AND (m.effective_to IS NULL OR b.session < m.effective_to)) "
     "SELECT ticker, CAST(session AS STRING) AS session, version, round(CASE WHEN count(close) OVER (PARTITION BY ticker, version ORDER BY session ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) = 10 THEN avg(close) OVER (PARTITION BY ticker, version ORDER BY session ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) END, 5) AS sma10 FROM x",
@@ -157,7 +170,8 @@ TEXTS: dict[str, str] = {
     "SELECT phase, round(avg(ic), 6) AS ic FROM (SELECT session, phase, covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) AS ic FROM r GROUP BY session, phase HAVING count(*) >= 5) t GROUP BY phase",
     "w39_calendar_change": "SELECT ticker, CAST(session AS STRING) AS session, round(close / nullif(last_value(close) OVER (PARTITION BY ticker ORDER BY d RANGE BETWEEN UNBOUNDED PRECEDING AND 20 PRECEDING), 0) - 1, 5) AS chg FROM (SELECT ticker, session, close, datediff(session, DATE '1970-01-01') AS d FROM $days) t",
     "w46_technical_label": "SELECT ticker, CAST(session AS STRING) AS session, CASE WHEN sma200 IS NULL THEN 'unavailable' WHEN close > sma20 AND sma20 > sma50 AND sma50 > sma200 THEN 'strong' WHEN close > sma50 THEN 'constructive' WHEN close > sma200 THEN 'weakening' ELSE 'weak' END AS label FROM $features",
-    "x10_distribution_with_removal": "WITH d AS (SELECT ticker, session, pos, close, distribution FROM $features), j AS (SELECT i.ticker, i.session, e.pos AS at, max(m.close) AS top, max(e.close) AS base FROM d i JOIN d e ON e.ticker = i.ticker AND e.pos <= i.pos AND i.pos - e.pos < 25 AND e.distribution LEFT JOIN d m ON m.ticker = i.ticker AND m.pos > e.pos AND m.pos <= i.pos GROUP BY i.ticker, i.session, e.pos) "
+    "x10_distribution_with_removal": "WITH d AS (SELECT ticker, session, pos, close, distribution FROM $features), e AS (SELECT d.ticker, d.pos, d.close AS base, d.pos + k.n AS at FROM d JOIN (" + _numbers(0, 24) + ") k ON k.n IS NOT NULL WHERE d.distribution), "
+    "j AS (SELECT e.ticker, i.session, e.base, max(CASE WHEN i.pos > e.pos THEN i.close END) OVER (PARTITION BY e.ticker, e.pos ORDER BY i.pos ROWS UNBOUNDED PRECEDING) AS top FROM e JOIN d i ON i.ticker = e.ticker AND i.pos = e.at) "
     "SELECT ticker, CAST(session AS STRING) AS session, count(*) AS active FROM j WHERE top IS NULL OR top < 1.05D * base GROUP BY ticker, session",
     "x20_islands": "WITH s AS (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderstatus AS code, CASE WHEN lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = o_orderstatus THEN 0 ELSE 1 END AS new FROM $orders), i AS (SELECT o_custkey, d, code, sum(new) OVER (PARTITION BY o_custkey ORDER BY d, o_orderkey ROWS UNBOUNDED PRECEDING) AS island FROM s), "
     "g AS (SELECT o_custkey, island, min(code) AS code, min(d) AS valid_from FROM i GROUP BY o_custkey, island) SELECT o_custkey, code, CAST(valid_from AS STRING) AS valid_from, CAST(lead(valid_from) OVER (PARTITION BY o_custkey ORDER BY island) AS STRING) AS valid_to FROM g",
@@ -248,7 +262,7 @@ TEXTS |= {
     "p21_decision_ladder": "SELECT ticker, CAST(session AS STRING) AS session, CASE WHEN score >= 70 THEN 'immediate' WHEN high_level AND score >= 40 THEN 'confluence' WHEN high_level THEN 'high' WHEN score >= 40 THEN 'watch' ELSE 'none' END AS decision, CASE WHEN score >= 70 THEN 'down' WHEN score >= 40 AND chg_20 > 0 THEN 'neutral' WHEN chg_20 > 0.01 THEN 'up' WHEN chg_20 < -0.01 THEN 'down' ELSE 'neutral' END AS final_direction FROM (SELECT ticker, session, chg_20, coalesce(chg_60 >= 0.20 AND off_high >= -0.15, false) AS high_level, CASE WHEN distribution THEN 25 ELSE 0 END + CASE WHEN close < sma20 THEN 20 ELSE 0 END + CASE WHEN vr >= 1.5 THEN 20 WHEN vr >= 1.2 THEN 12 ELSE 0 END + CASE WHEN cl <= -0.6 THEN 10 ELSE 0 END + CASE WHEN sv <= -1 THEN 10 ELSE 0 END AS score FROM $features) t",
     "g05_risk_context_panel": "SELECT f.ticker, CAST(f.session AS STRING) AS session, greatest(CASE WHEN f.distribution THEN 60D ELSE 0D END, coalesce(g.stress, 0D)) AS risk, g.n FROM $features f LEFT JOIN (SELECT x.grp, y.session, count(*) AS n, 100 * avg(CASE WHEN y.close < y.sma20 THEN 1D ELSE 0D END) AS stress FROM $features y JOIN $groups x ON x.ticker = y.ticker WHERE y.sma20 IS NOT NULL GROUP BY x.grp, y.session HAVING count(*) >= 3) g ON g.session = f.session AND g.grp = substring(f.ticker, 7, 1) WHERE g.n IS NOT NULL",
     "j15_tiered_controls": "WITH e AS (SELECT ticker, session, off_high, vol_63 FROM $features WHERE pivot_breakout AND vol_63 IS NOT NULL AND off_high IS NOT NULL), c AS (SELECT ticker, session, off_high, vol_63 FROM $features WHERE NOT pivot_breakout AND vol_63 IS NOT NULL AND off_high IS NOT NULL), "
-    "p AS (SELECT e.ticker, e.session, c.ticker AS control_ticker, c.session AS control, CASE WHEN c.ticker = e.ticker THEN 1 ELSE 2 END AS tier, row_number() OVER (PARTITION BY e.ticker, e.session ORDER BY CASE WHEN c.ticker = e.ticker THEN 1 ELSE 2 END, abs(datediff(c.session, e.session)), round(abs(e.off_high - c.off_high), 9), c.ticker, c.session) AS k FROM e JOIN c ON substring(c.ticker, 7, 1) = substring(e.ticker, 7, 1) AND abs(datediff(c.session, e.session)) <= 63) "
+    "p AS (SELECT e.ticker, e.session, c.ticker AS control_ticker, c.session AS control, CASE WHEN c.ticker = e.ticker THEN 1 ELSE 2 END AS tier, row_number() OVER (PARTITION BY e.ticker, e.session ORDER BY CASE WHEN c.ticker = e.ticker THEN 1 ELSE 2 END, abs(datediff(c.session, e.session)), round(abs(e.off_high - c.off_high), 9), c.ticker, c.session) AS k FROM (SELECT e.*, " + NEAR_63[0] + " AS near FROM e) e JOIN " + NEAR_63[1] + " c ON substring(c.ticker, 7, 1) = substring(e.ticker, 7, 1) AND e.near = c.near AND " + NEAR_63[2] + ") "
     "SELECT ticker, CAST(session AS STRING) AS session, control_ticker, CAST(control AS STRING) AS control, tier FROM p WHERE k = 1",
     "x23_monthly_reclassification": "SELECT ticker, CAST(effective AS STRING) AS effective, CAST(date_add(effective, 45) AS STRING) AS expires, CASE WHEN b >= 1 THEN 'cyclical' WHEN b >= 0 THEN 'core' ELSE 'defensive' END AS class FROM (SELECT ticker, session, lead(session) OVER (PARTITION BY ticker ORDER BY session) AS effective, beta_63 AS b, row_number() OVER (PARTITION BY ticker, year(session), month(session) ORDER BY session DESC) AS k FROM $features) t WHERE k = 1 AND b IS NOT NULL AND effective IS NOT NULL",
     "x21_assignment_intervals": "WITH s AS (SELECT ticker, session, CASE WHEN beta_63 >= 1 THEN 'cyclical' ELSE 'core' END AS code FROM $features WHERE beta_63 IS NOT NULL), i AS (SELECT ticker, session, code, sum(new) OVER (PARTITION BY ticker ORDER BY session ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN lag(code) OVER (PARTITION BY ticker ORDER BY session) = code THEN 0 ELSE 1 END AS new FROM s) t), "

@@ -276,20 +276,21 @@ M04_SQL = Q(
 def k01_upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers upserted by a batch of changed ones."""
     old = B.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    new = old.where("c_custkey % 7 = 0").select((F.col("c_custkey") + F.when(F.col("c_custkey") % 2 == 0, 0).otherwise(10_000_000)).alias("c_custkey"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    moved = F.when(F.col("c_acctbal") < 0, 10_000_000).otherwise(0)
+    new = old.where("c_acctbal < 1000").select((F.col("c_custkey") + moved).alias("c_custkey"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
     return storage.merged(old, new, ["c_custkey"]).select("c_custkey", F.round("c_acctbal", 4).alias("c_acctbal"))
 
 
-K01_SQL = "WITH n AS (SELECT c_custkey + CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 10000000 END AS c_custkey, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 7 = 0) SELECT c_custkey, round(c_acctbal, 4) AS c_acctbal FROM n UNION ALL SELECT c_custkey, round(c_acctbal, 4) FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM n)"
+K01_SQL = "WITH n AS (SELECT c_custkey + CASE WHEN c_acctbal < 0 THEN 10000000 ELSE 0 END AS c_custkey, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_acctbal < 1000) SELECT c_custkey, round(c_acctbal, 4) AS c_acctbal FROM n UNION ALL SELECT c_custkey, round(c_acctbal, 4) FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM n)"
 
 
 def k02_idempotent_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two overlapping batches of events in one table."""
     e = B.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    return storage.appended(e.where("event_id % 3 <> 0"), e.where("event_id % 2 = 0"), ["event_id"])
+    return storage.appended(e.where("event_type <> 'view'"), e.where("event_type IN ('view', 'click')"), ["event_id"])
 
 
-K02_SQL = "SELECT event_id, user_id, event_type FROM events WHERE event_id % 3 <> 0 OR event_id % 2 = 0"
+K02_SQL = "SELECT event_id, user_id, event_type FROM events"
 
 
 def m05_logistic_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
