@@ -432,3 +432,23 @@ def test_kneser_ney(spark, docs, none, table_rows, monkeypatch):
     assert kneser_ney.keep_likely(docs, labels).columns == docs.columns
     assert kneser_ney.judged(none, labels, ["doc_id"]).count() == 0
     assert kneser_ney.judged(docs, labels.limit(0), ["doc_id"]).where("kept").count() == sum(len(kneser_ney.symbols_of(r.text)) > 0 for r in rows)
+
+
+def test_encoders_agree_with_the_library_on_any_script():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    blocks = [(0x20, 0x7E), (0, 0x20), (0x7F, 0x24F), (0x250, 0x5FF), (0x600, 0x1FFF), (0x2000, 0x2FFF), (0x3000, 0x9FFF), (0xA000, 0xD7FF), (0x10000, 0x1FFFF)]
+    texts = ["".join(chr(rng.randint(*rng.choice([p, q, blocks[0]]))) for _ in range(rng.randint(0, 30))) for p, q in ((rng.choice(blocks), rng.choice(blocks)) for _ in range(800))]
+    texts += ["f(x)=y[1]+a_b-c@d /e/ \"q\" a#b a&b<|endoftext|>c,d x\u2260y =\u0338 \u00e9,\u00e9", "<|STARTOFTEXT|> it's, we'll. \u0130,"]
+    path = bpe_trie.vocabulary("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    trie = bpe_trie.trie(path)
+    assert [list(memoryview(x).cast("I")) if x else [] for x in trie.encode(texts)] == want
+    assert [trie.decode(np.array(x, "<u4").tobytes()) for x in want] == [lib.decode(x, skip_special_tokens=False) for x in want]
+    enc = token_store.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    ids, ends = enc.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)] == [e.ids for e in enc.t.encode_batch(texts, add_special_tokens=False)]
