@@ -33,8 +33,8 @@ SEGMENT_TOKENS = 1 << 18
 STORE_WORDS = 500_000
 #: Text encoded at a time.
 CHUNK_BYTES = 2 << 20
-# A mark behind a plain letter and before white space: the tokenizer's words end there anyway.
-MARKS = r"([a-z\x{e0}-\x{f6}\x{f8}-\x{ff}])([,.;:!?])([ \n])"
+# A mark behind a plain letter: the tokenizer's words end there anyway. Not those of contractions and special tokens.
+MARKS = r"([a-z\x{e0}-\x{f6}\x{f8}-\x{ff}])([,.;:!?#*$%&()\[\]\"/=+@_-])"
 
 SEGMENT = "part int, segment int, n_tokens long, doc_ids array<long>, offsets array<long>, payload binary"
 
@@ -129,7 +129,7 @@ class WordEncoder:
         low = pc.ascii_lower(texts)
         for s in self.special:  # a special token's string counts as it is written only
             low = pc.if_else(pc.match_substring(low, s), texts, low)
-        return pc.ascii_split_whitespace(pc.replace_substring_regex(low, MARKS, r"\1 \2\3"))
+        return pc.ascii_split_whitespace(pc.replace_substring_regex(low, MARKS, r"\1 \2"))
 
     def _ids(self, words: list[str]) -> tuple[list[str], list[np.ndarray], list[np.ndarray]]:
         """The words in another order, their ids one after another, and how many each has, both in parts.
