@@ -149,3 +149,34 @@ def bottom_states(df: DataFrame, memory: int = 10) -> DataFrame:
         return pd.DataFrame({"ticker": pdf["ticker"], "session": pdf["session"], "state": out})
 
     return df.select("ticker", "session", "low", "close", "location", "exhaustion", "demand", "structure").groupBy("ticker").applyInPandas(run, "ticker string, session date, state string")
+
+
+def trendlines(df: DataFrame) -> DataFrame:
+    """The line through the last two confirmed falling highs, breakouts over it, and whether confirmed lows rise.
+
+    A high counts from the session that confirms it. A breakout needs the same two highs on the session before.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("session").reset_index(drop=True)
+        high, low, close = (pdf[c].to_numpy(float) for c in ("high", "low", "close"))
+        marks = pivots(high, low, np.clip(1.5 * pdf["range_share"].to_numpy(float), 0.03, 0.10))
+        by_day: dict[int, list[tuple[int, str]]] = {}
+        for place, confirmed, kind in marks:
+            by_day.setdefault(confirmed, []).append((place, kind))
+        tops, lows, before, rows = [], [], None, []
+        for i in range(len(pdf)):
+            for place, kind in by_day.get(i, ()):
+                (tops if kind == "high" else lows).append(place)
+            line, pair = None, None
+            if len(tops) > 1 and high[tops[-1]] < high[tops[-2]]:
+                a, b = pair = tuple(tops[-2:])
+                line = high[b] + (high[b] - high[a]) / (b - a) * (i - b)
+            crossed = before is not None and line is not None and before[0] == pair and close[i - 1] <= before[1] and close[i] > line
+            rising = bool(len(lows) > 1 and low[lows[-1]] > low[lows[-2]])
+            before = (pair, line) if line is not None else None
+            rows.append((pdf["ticker"][i], pdf["session"][i], line, crossed, rising))
+        return pd.DataFrame(rows, columns=["ticker", "session", "line", "breakout", "higher_low"])
+
+    inner = df.select("ticker", "session", "high", "low", "close", (F.col("atr20") / F.col("close")).alias("range_share"))
+    return inner.groupBy("ticker").applyInPandas(run, "ticker string, session date, line double, breakout boolean, higher_low boolean")

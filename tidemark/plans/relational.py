@@ -206,6 +206,13 @@ def _luhn(digits: str) -> str:
     return "(" + " + ".join(terms) + ") % 10 = 0"
 
 
+#: Demand sessions remembered for 120 sessions with a half-life of 40, until a close falls three percent under their low.
+_DEMAND = (
+    "WITH d AS (SELECT ticker, session, pos, close, low, cl, vr FROM $features), e AS (SELECT d.ticker, d.pos, d.low AS level, d.pos + k.n AS at, k.n AS age FROM d JOIN (" + _numbers(1, 120) + ") k ON k.n IS NOT NULL WHERE d.vr >= 1.2 AND d.cl >= 0.4), "
+    "j AS (SELECT e.ticker, e.level, e.age, i.session, i.close, min(i.close) OVER (PARTITION BY e.ticker, e.pos ORDER BY i.pos ROWS UNBOUNDED PRECEDING) AS worst FROM e JOIN d i ON i.ticker = e.ticker AND i.pos = e.at), "
+    "r AS (SELECT ticker, session, count(*) AS n, sum(power(0.5D, age / 40D)) AS strength, max(CASE WHEN level <= close THEN level END) AS nearest FROM j WHERE worst >= 0.97D * level GROUP BY ticker, session) "
+)
+
 #: Monthly series by order priority with a first release after 15 days and a revision after 60; replay dates and what each sees.
 _MACRO = (
     "WITH base AS (SELECT substring(o_orderpriority, 1, 1) AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS obs, avg(o_totalprice) / 10000 AS value FROM $orders GROUP BY substring(o_orderpriority, 1, 1), CAST(date_trunc('month', o_orderdate) AS DATE)), "
@@ -287,6 +294,8 @@ TEXTS |= {
     "g03_period_returns": "SELECT id, ticker, n, round(last / first - 1, 5) AS total_return FROM (SELECT p.id, b.ticker, count(*) AS n, max(CASE WHEN b.session = e.a THEN b.close END) AS first, max(CASE WHEN b.session = e.z THEN b.close END) AS last FROM (SELECT 1 AS id, DATE '1995-06-01' AS a, DATE '1996-06-01' AS z UNION ALL SELECT 2, DATE '1997-01-01', DATE '1999-01-01') p JOIN $bars b ON b.session >= p.a AND b.session < p.z JOIN (SELECT q.id, c.ticker, min(c.session) AS a, max(c.session) AS z FROM (SELECT 1 AS id, DATE '1995-06-01' AS a, DATE '1996-06-01' AS z UNION ALL SELECT 2, DATE '1997-01-01', DATE '1999-01-01') q JOIN $bars c ON c.session >= q.a AND c.session < q.z GROUP BY q.id, c.ticker) e ON e.id = p.id AND e.ticker = b.ticker GROUP BY p.id, b.ticker) t",
     "g04_group_context": "SELECT g.grp, CAST(f.session AS STRING) AS session, count(*) AS members, round(avg(f.chg_20), 4) AS mean_chg_20, round(avg(CASE WHEN f.close > f.sma50 THEN 1D ELSE 0D END), 6) AS breadth FROM $features f JOIN $groups g ON f.ticker = g.ticker WHERE f.sma50 IS NOT NULL AND f.chg_20 IS NOT NULL GROUP BY g.grp, f.session",
     "g06_risk_comparison": "SELECT fold, round(tp / nullif(tp + fp, 0), 6) AS precision_, round(tp / nullif(tp + fn, 0), 6) AS recall_ FROM (SELECT year(session) AS fold, sum(CASE WHEN climax AND tail_down THEN 1D ELSE 0D END) AS tp, sum(CASE WHEN climax AND NOT tail_down THEN 1D ELSE 0D END) AS fp, sum(CASE WHEN NOT climax AND tail_down THEN 1D ELSE 0D END) AS fn FROM (SELECT session, tail_down, coalesce(chg_15 >= 0.25 AND vr >= 1.5, false) AS climax FROM $features WHERE tail_down IS NOT NULL) t GROUP BY year(session)) u",
+    "x12_remembered_demand": _DEMAND + "SELECT ticker, CAST(session AS STRING) AS session, n, round(strength, 6) AS strength, round(nearest, 6) AS nearest FROM r",
+    "x13_demand_confluence": _DEMAND + "SELECT r.ticker, CAST(r.session AS STRING) AS session, CASE WHEN r.nearest IS NULL THEN 'none' WHEN s.support IS NULL OR abs(r.nearest - s.support) > 0.5D * s.atr20 THEN 'demand_only' ELSE 'confluence' END AS support_kind, least(100D, round(20 * r.strength + CASE WHEN abs(r.nearest - s.support) <= 0.5D * s.atr20 THEN 20D ELSE 0D END, 5)) AS score FROM r JOIN (SELECT ticker, session, atr20, min(low) OVER (PARTITION BY ticker ORDER BY session ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS support FROM $features) s ON s.ticker = r.ticker AND s.session = r.session WHERE s.atr20 IS NOT NULL",
 }
 
 

@@ -183,6 +183,11 @@ def x06_contractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.contractions(rows).selectExpr("ticker", "CAST(session AS STRING) AS session", "stage", "base", "n_legs", "round(pivot, 6) AS pivot", "round(distance, 6) AS distance", "round(dry_up, 6) AS dry_up")
 
 
+def x04_trendlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = L.stack(B.bars(spark, sf_dir), [*L.PRESSURE, *L.TREND])
+    return patterns.trendlines(rows).selectExpr("ticker", "CAST(session AS STRING) AS session", "round(line, 6) AS line", "breakout", "higher_low")
+
+
 def x11_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest support and resistance: candidate levels, clustered where they lie within half a mean range.
 
@@ -338,6 +343,7 @@ QUERIES = {
     "m05_logistic_walk_forward": m05_logistic_walk_forward,
     "m06_boosted_trees": m06_boosted_trees,
     "x19_core_satellite": x19_core_satellite,
+    "x04_trendlines": x04_trendlines,
     "x06_contractions": x06_contractions,
     "x11_zones": x11_zones,
     "x14_bottom_state": x14_bottom_state,
