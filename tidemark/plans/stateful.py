@@ -278,6 +278,34 @@ M04_SQL = Q(
 )
 
 
+def p02b_provider_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item as a provider's row for its brand and month, some made faulty by rule; rows by reason."""
+    lines, parts = B.table(spark, sf_dir, "lineitem"), B.table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    rows = lines.join(parts, lines.l_partkey == parts.p_partkey).select(
+        F.concat("p_brand", F.lit("-"), F.col("l_partkey").cast("string")).alias("ticker"),
+        F.when(F.col("l_linenumber") == 7, F.lit("n/a")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("date"),
+        price.alias("open"),
+        F.when(F.col("l_returnflag") == "A", price * 0.5).otherwise(price).alias("high"),
+        price.alias("low"),
+        F.when(F.col("l_tax") < 0.08, price).alias("close"),
+        price.alias("adjusted_close"),
+        F.when(F.col("l_discount") > 0, F.col("l_quantity")).otherwise(-F.col("l_quantity")).alias("volume"),
+    )
+    return storage.validate(rows).groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+P02B_SQL = """
+WITH r AS (
+  SELECT p_brand || '-' || l_partkey AS ticker, CASE WHEN l_linenumber = 7 THEN 'n/a' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS date, l_extendedprice / l_quantity AS p,
+    CASE WHEN l_returnflag = 'A' THEN l_extendedprice / l_quantity * 0.5::DOUBLE ELSE l_extendedprice / l_quantity END AS high, CASE WHEN l_tax < 0.08 THEN l_extendedprice / l_quantity END AS close,
+    CASE WHEN l_discount > 0 THEN l_quantity ELSE -l_quantity END AS volume
+  FROM lineitem JOIN part ON l_partkey = p_partkey
+), k AS (SELECT *, row_number() OVER (PARTITION BY ticker, date ORDER BY p NULLS FIRST, high NULLS FIRST, close NULLS FIRST, volume NULLS FIRST) AS k FROM r)
+SELECT CASE WHEN date = 'n/a' THEN 'invalid_date' WHEN k > 1 THEN 'duplicate_date' WHEN close IS NULL THEN 'invalid_numeric' WHEN least(p, high, close) <= 0 THEN 'non_positive_price' WHEN volume < 0 THEN 'negative_volume'
+  WHEN high + high * 1e-12 < p THEN 'invalid_ohlc' ELSE 'valid' END AS reason, count(*) AS n FROM k GROUP BY 1"""
+
+
 def k01_upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers upserted by a batch of changed ones."""
     old = B.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
@@ -338,6 +366,7 @@ def x19_core_satellite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p02b_provider_validation": p02b_provider_validation,
     "k01_upsert_last_wins": k01_upsert_last_wins,
     "k02_idempotent_append": k02_idempotent_append,
     "m05_logistic_walk_forward": m05_logistic_walk_forward,
@@ -371,6 +400,7 @@ QUERIES = {
     "a30_block_bootstrap": a30_block_bootstrap,
 }
 ORACLE_SQL = {
+    "p02b_provider_validation": P02B_SQL,
     "k01_upsert_last_wins": K01_SQL,
     "k02_idempotent_append": K02_SQL,
     "x11_zones": X11_SQL,
