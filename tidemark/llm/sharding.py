@@ -32,7 +32,7 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
 
 
 def shard_rows(df: DataFrame, key: str, weights: Sequence[float], grown: Sequence[float] | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """Columns key, *keep, shard, grown_shard and slot: the place in the shard in order of key, then keep.
+    """Columns key, *keep, shard, grown_shard and slot: the place in the shard in order of key.
 
     grown: the weights after a change; grown_shard is where the row would be then (null without it).
     An empty table gives no rows. Repeated rows get a slot each; equal rows are interchangeable.
@@ -43,7 +43,7 @@ def shard_rows(df: DataFrame, key: str, weights: Sequence[float], grown: Sequenc
         rendezvous(F.col(key), weights).alias("shard"),
         (rendezvous(F.col(key), grown) if grown is not None else F.lit(None).cast("int")).alias("grown_shard"),
     )
-    ordered = in_order(placed, ["shard", key, *keep], "shards")
+    ordered = in_order(placed, ["shard", key], "shards")  # the sample that finds the ranges reads only the key
     # One row for each range partition and shard in it: as many as partitions and shards together, whatever the input.
     starts = ordered.groupBy("part", "shard").agg(F.count("*").alias("n"), F.min("row").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
