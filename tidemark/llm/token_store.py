@@ -32,7 +32,7 @@ SEGMENT_TOKENS = 1 << 18
 #: Words that a Python worker keeps encoded; at the bound the store starts anew, which costs time only.
 STORE_WORDS = 500_000
 #: Text encoded at a time.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 4 << 20
 # A mark behind a plain letter: the tokenizer's words end there anyway. Not those of contractions and special tokens.
 MARKS = r"([a-z\x{e0}-\x{f6}\x{f8}-\x{ff}])([,.;:!?#*$%&()\[\]\"/=+@_-])"
 
