@@ -452,3 +452,26 @@ def test_encoders_agree_with_the_library_on_any_script():
     enc = token_store.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
     ids, ends = enc.encode(pa.array(texts))
     assert [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)] == [e.ids for e in enc.t.encode_batch(texts, add_special_tokens=False)]
+
+
+def labelled_prose(n, odd, lang="en", first=0):
+    """n documents of common words, all labelled good, and `odd` that are labelled bad, each with a tenth of its words in other letters."""
+    rng = random.Random(11)
+    vocab = [words(rng, 1, "abcdefgh") for _ in range(60)]
+    rare = [words(rng, 1, "uvwxyz") for _ in range(60)]
+    plain = [[rng.choice(vocab) for _ in range(150)] for _ in range(n + odd)]
+    for text in plain[n:]:
+        text[::10] = [rng.choice(rare) for _ in text[::10]]
+    docs = [(first + i, " ".join(x), lang) for i, x in enumerate(plain)]
+    return docs, [(d[0], int(i < n), 0) for i, d in enumerate(docs)]
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def test_kneser_ney_threshold_follows_the_quantile(spark):
+    docs, marks = labelled_prose(150, 20)
+    got = kneser_ney.judged(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(marks, LABELS), ["doc_id"]).collect()
+    bad = {m[0] for m in marks if m[1] == 0}
+    assert sum(not r.kept for r in got if r.c0 in bad) >= 19
+    assert sum(not r.kept for r in got if r.c0 not in bad) <= 6
