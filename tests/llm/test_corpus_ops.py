@@ -475,3 +475,15 @@ def test_kneser_ney_threshold_follows_the_quantile(spark):
     bad = {m[0] for m in marks if m[1] == 0}
     assert sum(not r.kept for r in got if r.c0 in bad) >= 19
     assert sum(not r.kept for r in got if r.c0 not in bad) <= 6
+
+
+def test_kneser_ney_rare_language(spark, monkeypatch):
+    docs, marks = labelled_prose(150, 0)
+    more, theirs = labelled_prose(14, 4, "xx", 1000)
+    df, labels = spark.createDataFrame(docs + more, "doc_id long, text string, lang string"), spark.createDataFrame(marks + theirs, LABELS)
+    got = {r.c0: r for r in kneser_ney.judged(df, labels, ["doc_id"]).collect()}
+    assert all(r.threshold is not None for r in got.values())
+    assert not any(got[i].kept for i in range(1014, 1018)) and sum(got[i].kept for i in range(1000, 1014)) >= 11
+    monkeypatch.setattr(kneser_ney, "TRAINING", 40)
+    ids = kneser_ney.training_ids(kneser_ney.trusted_ids(labels), df, {"en": 1, "xx": 2})
+    assert {i for i in ids if i >= 1000} == {i for i in range(1000, 1014) if zlib.crc32(str(i).encode()) % kneser_ney.CALIBRATION} and 10 < len(ids) < 60
