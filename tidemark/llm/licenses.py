@@ -56,11 +56,35 @@ SENTENCES: dict[str, str] = {
     "spdx.apache": "spdx license identifier apache 2.0",
     "spdx.gpl3": "spdx license identifier gpl 3.0 only",
     "spdx.bsd3": "spdx license identifier bsd 3 clause",
+    "apache.licensed2": "licensed under the apache license version 2.0 the license",
+    "apache.obtain": "you may obtain a copy of the license at",
+    "apache.copy-https": "you may obtain a copy of the license at https www.apache.org licenses license 2.0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "gpl.program": "this program is free software",
+    "gpl.redis2": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl.redis3": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl.hope": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl.implied": "without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl.library": "this library is free software",
+    "lgpl.redis": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version",
+    "lgpl.hope": "this library is distributed in the hope that it will be useful but without any warranty",
+    "lgpl.see": "see the gnu lesser general public license for more details",
+    "mpl.subject-v": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl.copy-https": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla.org mpl 2.0",
     "rights": "all rights reserved",
 }
 
 # Fixed values: (rule, licence, identifiers in order). Longer rules come first and use up what they match.
 RULES: list[tuple[str, str, tuple[str, ...]]] = [
+    ("gpl3-published", "GPL-3.0-or-later", ("gpl.program", "gpl.redis3", "gpl.hope", "gpl.implied", "gpl.see")),
+    ("gpl2-published", "GPL-2.0-or-later", ("gpl.program", "gpl.redis2", "gpl.hope", "gpl.implied", "gpl.see")),
+    ("lgpl-published", "LGPL-2.1-or-later", ("lgpl.library", "lgpl.redis", "lgpl.hope", "gpl.implied", "lgpl.see")),
+    ("apache-published", "Apache-2.0", ("apache.licensed2", "apache.head2", "apache.obtain", "apache.basis", "apache.see")),
+    ("apache-published-line", "Apache-2.0", ("apache.licensed2", "apache.head2", "apache.copy", "apache.see")),
+    ("apache-published-https", "Apache-2.0", ("apache.licensed2", "apache.head2", "apache.copy-https", "apache.see")),
+    ("gpl3-published-colon", "GPL-3.0-or-later", ("gpl.free3", "gpl.hope", "gpl.implied", "gpl.see")),
+    ("gpl2-published-colon", "GPL-2.0-or-later", ("gpl.free2", "gpl.hope", "gpl.implied", "gpl.see")),
+    ("mpl-published", "MPL-2.0", ("mpl.subject-v", "mpl.copy-https")),
+    ("mpl-published-http", "MPL-2.0", ("mpl.subject-v", "mpl.copy")),
     ("bsd3", "BSD-3-Clause", ("bsd.head", "bsd.source", "bsd.binary", "bsd.name", "bsd.warranty")),
     ("bsd2", "BSD-2-Clause", ("bsd.head", "bsd.source", "bsd.binary", "bsd.warranty")),
     ("mit-text", "MIT", ("mit.grant1", "mit.notice", "mit.warranty", "mit.liability")),
@@ -103,6 +127,11 @@ RULES: list[tuple[str, str, tuple[str, ...]]] = [
     ("spdx-apache", "Apache-2.0", ("spdx.apache",)),
     ("spdx-gpl3", "GPL-3.0-only", ("spdx.gpl3",)),
     ("spdx-bsd3", "BSD-3-Clause", ("spdx.bsd3",)),
+    ("apache-licensed2", "Apache-2.0", ("apache.licensed2",)),
+    ("gpl3-redis", "GPL-3.0-or-later", ("gpl.redis3",)),
+    ("gpl2-redis", "GPL-2.0-or-later", ("gpl.redis2",)),
+    ("lgpl-redis", "LGPL-2.1-or-later", ("lgpl.redis",)),
+    ("mpl-subject-v", "MPL-2.0", ("mpl.subject-v",)),
     ("rights", "All-rights-reserved", ("rights",)),
 ]
 
