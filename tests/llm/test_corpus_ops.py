@@ -242,35 +242,96 @@ def test_simhash(docs, none, piece):
     assert simhash.near_duplicates(none).count() == 0
 
 
-def test_simhash_links_in_dense_clusters(spark):
-    rng = random.Random(8)
+def dense(seed):
+    """Random fingerprints, some of them in clusters of close ones."""
+    rng = random.Random(seed)
     fps = {rng.getrandbits(64) for _ in range(300)}
     for c in list(fps)[:4]:
         for _ in range(150):
             fps.add(c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5))))
-    fps = sorted(fps)
-    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    return sorted(fps)
+
+
+def roots_of(edges, n):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        a, b = sorted((find(u), find(v)))
+        root[b] = a
+    return [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("run", [simhash.RUN, 0])
+def test_simhash_links_in_dense_clusters(spark, run, monkeypatch):
+    monkeypatch.setattr(simhash, "RUN", run)  # at 0 the keys are as long as they get
+    fps = dense(8)
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long").selectExpr("fp AS node", "fp")
     want = brute_components(list(range(len(fps))), fps, 4)
-    for piece in (4096, 16):
+    for piece in (4096, 16) if run else (4096,):
         edges = [(fps.index(u & (1 << 64) - 1), fps.index(v & (1 << 64) - 1)) for u, v in simhash.links(df, 4, piece).collect()]
-        root = list(range(len(fps)))
+        assert roots_of(edges, len(fps)) == want
 
-        def find(x):
-            while root[x] != x:
-                x = root[x]
-            return x
 
-        for u, v in edges:
-            a, b = sorted((find(u), find(v)))
-            root[b] = a
-        assert [find(i) for i in range(len(fps))] == want
+def test_simhash_tree_finds_all_pairs_and_prunes():
+    fps = np.array(dense(9), np.uint64)
+    fps = fps[np.argsort(simhash.gray_rank(fps))]
+    cut = 400
+    tally = collections.Counter()
+    one = simhash.Tree(fps, np.array([0]))
+    got = {p for i, j in one.pairs(np.array([0]), np.array([0]), 4, tally) for p in zip(i.tolist(), j.tolist())}
+    apart = np.bitwise_count(fps[:, None] ^ fps[None, :])
+    assert got == {(i, j) for i, j in zip(*np.nonzero(apart <= 4)) if i < j}
+    assert len({level for level, _ in tally}) >= 3 and all(tally[level, "left"] < tally[level, "met"] for level in (0, 1, 2))
+    two = simhash.Tree(fps, np.array([0, cut]))
+    got = {p for i, j in two.pairs(np.array([0]), np.array([1]), 4) for p in zip(i.tolist(), j.tolist())}
+    assert got == {(i, j) for i, j in zip(*np.nonzero(apart <= 4)) if i < cut <= j}
 
 
-def test_keep_one(docs):
-    kept = simhash.keep_one(docs)
+@pytest.mark.parametrize("piece", [4096, 3])
+def test_keep_one(docs, none, piece):
+    """Against plain links: word bits and shingle bits of all pairs."""
+    kept = simhash.keep_one(docs, piece)
     assert kept.columns == docs.columns
-    comp = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(docs).collect()}
-    assert kept.count() == len({(c, k[1]) if c is None else c for k, c in comp.items()})
+    rows = docs.collect()
+    marks = [simhash.sketch(r.text and r.text.encode()) for r in rows]
+    edges = [(i, j) for i in range(len(rows)) for j in range(i) if (marks[i][0] ^ marks[j][0]).bit_count() <= simhash.WORD_BITS and sum((a ^ b).bit_count() for a, b in zip(marks[i][1:], marks[j][1:])) <= simhash.SHINGLE_BITS]
+    groups = collections.defaultdict(list)
+    for i, root in enumerate(roots_of(edges, len(rows))):
+        groups[root].append((rows[i].doc_id is None, rows[i].doc_id or 0))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted(map(min, groups.values()))
+    assert simhash.keep_one(none).count() == 0
+
+
+def test_keep_one_follows_the_shingles(spark):
+    """Nine in ten copies of a similarity of 0.9 go, half copies all stay."""
+    rng = random.Random(12)
+    vocab = [words(rng, 1, "abcdefghij") for _ in range(3000)]
+    out, copies = [], set()
+    for k in range(60):
+        text = [rng.choice(vocab) for _ in range(200)]
+        near, half = list(text), [w if i < 110 else rng.choice(vocab) for i, w in enumerate(text)]
+        for at in rng.sample(range(5, 195), 2):
+            near[at] = rng.choice(vocab)
+        out += [(3 * k, " ".join(text)), (3 * k + 1, " ".join(near)), (3 * k + 2, " ".join(half))]
+        copies.add(3 * k + 1)
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(out, "doc_id long, text string")).collect()}
+    assert len(kept & copies) <= 6 and len(kept - copies) == 120
+
+
+def test_sketch_of_words_and_shingles():
+    text = " ".join(words(random.Random(1), 90).split()) + " A a A b"
+    parts = text.lower().split()
+    count = collections.Counter(parts)
+    weights = {w: round(1024 * math.sqrt(n)) for w, n in count.items()}
+    half = sum(weights.values())
+    want = sum(1 << b for b in range(64) if 2 * sum(n for w, n in weights.items() if xxhash.xxh64_intdigest(w, 42) >> b & 1) > half)
+    assert simhash.sketch(text.encode())[0] == want
+    assert simhash.sketch(b"x y")[1:] == simhash.sketch(b"X  y\n")[1:] and simhash.sketch(None) == (0,) * 5
 
 
 def test_bpe_matches_the_library(spark, docs, none):
