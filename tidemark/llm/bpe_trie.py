@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import apart
+
 #: Fixed value: the published byte-level pattern that parts text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -165,10 +167,12 @@ def trie(path: str) -> WordTrie:
 def encode_docs(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """docs' columns but text, then the ids (little-endian unsigned 32-bit, binary) and what they decode to.
 
-    A null text counts as empty. Every row is encoded by itself, so repeated rows give repeated results.
+    A null text counts as empty: no ids. Every row is encoded by itself and whole, so repeated rows give repeated
+    results, and an empty table gives none. A column of docs named like `ids` or `decoded` gets an underscore.
     path: a tokenizer file that every executor can open.
     """
     kept = [c for c in docs.columns if c != text]
+    shown = apart(kept, [ids, decoded])
     inner = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), F.col(f"`{text}`").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,11 +185,15 @@ def encode_docs(docs: DataFrame, path: str, text: str = "text", ids: str = "ids"
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(coded, pa.binary()), pa.array(back, pa.string())], [*part.schema.names[: len(kept)], "ids", "decoded"])
 
     schema = ", ".join([*(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)), "ids binary", "decoded string"])
-    return inner.mapInArrow(run, schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), F.col("ids").alias(ids), F.col("decoded").alias(decoded))
+    return inner.mapInArrow(run, schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(shown)), F.col("ids").alias(ids), F.col("decoded").alias(decoded))
 
 
 def digest_docs(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: the digests are taken where the ids are made, so no ids leave the task."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: the digests are taken where the ids are made, so no ids leave the task.
+
+    Null and empty texts have no tokens. Rows go by themselves and texts whole; null doc_ids and repeated rows stay, other
+    columns are not read, and an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = trie(path)
@@ -208,4 +216,5 @@ def vocabulary(name: str) -> str:
 
 
 def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """digest_docs() of all documents with the public byte-level vocabulary."""
     return digest_docs(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("byte_bpe_50k.json"))

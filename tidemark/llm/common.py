@@ -17,12 +17,14 @@ _own_dirs: dict[str, str] = {}
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
 
-    Only where the setting is absent (tests on one machine) a temporary folder stands in,
-    and it goes when the process ends.
+    Only where the setting is absent and all tasks run in this process (tests) a temporary folder stands in, and it
+    goes when the process ends. On a cluster its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="tidemark-")
@@ -71,5 +73,16 @@ def in_order(df: DataFrame, keys: list[str], label: str, compression: str = "sna
     return materialize(placed, label, compression)
 
 
+def apart(names: list[str], own: list[str]) -> list[str]:
+    """Result names of carried columns: one that is named like a column of the result's own gets a trailing underscore, or more."""
+    taken, out = {x.lower() for x in own}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def empty_like(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)

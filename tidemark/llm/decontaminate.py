@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import materialize
+
 #: Characters in a q-gram, and the share of an item's characters that may differ.
 Q, EDITS = 8, 0.1
 #: Items go to the tasks in blocks of at most this many bytes of text; a larger benchmark takes several passes.
 BLOCK_BYTES = 4 << 20
-#: Characters of text looked up at a time.
-CHUNK = 1 << 20
+#: Characters of text looked up at a time, and places in items that they may meet at a time.
+CHUNK, POSTINGS = 1 << 20, 1 << 20
 
 _MIX = 0x9E3779B97F4A7C15
 _table: np.ndarray | None = None
@@ -129,8 +131,23 @@ def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int, edits: int)
     return True
 
 
+def _met(at: np.ndarray, found: np.ndarray, ix: Index) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(item, place in the item, diagonal) of the postings of hits, POSTINGS or so at a time."""
+    n = ix.starts[found + 1] - ix.starts[found]
+    ends, a = np.cumsum(n), 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] - n[a] + POSTINGS, "right")))
+        own = n[a:b]
+        post = np.arange(int(own.sum())) + np.repeat(ix.starts[found[a:b]] - np.concatenate([[0], np.cumsum(own)[:-1]]), own)
+        yield ix.item[post], ix.place[post], np.repeat(at[a:b], own) - ix.place[post]
+        a = b
+
+
 def candidates(keys: np.ndarray, ix: Index) -> Iterator[tuple[int, int, int]]:
-    """(item, lowest diagonal, highest diagonal) of the bands of one stretch of keys that meet the bound."""
+    """(item, lowest diagonal, highest diagonal) of the bands of one stretch of keys that meet the bound.
+
+    Postings of frequent q-grams are counted in slices, so memory follows the bands that are hit, not the hits.
+    """
     at = np.flatnonzero(ix.maybe[keys & np.uint64((1 << 22) - 1)])
     if not len(at):
         return
@@ -138,34 +155,37 @@ def candidates(keys: np.ndarray, ix: Index) -> Iterator[tuple[int, int, int]]:
     found[found == len(ix.keys)] = 0
     hit = ix.keys[found] == keys[at]
     at, found = at[hit], found[hit]
-    n = ix.starts[found + 1] - ix.starts[found]
-    if not len(n):
+    if not len(at):
         return
-    shift = np.repeat(ix.starts[found] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-    post = np.arange(int(n.sum())) + shift
-    item = ix.item[post]
-    diagonal = np.repeat(at, n) - ix.place[post]
-    step = ix.edits[item] + 1
-    band = diagonal // step
-    # A diagonal lies in the band that starts at its own step and in the one before.
-    span = int(band.max() - band.min()) + 3
-    own, counts = np.unique(item * span + (band - band.min() + 1), return_counts=True)
+    # Bands of an item begin every edits + 1 diagonals; numbers of bands start at 0 at the lowest diagonal that can be.
+    low = -int(ix.place.max()) - 2
+    span = len(keys) - low + 2
+
+    def bands(item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+        # A diagonal lies in the band that starts at its own step and in the one before.
+        return item * span + (diagonal - low) // (ix.edits[item] + 1)
+
+    own, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for item, _, diagonal in _met(at, found, ix):
+        one, n = np.unique(bands(item, diagonal), return_counts=True)
+        own, where = np.unique(np.concatenate([own, one]), return_inverse=True)
+        counts = np.bincount(where, np.concatenate([counts, n]), len(own)).astype(np.int64)
     both, where = np.unique(np.concatenate([own, own - 1]), return_inverse=True)
     total = np.bincount(where, np.concatenate([counts, counts]), len(both))
-    low_band = int(band.min()) - 1
     passed = both[total >= ix.need[both // span]]
     if not len(passed):
         return
     # Repeated text meets one place of an item many times; the lemma counts the place once.
-    own = item * span + (band - band.min() + 1)
-    place = ix.place[post]
-    kept = [np.isin(own - by, passed) for by in (0, 1)]
-    pairs = np.unique(np.concatenate([np.stack([(own - by)[k], place[k]], 1) for by, k in enumerate(kept)]), axis=0)
+    pairs = np.zeros((0, 2), np.int64)
+    for item, place, diagonal in _met(at, found, ix):
+        band = bands(item, diagonal)
+        some = [np.stack([(band - by)[k], place[k]], 1) for by in (0, 1) for k in [np.isin(band - by, passed)]]
+        pairs = np.unique(np.concatenate([pairs, *some]), axis=0)
     passed, distinct = np.unique(pairs[:, 0], return_counts=True)
     for code in passed[distinct >= ix.need[passed // span]]:
-        k = int(code // span)
-        low = (int(code % span) + low_band) * int(ix.edits[k] + 1)
-        yield k, low, low + 2 * int(ix.edits[k] + 1) - 1
+        k, step = int(code // span), int(ix.edits[code // span] + 1)
+        first = int(code % span) * step + low
+        yield k, first, first + 2 * step - 1
 
 
 def matches(text: str | None, ix: Index) -> list[int]:
@@ -193,54 +213,67 @@ def matches(text: str | None, ix: Index) -> list[int]:
     return sorted(hits)
 
 
-def blocks(benchmark: DataFrame) -> list[list[tuple[int, str | None]]]:
-    """The items in blocks of BLOCK_BYTES or so; each is read by itself, and only one is held at a time by a task."""
+def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
+    """The items in blocks of BLOCK_BYTES or so, of which the driver holds the one that it gives."""
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, math.ceil(size / BLOCK_BYTES))
-    dealt = benchmark.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).alias("block"))
+    dealt = benchmark.where("item_id IS NOT NULL").select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).alias("block"))
     for b in range(n):
-        yield [(r["item_id"], r["text"]) for r in dealt.where(F.col("block") == b).select("item_id", "text").collect() if r["item_id"] is not None]
+        yield [(r["item_id"], r["text"]) for r in dealt.where(F.col("block") == b).collect()]
 
 
-def _found(ix_rows: list[tuple[int, str | None]], at: int):
+def _found(ix_rows: list[tuple[int, str | None]]):
+    """Batches whose last column is the text to the same with the ids of its items in the text's place."""
     held: dict[str, Index] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if "ix" not in held:
             held["ix"] = index(ix_rows)
         for batch in batches:
-            found = pa.array([matches(x, held["ix"]) for x in batch.column(at).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], batch.schema.names)
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                found = pa.array([matches(x, held["ix"]) for x in some.column(some.num_columns - 1).to_pylist()], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], found], [*some.schema.names[:-1], "items"])
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, items: str = "__items") -> DataFrame:
-    """docs' columns, then the sorted ids of the benchmark items that the text holds (empty if none).
+def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """rid and item of each item that a text holds, from docs' rid and text.
+
+    A stated set of items meets all texts, block by block: each block is one pass over the texts that writes its
+    hits down before the next block is read, so a task holds one index at a time and texts are never shuffled.
+    """
+    out = None
+    for rows in blocks(benchmark):
+        found = docs.select("rid", "text").mapInArrow(_found(rows), "rid long, items array<long>")
+        found = materialize(found.select("rid", F.explode("items").alias("item")), "hits")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs' columns as c0, c1 and so on with rid, a number for each row; and rid with items, the sorted ids of what it holds.
 
-    A null or empty text holds none; items without letters or digits, or without an id, match nothing.
-    Repeated items count once for each id. Every block of items adds one column and one step to the
-    same pass over docs, so rows stay in place and nothing is shuffled. A column of docs named `items` is left out.
+    Rows that hold nothing are absent from the second. A null or empty text holds none; items without letters or
+    digits, or without an id, match nothing. Repeated items count once for each id, repeated rows each for themselves.
+    Texts are read whole, CHUNK characters at a time; no name of a column can clash. Empty tables give empty frames.
     """
-    names = [c for c in docs.columns if c != items]
-    out = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
-    kinds, parts, at = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)], [], names.index("text")
-    for b, rows in enumerate(blocks(benchmark)):
-        kinds.append(f"b{b} array<long>")
-        out = out.withColumn(f"b{b}", F.lit(None).cast("array<long>")).mapInArrow(_found(rows, at), ", ".join(kinds))
-        parts.append(F.col(f"b{b}"))
-    found = parts[0] if len(parts) == 1 else F.array_sort(F.array_distinct(F.flatten(F.array(*parts))))
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), found.alias(items))
+    named = docs.select(F.monotonically_increasing_id().alias("rid"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    numbered = materialize(named, "numbered", "zstd")
+    met = hits(numbered.select("rid", F.col(f"c{docs.columns.index('text')}").alias("text")), benchmark)
+    return numbered, met.groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no benchmark item, with docs' columns."""
-    names = {c: c if c == "text" else f"n{i}" for i, c in enumerate(docs.columns)}
-    found = contamination(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), benchmark)
-    return found.where(F.size("__items") == 0).select(*(F.col(n).alias(c) for c, n in names.items()))
+    """The rows of docs that hold no benchmark item, with docs' columns; items without an id count too."""
+    numbered, met = contamination(docs, benchmark.select(F.monotonically_increasing_id().alias("item_id"), "text"))
+    return numbered.join(met, "rid", "left_anti").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id of every document, the sorted ids of the benchmark items in its text, and whether there are any."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    found = contamination(docs.select("doc_id", "text"), items)
-    return found.select("doc_id", F.col("__items").alias("item_ids"), (F.size("__items") > 0).alias("contaminated"))
+    numbered, met = contamination(docs.select("doc_id", "text"), items)
+    out = numbered.select("rid", F.col("c0").alias("doc_id")).join(met, "rid", "left")
+    return out.select("doc_id", F.coalesce("items", F.array().cast("array<long>")).alias("item_ids"), F.col("items").isNotNull().alias("contaminated"))

@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import materialize, scratch_path
 
 STATES, FREQUENT, HASHED, SUFFIX = 8, 2048, 2048, 3
-#: Full Baum-Welch rounds over all training text, after START_ROUNDS over a start sample of so many documents.
-ROUNDS, START_ROUNDS, START_DOCS, START_TOKENS = 2, 12, 1000, 2000
+#: Baum-Welch runs SWEEPS times over all training text in SHARES shares with an update after each share, then ROUNDS
+#: times with one update for the whole. All rounds are sums over partitions; shares are a fixed part of any corpus.
+SHARES, SWEEPS, ROUNDS = 8, 1, 2
 #: Text bytes in a block, and tokens that go through the recursions at once.
 BLOCK_BYTES, BATCH_TOKENS = 20 << 20, 1 << 18
 SMOOTH = 0.1
@@ -262,25 +263,28 @@ def _expected_rows(model: Model):
     return run
 
 
+def counted(seqs: DataFrame, model: Model) -> np.ndarray | None:
+    """Expected counts of all sequences, as one flat array: a row for each parameter, STATES * (1 + STATES + CLASSES) at most."""
+    rows = seqs.select("classes").mapInArrow(_expected_rows(model), "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    flat = np.zeros(STATES * (1 + STATES + CLASSES))
+    for r in rows:
+        flat[r["at"]] = r["n"]
+    return flat if rows else None
+
+
 def train(coded: DataFrame, shares: np.ndarray) -> Model:
-    """Baum-Welch. A bounded sample of training documents sets the start; the model's counts come from all of them."""
-    learning = coded.where("NOT held_out").select("doc_id", "n_tokens", "classes")
+    """Baum-Welch from seeded tables. coded has share, by which it is stored, so that a share is read by itself.
+
+    Updates after each share let the states part early; the last rounds take their counts from all training text.
+    A share without training text changes nothing.
+    """
+    learning = coded.where("NOT held_out")
     model = Model.first(shares)
-    fit = learning.where(F.col("n_tokens") <= START_TOKENS)
-    # The hash first thins the documents to about START_DOCS, so that the tasks send few rows to be ranked.
-    share = F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(1_000_000))
-    thin = fit.where(share <= int(1_500_000 * START_DOCS / max(1, fit.count())))
-    sample = thin.orderBy(share, "doc_id").limit(START_DOCS).select("classes").collect()
-    seqs = [np.frombuffer(r["classes"], "<u2") for r in sample]
-    for _ in range(START_ROUNDS if seqs else 0):
-        model = Model.of_counts(expected(seqs, model), shares)
-    for _ in range(ROUNDS):
-        rows = learning.select("classes").mapInArrow(_expected_rows(model), "at long, n double")
-        # One row for each parameter, STATES * (1 + STATES + CLASSES) at most.
-        flat = np.zeros(STATES * (1 + STATES + CLASSES))
-        for r in rows.groupBy("at").agg(F.sum("n").alias("n")).collect():
-            flat[r["at"]] = r["n"]
-        model = Model.of_counts(flat, shares)
+    steps = [learning.where(F.col("share") == k) for _ in range(SWEEPS) for k in range(SHARES)] + [learning] * ROUNDS
+    for seqs in steps:
+        flat = counted(seqs, model)
+        if flat is not None:
+            model = Model.of_counts(flat, shares)
     return model
 
 
@@ -301,8 +305,9 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     Texts whose crc32(doc_id) mod 10 is 0 are held out; a null doc_id counts as the empty string (held
-    out), a null text as empty (its end alone is scored). Without training texts all scores are those of
-    uniform tables. Repeated rows are scored each, and each counts in training.
+    out), a null text as empty (its end alone is scored). Without training texts all scores are those of the
+    first tables. Repeated rows are scored each, and each counts in training. Words tied in count are ranked by their
+    bytes. A text of any length is one sequence, held by one task. An empty table gives no rows; other columns are not read.
     """
     blocks = read_blocks(docs)
     counts = with_classes(materialize(word_counts(blocks), "counts", "zstd"))
@@ -321,11 +326,16 @@ def score(docs: DataFrame) -> DataFrame:
     texts = blocks.select("block", "doc_ids", "held", "lengths", "ids")
     # A group is one block and the answers for its words: bounded by BLOCK_BYTES.
     coded = texts.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(_coded(n_total, n_words, ends, in_class, words_in), CODED)
-    coded = materialize(coded, "coded", "zstd")
+    share = F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SHARES)).cast("int")
+    path = scratch_path(docs.sparkSession, "coded")
+    coded = coded.withColumn("share", share)
+    coded.write.option("compression", "zstd").partitionBy("share").parquet(path)
+    coded = docs.sparkSession.read.schema(coded.schema).parquet(path)
     model = train(coded, shares)
     out = coded.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_total).cast("long").alias("train_tokens"), "base_score", "inside", "classes")
     return out.mapInArrow(_scored(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score() of all documents."""
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import apart
+
 # Sentences of public licence texts and notices, as normalised() leaves them, by identifier.
 SENTENCES: dict[str, str] = {
     "mit.title": "the mit license",
@@ -70,9 +72,32 @@ SENTENCES: dict[str, str] = {
     "lgpl.see": "see the gnu lesser general public license for more details",
     "mpl.subject-v": "this source code form is subject to the terms of the mozilla public license v",
     "mpl.copy-https": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla.org mpl 2.0",
+    "agpl.free3": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl.see": "see the gnu affero general public license for more details",
+    "agpl.licensed3": "licensed under the gnu affero general public license version 3",
+    "lgpl.free3": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl.licensed3": "licensed under the gnu lesser general public license version 3",
+    "epl.available": "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https www.eclipse.org legal epl 2.0",
+    "epl.licensed": "licensed under the eclipse public license 2.0",
+    "bsl.distributed": "distributed under the boost software license version 1.0",
+    "bsl.see": "see accompanying file license 1 0.txt or copy at https www.boost.org license 1 0.txt",
+    "bsd.name-holders": "neither the name of the copyright holders nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd.name-author": "neither the name of the author nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd.name-university": "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd.name-organization": "neither the name of the organization nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "zlib.warranty": "this software is provided as is without any express or implied warranty",
+    "zlib.liability": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib.grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
     "rights": "all rights reserved",
 }
 
+# Further names of the public licence list, each a sentence and a rule of its own behind the list's tag.
+LISTED = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Artistic-2.0", "BSD-2-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0-only", "GPL-2.0-or-later",
+    "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MPL-2.0", "MS-PL", "OFL-1.1", "PostgreSQL", "Unlicense", "Zlib",
+)
+SENTENCES |= {f"spdx.{x.lower()}": f"spdx license identifier {x.lower().replace('-', ' ')}" for x in LISTED}
+
 # Fixed values: (rule, licence, identifiers in order). Longer rules come first and use up what they match.
 RULES: list[tuple[str, str, tuple[str, ...]]] = [
     ("gpl3-published", "GPL-3.0-or-later", ("gpl.program", "gpl.redis3", "gpl.hope", "gpl.implied", "gpl.see")),
@@ -87,6 +112,14 @@ RULES: list[tuple[str, str, tuple[str, ...]]] = [
     ("mpl-published-http", "MPL-2.0", ("mpl.subject-v", "mpl.copy")),
     ("bsd3", "BSD-3-Clause", ("bsd.head", "bsd.source", "bsd.binary", "bsd.name", "bsd.warranty")),
     ("bsd2", "BSD-2-Clause", ("bsd.head", "bsd.source", "bsd.binary", "bsd.warranty")),
+    ("bsd3-holders", "BSD-3-Clause", ("bsd.head", "bsd.source", "bsd.binary", "bsd.name-holders", "bsd.warranty")),
+    ("bsd3-author", "BSD-3-Clause", ("bsd.head", "bsd.source", "bsd.binary", "bsd.name-author", "bsd.warranty")),
+    ("bsd3-university", "BSD-3-Clause", ("bsd.head", "bsd.source", "bsd.binary", "bsd.name-university", "bsd.warranty")),
+    ("bsd3-organization", "BSD-3-Clause", ("bsd.head", "bsd.source", "bsd.binary", "bsd.name-organization", "bsd.warranty")),
+    ("agpl3-published", "AGPL-3.0-or-later", ("agpl.free3", "gpl.hope", "gpl.implied", "agpl.see")),
+    ("lgpl3-published", "LGPL-3.0-or-later", ("lgpl.free3", "gpl.hope", "gpl.implied", "lgpl.see")),
+    ("zlib-text", "Zlib", ("zlib.warranty", "zlib.liability", "zlib.grant")),
+    ("bsl-notice", "BSL-1.0", ("bsl.distributed", "bsl.see")),
     ("mit-text", "MIT", ("mit.grant1", "mit.notice", "mit.warranty", "mit.liability")),
     ("apache-notice4", "Apache-2.0", ("apache.head", "apache.copy1", "apache.basis", "apache.see")),
     ("apache-notice5", "Apache-2.0", ("apache.licensed", "apache.head2", "apache.copy", "apache.see")),
@@ -132,8 +165,17 @@ RULES: list[tuple[str, str, tuple[str, ...]]] = [
     ("gpl2-redis", "GPL-2.0-or-later", ("gpl.redis2",)),
     ("lgpl-redis", "LGPL-2.1-or-later", ("lgpl.redis",)),
     ("mpl-subject-v", "MPL-2.0", ("mpl.subject-v",)),
+    ("agpl3-free", "AGPL-3.0-or-later", ("agpl.free3",)),
+    ("agpl3-licensed", "AGPL-3.0-only", ("agpl.licensed3",)),
+    ("lgpl3-free", "LGPL-3.0-or-later", ("lgpl.free3",)),
+    ("lgpl3-licensed", "LGPL-3.0-only", ("lgpl.licensed3",)),
+    ("epl-available", "EPL-2.0", ("epl.available",)),
+    ("epl-licensed", "EPL-2.0", ("epl.licensed",)),
+    ("bsl-distributed", "BSL-1.0", ("bsl.distributed",)),
+    ("zlib-grant", "Zlib", ("zlib.grant",)),
     ("rights", "All-rights-reserved", ("rights",)),
 ]
+RULES[-1:-1] = [(f"spdx-{x.lower()}", x, (f"spdx.{x.lower()}",)) for x in LISTED]
 
 #: So many unknown sentences may stand between two identifiers of a rule.
 GAP = 2
@@ -185,10 +227,12 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs' columns but text, then sentence_ids, rules and licenses (sorted, comma-joined; empty if none).
 
     Each text is read twice, with line ends as sentence ends and as spaces; a rule counts if either shows
-    it. A null or empty text has no licence. All steps are row by row: nothing is shuffled.
+    it. A null or empty text has no licence. All steps are row by row: nothing is shuffled, texts are read whole, repeated
+    rows give repeated results, an empty table gives none. A column of docs named like a result's gets an underscore.
     """
     of = F.create_map(*(F.lit(x) for name, licence, _ in RULES for x in (name, licence)))
     kept = [c for c in docs.columns if c != text]
+    shown = apart(kept, ["sentence_ids", "rules", "licenses"])
     rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("low"))
     cue = F.lit(False)
     for c in CUES:
@@ -197,7 +241,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.withColumns({k: F.when(cue, sequence(F.col("low"), w)).otherwise("") for k, w in (("a", False), ("b", True))})
     rows = rows.withColumn("rules", F.array_sort(F.array_union(*(F.when(F.contains(c, F.lit("<")), matched(c)).otherwise(none) for c in (F.col("a"), F.col("b"))))))
     return rows.select(
-        *(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)),
+        *(F.col(f"c{i}").alias(c) for i, c in enumerate(shown)),
         F.col("a").alias("sentence_ids"),
         F.array_join("rules", ",").alias("rules"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("rules", lambda r: of[r]))), ",").alias("licenses"),
@@ -205,6 +249,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan() of all documents."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import apart, materialize
+
 SYMBOLS = b"#*$%&|<>"
 LETTER = re.compile(rb"[A-Za-z\x80-\xff]")  # any letter outside ASCII counts
 
@@ -78,17 +80,17 @@ def _measured(keep_text: bool):
 def ledger(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
     """docs' columns (without text unless asked), then `__`-named measurements and __failed, the bits of the failed rules.
 
-    A null or empty text has no words, so few_words fails. Rows stay apart, repeated ones too. Columns of
-    docs that are named like the ledger's own are left out.
+    A null or empty text has no words, so few_words fails. Texts are measured whole. Rows stay apart, repeated ones too;
+    an empty table gives none. Columns of docs that are named like the ledger's own get an underscore.
     """
-    own = {*(f"__{m}" for m in MEASURES), "__failed"}
-    names = [*(c for c in docs.columns if c != text and c not in own), text]
+    names = [*(c for c in docs.columns if c != text), text]
     # Columns go through under numbers, so that no name of theirs can clash.
     inner = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
     names = names if keep_text else names[:-1]
     schema = ", ".join([*(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)), *(f"__{m} long" for m in MEASURES)])
     out = inner.mapInArrow(_measured(keep_text), schema)
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), *(f"__{m}" for m in MEASURES), failures().alias("__failed"))
+    shown = apart(names, [*(f"__{m}" for m in MEASURES), "__failed"])
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(shown)), *(f"__{m}" for m in MEASURES), failures().alias("__failed"))
 
 
 def failures() -> Column:
@@ -130,7 +132,19 @@ def keep_good(docs: DataFrame, version: str = POLICY) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """The ledger of all documents, with the verdicts of the base policy and the newest.
+
+    only_rule is the rule without which the newest policy would keep the document, n_only how many it would so gain.
+    """
+    rows = materialize(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "ledger")
+    bits = F.col("__failed").bitwiseAND(F.lit(mask(POLICY)))
+    names = list(RULES)
+    only = F.lit(None).cast("string")
+    for rule in POLICIES[POLICY]:
+        only = F.when(bits == 1 << names.index(rule), rule).otherwise(only)
+    # A row for each rule of the policy.
+    freed = F.broadcast(ablations(rows, POLICY).select(F.col("rule").alias("only_rule"), "n_only"))
+    rows = rows.withColumn("only_rule", only).join(freed, "only_rule", "left")
     shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return rows.select(
         "doc_id",
@@ -138,6 +152,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~passes(F.col("__failed"), "base")).alias("base_failed"),
         passes(F.col("__failed"), POLICY).alias("kept"),
         F.col("__failed").alias("failed_bits"),
+        "only_rule",
+        "n_only",
     )
 
 
@@ -165,5 +181,9 @@ WITH words AS (
     + 64 * (100 * n_letter_words < 80 * n_words)::BIGINT + 128 * (longest_word > 1000)::BIGINT + 256 * (n_words > 1000000)::BIGINT AS failed_bits
   FROM measured
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, (failed_bits & 255) = 0 AS kept, failed_bits FROM bits
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, (failed_bits & 255) = 0 AS kept, failed_bits, only_rule,
+  CASE WHEN only_rule IS NOT NULL THEN count(*) OVER (PARTITION BY only_rule) END AS n_only
+FROM (
+  SELECT *, CASE failed_bits & 255 WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'symbols' WHEN 8 THEN 'repeated_lines' WHEN 16 THEN 'short_words' WHEN 32 THEN 'long_words'
+    WHEN 64 THEN 'few_letters' WHEN 128 THEN 'giant_word' END AS only_rule FROM bits)
 """

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import in_order
+from tidemark.llm.common import apart, in_order
 
 SHARDS = 24
 
@@ -35,20 +35,23 @@ def shard_rows(df: DataFrame, key: str, weights: Sequence[float], grown: Sequenc
     """Columns key, *keep, shard, grown_shard and slot: the place in the shard in order of key.
 
     grown: the weights after a change; grown_shard is where the row would be then (null without it).
-    An empty table gives no rows. Repeated rows get a slot each; equal rows are interchangeable.
+    An empty table gives no rows. Repeated rows get a slot each; rows of one key follow each other in any order. A null
+    key counts as the empty string and comes first. Carried columns named like a result's get an underscore.
     """
+    names = [key, *keep]
     placed = df.select(
-        key,
-        *keep,
-        rendezvous(F.col(key), weights).alias("shard"),
-        (rendezvous(F.col(key), grown) if grown is not None else F.lit(None).cast("int")).alias("grown_shard"),
+        *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)),
+        rendezvous(F.col(f"`{key}`"), weights).alias("shard"),
+        (rendezvous(F.col(f"`{key}`"), grown) if grown is not None else F.lit(None).cast("int")).alias("grown_shard"),
     )
-    ordered = in_order(placed, ["shard", key], "shards")  # the sample that finds the ranges reads only the key
+    ordered = in_order(placed, ["shard", "c0"], "shards")  # the sample that finds the ranges reads only the key
     # One row for each range partition and shard in it: as many as partitions and shards together, whatever the input.
     starts = ordered.groupBy("part", "shard").agg(F.count("*").alias("n"), F.min("row").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = starts.select("part", "shard", (before - F.col("first")).alias("shift"))
-    return ordered.join(F.broadcast(starts), ["part", "shard"]).select(key, *keep, "shard", "grown_shard", (F.col("row") + F.col("shift")).alias("slot"))
+    out = ordered.join(F.broadcast(starts), ["part", "shard"])
+    shown = apart(names, ["shard", "grown_shard", "slot"])
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(shown)), "shard", "grown_shard", (F.col("row") + F.col("shift")).alias("slot"))
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,6 +104,10 @@ class DacReader:
         return out
 
 
+#: Texts on which an encoder must agree with the library before it is used.
+PROBES = ["", " ", "a", "Word, WORD word.", "it's don't we'll", "x1 22 3x", "a-b_c (d) e/f", "\u00e9 \u00c9 \u65e5\u672c\u8a9e \U0001f600", "a\tb\nc  d\u00a0e", "...!?", "<|endoftext|> a"]
+
+
 class WordEncoder:
     """A tokenizer whose words stand apart at white space, with the words it has met kept.
 
@@ -124,6 +128,9 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a run of letters
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
         self._forget()
+        got, ends = self.encode(pa.array(PROBES))
+        if [got[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)] != [self.t.encode(x, add_special_tokens=False).ids for x in PROBES]:
+            raise ValueError(f"{path}: this tokenizer's words don't stand apart at white space")
 
     def words(self, texts: pa.Array) -> pa.ListArray:
         low = pc.ascii_lower(texts)
@@ -210,7 +217,8 @@ def write_store(docs: DataFrame, path: str, to: str, end_id: int = END_ID, segme
 
     Null doc_ids come first, rows of one doc_id in any order; a null text is empty.
     One range exchange sorts the texts, with a salt so that a repeated doc_id spreads; encoding goes on
-    inside its tasks, a segment at a time.
+    inside its tasks, a segment at a time. A text of any length is whole inside one segment. Other columns are not read;
+    an empty table gives an empty store.
     """
     sort = [F.col("doc_id").asc_nulls_first(), F.rand(9)]  # the sample that finds the ranges reads no text
     ordered = docs.select("doc_id", "text").repartitionByRange(*sort).sortWithinPartitions(*sort)
@@ -281,6 +289,7 @@ def read_docs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all documents to a store of the public word vocabulary and reads each back by its place."""
     import public_tokenizers
 
     to = scratch_path(spark, "tokens")
