@@ -5,6 +5,7 @@ import datetime
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import asof, models, state
 from tidemark.operators import layers as L
@@ -27,6 +28,7 @@ def test_layers_do_not_look_ahead(spark):
     rng = np.random.default_rng(1)
     pdf = history(300, 100 * np.exp(np.cumsum(rng.normal(0, 0.03, 300))))
     pdf["volume"] = rng.uniform(1e5, 1e6, 300)
+    pdf["ema20"] = pdf["close"].ewm(span=20, adjust=False).mean()
     layers = [*layered.FULL, *L.CARRY, *L.CLIMAX, *L.PLATFORM]
     whole = L.stack(spark.createDataFrame(pdf), layers).drop("distress").orderBy("session").toPandas()
     for k in (150, 299):
@@ -88,6 +90,14 @@ def test_greedy_pairs_use_a_control_once(spark):
     assert got == [(10, 12), (11, 20)]
 
 
+def test_greedy_pairs_match_across_tickers_and_say_why_not(spark):
+    d = lambda m, x: datetime.date(2020, m, x)
+    rows = [("g", "a", d(1, 10), True, 1.0), ("g", "b", d(1, 11), False, 3.0), ("g", "c", d(1, 11), False, 2.0), ("g", "d", d(1, 12), True, None), ("g", "e", d(1, 13), True, 1.0), ("h", "a", d(1, 10), True, 1.0), ("h", "b", d(6, 10), False, 1.0), ("i", "a", d(1, 10), True, 1.0)]
+    df = spark.createDataFrame(rows, "grp string, ticker string, session date, is_event boolean, measure double")
+    got = {(r.grp, r.event_ticker): (r.control_ticker, r.status) for r in state.greedy_pairs(df, ["grp"]).collect()}
+    assert got == {("g", "a"): ("c", "matched"), ("g", "d"): ("b", "matched"), ("g", "e"): (None, "control_exhausted"), ("h", "a"): (None, "outside_date_window"), ("i", "a"): (None, "no_exact_stratum_control")}
+
+
 def test_isotonic_and_ridge(spark):
     df = spark.createDataFrame([("g", float(i), float(y)) for i, y in enumerate([0, 1, 0, 1, 1])], "grp string, score double, outcome double")
     got = [(r.upper, r.rate) for r in state.isotonic(df, "grp").orderBy("upper").collect()]
@@ -117,10 +127,21 @@ def test_validation_reasons(spark):
     assert storage.adjusted(got.where("reason IS NULL")).first().segment == 0
 
 
+def test_validation_goes_by_the_source_order(spark):
+    ok = dict(ticker="a", date="2020-01-02", open=1.0, high=2.0, low=0.5, close=1.5, adjusted_close=1.5, volume=1.0)
+    rows = spark.createDataFrame([(0, *{**ok, "open": None}.values()), (1, *ok.values()), (2, None, None, *[1.0] * 6), (3, "a", "2020-13-01", *[1.0] * 6)], "source_index int, " + storage.PROVIDER_BARS.simpleString()[7:-1].replace(":", " "))
+    got = {r.source_index: r.reason for r in storage.validate(rows, "source_index").collect()}
+    assert got == {0: "invalid_numeric", 1: "duplicate_date", 2: "invalid_row", 3: "invalid_date"}
+    got = {r.source_index: r.reason for r in storage.validate(rows).collect()}
+    assert got[0] == "duplicate_date" and got[1] is None
+
+
 def test_sinks(spark, tmp_path):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     assert sorted(map(tuple, storage.merged(old, new, ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    twice = spark.createDataFrame([(2, "y", 2), (2, "z", 1), (None, "n", 1), (None, "m", 1)], "k int, v string, at int")
+    assert sorted(map(tuple, storage.merged(old, twice, ["k"], "at").collect()), key=str) == [(1, "a"), (2, "y"), (None, "n")]
     assert sorted(map(tuple, storage.appended(old, new, ["k"]).collect())) == [(1, "a"), (2, "b"), (3, "d")]
     with pytest.raises(ValueError):
         storage.ledger_append(old, new, ["k"])
@@ -165,11 +186,28 @@ def test_normaliser(spark):
 
 def test_correction_chains(spark):
     trades = spark.createDataFrame([("s", 1, datetime.datetime(2020, 1, 1), i, 10.0, 1) for i in (1, 2, 3, 4)], "symbol string, ns long, event_ts timestamp, event_id long, price double, size long")
-    changes = spark.createDataFrame([(1, 11, 11.0), (11, 12, 12.0), (12, None, None), (2, 21, 21.0), (21, 22, 22.0), (3, None, None)], "old_id long, new_id long, price double")
+    changes = spark.createDataFrame([("s", 1, 11, 11.0), ("s", 11, 12, 12.0), ("s", 12, None, None), ("s", 2, 21, 21.0), ("s", 21, 22, 22.0), ("s", 3, None, None), ("other", 4, None, None)], "symbol string, old_id long, new_id long, price double")
     got = sorted((r.event_id, r.price) for r in T.effective(trades, changes).collect())
     assert got == [(2, 22.0), (4, 10.0)]
 
 
+def test_long_correction_chains_and_loops(spark):
+    at = datetime.datetime(2020, 1, 1)
+    trades = spark.createDataFrame([("s", 1, at, i, 10.0, 1) for i in (1, 500, 600, 700)], "symbol string, ns long, event_ts timestamp, event_id long, price double, size long")
+    chain = [("s", i, i + 1, float(i + 1)) for i in range(1, 40)]
+    loops = [("s", 500, 501, 1.0), ("s", 501, 502, 2.0), ("s", 502, 500, 3.0), ("s", 600, 501, 4.0), ("s", 701, 701, 5.0)]
+    got = [(r.event_id, r.price, r.replaced_by) for r in T.effective(trades, spark.createDataFrame(chain + loops, "symbol string, old_id long, new_id long, price double")).orderBy("event_id").collect()]
+    assert got == [(1, 40.0, 40), (700, 10.0, None)]
+    none = spark.createDataFrame([], "symbol string, old_id long, new_id long, price double")
+    assert T.effective(trades, none).count() == 4
+
+
+def test_duplicates_without_ids(spark):
+    at = datetime.datetime(2020, 1, 1)
+    e = spark.createDataFrame([("s", None, at, 1, "trade", 10.0, 1), ("s", None, at, 1, "trade", 11.0, 1), ("s", None, at, 801, "trade", 10.0, 1), ("s", 7, at, 1, "trade", 10.0, 1), ("s", 7, at, 1, "trade", 10.0, 1)], "symbol string, event_id long, event_ts timestamp, ns long, kind string, price double, size long")
+    assert T.deduplicated(e.unionByName(e)).count() == 4
+
+
 def test_streams_equal_batches(spark, tmp_path):
     events = B.market_events(spark, DATA)
     events.repartition(3).write.parquet(f"{tmp_path}/in")
@@ -206,8 +244,10 @@ def test_contraction_and_reasons(spark):
     assert patterns.contraction(base[:50], base[:50], base[:50], base[:50], 0.03)["stage"] == "insufficient_history"
     assert patterns.contraction(base[::-1], base[::-1], base[::-1], base, 0.03)["stage"] == "below_ma50"
     rows = spark.createDataFrame(history(len(base), base).assign(atr20=1.0))
-    out = patterns.contractions(rows, 50).orderBy("session").collect()
-    assert len(out) == len(range(50, len(base) + 1, 50)) + (len(base) % 50 > 0) and out[-1].stage == got["stage"]
+    out = patterns.contractions(rows).orderBy("session").collect()
+    assert len(out) == len(base) and out[-1].stage == got["stage"]
+    part = patterns.contractions(rows.limit(150).orderBy("session")).orderBy("session").collect()
+    assert part == out[: len(part)]
 
 
 def test_support_touch_outcomes(spark):
@@ -245,12 +285,211 @@ def test_lifecycle_ids_do_not_depend_on_later_rows(spark):
     assert part[0].event == whole[0].event
 
 
-def test_portfolios_keep_their_cash(spark):
-    n = 40
-    up, down = history(n, 100 * 1.01 ** np.arange(n), "UP"), history(n, 100 * 0.97 ** np.arange(n), "DOWN")
-    pdf = pd.concat([up.assign(score=2.0), down.assign(score=1.0)])
-    out = state.backtest(spark.createDataFrame(pdf), slots=1).orderBy("session").collect()
-    assert out[0].equity == pytest.approx(1.0) and out[-1].equity > 1.2 and max(r.positions for r in out) == 1
-    pdf = pdf.assign(m_close=100.0, exposure=1.0, atr20=2.0)
-    out = state.core_satellite(spark.createDataFrame(pdf), slots=2).orderBy("session").collect()
-    assert out[0].equity == pytest.approx(1.0) and all(r.equity > 0.5 for r in out)
+def flat_market(days, close=100.0, exposure=1.0):
+    return pd.DataFrame({"session": days, "open_": True, "price": close, "exposure": exposure})
+
+
+def scored(pdf, score):
+    return pdf.assign(score=score, sma20=pdf["close"].rolling(20).mean(), atr20=2.0, event_ahead=False)
+
+
+def test_backtest_exits_by_hand(spark):
+    """One place; each ticker leaves for its own reason."""
+    from tidemark.operators import portfolio
+
+    rules = portfolio.Rules(slots=1, weight=1.0, every=1, warmup=3, cost=0.0, average=None, sell=None)
+    for path, reason, day in (([10, 10, 10, 10, 9.4, 9.2], "stop", 5), ([10, 10, 10, 10, 12, 12.6], "take", 5), ([10, 10, 10, 10, 12, 10.7], "trail", 5)):
+        pdf = scored(history(len(path), path, "AAA"), 60.0)
+        bars, market = spark.createDataFrame(pdf), spark.createDataFrame(flat_market(pdf["session"]))
+        equity, trades = portfolio.replay(bars, market, rules, 1000.0)
+        t = trades.collect()
+        assert [(r.reason, r.bought, r.sold, r.entry, r.exit) for r in t] == [(reason, pdf["session"][3], pdf["session"][day], 10.0, path[day])]
+        assert equity.orderBy("session").collect()[-1].equity == pytest.approx(1000.0 * path[day] / 10)
+
+
+def test_backtest_against_a_plain_replay(spark):
+    """All tickers and all sessions walked in one loop, from the rules."""
+    from tidemark.operators import portfolio
+
+    rng = np.random.default_rng(4)
+    n, frames = 140, []
+    for k in range(12):
+        pdf = history(n, 50 * np.exp(np.cumsum(rng.normal(0.001, 0.03, n))), f"T{k:02d}")
+        frames.append(scored(pdf, 50 + rng.normal(0, 12, n)))
+    pdf = pd.concat(frames)
+    days = list(frames[0]["session"])
+    ok = rng.random(n) > 0.1
+    market = flat_market(days).assign(open_=ok)
+    rules = portfolio.SINGLE
+    equity, trades = portfolio.replay(spark.createDataFrame(pdf), spark.createDataFrame(market), rules)
+    close, score, mean = (pdf.pivot(index="session", columns="ticker", values=c).to_numpy() for c in ("close", "score", "sma20"))
+    names = sorted(set(pdf["ticker"]))
+    cash, held, want, sold = 100_000.0, {}, [], 0
+    for k in range(rules.warmup, n):
+        decides = (k - rules.warmup) % 5 == 0
+        for t in list(held):
+            shares, entry, high = held[t]
+            px = close[k, t]
+            held[t] = (shares, entry, high := max(high, px))
+            if px / entry - 1 <= -0.07 or px / entry - 1 >= 0.25 or px <= high * 0.9 or px < mean[k, t] * 0.98 or not ok[k] or (decides and score[k, t] < 40):
+                cash += shares * px * 0.999
+                del held[t]
+                sold += 1
+        if decides and ok[k]:
+            total = cash + sum(s * close[k, t] for t, (s, _, _) in held.items())
+            best = sorted((t for t in range(12) if t not in held and score[k, t] >= 55), key=lambda t: (-score[k, t], names[t]))
+            for t in best[: 5 - len(held)]:
+                size = min(total * 0.2, cash)
+                shares = int(size / (close[k, t] * 1.001)) if size >= 0.02 * total else 0
+                if shares:
+                    cash -= shares * close[k, t] * 1.001
+                    held[t] = (shares, close[k, t], close[k, t])
+        want.append(cash + sum(s * close[k, t] for t, (s, _, _) in held.items()))
+    assert [r.equity for r in equity.orderBy("session").collect()] == pytest.approx(want) and trades.count() == sold > 20
+
+
+def test_core_satellite(spark):
+    from tidemark.operators import portfolio
+
+    n = 90
+    up, down = history(n, 100 * 1.01 ** np.arange(n), "UP"), history(n, np.r_[np.full(70, 100.0), 100 * 0.97 ** np.arange(20)], "DOWN")
+    bars = spark.createDataFrame(pd.concat([scored(up, 60.0), scored(down, 70.0)]))
+    equity, trades = portfolio.replay(bars, spark.createDataFrame(flat_market(up["session"])), portfolio.SATELLITES)
+    rows = equity.orderBy("session").collect()
+    assert rows[0].equity == pytest.approx(100_000, rel=0.002) and max(r.positions for r in rows) == 2
+    assert [(r.ticker, r.reason, r.entry) for r in trades.collect()][:1] == [("DOWN", "range_stop", 100.0)]
+
+
+def test_slow_decline_rules_by_hand(spark):
+    """Nine rules over a steady fall: all points but for what is unknown."""
+    n = 80
+    pdf = history(n, 100 * 0.99 ** np.arange(n), volume=1e6)
+    pdf["ema20"] = pdf["close"].ewm(span=20, adjust=False).mean()
+    pdf = pdf.assign(m_close=100.0, g_close=100.0)
+    out = L.stack(spark.createDataFrame(pdf), [*layered.FULL, *L.RELATIVE, *L.DECLINE]).orderBy("session").collect()
+    # No distribution days: that rule's 10 points of 100 are missed. Before session 60 the change over 60 lacks.
+    assert out[-1].decline_score == 90.0 and out[60].decline_score == 90.0
+    assert out[55].decline_score == pytest.approx(round(75 / 85 * 100, 2)) and out[10].decline_score is None
+
+
+def test_climax_conditions_by_hand(spark):
+    n = 100
+    close = np.r_[np.full(60, 100.0), 100 * 1.03 ** np.arange(1, 41)]
+    pdf = history(n, close, open=close * 0.999)
+    pdf["volume"] = np.where(np.arange(n) >= 95, 5e6, 1e6)
+    pdf["ema20"] = pdf["close"].ewm(span=20, adjust=False).mean()
+    out = L.stack(spark.createDataFrame(pdf), [*layered.FULL, *L.CLIMAX]).orderBy("session").collect()
+    assert out[59].climax_score == 0 and not out[59].climax_candidate and out[59].climax_conditions == ""
+    last = out[-1]
+    assert {"acceleration", "repeated_large_up_days", "ema_extension", "abnormal_volume"} <= set(last.climax_conditions.split(",")) and "repeated_gap_up" in last.climax_conditions
+    assert last.climax_candidate and last.climax_score == 20 * len(last.climax_conditions.split(","))
+
+
+def test_churn_waits_for_its_inputs(spark):
+    out = L.stack(spark.createDataFrame(history(40)), [*L.PRESSURE, *L.COUNTS]).orderBy("session").collect()
+    assert [r.churn is None for r in out] == [True] * 20 + [False] * 20
+    assert [r.churn_10 is None for r in out] == [True] * 29 + [False] * 11
+
+
+def test_labels_need_a_finite_path(spark):
+    pdf = history(12)
+    pdf.loc[6, "low"] = np.nan
+    out = L.stack(spark.createDataFrame(pdf), L.labels(3)).orderBy("session").collect()
+    assert [r.mature for r in out] == [i + 3 < 12 and not i < 6 <= i + 3 for i in range(12)]
+    assert [r.reason for r in out] == [None if m.mature else "immature_future_path" if i + 3 >= 12 else "invalid_future_path" for i, m in enumerate(out)]
+    assert all((r.fwd is None) == (r.mae is None) == (r.tail_up is None) == (not r.mature) for r in out)
+
+
+def test_rating_is_rounded_half_to_even(spark):
+    days = pd.bdate_range("2024-01-01", periods=260).date
+    frames = [pd.DataFrame({"ticker": t, "session": days[-n:], "close": np.geomspace(100, 100 * k, n)}) for t, k, n in (("FAST", 2, 253), ("SLOW", 1.1, 253), ("SHORT", 3, 252))]
+    got = {r.ticker: r.rating for r in L.stack(spark.createDataFrame(pd.concat(frames)), L.STRENGTH).where("strength IS NOT NULL").collect()}
+    assert got == {"FAST": 99.0, "SLOW": 50.0}
+
+
+def gate_history(lead, second=None, n=30, above=0.7, volume=None):
+    days = pd.bdate_range("2020-01-01", periods=len(lead)).date
+    lead = np.asarray(lead, float)
+    volume = np.full(len(lead), 1e6) if volume is None else volume
+    return pd.DataFrame({"session": days, "l_close": lead, "l_volume": volume, "s_close": lead if second is None else second, "s_volume": volume, "above_ema20": above, "above_sma50": above, "n": n})
+
+
+def test_market_gate_states():
+    rise = 100 * 1.002 ** np.arange(220)
+    got = state.gate(gate_history(rise))
+    assert list(got.state[:199]) == ["unavailable"] * 199 and set(got.state[199:]) == {"confirmed_uptrend"}
+    assert set(state.gate(gate_history(rise, n=10)).state) == {"unavailable"}
+    # A fall of 12 percent, then rises of 0.5 percent with one of 2 percent on more volume on the fifth rally day.
+    fall = rise[-1] * np.array([0.96, 0.92, 0.88])
+    rally = fall[-1] * np.cumprod([1.005, 1.005, 1.005, 1.005, 1.02, 1.002])
+    path = np.r_[rise, fall, rally]
+    volume = np.full(len(path), 1e6)
+    volume[220 + 3 + 4] = 2e6
+    got = state.gate(gate_history(path, volume=volume))
+    assert list(got.state[220:]) == ["uptrend_under_pressure", "market_in_correction", "market_in_correction"] + ["rally_attempt"] * 4 + ["confirmed_uptrend", "market_in_correction"]
+    assert list(got.rally_day[223:228]) == [1, 2, 3, 4, 5] and got.follow_through[227] == got.session[227] and got.follow_through.iloc[-1] is None
+    # The second index must rise as much.
+    second = path.copy()
+    second[227:] = second[226]
+    assert state.gate(gate_history(path, second, volume=volume)).state.iloc[227] == "rally_attempt"
+    # While breadth lacks nothing moves; then the rally goes on from its day.
+    gap = gate_history(path, volume=volume)
+    gap.loc[225, "n"] = 0
+    got = state.gate(gap)
+    assert list(got.state[223:227]) == ["rally_attempt", "rally_attempt", "unavailable", "rally_attempt"] and list(got.rally_day[223:227]) == [1, 2, 0, 3]
+
+
+def test_distribution_days_expire_and_are_removed():
+    close = np.r_[100, 99, np.full(30, 99.0)]
+    volume = np.r_[1.0, 2.0, np.full(30, 1.0)]
+    got = state._distribution_days(close, volume)
+    assert list(got) == [0] + [1] * 25 + [0] * 6
+    close[5:] = 104.5
+    assert list(state._distribution_days(close, volume))[:7] == [0, 1, 1, 1, 1, 0, 0]
+
+
+def test_order_without_one_task(spark):
+    from tidemark.operators import folds, order
+
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"x": rng.integers(0, 40, 500), "y": rng.random(500) < 0.3})
+    got = order.roc_auc(spark.createDataFrame(pdf), "x", "y").first()
+    p, q = pdf.x[pdf.y].to_numpy(), pdf.x[~pdf.y].to_numpy()
+    assert got.auc == pytest.approx(((p[:, None] > q).sum() + (p[:, None] == q).sum() / 2) / (len(p) * len(q))) and got.n_pos == len(p)
+    assert order.roc_auc(spark.createDataFrame(pdf[pdf.y]), "x", "y").first().auc is None
+    sizes = [r["count"] for r in order.tiles(spark.range(13).withColumnRenamed("id", "x"), ["x"], 5).groupBy("tile").count().orderBy("tile").collect()]
+    assert sizes == [3, 3, 3, 2, 2]
+    d = [datetime.date(2020, 1, k + 1) for k in range(12)]
+    df = spark.createDataFrame([(d[k], d[k + 2] if k + 2 < 12 else None) for k in range(12)], "session date, label_end date")
+    got = {(r.fold, r.role): r.n for r in folds.purged_folds(df, 4).groupBy("fold", "role").agg(F.count("*").alias("n")).collect()}
+    assert got == {(1, "test"): 3, (2, "test"): 3, (3, "test"): 1, (1, "train"): 1, (2, "train"): 4, (3, "train"): 7}
+    assert [r.n for r in folds.eligible(df, df).orderBy("session").collect()] == [max(0, k - 2) for k in range(12)]
+
+
+def test_artifacts_codec_and_reports(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", datetime.date(2020, 1, 1)), (2, None, None)], "k int, v string, d date")
+    root = f"{tmp_path}/cache"
+    paths = [storage.store_artifact(df, root, {"day": i}) for i in range(3)]
+    assert storage.store_artifact(df, root, {"day": 0}) == paths[0]
+    assert sorted(map(str, storage.load_artifact(spark, root, {"day": 1}).collect())) == sorted(map(str, df.collect())) and storage.load_artifact(spark, root, {"day": 9}) is None
+    df.limit(1).write.mode("append").parquet(f"{paths[1]}/data")
+    assert storage.load_artifact(spark, root, {"day": 1}) is None
+    assert storage.prune_artifacts(spark, root, 1) == 2 and storage.load_artifact(spark, root, {"day": 2}).count() == 2
+    coded = storage.encode_frame(df)
+    assert sorted(map(str, storage.decode_frame(coded, df.schema).collect())) == sorted(map(str, df.collect()))
+    with pytest.raises(Exception):
+        storage.decode_frame(coded, df.schema, 10).collect()
+    with pytest.raises(Exception):
+        storage.decode_frame(coded, df.select("k").schema).collect()
+    for version in (df, df.limit(1)):
+        storage.publish(version, f"{tmp_path}/report")
+        assert spark.read.json(f"{tmp_path}/report/json").count() == version.count() and spark.read.option("header", True).csv(f"{tmp_path}/report/csv").count() == version.count()
+    with pytest.raises(Exception):
+        storage.publish(df.selectExpr("raise_error('no') AS x"), f"{tmp_path}/report")
+    assert spark.read.json(f"{tmp_path}/report/json").count() == 1
+
+
+def test_moving_blocks(spark):
+    rows = spark.range(2000).selectExpr("date_add(DATE '2020-01-01', CAST(id div 10 AS INT)) AS session", "CAST(id % 10 AS DOUBLE) AS v")
+    r = models.moving_block_bootstrap(rows, "session", "v", 20, 300).first()
+    assert r.low <= 4.5 <= r.high and abs(r["mean"] - 4.5) < 0.1

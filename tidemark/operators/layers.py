@@ -50,9 +50,9 @@ COUNTS: list[Layer] = [
         **{f"distribution_{n}": full("sum", "CASE WHEN distribution THEN 1 ELSE 0 END", n, trailing(n)) for n in (5, 10, 20)},
         "failed_10": full("sum", "CASE WHEN failed_breakout THEN 1 ELSE 0 END", 10, trailing(10)),
         "gated_up_10": f"CASE WHEN count(ret) {trailing(10)} = 10 THEN sum(CASE WHEN ret > 0 THEN 1 ELSE 0 END) {trailing(10)} END",
-        "churn": sure("non_progress OR (vr >= 1.5 AND abs(ret) <= 0.01 AND cl <= -0.2)"),
+        "churn": "CASE WHEN vr IS NOT NULL AND cl IS NOT NULL AND ret IS NOT NULL THEN non_progress OR (vr >= 1.5 AND abs(ret) <= 0.01 AND cl <= -0.2) END",
     },
-    {"churn_10": full("sum", "CASE WHEN churn THEN 1 ELSE 0 END", 10, trailing(10))},
+    {"churn_10": full("sum", "CASE WHEN churn THEN 1 WHEN NOT churn THEN 0 END", 10, trailing(10))},
 ]
 
 TREND: list[Layer] = [
@@ -116,7 +116,7 @@ RELATIVE: list[Layer] = [
 STRENGTH: list[Layer] = [
     {"strength": f"0.4D * ({change('close', 63)}) + 0.2D * ({change('close', 126)}) + 0.2D * ({change('close', 189)}) + 0.2D * ({change('close', 252)})"},
     {"strength_pct": rank_pct("strength", "session")},
-    {"rating_raw": "1 + 98 * strength_pct"},
+    {"rating": "least(99, greatest(1, bround(1 + 98 * strength_pct, 0)))"},
 ]
 
 #: Tests of the breakout pivot carried to later sessions, and what came of breakouts.
@@ -132,31 +132,38 @@ CARRY: list[Layer] = [
     {"sessions_since_test": "pos - last_test_pos", "follow_window": sure("pos - last_accept_pos BETWEEN 1 AND 3")},
 ]
 
-#: Slow decline: nine weighted rules, scored where four fifths of the weight is available.
+#: Slow decline: nine weighted rules, scored where four fifths of the weight is available. Reads ema20 and the group's g_close.
 _DECLINE = [
     rule("chg_20", 15, "<= -0.05", "<= 0"),
     rule("chg_60", 15, "<= -0.10", "<= -0.03"),
-    rule("(close - sma20)", 15, "< 0"),
-    rule("sma20_slope", 10, "<= -0.005", "<= 0"),
+    rule("(close - ema20)", 15, "< 0"),
+    rule("ema20_slope", 10, "<= -0.005", "<= 0"),
     rule("(close - sma50)", 15, "< 0"),
     rule("chg_5", 10, "<= -0.02", "<= 0"),
     rule("distribution_20", 10, ">= 3", ">= 1"),
-    rule("rel_20", 10, "<= -0.03", "<= 0"),
+    rule("group_rel_20", 5, "<= -0.03", "<= 0"),
+    rule("rel_20", 5, "<= -0.03", "<= 0"),
+]
+DECLINE: list[Layer] = [
+    {"ema20_slope": change("ema20", 5), "g_chg_20": change("g_close", 20)},
+    {"group_rel_20": "chg_20 - g_chg_20"},
+    {"decline_score": f"round({coverage_score(_DECLINE, 0.8, 100)}, 2)"},
 ]
-DECLINE: list[Layer] = [{"sma20_slope": change("sma20", 5)}, {"decline_score": coverage_score(_DECLINE, 0.8, 100)}]
 
-#: Climax run: six conditions of 20 points each, at most 100.
+#: Climax run: six conditions of 20 points each, at most 100; a candidate if three hold after an advance of 30 percent in 60 sessions.
+_CLIMAX = {
+    "acceleration": "chg_15 >= 0.25",
+    "repeated_large_up_days": f"{full('sum', '(CASE WHEN ret >= 0.018 THEN 1 ELSE 0 END)', 10, trailing(10))} >= 3",
+    "range_expansion": "atr5 / nullif(atr20, 0) >= 1.35",
+    "ema_extension": "(close - ema20) / nullif(atr20, 0) >= 2.5",
+    "abnormal_volume": f"{full('sum', '(CASE WHEN vr >= 1.8 THEN 1 ELSE 0 END)', 10, trailing(10))} >= 2",
+    "repeated_gap_up": f"{full('sum', '(CASE WHEN gap_up THEN 1 ELSE 0 END)', 10, trailing(10))} >= 2",
+}
 CLIMAX: list[Layer] = [
-    {"prior_chg_60": lag("chg_60"), "gap_up": sure(f"open / nullif({lag('high')}, 0) - 1 >= 0.015"), "atr5": sma("tr", 5)},
-    {
-        "c_prior": sure("prior_chg_60 >= 0.30"),
-        "c_fast": sure("chg_15 >= 0.25"),
-        "c_range": sure("atr5 / nullif(atr20, 0) >= 1.35"),
-        "c_stretched": sure("(close - sma20) / nullif(atr20, 0) >= 2.5"),
-        "c_volume": sure(f"sum(CASE WHEN vr >= 1.8 THEN 1 ELSE 0 END) {trailing(10)} >= 2"),
-        "c_gaps": sure(f"sum(CASE WHEN gap_up THEN 1 ELSE 0 END) {trailing(10)} >= 2"),
-    },
-    {"climax_score": "least(100, 20 * (" + " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c in ("c_prior", "c_fast", "c_range", "c_stretched", "c_volume", "c_gaps")) + "))"},
+    {"gap_up": sure(f"open / nullif({lag('high')}, 0) - 1 >= 0.015"), "atr5": sma("tr", 5)},
+    {f"c_{k}": sure(v) for k, v in _CLIMAX.items()},
+    {"n_climax": " + ".join(f"CASE WHEN c_{k} THEN 1 ELSE 0 END" for k in _CLIMAX), "climax_conditions": "concat_ws(',', " + ", ".join(f"CASE WHEN c_{k} THEN '{k}' END" for k in _CLIMAX) + ")"},
+    {"climax_score": "least(100, 20 * n_climax)", "climax_candidate": sure("chg_60 >= 0.30 AND n_climax >= 3")},
 ]
 
 #: Supply pressure from capped groups of atoms.
@@ -186,7 +193,12 @@ PLATFORM: list[Layer] = [
     {"tight_platform": sure("pos >= 20 AND width <= greatest(6, 4 * atr20 / nullif(close, 0) * 100) AND abs(chg_20) / nullif(path, 0) <= 0.35")},
 ]
 
-#: Labels: entry at the next open, exit h sessions on, the path between, and why one is missing.
+#: A bar whose four prices are numbers: what is infinite, NaN or missing minus itself is not 0.
+FINITE = " AND ".join(f"{c} - {c} = 0" for c in ("open", "high", "low", "close"))
+
+
+#: Labels: entry at the next open, exit h sessions on, the path between, and why one is missing. An outcome is mature when
+#: all h bars of the path are finite and the entry is above 0, else all outcomes are null.
 def labels(h: int) -> list[Layer]:
     return [
         {
@@ -196,13 +208,14 @@ def labels(h: int) -> list[Layer]:
             "path_low": full("min", "low", h, future(h)),
             "path_high": full("max", "high", h, future(h)),
             "path_close_low": full("min", "close", h, future(h)),
+            "path_bars": f"count(CASE WHEN {FINITE} THEN 1 END) {future(h)}",
         },
+        {"mature": sure(f"path_bars = {h} AND entry > 0")},
         {
-            "fwd": "exit / nullif(entry, 0) - 1",
-            "mae": "path_low / nullif(entry, 0) - 1",
-            "mfe": "path_high / nullif(entry, 0) - 1",
-            "mature": "exit IS NOT NULL",
-            "reason": "CASE WHEN exit IS NULL THEN 'immature_future_path' WHEN entry <= 0 THEN 'invalid_future_path' END",
+            "fwd": "CASE WHEN mature THEN exit / entry - 1 END",
+            "mae": "CASE WHEN mature THEN path_low / entry - 1 END",
+            "mfe": "CASE WHEN mature THEN path_high / entry - 1 END",
+            "reason": "CASE WHEN mature THEN NULL WHEN label_end IS NULL THEN 'immature_future_path' ELSE 'invalid_future_path' END",
         },
         {
             "tail_down": "CASE WHEN mature THEN fwd <= -0.05 OR mae <= -0.07 END",

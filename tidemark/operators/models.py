@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.order import numbered_sessions
+
 
 def ridge(rows: DataFrame, features: list[str], target: str, alpha: float = 1.0) -> DataFrame:
     """term, weight of a ridge fit on standardised features (population variance) with a free intercept.
@@ -40,7 +42,7 @@ def linear_scores(rows: DataFrame, weights: dict[str, float], intercept: float,
     return rows.withColumn("score", score)
 
 
-def block_bootstrap(rows: DataFrame, block: str, value: str, resamples: int = 200, seed: int = 7) -> DataFrame:
+def block_bootstrap(rows: DataFrame, block: str, value: str, resamples: int = 2000, seed: int = 7) -> DataFrame:
     """mean, low and high (2.5 and 97.5 percent) of the mean under resampling whole blocks.
 
     Blocks shrink to sums and counts first; each resample then weights every block by a Poisson(1) draw from
@@ -57,3 +59,25 @@ def block_bootstrap(rows: DataFrame, block: str, value: str, resamples: int = 20
     drawn = sums.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("w", weight)
     means = drawn.groupBy("b").agg((F.sum(F.col("s") * F.col("w")) / F.greatest(F.sum(F.col("n") * F.col("w")), F.lit(1))).alias("m"))
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+
+
+def moving_block_bootstrap(rows: DataFrame, session: str, value: str, length: int = 40, resamples: int = 2000, seed: int = 7) -> DataFrame:
+    """mean, low and high of the mean under resampling overlapping blocks of `length` sessions.
+
+    Sessions shrink to sums first, and each block to the sums of its sessions by one window over the calendar; a resample
+    draws about sessions / length blocks: each block counts by a Poisson draw of that mean share from a seeded hash.
+    """
+    sums = rows.groupBy(session).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    placed = sums.join(numbered_sessions(sums, session), session)
+    ahead = Window.orderBy("number").rowsBetween(0, length - 1)  # a row a session
+    blocks = placed.select("number", F.sum("s").over(ahead).alias("s"), F.sum("n").over(ahead).alias("n"), F.count("*").over(ahead).alias("long")).where(F.col("long") == length)
+    u = (F.pmod(F.xxhash64("number", "b", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    cut, total, p = [], 0.0, float(np.exp(-1 / length))
+    for k in range(6):
+        total += p
+        cut.append(total)
+        p /= length * (k + 1)
+    weight = sum((F.when(u > c, 1).otherwise(0) for c in cut), F.lit(0))
+    drawn = blocks.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("w", weight).where("w > 0")
+    means = drawn.groupBy("b").agg((F.sum(F.col("s") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("m"))
+    return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))

@@ -66,8 +66,8 @@ def contraction(high: np.ndarray, low: np.ndarray, close: np.ndarray, volume: np
     return {"stage": stage, "base": length, "n_legs": len(depths), "first_depth": depths[0], "last_depth": depths[-1], "pivot": pivot, "distance": distance, "dry_up": float(volume[-10:].mean() / volume[-50:].mean())}
 
 
-def contractions(df: DataFrame, every: int = 10) -> DataFrame:
-    """contraction() at every so many sessions and at the last one of each ticker, from the 200 sessions up to it."""
+def contractions(df: DataFrame, every: int = 1) -> DataFrame:
+    """contraction() at every so many sessions of each ticker, from the 200 sessions up to it."""
     names = ("stage", "base", "n_legs", "first_depth", "last_depth", "pivot", "distance", "dry_up")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -75,7 +75,7 @@ def contractions(df: DataFrame, every: int = 10) -> DataFrame:
         h, lo, c, v, t = (pdf[k].to_numpy(float) for k in ("high", "low", "close", "volume", "range_share"))
         rows = []
         for i in range(len(pdf)):
-            if (i + 1) % every and i + 1 < len(pdf):
+            if (i + 1) % every:
                 continue
             s = slice(max(0, i - 199), i + 1)
             threshold = float(np.clip(1.5 * t[i], 0.03, 0.10)) if np.isfinite(t[i]) else 0.03

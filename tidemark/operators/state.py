@@ -25,23 +25,34 @@ def emas(df: DataFrame, spans: tuple[int, ...] = (10, 20, 50)) -> DataFrame:
     return df.select("ticker", "session", "close").groupBy("ticker").applyInPandas(run, "ticker string, session date, " + ", ".join(f"ema{n} double" for n in spans))
 
 
+def with_emas(df: DataFrame, spans: tuple[int, ...] = (20,)) -> DataFrame:
+    """df's columns and an exponential mean of close for each span, seeded with the first close."""
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in df.schema), *(f"ema{n} double" for n in spans)])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("session")
+        return pdf.assign(**{f"ema{n}": pdf["close"].ewm(span=n, adjust=False).mean() for n in spans})
+
+    return df.groupBy("ticker").applyInPandas(run, schema)
+
+
 def remember(raw: np.ndarray, half_life: float = 5.0, window: int = 10, active: float = 20.0) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Risk memory: a score fades by half in half_life sessions and is forgotten after `window`, unless a new one is as high.
+    """Risk memory: (score, age in known sessions, label) of each session.
 
-    Labels: unavailable without a score; inactive below `active`; else fading when carried, persistent when
-    renewed while active, new otherwise. Missing scores leave the memory as it was.
+    The memory at a known session is the highest of its own score and of earlier ones, each halved for every half_life of
+    known sessions since; scores of `window` or more sessions ago are forgotten, once one is replaced it does not return.
+    So it is a fold over (value, age). Missing scores are unavailable and take no part.
     """
-    scores, ages, labels = np.full(len(raw), np.nan), np.full(len(raw), np.nan), []
-    fade, held, age = 0.5 ** (1 / half_life), None, 0
-    for i, x in enumerate(raw):
-        if not np.isfinite(x):
-            labels.append("unavailable")
-            continue
-        was_active = held is not None and held >= active
-        carried = held * fade if held is not None and age + 1 < window else -np.inf
-        held, age = (x, 0) if x >= carried else (carried, age + 1)
-        scores[i], ages[i] = held, age
-        labels.append("inactive" if held < active else "fading" if age else "persistent" if was_active else "new")
+    known = np.flatnonzero(np.isfinite(raw))
+    scores, ages, labels = np.full(len(raw), np.nan), np.full(len(raw), np.nan), ["unavailable"] * len(raw)
+    value, age = -np.inf, window
+    for i in known:
+        faded = value * 2.0 ** (-1 / half_life) if age + 1 < window else -np.inf
+        kind = "persistent" if value >= active else "new"
+        value, age = max((raw[i], -0), (faded, -(age + 1)))
+        age = -age
+        scores[i], ages[i] = value, age
+        labels[i] = "inactive" if value < active else kind if age == 0 else "fading"
     return scores, ages, labels
 
 
@@ -108,35 +119,66 @@ def zigzag(df: DataFrame) -> DataFrame:
     return df.select("ticker", "session", "high", "low", "close", "atr20").groupBy("ticker").applyInPandas(run, "ticker string, session date, confirmed date, kind string, price double")
 
 
-def gate(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Market gate over one index: correction, rally attempt, confirmed uptrend, pressure or range; frozen while inputs lack."""
+def _distribution_days(close: np.ndarray, volume: np.ndarray, window: int = 25, gain: float = 0.05) -> np.ndarray:
+    """Distribution days that count at each session: falls of 0.2 percent on more volume, until they are `window` sessions old or the close is `gain` above theirs."""
+    out = np.zeros(len(close), int)
+    for i in range(len(close)):
+        days = range(max(1, i - window + 1), i + 1)
+        out[i] = sum(close[j] / close[j - 1] - 1 <= -0.002 and volume[j] > volume[j - 1] and (close[j + 1 : i + 1] < close[j] * (1 + gain)).all() for j in days)
+    return out
+
+
+def gate(pdf: pd.DataFrame, minimum_breadth: int = 20, minimum_sessions: int = 200) -> pd.DataFrame:
+    """Market gate over two indices and the market's breadth, one row a session: state, rally day and last follow-through.
+
+    pdf: session, lead and second close and volume (l_close, l_volume, s_close, s_volume), the shares of stocks above
+    their means (above_ema20, above_sma50) and how many count (n). Where evidence lacks the state is `unavailable`; the
+    machine stands still meanwhile and goes on from where it was.
+    """
     pdf = pdf.sort_values("session").reset_index(drop=True)
-    state, day, low = "range_bound", 0, np.inf
-    out = []
-    for r in pdf.itertuples():
-        if pd.isna(r.sma50) or pd.isna(r.chg_20):
-            out.append(state)
+    lc, lv, sc, sv = (pdf[c].astype(float) for c in ("l_close", "l_volume", "s_close", "s_volume"))
+    e = pd.DataFrame({"c": lc, "ema": lc.ewm(span=20, adjust=False).mean(), "m50": lc.rolling(50).mean(), "m200": lc.rolling(200).mean(), "r5": lc / lc.shift(5) - 1, "r20": lc / lc.shift(20) - 1, "dd": lc / lc.shift(1).rolling(63).max() - 1})
+    e = e.assign(sc=sc, sema=sc.ewm(span=20, adjust=False).mean(), sm50=sc.rolling(50).mean(), sm200=sc.rolling(200).mean(), be=pdf["above_ema20"].astype(float), bs=pdf["above_sma50"].astype(float))
+    e["days"] = np.maximum(_distribution_days(lc.to_numpy(), lv.to_numpy()), _distribution_days(sc.to_numpy(), sv.to_numpy()))
+    known = np.isfinite(e[["m200", "sm200", "r20", "dd", "be", "bs"]]).all(axis=1) & (pdf["n"] >= minimum_breadth) & (np.arange(len(e)) + 1 >= minimum_sessions)
+    correction = (e.r5 <= -0.07) | ((e.c < e.m50) & ((e.r20 <= -0.05) | (e.dd <= -0.08) | (e.sc < e.sm50))) | ((e.days >= 5) & (e.c < e.ema))
+    strong = (e.c > e.ema) & (e.ema > e.m50) & (e.c > e.m200) & (e.sc > e.sema) & (e.sc > e.sm50) & (e.be >= 0.55) & (e.bs >= 0.50) & (e.r20 > 0)
+    pressure = (e.days >= 4) | ((e.c < e.ema).astype(int) + (e.sc < e.sema).astype(int) + (e.be < 0.50).astype(int) >= 2)
+    recovery = (e.c > e.ema) & (e.c > e.m50) & (e.sc > e.sema) & (e.days <= 2) & (e.be >= 0.55)
+    up = lc > lc.shift(1)
+    follow = (lc / lc.shift(1) - 1 >= 0.015) & (sc / sc.shift(1) - 1 >= 0.015) & (lv > lv.shift(1)) & (sv > sv.shift(1))
+    state, day, low, start, ftd, out = "range_bound", 0, None, None, None, []
+
+    def fall(i: int) -> None:
+        nonlocal state, day, low, start, ftd
+        state, day, low, start, ftd = "market_in_correction", 0, lc[i], None, None
+
+    for i in range(len(e)):
+        if not known[i]:
+            out.append(("unavailable", 0, None))
             continue
-        correction = r.chg_5 <= -0.07 or (r.close < r.sma50 and (r.chg_20 <= -0.05)) or (r.dist >= 5 and r.close < r.sma20)
         if state == "market_in_correction":
-            if r.ret > 0:
-                state, day, low = "rally_attempt", 1, r.low
+            low = lc[i] if low is None else min(low, lc[i])
+            if up[i]:
+                state, day, start = "rally_attempt", 1, i
         elif state == "rally_attempt":
-            day += 1
-            if r.low < low or day > 10:
-                state = "market_in_correction"
-            elif 4 <= day <= 10 and r.ret >= 0.015 and r.volume > r.prev_volume:
-                state = "confirmed_uptrend"
-        elif correction:
-            state = "market_in_correction"
-        elif r.dist >= 4:
+            if lc[i] < low or (correction[i] and not up[i]):
+                fall(i)
+            else:
+                day += 1
+                if 4 <= day <= 10 and follow[i]:
+                    state, start, ftd = "confirmed_uptrend", None, pdf["session"][i]
+                elif day > 10:
+                    stale = float(lc[start : i + 1].min())
+                    state, day, low, start = "market_in_correction", 0, stale, None
+        elif correction[i]:
+            fall(i)
+        elif state == "confirmed_uptrend" and pressure[i]:
             state = "uptrend_under_pressure"
-        elif r.close > r.sma20 > r.sma50 and r.chg_20 > 0:
-            state = "confirmed_uptrend"
-        elif state == "uptrend_under_pressure" and r.dist <= 2 and r.close > r.sma50:
+        elif (state == "uptrend_under_pressure" and recovery[i]) or (state == "range_bound" and strong[i]):
             state = "confirmed_uptrend"
-        out.append(state)
-    return pd.DataFrame({"session": pdf["session"], "state": out})
+        out.append((state, day, ftd))
+    return pd.DataFrame({"session": pdf["session"], "state": [o[0] for o in out], "rally_day": [o[1] for o in out], "follow_through": [o[2] for o in out], "distribution_days": e["days"].astype("int64")})
 
 
 def lifecycle(df: DataFrame, limit: int = 60) -> DataFrame:
@@ -177,28 +219,33 @@ def lifecycle(df: DataFrame, limit: int = 60) -> DataFrame:
 
 
 def greedy_pairs(df: DataFrame, stratum: list[str], days: int = 63) -> DataFrame:
-    """Matches each event to the nearest control of its stratum that no earlier event took: by days, then measure.
+    """Matches each event to a control of its stratum that no earlier event took: the nearest by days, then by measure, session and ticker.
 
-    Sequential by nature, so a stratum is one group; strata are fine (ticker and regime), which bounds them.
+    df: the stratum's columns, ticker, session, is_event and measure. Events go by session and ticker. status tells matched
+    ones from no_exact_stratum_control, outside_date_window and control_exhausted. A missing measure is infinitely far.
+    Each stratum is one group, in which the order of events decides; so strata must be fine (fold, group, regime).
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        events = pdf[pdf["is_event"]].sort_values("session")
-        free = pdf[~pdf["is_event"]].sort_values("session").reset_index(drop=True)
-        used = np.zeros(len(free), bool)
-        when = pd.to_datetime(free["session"]).to_numpy()
+        pdf = pdf.assign(day=pd.to_datetime(pdf["session"]).to_numpy().astype("datetime64[D]").astype(np.int64)).sort_values(["day", "ticker"])
+        events, free = pdf[pdf["is_event"]], pdf[~pdf["is_event"]].reset_index(drop=True)
+        day, measure, used = free["day"].to_numpy(), free["measure"].to_numpy(float), np.zeros(len(free), bool)
         rows = []
         for e in events.itertuples():
-            gap = np.abs((when - np.datetime64(e.session)) / np.timedelta64(1, "D"))
-            order = np.lexsort((when, np.abs(free["measure"].to_numpy() - e.measure), gap))
-            pick = next((i for i in order if not used[i] and gap[i] <= days), None)
-            if pick is not None:
-                used[pick] = True
-            rows.append((*(getattr(e, c) for c in stratum), e.session, None if pick is None else free["session"][pick], "matched" if pick is not None else "unmatched"))
-        return pd.DataFrame(rows, columns=[*stratum, "session", "control", "status"])
+            # Controls are in order of day, so the window is a slice.
+            a, b = np.searchsorted(day, [e.day - days, e.day + days + 1])
+            open_ = a + np.flatnonzero(~used[a:b])
+            pick, status = None, "no_exact_stratum_control" if not len(free) else "outside_date_window" if a == b else "control_exhausted"
+            if len(open_):
+                apart = np.abs(measure[open_] - e.measure)
+                pick = open_[np.lexsort((open_, np.where(np.isfinite(apart), apart, np.inf), np.abs(day[open_] - e.day)))[0]]
+                used[pick], status = True, "matched"
+            rows.append((*(getattr(e, c) for c in stratum), e.ticker, e.session, *((None, None) if pick is None else (free["ticker"][pick], free["session"][pick])), status))
+        return pd.DataFrame(rows, columns=[*stratum, "event_ticker", "session", "control_ticker", "control", "status"])
 
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in stratum)
-    return df.select(*stratum, "session", "is_event", "measure").groupBy(*stratum).applyInPandas(run, f"{kinds}, session date, control date, status string")
+    own = list(dict.fromkeys([*stratum, "ticker", "session", "is_event", "measure"]))
+    return df.select(*own).groupBy(*stratum).applyInPandas(run, f"{kinds}, event_ticker string, session date, control_ticker string, control date, status string")
 
 
 def isotonic(df: DataFrame, group: str) -> DataFrame:
@@ -219,77 +266,3 @@ def isotonic(df: DataFrame, group: str) -> DataFrame:
         return pd.DataFrame({group: pdf[group].iloc[0], "upper": [b[0] for b in blocks], "rate": [b[1] / b[2] for b in blocks], "n": [b[2] for b in blocks]})
 
     return tied.groupBy(group).applyInPandas(run, f"{group} {df.schema[group].dataType.simpleString()}, upper double, rate double, n double")
-
-
-def backtest(signals: DataFrame, slots: int = 5, stop: float = 0.07, take: float = 0.25, every: int = 5) -> DataFrame:
-    """Equity of a portfolio of up to `slots` positions: best scores enter each `every` sessions, stops and targets leave.
-
-    Cash is one state over all tickers, so candidates are first cut to the `slots` best and the held rows of
-    each session by Spark; the walk over sessions is one small group.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cash, held, rows = 1.0, {}, []
-        for k, (session, day) in enumerate(pdf.sort_values(["session", "score", "ticker"], ascending=[True, False, True]).groupby("session", sort=True)):
-            price = dict(zip(day["ticker"], day["close"]))
-            for t in list(held):
-                entry, size = held[t]
-                p = price.get(t)
-                if p is not None and (p <= entry * (1 - stop) or p >= entry * (1 + take)):
-                    cash += size * p / entry
-                    del held[t]
-            if k % every == 0:
-                for t, p in zip(day["ticker"], day["close"]):
-                    if len(held) >= slots:
-                        break
-                    if t not in held and cash > 0:
-                        size = cash / (slots - len(held))
-                        held[t] = (p, size)
-                        cash -= size
-            value = cash + sum(size * price.get(t, entry) / entry for t, (entry, size) in held.items())
-            rows.append((session, value, len(held)))
-        return pd.DataFrame(rows, columns=["session", "equity", "positions"])
-
-    return signals.select("ticker", "session", "close", "score").withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(lambda pdf: run(pdf), "session date, equity double, positions long")
-
-
-def core_satellite(signals: DataFrame, slots: int = 4, core: float = 0.5, stop: float = 2.5, trail: float = 3.0, every: int = 5) -> DataFrame:
-    """Equity of a core in the index, scaled by exposure, and up to `slots` satellites.
-
-    A satellite leaves `stop` mean ranges under its entry or `trail` under its highest high since. One state
-    over all tickers: the walk over sessions is one group of as many rows as the universe has bars.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["session", "score", "ticker"], ascending=[True, False, True])
-        index, before, cash, held, rows = core, None, 1.0 - core, {}, []
-        for k, (session, day) in enumerate(pdf.groupby("session", sort=True)):
-            m, exposure = day["m_close"].iloc[0], day["exposure"].iloc[0]
-            if before and pd.notna(m):
-                index *= 1 + exposure * (m / before - 1)
-            before = m if pd.notna(m) else before
-            bars = {r.ticker: r for r in day.itertuples()}
-            for t in list(held):
-                r = bars.get(t)
-                if r is None:
-                    continue
-                entry, size, top, span = held[t]
-                top = max(top, r.high)
-                if r.close <= max(entry - stop * span, top - trail * span):
-                    cash += size * r.close / entry
-                    del held[t]
-                else:
-                    held[t] = (entry, size, top, span)
-            if k % every == 0:
-                for r in day.itertuples():
-                    if len(held) >= slots:
-                        break
-                    if r.ticker not in held and cash > 0 and exposure >= 0.5:
-                        size = cash / (slots - len(held))
-                        held[r.ticker] = (r.close, size, r.high, r.atr20)
-                        cash -= size
-            value = index + cash + sum(size * (bars[t].close if t in bars else entry) / entry for t, (entry, size, _, _) in held.items())
-            rows.append((session, value, len(held)))
-        return pd.DataFrame(rows, columns=["session", "equity", "positions"])
-
-    return signals.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(lambda pdf: run(pdf), "session date, equity double, positions long")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import layered, relational, stateful
+from tidemark.plans import layered, ordered, relational, stateful
 
 flagship = layered.flagship
 
-QUERIES = {**layered.QUERIES, **relational.QUERIES, **stateful.QUERIES}
-ORACLE_SQL = {**layered.ORACLE_SQL, **relational.ORACLE_SQL, **stateful.ORACLE_SQL}
+QUERIES = {**layered.QUERIES, **relational.QUERIES, **ordered.QUERIES, **stateful.QUERIES}
+ORACLE_SQL = {**layered.ORACLE_SQL, **relational.ORACLE_SQL, **ordered.ORACLE_SQL, **stateful.ORACLE_SQL}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import layers as L
+from tidemark.operators import state
 from tidemark.sources import bars as B
 
 
@@ -22,14 +23,17 @@ def _shown(columns: str) -> list[str]:
     return out
 
 
-def base(spark: SparkSession, sf_dir: str, grain: str = "week", index: bool = False) -> DataFrame:
+def base(spark: SparkSession, sf_dir: str, grain: str = "week", index: bool | str = False) -> DataFrame:
+    """Bars, with the index beside them; index="group" adds the group's close and an exponential mean too."""
     rows = B.bars(spark, sf_dir, grain)
     if index:  # a row a session: small at any number of tickers, and its size is for Spark to see
         rows = rows.join(B.index_bars(spark, sf_dir, grain), "session", "left")
+    if index == "group":
+        rows = state.with_emas(rows.join(B.group_bars(spark, sf_dir, grain), ["ticker", "session"], "left"), (20,))
     return rows
 
 
-def query(layers: list[L.Layer], columns: str, grain: str = "week", index: bool = False, where: str | None = None) -> Callable[[SparkSession, str], DataFrame]:
+def query(layers: list[L.Layer], columns: str, grain: str = "week", index: bool | str = False, where: str | None = None) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = L.stack(base(spark, sf_dir, grain, index), layers)
         return (out.where(where) if where else out).selectExpr(*_shown(columns))
@@ -38,20 +42,22 @@ def query(layers: list[L.Layer], columns: str, grain: str = "week", index: bool
 
 
 def plain(text: str) -> str:
-    """Double literals as other engines write them."""
-    return re.sub(r"\b(\d+(?:\.\d+)?)D\b", r"\1::DOUBLE", text)
+    """Double literals and the half-even rounding as other engines write them."""
+    return re.sub(r"\b(\d+(?:\.\d+)?)D\b", r"\1::DOUBLE", text).replace("bround(", "round_even(")
 
 
-def stack_sql(layers: list[L.Layer], grain: str = "week", index: bool = False) -> str:
+def stack_sql(layers: list[L.Layer], grain: str = "week", index: bool | str = False) -> str:
     """CTEs up to `top`."""
     first = f"SELECT b.*, i.* EXCLUDE (session) FROM ({B.bars_sql(grain)}) b LEFT JOIN ({B.index_bars_sql(grain)}) i USING (session)" if index else B.bars_sql(grain)
+    if index == "group":
+        first = f"SELECT b.*, g.g_close, e.ema20 FROM ({first}) b LEFT JOIN ({B.group_bars_sql(grain)}) g USING (ticker, session) LEFT JOIN ({B.emas_sql(grain, (20,))}) e USING (ticker, session)"
     parts = [f"s0 AS ({first})"]
     for k, layer in enumerate(layers):
         parts.append(f"s{k + 1} AS (SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in layer.items()) + f" FROM s{k})")
     return plain(", ".join(parts)) + f", top AS (SELECT * FROM s{len(layers)})"
 
 
-def sql(layers: list[L.Layer], columns: str, grain: str = "week", index: bool = False, where: str | None = None) -> str:
+def sql(layers: list[L.Layer], columns: str, grain: str = "week", index: bool | str = False, where: str | None = None) -> str:
     return f"WITH {stack_sql(layers, grain, index)} SELECT {', '.join(_shown(columns))} FROM top" + (f" WHERE {where}" if where else "")
 
 
@@ -88,10 +94,10 @@ SPECS: dict[str, tuple] = {
     "w15_w16_rolling_counts": ([*P, *C], "ticker session #distribution_5 #distribution_10 #distribution_20 #failed_10 #gated_up_10 #churn_10"),
     "w17_last_test_carry": ([*FULL, *L.CARRY], "ticker session tested accepted #sessions_since_test follow_window"),
     "w18_supply_demand": ([*FULL, *R, *L.CARRY, *L.SUPPLY], "ticker session #supply #demand pressure_state", "week", True),
-    "w19_climax_run": ([*FULL, *L.CLIMAX], "ticker session #climax_score"),
-    "w21_slow_decline": ([*FULL, *R, *L.DECLINE], "ticker session ~decline_score", "week", True),
+    "w19_climax_run": ([*FULL, *L.CLIMAX], "ticker session #climax_score climax_candidate climax_conditions", "week", "group"),
+    "w21_slow_decline": ([*FULL, *R, *L.DECLINE], "ticker session decline_score", "week", "group"),
     "w27_average_crosses": (FULL, "ticker session cross_up cross_down last_cross"),
-    "w04_rs_rating": (L.STRENGTH, "ticker session ~strength ~strength_pct ~rating_raw", "week", False, "strength IS NOT NULL"),
+    "w04_rs_rating": (L.STRENGTH, "ticker session ~strength ~strength_pct #rating", "week", False, "strength IS NOT NULL"),
     "w03_percentile_rank": ([*P, {"r": "round(ret, 2) + 0"}, {"pct": L.rank_pct("r", "session")}], "ticker session ~r ~pct"),
     "w41_relative_slope": ([*FULL, *R], "ticker session ~rs_slope", "week", True),
     "w42_relative_breakdown": ([*FULL, *R], "ticker session rs_breakdown ~ratio_mean_20", "week", True),

@@ -46,9 +46,6 @@ def spark_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(re.sub(r"\$(\w+)", r"{\1}", text), **_frames(spark, sf_dir, names))
 
 
-EMAS_SQL = f"SELECT ticker, session, " + ", ".join(f"list_reduce(c, lambda e, x: e + (x - e) * {2 / (n + 1)!r}::DOUBLE) AS ema{n}" for n in (10, 20, 50)) + f" FROM (SELECT ticker, session, list(close) OVER (PARTITION BY ticker ORDER BY session ROWS UNBOUNDED PRECEDING) AS c FROM ({B.bars_sql()}))"
-
-
 def _calls(text: str, name: str, write: Callable[[str, str], str]) -> str:
     """Rewrites two-argument calls of a function whose arguments may hold calls themselves."""
     while (at := text.find(name + "(")) >= 0:
@@ -74,7 +71,7 @@ def duck_sql(text: str) -> str:
     built = {"bars": B.bars_sql(), "days": B.bars_sql("day"), "market": B.index_bars_sql(), "groups": B.GROUPS_SQL, "trades": B.MARKET_EVENTS_SQL}
     ctes = [f"{n} AS ({built[n]})" for n in sorted(names & set(built))]
     if "emas" in names:
-        ctes.append(f"emas AS ({EMAS_SQL})")
+        ctes.append(f"emas AS ({B.emas_sql()})")
     if "strong" in names:
         ctes.append("strong AS (WITH " + layered.stack_sql(L.STRENGTH) + " SELECT * FROM top)")
     if "features" in names:
@@ -116,7 +113,6 @@ TEXTS: dict[str, str] = {
     "j13_sampled_controls": "WITH e AS (SELECT ticker, session FROM $features WHERE pivot_breakout), c AS (SELECT ticker, session FROM $features WHERE NOT pivot_breakout), "
     "p AS (SELECT e.ticker, e.session, c.session AS control, row_number() OVER (PARTITION BY e.ticker, e.session ORDER BY md5(concat(e.ticker, '|', CAST(e.session AS STRING), '|', CAST(c.session AS STRING)))) AS k FROM (SELECT e.*, " + NEAR_120[0] + " AS near FROM e) e JOIN " + NEAR_120[1] + " c ON e.ticker = c.ticker AND e.near = c.near AND " + NEAR_120[2] + ") "
     "SELECT ticker, CAST(session AS STRING) AS session, CAST(control AS STRING) AS control, k FROM p WHERE k <= 5",
-    "j18_next_session": "SELECT o.o_orderkey, CAST(min(m.session) AS STRING) AS next_session FROM (SELECT t.o_orderkey, date_add(t.d, k.n) AS day FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM $orders) t JOIN (" + _numbers(1, 7) + ") k ON k.n IS NOT NULL) o JOIN (SELECT DISTINCT session FROM $market) m ON m.session = o.day GROUP BY o.o_orderkey",
     "j19_group_members": "SELECT g.grp, b.ticker, count(*) AS n FROM $groups g JOIN $bars b ON g.ticker = b.ticker GROUP BY g.grp, b.ticker",
     "j20_metrics_inside_membership": "WITH x AS (SELECT b.ticker, b.session, b.close, m.version FROM $bars b JOIN $members m ON b.ticker = m.ticker AND m.effective_from <= b.session AND (m.effective_to IS NULL OR b.session < m.effective_to)) "
     "SELECT ticker, CAST(session AS STRING) AS session, version, round(CASE WHEN count(close) OVER (PARTITION BY ticker, version ORDER BY session ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) = 10 THEN avg(close) OVER (PARTITION BY ticker, version ORDER BY session ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) END, 5) AS sma10 FROM x",
@@ -136,8 +132,6 @@ TEXTS: dict[str, str] = {
     "a12_rank_ic": "WITH r AS (SELECT session, (rank() OVER (PARTITION BY session ORDER BY vr) + (count(*) OVER (PARTITION BY session, vr) - 1) / 2D) AS a, (rank() OVER (PARTITION BY session ORDER BY fwd) + (count(*) OVER (PARTITION BY session, fwd) - 1) / 2D) AS b FROM $features WHERE vr IS NOT NULL AND fwd IS NOT NULL) "
     "SELECT CAST(session AS STRING) AS session, round(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 6) AS ic FROM r GROUP BY session HAVING count(*) >= 5",
     "a13_correlations": "SELECT round(covar_pop(vr, abs(ret)) / nullif(stddev_pop(CASE WHEN ret IS NOT NULL THEN vr END) * stddev_pop(CASE WHEN vr IS NOT NULL THEN abs(ret) END), 0), 5) AS vr_ret, round(covar_pop(cl, uw) / nullif(stddev_pop(cl) * stddev_pop(uw), 0), 6) AS cl_uw, round(sum(CASE WHEN distribution AND non_progress THEN 1D ELSE 0D END) / nullif(sum(CASE WHEN distribution OR non_progress THEN 1D ELSE 0D END), 0), 6) AS jaccard FROM $features WHERE ret < 5",
-    "a14_roc_auc": "WITH r AS (SELECT tail_down AS y, rank() OVER (ORDER BY vr) + (count(*) OVER (PARTITION BY vr) - 1) / 2D AS k FROM $features WHERE vr IS NOT NULL AND tail_down IS NOT NULL) "
-    "SELECT round((sum(CASE WHEN y THEN k ELSE 0D END) - p * (p + 1) / 2) / nullif(p * q, 0), 6) AS auc FROM (SELECT y, k, sum(CASE WHEN y THEN 1D ELSE 0D END) OVER () AS p, sum(CASE WHEN y THEN 0D ELSE 1D END) OVER () AS q FROM r) t GROUP BY p, q",
     "a15_brier_log_loss": "SELECT round(avg((p - y) * (p - y)), 6) AS brier, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS log_loss FROM (SELECT least(0.99D, greatest(0.01D, vr / 4)) AS p, CASE WHEN tail_down THEN 1D ELSE 0D END AS y FROM $features WHERE vr IS NOT NULL AND tail_down IS NOT NULL) t",
     "a16_score_buckets": "SELECT bucket, count(*) AS n, round(avg(CASE WHEN fwd > 0 THEN 1D ELSE 0D END), 6) AS up_rate, round(median(fwd), 6) AS median_fwd FROM (SELECT CASE WHEN cl < -0.5 THEN 0 WHEN cl < 0 THEN 1 WHEN cl < 0.5 THEN 2 ELSE 3 END AS bucket, fwd FROM $features WHERE cl IS NOT NULL AND fwd IS NOT NULL) t GROUP BY bucket",
     "a18_top_k": "SELECT CAST(session AS STRING) AS session, round(avg(fwd), 6) AS mean_fwd, round(avg(CASE WHEN fwd > 0 THEN 1D ELSE 0D END), 6) AS wins FROM (SELECT session, fwd, row_number() OVER (PARTITION BY session ORDER BY vr DESC, ticker) AS k FROM $features WHERE vr IS NOT NULL AND fwd IS NOT NULL) t WHERE k <= 5 GROUP BY session",
@@ -163,11 +157,8 @@ TEXTS: dict[str, str] = {
     "w05_sigmoid_strength": "SELECT ticker, CAST(session AS STRING) AS session, round(100 / (1 + exp(-6 * least(5D, greatest(-5D, 0.5D * rel_20 + 0.5D * rel_5)))), 6) AS score FROM $features WHERE rel_20 IS NOT NULL",
     "w13_overheat": "SELECT ticker, CAST(session AS STRING) AS session, round(least(100D, least(greatest(ext_ma20, 0D) * 2, 30D) + least(greatest(chg_20 * 100, 0D) * 0.8D, 30D) + least(greatest(chg_10 * close / nullif(atr14, 0), 0D) * 4, 25D)), 6) AS overheat FROM $features WHERE ext_ma20 IS NOT NULL AND chg_20 IS NOT NULL AND atr14 IS NOT NULL",
     "w34_non_overlap": "SELECT ticker, CAST(session AS STRING) AS session FROM (SELECT ticker, session, row_number() OVER (PARTITION BY ticker ORDER BY session) - 1 AS k FROM $features WHERE fwd IS NOT NULL) t WHERE k % 5 = 0",
-    "w35_strict_past_percentile": "SELECT a.ticker, CAST(a.session AS STRING) AS session, count(*) AS n, round(avg(CASE WHEN b.close < a.close THEN 1D ELSE 0D END), 6) AS pct FROM (SELECT ticker, session, close, month(session) AS mth FROM $bars) a JOIN (SELECT ticker, session, close, month(session) AS mth FROM $bars) b ON a.ticker = b.ticker AND a.mth = b.mth AND b.session < a.session GROUP BY a.ticker, a.session HAVING count(*) >= 8",
     "w36_event_study": "SELECT ticker, CAST(session AS STRING) AS session, round(x5 - m5, 5) AS car FROM (SELECT ticker, session, pivot_breakout, lead(close, 5) OVER (PARTITION BY ticker ORDER BY session) / nullif(entry, 0) - 1 AS x5, lead(m_close, 5) OVER (PARTITION BY ticker ORDER BY session) / nullif(lead(m_open, 1) OVER (PARTITION BY ticker ORDER BY session), 0) - 1 AS m5 FROM $features) t WHERE pivot_breakout AND x5 IS NOT NULL AND x5 < 100",
     "w37_latest_version": "SELECT ticker, CAST(effective_from AS STRING) AS effective_from, version FROM (SELECT ticker, effective_from, version, row_number() OVER (PARTITION BY ticker ORDER BY effective_from DESC, version DESC) AS k FROM $members) t WHERE k = 1",
-    "w38_phased_ic": "WITH r AS (SELECT session, (dense_rank() OVER (ORDER BY session) - 1) % 5 AS phase, (rank() OVER (PARTITION BY session ORDER BY cl) + (count(*) OVER (PARTITION BY session, cl) - 1) / 2D) AS a, (rank() OVER (PARTITION BY session ORDER BY fwd) + (count(*) OVER (PARTITION BY session, fwd) - 1) / 2D) AS b FROM $features WHERE cl IS NOT NULL AND fwd IS NOT NULL) "
-    "SELECT phase, round(avg(ic), 6) AS ic FROM (SELECT session, phase, covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) AS ic FROM r GROUP BY session, phase HAVING count(*) >= 5) t GROUP BY phase",
     "w39_calendar_change": "SELECT ticker, CAST(session AS STRING) AS session, round(close / nullif(last_value(close) OVER (PARTITION BY ticker ORDER BY d RANGE BETWEEN UNBOUNDED PRECEDING AND 20 PRECEDING), 0) - 1, 5) AS chg FROM (SELECT ticker, session, close, datediff(session, DATE '1970-01-01') AS d FROM $days) t",
     "w46_technical_label": "SELECT ticker, CAST(session AS STRING) AS session, CASE WHEN sma200 IS NULL THEN 'unavailable' WHEN close > sma20 AND sma20 > sma50 AND sma50 > sma200 THEN 'strong' WHEN close > sma50 THEN 'constructive' WHEN close > sma200 THEN 'weakening' ELSE 'weak' END AS label FROM $features",
     "x10_distribution_with_removal": "WITH d AS (SELECT ticker, session, pos, close, distribution FROM $features), e AS (SELECT d.ticker, d.pos, d.close AS base, d.pos + k.n AS at FROM d JOIN (" + _numbers(0, 24) + ") k ON k.n IS NOT NULL WHERE d.distribution), "
@@ -180,16 +171,14 @@ TEXTS: dict[str, str] = {
     "t02_top_k_per_group": "SELECT ticker, CAST(session AS STRING) AS session, k FROM (SELECT ticker, session, row_number() OVER (PARTITION BY ticker ORDER BY volume DESC, session) AS k FROM $bars) t WHERE k <= 3",
     "u02_u03_set_operations": "SELECT CAST(session AS STRING) AS session, 'both' AS side FROM (SELECT session FROM $bars WHERE ticker = 'Brand#1' INTERSECT SELECT session FROM $bars WHERE ticker = 'Brand#2') a UNION ALL SELECT CAST(session AS STRING), 'first' FROM (SELECT session FROM $bars WHERE ticker = 'Brand#1' EXCEPT SELECT session FROM $bars WHERE ticker = 'Brand#2') b",
     "s03_last_n_bars": "SELECT ticker, CAST(session AS STRING) AS session FROM (SELECT ticker, session, row_number() OVER (PARTITION BY ticker ORDER BY session DESC) AS k FROM $days) t WHERE k <= 260",
-    "m03_purged_folds": "SELECT ticker, CAST(session AS STRING) AS session, fold FROM (SELECT ticker, session, label_end, CAST(floor((d - 1) * 5D / m) AS BIGINT) AS fold FROM (SELECT ticker, session, label_end, dense_rank() OVER (ORDER BY session) AS d, (SELECT count(DISTINCT session) FROM $features WHERE label_end IS NOT NULL) AS m FROM $features WHERE label_end IS NOT NULL) t) u",
-    "r03_deduplicated_events": "SELECT symbol, event_id, ns FROM (SELECT symbol, event_id, ns, row_number() OVER (PARTITION BY symbol, ns, kind ORDER BY event_id) AS k FROM $trades) t WHERE k = 1",
     "r07_order_flow": "SELECT symbol, round(100 * (buy - sell) / nullif(buy + sell, 0), 2) AS pressure, round((buy + sell) / total, 6) AS coverage FROM (SELECT symbol, sum(CASE WHEN d > 0 THEN size + 0D ELSE 0D END) AS buy, sum(CASE WHEN d < 0 THEN size + 0D ELSE 0D END) AS sell, sum(size + 0D) AS total FROM (SELECT symbol, size, price - lag(price) OVER (PARTITION BY symbol ORDER BY ns) AS d FROM $trades WHERE kind = 'trade') t GROUP BY symbol) u",
     "r08_latest_quote": "SELECT symbol, ns, price FROM (SELECT symbol, ns, price, row_number() OVER (PARTITION BY symbol ORDER BY ns DESC, event_id DESC) AS k FROM $trades WHERE kind = 'quote') t WHERE k = 1",
 }
 
 _SCORED = (
-    "WITH x AS (SELECT f.ticker, f.session, f.close, f.sma50, f.off_high, f.off_low, f.adr_20, f.dollar_volume_20, f.vr, f.volume, f.mean_volume_50, f.over_pivot, f.pivot_breakout, f.pocket_pivot, f.m_chg_20, e.ema10, e.ema20, e.ema50, s.rating_raw AS rs, "
+    "WITH x AS (SELECT f.ticker, f.session, f.close, f.sma50, f.off_high, f.off_low, f.adr_20, f.dollar_volume_20, f.vr, f.volume, f.mean_volume_50, f.over_pivot, f.pivot_breakout, f.pocket_pivot, f.m_chg_20, e.ema10, e.ema20, e.ema50, s.rating AS rs, "
     "least(100D, least(greatest(f.ext_ma20, 0D) * 2, 30D) + least(greatest(f.chg_20 * 100, 0D) * 0.8D, 30D) + least(greatest(f.chg_10 * f.close / nullif(f.atr14, 0), 0D) * 4, 25D)) AS overheat "
-    "FROM $features f JOIN $emas e ON f.ticker = e.ticker AND f.session = e.session JOIN $strong s ON f.ticker = s.ticker AND f.session = s.session WHERE s.rating_raw IS NOT NULL), "
+    "FROM $features f JOIN $emas e ON f.ticker = e.ticker AND f.session = e.session JOIN $strong s ON f.ticker = s.ticker AND f.session = s.session WHERE s.rating IS NOT NULL), "
     "y AS (SELECT *, CASE WHEN m_chg_20 > 0 THEN 11D ELSE 0D END + CASE WHEN rs >= 95 THEN 9D WHEN rs >= 85 THEN 6D WHEN rs >= 70 THEN 3D ELSE 0D END AS s_market, "
     "least(15D, CASE WHEN rs >= 98 THEN 8D WHEN rs >= 95 THEN 6D WHEN rs >= 90 THEN 4D WHEN rs >= 80 THEN 2D ELSE 0D END + CASE WHEN ema10 > ema20 AND ema20 > sma50 THEN 4D ELSE 0D END + CASE WHEN off_high > -0.10 THEN 3D ELSE 0D END) AS s_trend, "
     "least(15D, CASE WHEN volume / nullif(mean_volume_50, 0) >= 1.8 THEN 7D WHEN volume / nullif(mean_volume_50, 0) >= 1.4 THEN 5D WHEN volume / nullif(mean_volume_50, 0) >= 1.0 THEN 2D ELSE 0D END + CASE WHEN pivot_breakout THEN 3D ELSE 0D END + CASE WHEN over_pivot >= 0 AND over_pivot <= 5 THEN 3D ELSE 0D END + CASE WHEN pocket_pivot THEN 2D ELSE 0D END) AS s_breakout, "
@@ -233,7 +222,6 @@ TEXTS |= {
     "p29_code_ranges": "SELECT sector, count(*) AS n FROM (SELECT CASE WHEN code BETWEEN 100 AND 999 THEN 'agriculture' WHEN code BETWEEN 1000 AND 1499 THEN 'mining' WHEN code IN (2834, 2836) THEN 'pharma' WHEN code BETWEEN 2000 AND 3999 THEN 'manufacturing' WHEN code BETWEEN 4000 AND 4999 THEN 'utilities' WHEN code BETWEEN 6000 AND 6799 THEN 'finance' ELSE 'other' END AS sector FROM (SELECT (p_partkey * 37) % 9000 AS code FROM $part) t) u GROUP BY sector",
     "p30_ticker_normalisation": "SELECT DISTINCT upper(trim(replace(p_brand, '#', '.'))) AS ticker FROM $part WHERE length(trim(p_brand)) > 0",
     "a11_multi_class_metrics": "SELECT direction, count(*) AS n, round(avg(CASE WHEN guess = direction THEN 1D ELSE 0D END), 6) AS recall_ FROM (SELECT direction, CASE WHEN cl > 0.3 THEN 'up' WHEN cl < -0.3 THEN 'down' ELSE 'neutral' END AS guess FROM $features WHERE direction IS NOT NULL AND cl IS NOT NULL) t GROUP BY direction",
-    "a17_quintile_means": "SELECT q, count(*) AS n, round(avg(fwd), 6) AS mean_fwd FROM (SELECT ntile(5) OVER (ORDER BY vr, ticker, session) AS q, least(fwd, 5D) AS fwd FROM $features WHERE vr IS NOT NULL AND fwd IS NOT NULL) t GROUP BY q",
     "a22_compounded_return": "SELECT ticker, CAST(session AS STRING) AS session, round(exp(s) - 1, 4) AS compounded FROM (SELECT ticker, session, CASE WHEN count(l) OVER (PARTITION BY ticker ORDER BY session ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) = 10 THEN sum(l) OVER (PARTITION BY ticker ORDER BY session ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) END AS s FROM (SELECT ticker, session, ln(1 + least(ret, 1D)) AS l FROM $features WHERE ret > -1) t) u WHERE s IS NOT NULL",
     "a25_period_description": "SELECT ticker, y AS year, n, round(last / first - 1, 5) AS total_return, round(worst, 6) AS max_drawdown FROM (SELECT ticker, year(session) AS y, count(*) AS n, max(CASE WHEN k = 1 THEN close END) AS first, max(CASE WHEN z = 1 THEN close END) AS last, min(close / top - 1) AS worst FROM (SELECT ticker, session, close, row_number() OVER (PARTITION BY ticker, year(session) ORDER BY session) AS k, row_number() OVER (PARTITION BY ticker, year(session) ORDER BY session DESC) AS z, max(close) OVER (PARTITION BY ticker, year(session) ORDER BY session ROWS UNBOUNDED PRECEDING) AS top FROM $bars) t GROUP BY ticker, year(session)) u",
     "a29_t_statistics": "SELECT ticker, count(*) AS n, round(avg(v) / nullif(stddev_samp(v) / sqrt(count(*) + 0D), 0), 6) AS t FROM (SELECT ticker, least(fwd, 1D) AS v FROM $features WHERE fwd IS NOT NULL) x GROUP BY ticker",
@@ -257,7 +245,6 @@ TEXTS |= {
     "g09_universe_rows": "SELECT ticker, CAST(session AS STRING) AS session, round(close, 8) AS close, round(off_high, 6) AS off_high, round(pct, 6) AS momentum_pct FROM (SELECT ticker, session, close, off_high, CASE WHEN mom_63 IS NOT NULL THEN (rank() OVER (PARTITION BY mom_63 IS NULL ORDER BY mom_63) + (count(*) OVER (PARTITION BY mom_63) - 1) / 2D) / count(mom_63) OVER () END AS pct FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY session DESC) AS k FROM $features) t WHERE k = 1) u",
     "g10_monitor_difference": "SELECT ticker, CAST(session AS STRING) AS session, label, was FROM (SELECT ticker, session, k, label, lead(label) OVER (PARTITION BY ticker ORDER BY k) AS was FROM (SELECT ticker, session, row_number() OVER (PARTITION BY ticker ORDER BY session DESC) AS k, CASE WHEN close > sma50 THEN 'above' ELSE 'below' END AS label FROM $features WHERE sma50 IS NOT NULL) t WHERE k <= 2) u WHERE k = 1",
     "j22_identity_ladder": "SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN a.c_mktsegment <> b.c_mktsegment THEN 'rejected' WHEN a.c_nationkey <> b.c_nationkey THEN 'review' ELSE 'same' END AS verdict FROM $customer a JOIN $customer b ON upper(trim(a.c_name)) = upper(trim(b.c_name)) AND a.c_custkey <= b.c_custkey) t GROUP BY verdict",
-    "m02_purged_training": "SELECT count(*) AS n FROM $features WHERE label_end < DATE '2000-01-01' AND fwd IS NOT NULL",
     "m10_recency_weights": "SELECT ticker, round(sum(w), 5) AS total, round(sum(w * CASE WHEN tail_down THEN 1D ELSE 0D END) / sum(w), 6) AS rate FROM (SELECT ticker, tail_down, power(0.5D, datediff(DATE '2002-01-01', session) / 252D) AS w FROM $features WHERE tail_down IS NOT NULL) t GROUP BY ticker",
     "m13_promotion_gates": "SELECT year, n, hit, n >= 50 AND hit >= 0.5 AS promoted FROM (SELECT year(session) AS year, count(*) AS n, round(avg(CASE WHEN tail_up THEN 1D ELSE 0D END), 6) AS hit FROM $features WHERE tail_up IS NOT NULL GROUP BY year(session)) t",
     "r12_liveness": "SELECT symbol, CASE WHEN newest - last > 86400000000000 THEN 'stale' WHEN newest - last > 3600000000000 THEN 'pending' ELSE 'live' END AS state FROM (SELECT symbol, max(ns) AS last FROM $trades GROUP BY symbol) t CROSS JOIN (SELECT max(ns) AS newest FROM $trades) u",

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, models, patterns, state
+from tidemark.operators import asof, models, patterns, portfolio, state
 from tidemark.operators import layers as L
 from tidemark.plans import layered, relational
 from tidemark.sources import bars as B
@@ -24,11 +26,15 @@ def _day(c: str):
 
 
 def j03_asof_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every bar with the last monthly index close at or before it."""
-    # The benchmark is one series of a row a month; each ticker gets it once, so that tickers are the key.
-    months = B.groups(spark, sf_dir).select("ticker", F.explode(F.sequence(F.to_date(F.lit("1992-01-01")), F.to_date(F.lit("2030-01-01")), F.expr("INTERVAL 1 MONTH"))).alias("session"))
-    months = months.join(B.index_bars(spark, sf_dir, "month").select("session", "m_close"), "session")
-    got = asof.asof_backward(B.bars(spark, sf_dir).select("ticker", "session", "close"), months, ["ticker"], "session", ["m_close"])
+    """Every bar with the last monthly index close at or before it.
+
+    The benchmark is one series. It becomes intervals, from each month to the next; sessions (one row for each, whatever
+    the number of tickers) are matched to the months by carrying the last forward, and bars join by session.
+    """
+    bars, months = B.bars(spark, sf_dir).select("ticker", "session", "close"), B.index_bars(spark, sf_dir, "month").select("session", "m_close")
+    one = lambda df: df.withColumn("series", F.lit("index"))
+    found = asof.asof_backward(one(bars.select("session").distinct()), one(months), ["series"], "session", ["m_close"])
+    got = bars.join(found.drop("series"), "session")
     return got.selectExpr("ticker", "CAST(session AS STRING) AS session", "CAST(found_at AS STRING) AS found_at", "round(m_close, 8) AS m_close")
 
 
@@ -49,8 +55,11 @@ J04_SQL = Q(
 
 
 def j14_greedy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _features(spark, sf_dir).where("vol_63 IS NOT NULL").select("ticker", "session", F.col("pivot_breakout").alias("is_event"), F.col("vol_63").alias("measure"))
-    return state.greedy_pairs(f, ["ticker"]).select("ticker", F.col("session").cast("string").alias("session"), F.col("control").cast("string").alias("control"), "status")
+    """Breakouts and quiet sessions of a year, a group and a trend, matched across tickers."""
+    f = _features(spark, sf_dir).where("vol_63 IS NOT NULL").join(B.groups(spark, sf_dir), "ticker")
+    rows = f.select("ticker", "session", F.year("session").cast("long").alias("fold"), "grp", (F.col("close") > F.col("sma50")).alias("regime"), F.col("pivot_breakout").alias("is_event"), F.col("vol_63").alias("measure")).where("regime IS NOT NULL")
+    got = state.greedy_pairs(rows, ["fold", "grp", "regime"])
+    return got.selectExpr("fold", "grp", "regime", "event_ticker", "CAST(session AS STRING) AS session", "control_ticker", "CAST(control AS STRING) AS control", "status")
 
 
 def w02_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,14 +71,35 @@ W02_SQL = f"WITH b AS ({B.bars_sql()}), h AS (SELECT ticker, session, list(close
 ) + " FROM h"
 
 
+_SLOW = [*layered.FULL, *L.RELATIVE, *L.DECLINE, {"reclaim": "pivot_breakout"}]
+
+
+def _memory(spark: SparkSession, sf_dir: str, reset: str | None) -> DataFrame:
+    rows = L.stack(layered.base(spark, sf_dir, "week", "group"), _SLOW)
+    return state.memory(rows, "decline_score", reset).selectExpr("ticker", "CAST(session AS STRING) AS session", "round(memory, 6) AS memory", "age", "label")
+
+
 def x01_risk_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = L.stack(layered.base(spark, sf_dir, "week", True), [*layered.FULL, *L.RELATIVE, *L.DECLINE])
-    return state.memory(rows, "decline_score").selectExpr("ticker", "CAST(session AS STRING) AS session", "round(memory, 6) AS memory", "age", "label")
+    return _memory(spark, sf_dir, None)
 
 
 def x02_memory_with_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = L.stack(layered.base(spark, sf_dir, "week", True), [*layered.FULL, *L.RELATIVE, *L.DECLINE, {"reclaim": "pivot_breakout"}])
-    return state.memory(rows, "decline_score", "reclaim").selectExpr("ticker", "CAST(session AS STRING) AS session", "round(memory, 6) AS memory", "age", "label")
+    return _memory(spark, sf_dir, "reclaim")
+
+
+def _memory_sql(reset: str) -> str:
+    """The memory as a fold over the list of scores so far, from a state without one."""
+    faded = "CASE WHEN s.a + 1 < 10 THEN s.v * pow(2::DOUBLE, -0.2::DOUBLE) ELSE -1e300::DOUBLE END"
+    return (
+        f"WITH {layered.stack_sql(_SLOW, 'week', 'group')}, p AS (SELECT ticker, session, {reset} AS again, sum(CASE WHEN {reset} THEN 1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY session ROWS UNBOUNDED PRECEDING) AS part, CASE WHEN NOT {reset} THEN decline_score END AS x FROM top), "
+        "h AS (SELECT ticker, session, again, x, list_reduce(list_prepend({'r': NULL::DOUBLE, 'v': -1e300::DOUBLE, 'a': 10::DOUBLE, 'p': FALSE}, list({'r': x, 'v': 0::DOUBLE, 'a': 0::DOUBLE, 'p': FALSE}) OVER (PARTITION BY ticker, part ORDER BY session ROWS UNBOUNDED PRECEDING)), "
+        f"lambda s, y: CASE WHEN y.r IS NULL THEN s ELSE {{'r': y.r, 'v': greatest(y.r, {faded}), 'a': CASE WHEN y.r >= {faded} THEN 0::DOUBLE ELSE s.a + 1 END, 'p': s.v >= 20}} END) AS m FROM p) "
+        "SELECT ticker, session::VARCHAR AS session, CASE WHEN again THEN 0 WHEN x IS NOT NULL THEN round(m.v, 6) END AS memory, CASE WHEN again THEN 0 WHEN x IS NOT NULL THEN m.a END AS age, "
+        "CASE WHEN again THEN 'inactive' WHEN x IS NULL THEN 'unavailable' WHEN m.v < 20 THEN 'inactive' WHEN m.a > 0 THEN 'fading' WHEN m.p THEN 'persistent' ELSE 'new' END AS label FROM h"
+    )
+
+
+X01_SQL, X02_SQL = _memory_sql("FALSE"), _memory_sql("reclaim")
 
 
 def x03_zigzag(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,16 +112,49 @@ def x08_platform_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x09_market_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One market, one calendar: the state machine walks a few thousand rows at most."""
-    index = B.index_bars(spark, sf_dir).select(F.lit("market").alias("ticker"), "session", *(F.col(f"m_{c}").alias(c) for c in ("open", "high", "low", "close", "volume")))
-    rows = L.stack(index, [*L.PRESSURE, *L.TREND, {"prev_volume": L.lag("volume"), "drop": "CASE WHEN ret <= -0.002 AND volume > " + L.lag("volume") + " THEN 1 ELSE 0 END"}, {"dist": f"sum(drop) {L.trailing(25)}"}])
-    rows = rows.select("ticker", "session", "low", "close", "volume", "ret", "sma20", "sma50", "chg_5", "chg_20", "dist", "prev_volume")
-    return rows.groupBy("ticker").applyInPandas(lambda pdf: state.gate(pdf), "session date, state string").selectExpr("CAST(session AS STRING) AS session", "state")
+    """The gate over the first group's pooled bars, the market's, and the breadth of all tickers.
+
+    Spark cuts bars to one row a session; the state machine walks that calendar.
+    """
+    lines, parts = B.table(spark, sf_dir, "lineitem"), B.table(spark, sf_dir, "part").where("substring(p_brand, 7, 1) = '1'").select("p_partkey")
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    lead = lines.join(parts, lines.l_partkey == parts.p_partkey, "left_semi").groupBy(F.to_date(F.date_trunc("week", "l_shipdate")).alias("session")).agg(
+        F.max_by(price, F.struct("l_orderkey", "l_linenumber", price)).alias("l_close"), F.sum("l_quantity").alias("l_volume")
+    )
+    market = B.index_bars(spark, sf_dir).select("session", F.col("m_close").alias("s_close"), F.col("m_volume").alias("s_volume"))
+    rows = L.stack(state.with_emas(B.bars(spark, sf_dir), (20,)), [{"sma50": L.sma("close", 50)}])
+    breadth = rows.groupBy("session").agg(F.avg((F.col("close") > F.col("ema20")).cast("double")).alias("above_ema20"), F.avg(F.coalesce(F.col("close") > F.col("sma50"), F.lit(False)).cast("double")).alias("above_sma50"), F.count("*").alias("n"))
+    one = lead.join(market, "session").join(breadth, "session", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("market", F.lit("market"))
+    schema = "session date, state string, rally_day long, follow_through date, distribution_days long"
+    found = one.groupBy("market").applyInPandas(lambda pdf: state.gate(pdf), schema)
+    return found.selectExpr("CAST(session AS STRING) AS session", "state", "rally_day", "CAST(follow_through AS STRING) AS follow_through", "distribution_days")
+
+
+def _portfolio(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Scored bars and the market for the replays: the score is momentum in points around 50, the market is open over its mean."""
+    f = _features(spark, sf_dir).where("mom_63 IS NOT NULL")
+    ahead = F.coalesce(F.lead("distribution").over(Window.partitionBy("ticker").orderBy("session")), F.lit(False))
+    bars = f.select("ticker", "session", "close", "sma20", "atr20", (50 + 20 * F.col("mom_63")).alias("score"), ahead.alias("event_ahead"))
+    index = B.index_bars(spark, sf_dir).select(F.lit("market").alias("ticker"), "session", F.col("m_close").alias("close"))
+    rows = L.stack(index, [{"m50": L.sma("close", 50), "m200": L.sma("close", 200)}])
+    strength = F.expr("CASE WHEN m200 IS NULL THEN CASE WHEN m50 IS NULL THEN 0.5D WHEN close > m50 THEN 1D ELSE 0D END ELSE CASE WHEN close > m50 THEN 0.5D ELSE 0D END + CASE WHEN close > m200 THEN 0.3D ELSE 0D END + CASE WHEN m50 > m200 THEN 0.2D ELSE 0D END END")
+    return bars, rows.select("session", F.coalesce(F.col("close") > F.col("m50"), F.lit(False)).alias("open_"), F.col("close").alias("price"), (0.2 + 0.8 * strength).alias("exposure"))
 
 
 def x18_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _features(spark, sf_dir).where("mom_63 IS NOT NULL").select("ticker", "session", "close", F.col("mom_63").alias("score"))
-    return state.backtest(f).selectExpr("CAST(session AS STRING) AS session", "round(equity, 6) AS equity", "positions")
+    """Equity and trades of the first engine: all six exits, a decision every five sessions."""
+    return _replayed(*portfolio.replay(*_portfolio(spark, sf_dir), portfolio.SINGLE))
+
+
+def x19_core_satellite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A core in the market and satellites with range stops; positions are halved before events."""
+    return _replayed(*portfolio.replay(*_portfolio(spark, sf_dir), replace(portfolio.SATELLITES, trim=0.5)))
+
+
+def _replayed(equity: DataFrame, trades: DataFrame) -> DataFrame:
+    sold = trades.groupBy(F.col("sold").alias("session")).agg(F.count("*").alias("sales"), F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "ticker", "reason"))), ",").alias("reasons"))
+    out = equity.join(sold, "session", "left")
+    return out.selectExpr("CAST(session AS STRING) AS session", "round(equity, 4) AS equity", "positions", "coalesce(sales, 0) AS sales", "coalesce(reasons, '') AS reasons")
 
 
 def r02_trade_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,25 +172,40 @@ def _changes(events: DataFrame) -> DataFrame:
     """A correction or cancel is of the symbol's last trade or correction before it."""
     w = Window.partitionBy("symbol").orderBy("ns", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     seen = events.withColumn("old_id", F.last(F.when(F.col("kind").isin("trade", "correction"), F.col("event_id")), True).over(w))
-    return seen.where("kind IN ('correction', 'cancel') AND old_id IS NOT NULL").select("old_id", F.when(F.col("kind") == "correction", F.col("event_id")).alias("new_id"), F.when(F.col("kind") == "correction", F.col("price")).alias("price"))
+    fixes = F.col("kind") == "correction"
+    return seen.where("kind IN ('correction', 'cancel') AND old_id IS NOT NULL").select("symbol", "old_id", F.when(fixes, F.col("event_id")).alias("new_id"), F.when(fixes, F.col("price")).alias("price"))
+
+
+def _numbered(events: DataFrame) -> DataFrame:
+    """Events whose ids start anew in each symbol, as a venue's sequence numbers do."""
+    return events.withColumn("event_id", F.row_number().over(Window.partitionBy("symbol").orderBy("ns", "event_id")).cast("long"))
 
 
 def r04_effective_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = B.market_events(spark, sf_dir)
-    return T.effective(events.where("kind = 'trade'"), _changes(events), 64).selectExpr("symbol", "event_id", "price", "CAST(replaced_by AS DOUBLE) AS replaced_by")
+    events = _numbered(B.market_events(spark, sf_dir))
+    return T.effective(events.where("kind = 'trade'"), _changes(events)).selectExpr("symbol", "event_id", "price", "CAST(replaced_by AS DOUBLE) AS replaced_by")
 
 
 R04_SQL = f"""
-WITH RECURSIVE e AS ({B.MARKET_EVENTS_SQL}), c AS (
+WITH RECURSIVE e AS (SELECT * REPLACE (row_number() OVER (PARTITION BY symbol ORDER BY ns, event_id) AS event_id) FROM ({B.MARKET_EVENTS_SQL})), c AS (
   SELECT * FROM (SELECT *, last_value(CASE WHEN kind IN ('trade', 'correction') THEN event_id END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ns, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old_id FROM e)
   WHERE kind IN ('correction', 'cancel') AND old_id IS NOT NULL
-), l AS (SELECT old_id, max(CASE WHEN kind = 'correction' THEN event_id END) AS new_id FROM c GROUP BY old_id),
+), l AS (SELECT symbol, old_id, max(CASE WHEN kind = 'correction' THEN event_id END) AS new_id FROM c GROUP BY symbol, old_id),
 walk AS (
-  SELECT event_id AS root, event_id AS cur, FALSE AS gone, 0 AS depth FROM e WHERE kind = 'trade'
-  UNION ALL SELECT root, coalesce(l.new_id, -1), l.new_id IS NULL, depth + 1 FROM walk JOIN l ON walk.cur = l.old_id WHERE NOT gone
-), done AS (SELECT root, bool_or(gone) AS gone, arg_max(cur, depth) AS cur FROM walk GROUP BY root)
+  SELECT symbol, event_id AS root, event_id AS cur, FALSE AS gone, 0 AS depth FROM e WHERE kind = 'trade'
+  UNION ALL SELECT walk.symbol, root, coalesce(l.new_id, -1), l.new_id IS NULL, depth + 1 FROM walk JOIN l ON walk.symbol = l.symbol AND walk.cur = l.old_id WHERE NOT gone
+), done AS (SELECT symbol, root, bool_or(gone) AS gone, arg_max(cur, depth) AS cur FROM walk GROUP BY symbol, root)
 SELECT t.symbol, t.event_id, coalesce(r.price, t.price) AS price, CASE WHEN done.cur <> t.event_id THEN done.cur::DOUBLE END AS replaced_by
-FROM done JOIN e t ON t.event_id = done.root LEFT JOIN e r ON r.event_id = done.cur AND done.cur <> t.event_id WHERE NOT done.gone"""
+FROM done JOIN e t ON t.event_id = done.root AND t.symbol = done.symbol LEFT JOIN e r ON r.event_id = done.cur AND r.symbol = done.symbol AND done.cur <> t.event_id WHERE NOT done.gone"""
+
+
+def r03_deduplicated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events twice, some without their id: what stays is one of each, and different events of one instant all stay."""
+    e = B.market_events(spark, sf_dir).withColumn("event_id", F.expr("CASE WHEN event_id % 5 <> 0 THEN event_id END"))
+    return T.deduplicated(e.unionByName(e)).select("symbol", "event_id", "kind", "ns", "price", F.col("size").cast("double").alias("size"))
+
+
+R03_SQL = f"SELECT DISTINCT symbol, CASE WHEN event_id % 5 <> 0 THEN event_id END AS event_id, kind, ns, price, size::DOUBLE AS size FROM ({B.MARKET_EVENTS_SQL})"
 
 
 def r05_minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,9 +239,23 @@ def m07_isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.isotonic(f.select("grp", F.round("cl", 2).alias("score"), F.col("tail_down").cast("double").alias("outcome")), "grp").selectExpr("grp", "upper", "round(rate, 6) AS rate", "n")
 
 
+M07_SQL = Q(
+    "WITH t AS (SELECT g.grp, round(f.cl, 2) AS score, CASE WHEN f.tail_down THEN 1D ELSE 0D END AS y FROM $features f JOIN $groups g ON f.ticker = g.ticker WHERE f.tail_down IS NOT NULL AND f.cl IS NOT NULL), "
+    "v AS (SELECT grp, score, sum(y) AS s, count(*) AS n, row_number() OVER (PARTITION BY grp ORDER BY score) AS i FROM t GROUP BY grp, score), "
+    "c AS (SELECT grp, score, i, n, sum(s) OVER (PARTITION BY grp ORDER BY i) AS cs, sum(n) OVER (PARTITION BY grp ORDER BY i) AS cn, s FROM v), "
+    "e AS (SELECT a.grp, a.i AS j, b.i AS k, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS m FROM c a JOIN c b ON a.grp = b.grp AND a.i <= b.i), "
+    "r AS (SELECT grp, j, k, min(m) OVER (PARTITION BY grp, j ORDER BY k DESC) AS least_ FROM e), "
+    "f AS (SELECT c.grp, c.score, c.n, max(r.least_) AS rate FROM c JOIN r ON c.grp = r.grp AND r.j <= c.i AND r.k = c.i GROUP BY c.grp, c.score, c.n) "
+    "SELECT grp, max(score) AS upper, round(max(rate), 6) AS rate, CAST(sum(n) AS DOUBLE) AS n FROM (SELECT *, round(rate, 9) AS b FROM f) GROUP BY grp, b"
+)
+
+
 def a30_block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _features(spark, sf_dir).where("fwd IS NOT NULL").select(F.date_trunc("month", "session").cast("string").alias("month"), F.least("fwd", F.lit(1.0)).alias("v"))
-    return models.block_bootstrap(f, "month", "v").selectExpr("round(mean, 6) AS mean", "round(low, 6) AS low", "round(high, 6) AS high")
+    """Means under 2,000 resamples, of whole months and of moving blocks of 40 sessions."""
+    f = _features(spark, sf_dir).where("fwd IS NOT NULL").select("session", F.date_trunc("month", "session").cast("string").alias("month"), F.least("fwd", F.lit(1.0)).alias("v"))
+    months = models.block_bootstrap(f, "month", "v", 2000).withColumn("blocks", F.lit("month"))
+    moving = models.moving_block_bootstrap(f, "session", "v", 40, 2000).withColumn("blocks", F.lit("moving_40"))
+    return months.unionByName(moving).selectExpr("blocks", "round(mean, 6) AS mean", "round(low, 6) AS low", "round(high, 6) AS high")
 
 
 def m09_threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,30 +383,32 @@ def p02b_provider_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_tax") < 0.08, price).alias("close"),
         price.alias("adjusted_close"),
         F.when(F.col("l_discount") > 0, F.col("l_quantity")).otherwise(-F.col("l_quantity")).alias("volume"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").alias("source_index"),
     )
-    return storage.validate(rows).groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))
+    return storage.validate(rows, "source_index").groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 P02B_SQL = """
 WITH r AS (
   SELECT p_brand || '-' || l_partkey AS ticker, CASE WHEN l_linenumber = 7 THEN 'n/a' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS date, l_extendedprice / l_quantity AS p,
     CASE WHEN l_returnflag = 'A' THEN l_extendedprice / l_quantity * 0.5::DOUBLE ELSE l_extendedprice / l_quantity END AS high, CASE WHEN l_tax < 0.08 THEN l_extendedprice / l_quantity END AS close,
-    CASE WHEN l_discount > 0 THEN l_quantity ELSE -l_quantity END AS volume
+    CASE WHEN l_discount > 0 THEN l_quantity ELSE -l_quantity END AS volume, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity
   FROM lineitem JOIN part ON l_partkey = p_partkey
-), k AS (SELECT *, row_number() OVER (PARTITION BY ticker, date ORDER BY p NULLS FIRST, high NULLS FIRST, close NULLS FIRST, volume NULLS FIRST) AS k FROM r)
+), k AS (SELECT *, row_number() OVER (PARTITION BY ticker, date ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, high, close NULLS FIRST, volume) AS k FROM r)
 SELECT CASE WHEN date = 'n/a' THEN 'invalid_date' WHEN k > 1 THEN 'duplicate_date' WHEN close IS NULL THEN 'invalid_numeric' WHEN least(p, high, close) <= 0 THEN 'non_positive_price' WHEN volume < 0 THEN 'negative_volume'
   WHEN high + high * 1e-12 < p THEN 'invalid_ohlc' ELSE 'valid' END AS reason, count(*) AS n FROM k GROUP BY 1"""
 
 
 def k01_upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers upserted by a batch of changed ones."""
+    """Customers upserted by a batch of changed ones, which has some of them twice."""
     old = B.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     moved = F.when(F.col("c_acctbal") < 0, 10_000_000).otherwise(0)
-    new = old.where("c_acctbal < 1000").select((F.col("c_custkey") + moved).alias("c_custkey"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
-    return storage.merged(old, new, ["c_custkey"]).select("c_custkey", F.round("c_acctbal", 4).alias("c_acctbal"))
+    new = old.where("c_acctbal < 1000").select((F.col("c_custkey") + moved).alias("c_custkey"), (F.col("c_acctbal") + 1).alias("c_acctbal"), F.lit(1).alias("batch"))
+    again = new.where("c_custkey % 3 = 0").select("c_custkey", (F.col("c_acctbal") - 50).alias("c_acctbal"), F.lit(2).alias("batch"))
+    return storage.merged(old, new.unionByName(again), ["c_custkey"], "batch").select("c_custkey", F.round("c_acctbal", 4).alias("c_acctbal"))
 
 
-K01_SQL = "WITH n AS (SELECT c_custkey + CASE WHEN c_acctbal < 0 THEN 10000000 ELSE 0 END AS c_custkey, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_acctbal < 1000) SELECT c_custkey, round(c_acctbal, 4) AS c_acctbal FROM n UNION ALL SELECT c_custkey, round(c_acctbal, 4) FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM n)"
+K01_SQL = "WITH n AS (SELECT c_custkey + CASE WHEN c_acctbal < 0 THEN 10000000 ELSE 0 END AS c_custkey, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_acctbal < 1000) SELECT c_custkey, round(CASE WHEN c_custkey % 3 = 0 THEN c_acctbal - 50 ELSE c_acctbal END, 4) AS c_acctbal FROM n UNION ALL SELECT c_custkey, round(c_acctbal, 4) FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM n)"
 
 
 def k02_idempotent_append(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,12 +453,6 @@ def m06_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.transform(f.where("session >= DATE '2000-01-01'")).select("ticker", F.col("session").cast("string").alias("session"), F.round("prediction", 4).alias("predicted"))
 
 
-def x19_core_satellite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A core in the index, sized by its trend, and satellites with stops by mean range."""
-    f = _features(spark, sf_dir).where("mom_63 IS NOT NULL AND atr20 IS NOT NULL").select("ticker", "session", "close", "high", "m_close", F.col("mom_63").alias("score"), "atr20", F.when(F.col("m_chg_20") > 0, 1.0).otherwise(0.2).alias("exposure"))
-    return state.core_satellite(f).selectExpr("CAST(session AS STRING) AS session", "round(equity, 6) AS equity", "positions")
-
-
 QUERIES = {
     "p02b_provider_validation": p02b_provider_validation,
     "k01_upsert_last_wins": k01_upsert_last_wins,
@@ -391,6 +479,7 @@ QUERIES = {
     "x09_market_gate": x09_market_gate,
     "x18_backtest": x18_backtest,
     "r02_trade_direction": r02_trade_direction,
+    "r03_deduplicated_events": r03_deduplicated_events,
     "r04_effective_trades": r04_effective_trades,
     "r05_minute_bars": r05_minute_bars,
     "r06_trailing_window": r06_trailing_window,
@@ -411,6 +500,10 @@ ORACLE_SQL = {
     "j04_asof_with_expiry": J04_SQL,
     "w02_ema": W02_SQL,
     "r02_trade_direction": R02_SQL,
+    "x01_risk_memory": X01_SQL,
+    "x02_memory_with_resets": X02_SQL,
+    "m07_isotonic": M07_SQL,
+    "r03_deduplicated_events": R03_SQL,
     "r04_effective_trades": R04_SQL,
     "r05_minute_bars": R05_SQL,
     "r06_trailing_window": R06_SQL,

@@ -58,6 +58,29 @@ SELECT date_trunc('{grain}', l_shipdate)::DATE AS session,
 FROM lineitem GROUP BY 1"""
 
 
+def group_bars(spark: SparkSession, sf_dir: str, grain: str = "week") -> DataFrame:
+    """ticker, session and g_close: the close of the pooled bars of the ticker's group."""
+    lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    trades = lines.join(parts.select("p_partkey", F.substring("p_brand", 7, 1).alias("grp")), lines.l_partkey == F.col("p_partkey"))
+    pooled = trades.groupBy("grp", F.to_date(F.date_trunc(grain, F.col("l_shipdate"))).alias("session")).agg(F.max_by(price, F.struct("l_orderkey", "l_linenumber", price)).alias("g_close"))
+    return pooled.join(groups(spark, sf_dir), "grp").select("ticker", "session", "g_close")
+
+
+def group_bars_sql(grain: str = "week") -> str:
+    return f"""
+SELECT g.ticker, p.session, p.g_close FROM (
+  SELECT substring(p_brand, 7, 1) AS grp, date_trunc('{grain}', l_shipdate)::DATE AS session, arg_max(l_extendedprice / l_quantity, (l_orderkey, l_linenumber, l_extendedprice / l_quantity)) AS g_close
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2
+) p JOIN ({GROUPS_SQL}) g ON p.grp = g.grp"""
+
+
+def emas_sql(grain: str = "week", spans: tuple[int, ...] = (10, 20, 50)) -> str:
+    """ticker, session and exponential means, each folded over the list of closes so far."""
+    folds = ", ".join(f"list_reduce(c, lambda e, x: e + (x - e) * {2 / (n + 1)!r}::DOUBLE) AS ema{n}" for n in spans)
+    return f"SELECT ticker, session, {folds} FROM (SELECT ticker, session, list(close) OVER (PARTITION BY ticker ORDER BY session ROWS UNBOUNDED PRECEDING) AS c FROM ({bars_sql(grain)}))"
+
+
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticker and its group: the manufacturer digit of the brand."""
     return table(spark, sf_dir, "part").select(F.col("p_brand").alias("ticker"), F.substring("p_brand", 7, 1).alias("grp")).distinct()

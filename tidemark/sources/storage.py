@@ -17,7 +17,9 @@ def cut(df: DataFrame) -> DataFrame:
     """df checkpointed in the shared folder of spark.checkpoint.dir: a short plan that outlives lost executors."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))  # tests on one machine
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))  # tests in one process
     return df.checkpoint()
 
 
@@ -49,30 +51,33 @@ def read_zipped_json(spark: SparkSession, path: str, schema: T.StructType) -> Da
     return files.mapInPandas(members, "member string, value string").select("member", F.from_json("value", schema).alias("value"))
 
 
-def validate(rows: DataFrame) -> DataFrame:
+def validate(rows: DataFrame, order: str | None = None) -> DataFrame:
     """rows (PROVIDER_BARS) with session and reason; reason is null for valid ones. Every row is kept.
 
     Reasons in order: invalid_row, invalid_date, duplicate_date, invalid_numeric, non_positive_price,
-    negative_volume, invalid_ohlc. Of rows of one date the first by content is the valid one.
+    negative_volume, invalid_ohlc. Of a ticker's rows of one date the first holds the date, whatever comes of it, and the
+    others are duplicates: the first by the column `order`, the source's own, or without one the first sound row by content.
+    Rows without ticker or date take no part in the window, so nulls are no hot key there.
     """
     prices = ("open", "high", "low", "close", "adjusted_close")
     day = F.to_date(F.try_to_timestamp("date", F.lit("yyyy-MM-dd")))
-    k = F.row_number().over(Window.partitionBy("ticker", "date").orderBy(*prices, "volume"))
     bad_number = F.lit(False)
     for c in (*prices, "volume"):
         bad_number = bad_number | F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
     slack = F.col("high") * 1e-12
     shape = (F.col("high") + slack < F.greatest("open", "close", "low")) | (F.col("low") - slack > F.least("open", "close", "high"))
-    reason = (
-        F.when(F.col("ticker").isNull() | F.col("date").isNull(), "invalid_row")
-        .when(day.isNull(), "invalid_date")
-        .when(k > 1, "duplicate_date")
-        .when(bad_number, "invalid_numeric")
+    own = (
+        F.when(bad_number, "invalid_numeric")
         .when(F.least(*prices) <= 0, "non_positive_price")
         .when(F.col("volume") < 0, "negative_volume")
         .when(shape, "invalid_ohlc")
     )
-    return rows.withColumn("session", day).withColumn("reason", reason)
+    judged = rows.withColumn("session", day).withColumn("reason", own)
+    dated = F.col("ticker").isNotNull() & F.col("session").isNotNull()
+    place = [order] if order else [F.col("reason").isNotNull()]
+    k = F.row_number().over(Window.partitionBy("ticker", "session").orderBy(*place, *prices, "volume"))
+    lost = F.when(F.col("ticker").isNull() | F.col("date").isNull(), "invalid_row").otherwise("invalid_date")
+    return judged.where(dated).withColumn("reason", F.when(k > 1, "duplicate_date").otherwise(F.col("reason"))).unionByName(judged.where(~dated).withColumn("reason", lost))
 
 
 def adjusted(rows: DataFrame) -> DataFrame:
@@ -84,9 +89,21 @@ def adjusted(rows: DataFrame) -> DataFrame:
     return out.withColumn("segment", F.sum("__gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__gap")
 
 
-def merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Keyed upsert: a new row takes the place of the old one with its key."""
-    return old.join(new, keys, "left_anti").unionByName(new)
+def merged(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Keyed upsert: a new row takes the place of the old one with its key, and of new rows with one key the last wins.
+
+    order: the column of new that says which is last; it is left out of the result unless old has it. Without it, and
+    among rows tied in it, the greatest row by content is the last. Null keys are equal to each other.
+    """
+    rest = [c for c in old.columns if c not in keys]
+    fields = F.struct(*rest) if rest else F.struct(F.lit(1).alias("one"))
+    best = F.max_by(fields, F.struct(*([F.col(order).alias("__at")] if order else []), fields.alias("__row"))).alias("__best")
+    last = new.groupBy(*keys).agg(best).select(*keys, *(F.col(f"__best.{c}").alias(c) for c in rest))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}"))
+    kept = old.alias("o").join(last.alias("n"), same, "left_anti")
+    return kept.unionByName(last.select(*old.columns))
 
 
 def appended(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,6 +131,129 @@ def content_path(root: str, identity: dict) -> str:
     return f"{root}/{hashlib.sha256(json.dumps(identity, sort_keys=True, default=str).encode()).hexdigest()}"
 
 
+def checksum(df: DataFrame) -> str:
+    """Of a frame's rows in any order: their number and the sum of their hashes, added up by Spark."""
+    row = F.xxhash64(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0null")) for c in df.columns))
+    r = df.agg(F.count("*").alias("n"), F.sum(row.cast("decimal(38,0)")).alias("s")).first()
+    return hashlib.sha256(f"{df.schema.json()}|{r['n']}|{r['s'] or 0}".encode()).hexdigest()
+
+
+def store_artifact(df: DataFrame, root: str, identity: dict) -> str:
+    """Writes df under its content path, with its checksum beside it; an artifact that is there stays. Gives the path."""
+    spark, path = df.sparkSession, content_path(root, identity)
+    if not _exists(spark, f"{path}/manifest/_SUCCESS"):
+        df.write.mode("overwrite").parquet(f"{path}/data")
+        found = [(checksum(spark.read.parquet(f"{path}/data")), json.dumps(identity, sort_keys=True, default=str))]
+        spark.createDataFrame(found, "checksum string, identity string").withColumn("stored_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    return path
+
+
+def load_artifact(spark: SparkSession, root: str, identity: dict) -> DataFrame | None:
+    """The artifact of an identity, or None: if there is none, or if its rows don't have the stored checksum."""
+    path = content_path(root, identity)
+    if not _exists(spark, f"{path}/manifest/_SUCCESS"):
+        return None
+    df = spark.read.parquet(f"{path}/data")
+    return df if checksum(df) == spark.read.parquet(f"{path}/manifest").first()["checksum"] else None
+
+
+def prune_artifacts(spark: SparkSession, root: str, keep: int) -> int:
+    """Deletes all but the `keep` newest artifacts under root; says how many went. Ties go by path."""
+    if not _exists(spark, root):
+        return 0
+    manifests = spark.read.parquet(f"{root}/*/manifest").select("stored_at", F.col("_metadata.file_path").alias("file"))
+    old = manifests.orderBy(F.desc("stored_at"), "file").select(F.regexp_extract("file", r"/([0-9a-f]{64})/manifest/", 1).alias("name")).offset(keep).collect()
+    for r in old:
+        _delete(spark, f"{root}/{r['name']}")
+    return len(old)
+
+
+def publish(df: DataFrame, path: str) -> None:
+    """One report as JSON, CSV and Markdown: written aside first, then put in place as a whole, or not at all.
+
+    The report at path stays until the new one is complete, and comes back if putting it in place fails.
+    """
+    spark, aside, before = df.sparkSession, f"{path}.new", f"{path}.before"
+    _delete(spark, aside)
+    try:
+        df.coalesce(1).write.json(f"{aside}/json")
+        df.coalesce(1).write.option("header", True).csv(f"{aside}/csv")
+        spark.createDataFrame([(markdown(df),)], "value string").coalesce(1).write.text(f"{aside}/md")
+    except Exception:
+        _delete(spark, aside)
+        raise
+    _delete(spark, before)
+    had = _exists(spark, path)
+    if had:
+        _rename(spark, path, before)
+    if not _rename(spark, aside, path):
+        if had:
+            _rename(spark, before, path)
+        raise OSError(f"{path} could not be put in place")
+    _delete(spark, before)
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def _rename(spark: SparkSession, a: str, b: str) -> bool:
+    fs, p = _fs(spark, a)
+    return fs.rename(p, _fs(spark, b)[1])
+
+
+def encode_frame(df: DataFrame) -> DataFrame:
+    """One column, payload: each row as JSON with its types beside it, packed with zlib's format by Spark's tasks."""
+    import zlib
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    schema = df.schema.json()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            body = "\n".join([schema, *pdf["row"]])
+            yield pd.DataFrame({"payload": [zlib.compress(body.encode())]})
+
+    return df.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"}).alias("row")).mapInPandas(run, "payload binary")
+
+
+def decode_frame(payloads: DataFrame, schema: T.StructType, limit: int = 64 << 20) -> DataFrame:
+    """The rows of encode_frame(). A payload of another schema, or one that unpacks to over `limit` bytes, is an error."""
+    import zlib
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    want = schema.json()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for raw in pdf["payload"]:
+                unpack = zlib.decompressobj()
+                body = unpack.decompress(raw, limit + 1)
+                if len(body) > limit or unpack.unconsumed_tail:
+                    raise ValueError(f"a payload unpacks to over {limit} bytes")
+                head, *rows = body.decode().split("\n")
+                if head != want:
+                    raise ValueError("a payload has another schema")
+                yield pd.DataFrame({"row": rows})
+
+    return payloads.select("payload").mapInPandas(run, "row string").select(F.from_json("row", schema).alias("r")).select("r.*")
+
+
 def write_versioned(df: DataFrame, path: str, force: bool = False) -> None:
     df.write.mode("overwrite" if force else "errorifexists").option("header", True).csv(path)
 

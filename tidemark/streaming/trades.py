@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_backward
@@ -54,21 +54,37 @@ def directions(events: DataFrame, max_age_ns: int = 5_000_000_000) -> DataFrame:
     return joined.select("symbol", "ns", "event_id", "price", "size", side.alias("direction"), how.alias("method"))
 
 
-def effective(trades: DataFrame, changes: DataFrame, rounds: int = 10) -> DataFrame:
-    """Trades after corrections and cancels. changes: old_id, new_id (null for a cancel), price.
+def effective(trades: DataFrame, changes: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Trades after corrections and cancels. changes: the columns `by`, old_id, new_id (null for a cancel), price.
 
-    Chains are followed by doubling, a few equi-joins for any length up to 2**rounds; a chain that meets a
-    cancel drops its trade, and one that loops drops it too.
+    Ids count inside their `by` (provider and symbol, say), so one symbol's cancel leaves another's trades alone. Of
+    several changes of one id the one with the greatest new_id counts. Chains are followed by doubling, a few equi-joins
+    a round, until all have ended. What goes on for more hops than there are changes loops. A chain that meets a cancel
+    drops its trade, and so does one that loops, for it has no last price.
     """
-    link = changes.groupBy("old_id").agg(F.max_by(F.struct("new_id", "price"), F.struct(F.coalesce("new_id", F.lit(-1)), "price")).alias("c")).select("old_id", F.col("c.new_id").alias("new_id"), F.col("c.price").alias("new_price"))
-    link = link.withColumn("gone", F.col("new_id").isNull())
-    for _ in range(max(1, rounds.bit_length())):
-        link = cut(link)  # each round reads the links twice; a written table keeps the plan from doubling
-        nxt = link.select(F.col("old_id").alias("new_id"), F.col("new_id").alias("n2"), F.col("new_price").alias("p2"), F.col("gone").alias("g2"))
-        hop = link.join(nxt, "new_id", "left")
-        link = hop.select("old_id", F.when(F.col("g2").isNull(), F.col("new_id")).otherwise(F.col("n2")).alias("new_id"), F.when(F.col("g2").isNull(), F.col("new_price")).otherwise(F.col("p2")).alias("new_price"), (F.col("gone") | F.coalesce("g2", F.lit(False))).alias("gone"))
-    out = trades.join(link, trades.event_id == link.old_id, "left")
-    return out.where("NOT coalesce(gone, false)").select("symbol", "ns", "event_ts", "event_id", F.coalesce("new_price", "price").alias("price"), "size", F.col("new_id").alias("replaced_by"))
+    by = list(by)
+    latest = F.max_by(F.struct("new_id", "price"), F.struct(F.coalesce("new_id", F.lit(-1)), "price"))
+    link = changes.where("old_id IS NOT NULL").groupBy(*by, "old_id").agg(latest.alias("c")).select(*by, "old_id", F.col("c.new_id").alias("new_id"), F.col("c.price").alias("new_price"))
+    # live: the id that the link leads to may have a change of its own.
+    link = cut(link.withColumn("gone", F.col("new_id").isNull()).withColumn("live", F.col("new_id").isNotNull()))
+    n, hops = link.count(), 1
+    while hops <= n and not link.where("live").isEmpty():
+        nxt = link.select(*by, F.col("old_id").alias("new_id"), F.col("new_id").alias("n2"), F.col("new_price").alias("p2"), F.col("gone").alias("g2"), F.col("live").alias("l2"))
+        step, met = link.join(nxt, [*by, "new_id"], "left"), F.col("g2").isNotNull()
+        link = cut(  # each round reads the links twice; a written table keeps the plan from doubling
+            step.select(
+                *by,
+                "old_id",
+                F.when(met, F.col("n2")).otherwise(F.col("new_id")).alias("new_id"),
+                F.when(met, F.col("p2")).otherwise(F.col("new_price")).alias("new_price"),
+                (F.col("gone") | F.coalesce("g2", F.lit(False))).alias("gone"),
+                (~F.col("gone") & F.coalesce("l2", F.lit(False))).alias("live"),
+            )
+        )
+        hops *= 2
+    out = trades.join(link.withColumnRenamed("old_id", "event_id"), [*by, "event_id"], "left")
+    rest = [c for c in by if c != "symbol"]
+    return out.where("NOT coalesce(gone OR live, false)").select("symbol", *rest, "ns", "event_ts", "event_id", F.coalesce("new_price", "price").alias("price"), "size", F.col("new_id").alias("replaced_by"))
 
 
 def minute_bars(trades: DataFrame, watermark: str | None = None) -> DataFrame:
@@ -84,11 +100,18 @@ def minute_bars(trades: DataFrame, watermark: str | None = None) -> DataFrame:
     ).select("symbol", F.col("w.start").alias("minute"), "open", "high", "low", "close", "volume", "trades")
 
 
+def event_key() -> Column:
+    """What makes an event the same: its id, or without one a hash of its fields and its exact time."""
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("symbol", "kind", "ns", "price", "size")]
+    return F.coalesce(F.concat(F.lit("id:"), F.col("event_id").cast("string")), F.concat(F.lit("hash:"), F.sha2(F.concat_ws("|", *fields), 256)))
+
+
 def deduplicated(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """First of each (symbol, event_id); the state of a stream is bounded by the watermark."""
+    """One of each (symbol, event_key); the state of a stream is bounded by the watermark."""
+    keyed = events.withColumn("__key", event_key())
     if events.isStreaming:
-        return events.withWatermark("event_ts", watermark).dropDuplicatesWithinWatermark(["symbol", "event_id"])
-    return events.dropDuplicates(["symbol", "event_id"])
+        return keyed.withWatermark("event_ts", watermark).dropDuplicatesWithinWatermark(["symbol", "__key"]).drop("__key")
+    return keyed.dropDuplicates(["symbol", "__key"]).drop("__key")
 
 
 def stream_directions(events: DataFrame, max_age_ns: int = 5_000_000_000) -> DataFrame:
