@@ -445,6 +445,52 @@ def test_forward_and_expected_counts_by_enumeration():
     assert np.isclose(flat[k * (k + 1) :].sum(), sum(map(len, seqs))) and hmm.STATES == old
 
 
+def plain_hmm(texts, share):
+    """The whole model from the rule, a sequence at a time: word classes, Baum-Welch by shares and rounds, and scores."""
+    k, count = hmm.STATES, collections.Counter(w for _, out, words_ in texts if not out for w in words_)
+    vocab = {w for _, _, words_ in texts for w in words_}
+    top = {w: i for i, w in enumerate(sorted((w for w in count if count[w] > 1), key=lambda w: (-count[w], w))[: hmm.FREQUENT])}
+    cls = {w: top.get(w, hmm.FREQUENT + zlib.crc32(w.decode("utf-8", "replace")[-hmm.SUFFIX :].encode()) % hmm.HASHED) for w in vocab}
+    n_in, v_in = np.zeros(hmm.CLASSES), np.zeros(hmm.CLASSES)
+    for w, n in count.items():
+        n_in[cls[w]] += n
+        v_in[cls[w]] += 1
+    shares = n_in.copy()
+    shares[hmm.END] = sum(not out for _, out, _ in texts)
+    shares = (shares + hmm.SMOOTH) / (shares.sum() + hmm.SMOOTH * hmm.CLASSES)
+    seqs = [[cls[w] for w in words_] + [hmm.END] for _, _, words_ in texts]
+
+    def passes(seq, m):
+        """Scaled forward shares, their scales and backward values, one step at a time."""
+        f, scale = np.zeros((len(seq), k)), np.zeros(len(seq))
+        for t, x in enumerate(seq):
+            now = (m.start if t == 0 else f[t - 1] @ m.move) * m.emit[:, x]
+            scale[t] = now.sum()
+            f[t] = now / scale[t]
+        b = np.ones((len(seq), k))
+        for t in range(len(seq) - 2, -1, -1):
+            b[t] = m.move @ (m.emit[:, seq[t + 1]] * b[t + 1]) / scale[t + 1]
+        return f, scale, b
+
+    model = hmm.Model.first(shares)
+    learn = [(share[i, len(words_) + 1], seq) for (i, out, words_), seq in zip(texts, seqs) if not out]
+    for step in [*range(hmm.SHARES)] * hmm.SWEEPS + [None] * hmm.ROUNDS:
+        some = [seq for s, seq in learn if step is None or s == step]
+        if not some:
+            continue
+        start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, hmm.CLASSES))
+        for seq in some:
+            f, scale, b = passes(seq, model)
+            start += f[0] * b[0]
+            for t, x in enumerate(seq):
+                emit[:, x] += f[t] * b[t]
+                if t:
+                    move += np.outer(f[t - 1], model.emit[:, x] * b[t]) * model.move / scale[t]
+        model = hmm.Model.of_counts(np.concatenate([start, move.ravel(), emit.ravel()]), shares)
+    inside = {w: 0.0 if cls[w] < hmm.FREQUENT else math.log10((count[w] + hmm.SMOOTH) / (n_in[cls[w]] + hmm.SMOOTH * (v_in[cls[w]] + 1))) for w in vocab}
+    return [sum(inside[w] for w in words_) + float(np.log10(passes(seq, model)[1]).sum()) for (_, _, words_), seq in zip(texts, seqs)]
+
+
 def test_hmm_scores(spark, docs, none):
     got = hmm.score(docs).collect()
     rows = docs.collect()
@@ -459,7 +505,9 @@ def test_hmm_scores(spark, docs, none):
         w = (r.text or "").encode().lower().split() + [None]
         want.append((r.doc_id is None, r.doc_id or 0, held(r.doc_id), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 6)))
     assert sorted(want) == sorted((r.doc_id is None, r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got)
-    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
+    share = {(r.d, r.n): r.s for r in spark.createDataFrame([(r.doc_id, len((r.text or "").encode().split()) + 1) for r in rows], "d long, n long").selectExpr("d", "n", f"pmod(xxhash64(d, n), {hmm.SHARES}L) AS s").collect()}
+    want = plain_hmm([(r.doc_id, held(r.doc_id), (r.text or "").encode().lower().split()) for r in rows], share)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, round(r.score, 5)) for r in got) == sorted((i is None, i or 0, len(w) + 1, round(s, 5)) for (i, _, w), s in zip([(r.doc_id, 0, (r.text or "").encode().split()) for r in rows], want))
     assert hmm.score(none).count() == 0
 
 
@@ -504,6 +552,25 @@ def plain_kn(train, asked):
     return out
 
 
+def plain_thresholds(rows, calibrating):
+    """The threshold of each row from the rule: medians and quantiles of lists, blended by their numbers."""
+    quantile = lambda xs, q: sorted(xs)[max(0, math.ceil(q * len(xs)) - 1)]
+    read = [r for r in rows if r.log_ppl is not None]
+    sure = [r for r in read if r.c0 in calibrating]
+    centre, own = {}, collections.Counter(r.lang for r in sure)
+    for lang in {r.lang for r in read}:
+        usual = quantile([r.log_ppl for r in read if r.lang == lang], 0.5)
+        middle = quantile([r.log_ppl for r in sure if r.lang == lang], 0.5) if own[lang] else 0.0
+        centre[lang] = (own[lang] * middle + kneser_ney.CENTRE_WEIGHT * usual) / (own[lang] + kneser_ney.CENTRE_WEIGHT)
+    over = lambda rs: [(r.log_ppl - centre[r.lang]) * math.sqrt(r.n_symbols) for r in rs]
+    pooled = quantile(over(sure or read), kneser_ney.HIGH) if read else None
+    fence = {}
+    for lang in centre:
+        q = quantile(over([r for r in sure if r.lang == lang]), kneser_ney.HIGH) if own[lang] else 0.0
+        fence[lang] = (own[lang] * q + kneser_ney.FENCE_WEIGHT * pooled) / (own[lang] + kneser_ney.FENCE_WEIGHT)
+    return [None if r.log_ppl is None else centre[r.lang] + fence[r.lang] / math.sqrt(r.n_symbols) for r in rows]
+
+
 @pytest.mark.parametrize("table_rows", [kneser_ney.TABLE_ROWS, 0])
 def test_kneser_ney(spark, docs, none, table_rows, monkeypatch):
     monkeypatch.setattr(kneser_ney, "TABLE_ROWS", table_rows)
@@ -520,10 +587,12 @@ def test_kneser_ney(spark, docs, none, table_rows, monkeypatch):
         train = [s for s, r in zip(sym, own) if r.doc_id in trusted - calib]
         for r, x in zip(own, plain_kn(train, sym)):
             by[r.doc_id].append(None if x is None else round(x, 8))
-    for r in got:
+    thresholds = plain_thresholds(got, calib)
+    for r, t in zip(got, thresholds):
         x = None if r.log_ppl is None else round(r.log_ppl, 8)
         assert x in by[r.c0], r
-        assert r.kept or x is None or r.threshold is not None
+        assert (r.threshold is None) == (t is None) and (t is None or r.threshold == pytest.approx(t, abs=1e-9))
+        assert r.kept == (t is not None and r.log_ppl <= t + kneser_ney.ROUNDING)
     assert kneser_ney.keep_likely(docs, labels).columns == docs.columns
     assert kneser_ney.judged(none, labels, ["doc_id"]).count() == 0
     assert kneser_ney.judged(docs, labels.limit(0), ["doc_id"]).where("kept").count() == sum(len(kneser_ney.symbols_of(r.text)) > 0 for r in rows)
@@ -569,6 +638,9 @@ def test_kneser_ney_threshold_follows_the_quantile(spark):
     got = kneser_ney.judged(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(marks, LABELS), ["doc_id"]).collect()
     bad = {m[0] for m in marks if m[1] == 0}
     assert sum(not r.kept for r in got if r.c0 in bad) >= 19
+    marks = {m[0] for m in marks if m[1] == 1 and zlib.crc32(str(m[0]).encode()) % kneser_ney.CALIBRATION == 0}
+    want = plain_thresholds(got, marks)
+    assert [r.threshold for r in got] == pytest.approx(want) and [r.kept for r in got] == [r.log_ppl <= t + kneser_ney.ROUNDING for r, t in zip(got, want)]
     assert sum(not r.kept for r in got if r.c0 not in bad) <= 6
 
 
