@@ -493,3 +493,100 @@ def test_moving_blocks(spark):
     rows = spark.range(2000).selectExpr("date_add(DATE '2020-01-01', CAST(id div 10 AS INT)) AS session", "CAST(id % 10 AS DOUBLE) AS v")
     r = models.moving_block_bootstrap(rows, "session", "v", 20, 300).first()
     assert r.low <= 4.5 <= r.high and abs(r["mean"] - 4.5) < 0.1
+
+
+def macro_vintages(spark):
+    """The seven series around July 2026, with an inflation release that comes later."""
+    at = lambda d, t="18:00:00": datetime.datetime.fromisoformat(f"{d}T{t}")
+    day = datetime.date.fromisoformat
+    months = {"2026-06-01": dict(DGS2=4.10, DGS10=4.00, DCOILWTICO=70.0, BAMLH0A0HYM2=3.2, VIXCLS=16.0, DTWEXBGS=120.0), "2026-07-01": dict(DGS2=4.75, DGS10=4.10, DCOILWTICO=84.0, BAMLH0A0HYM2=5.4, VIXCLS=28.0, DTWEXBGS=124.0)}
+    rows = [(s, day(d), at(d), v, day("2026-07-01")) for d, vs in months.items() for s, v in vs.items()]
+    rows += [("CPIAUCSL", day("2025-06-01"), at("2025-07-15"), 300.0, day("2025-07-15")), ("CPIAUCSL", day("2026-06-01"), at("2026-07-15"), 310.5, day("2026-07-15"))]
+    rows += [("VIXCLS", day("2026-07-01"), at("2026-08-01"), 10.0, day("2026-08-01"))]  # a revision that must stay unseen
+    return spark.createDataFrame(rows, "series_id string, observation_date date, available_at timestamp, value double, realtime_start date")
+
+
+def test_macro_replay_sees_what_was_known(spark):
+    from tidemark.operators import macro
+
+    dates = spark.createDataFrame([(datetime.date.fromisoformat(d),) for d in ("2026-01-01", "2026-07-10", "2026-07-20", "2026-08-02")], "asof date")
+    got = {str(r.asof): r for r in macro.risk(macro.values_at(macro_vintages(spark), dates)).collect()}
+    assert got["2026-07-10"].CPI_YOY is None and got["2026-07-20"].CPI_YOY == pytest.approx(3.5) and got["2026-07-20"].DGS2 == 4.75
+    # All known rules are met but the inverted curve, whose value is -0.65.
+    assert got["2026-07-20"].score == 100.0 and got["2026-07-20"].coverage == 1.0 and got["2026-07-20"].state == "severe" and len(got["2026-07-20"].conditions) == 10
+    assert got["2026-07-10"].coverage == 0.85 and got["2026-07-10"].inflation_energy_coverage == 0.4
+    assert got["2026-08-02"].VIXCLS == 10.0 and got["2026-08-02"].score == 85.0 and got["2026-08-02"].risk_aversion_score == 25.0
+    assert (got["2026-01-01"].score, got["2026-01-01"].state, got["2026-01-01"].DGS2) == (None, "unavailable", None)
+
+
+def test_identity_ladder(spark):
+    from tidemark.operators import identity
+
+    d = datetime.date.fromisoformat
+    names = ["isin", "type", "panel", "two", "former", "rivals", "ticker", "undated", "none", "late"]
+    sample = spark.createDataFrame([(t, f"{t} Corp.", f"US{t}", "conflicting_isin" if t == "panel" else None, d("2001-01-01"), d("2003-01-01")) for t in names], "ticker string, name string, isin string, panel string, first_date date, last_date date")
+    span = lambda t, a, b: [(f"{t.upper()} CORP", d(a), d(b))]
+    register = spark.createDataFrame(
+        [("1", "ISIN, Corp", "X", []), ("2", "Type Corp", "X", []), ("5", "Other", "X", span("former", "2002-01-01", "2004-01-01")), ("6", "Rivals Corp", "X", []), ("7", "rivals corp!", "X", []), ("8", "Something", " ticker", []), ("9", "Undated Corp", "X", []), ("10", "Other", "X", span("late", "2004-01-01", "2005-01-01"))],
+        "cik string, name string, ticker string, former array<struct<name string, `from` date, `to` date>>",
+    )
+    evidence = spark.createDataFrame([("isin", "isin_cik", None, "usisin ", "1"), ("type", "security_type", "Preferred  Stock", None, None), ("isin", "security_type", " Common  STOCK", None, None), ("panel", "isin_cik", None, "USpanel", "3"), ("two", "isin_cik", None, "UStwo", "3"), ("two", "isin_cik", None, "UStwo", "4"), ("undated", "isin_cik", None, "USelse", "9")], "ticker string, key_type string, value string, isin string, cik string")
+    got = {r.ticker: (r.cik, r.status, r.rule) for r in identity.adjudicate(sample, identity.name_candidates(sample, register), evidence).collect()}
+    review = lambda rule: (None, "review_required", rule)
+    assert got == {
+        "isin": ("1", "confirmed", "isin_cik_plus_exact_name"), "type": (None, "rejected", "security_type_contradiction"), "panel": review("catalog_conflicting_isin"), "two": review("conflicting_isin_cik"),
+        "former": ("5", "confirmed", "dated_former_name_overlap"), "rivals": review("competing_ciks"), "ticker": review("ticker_only_match"), "undated": review("undated_exact_name"), "none": (None, "unresolved", "no_identity_candidates"), "late": review("undated_exact_name"),
+    }
+
+
+def test_metric_rows_against_lists(spark):
+    from tidemark.operators import evaluation
+
+    rng = np.random.default_rng(6)
+    n = 400
+    pdf = pd.DataFrame({"spec": rng.choice(["a", "b"], n), "predicted_score": np.round(rng.random(n), 1), "actual_event": rng.random(n) < 0.3, "terminal_return": rng.normal(0, 1, n), "mae": -rng.random(n), "mfe": rng.random(n)})
+    pdf["predicted_event"] = pdf["predicted_score"] > 0.6
+    pdf["status"], pdf["mature"], pdf["lead_sessions"] = np.where(rng.random(n) < 0.9, "available", "missing"), rng.random(n) < 0.9, 2.0
+    pdf.loc[len(pdf)] = ["c", 0.5, True, 0.0, -0.1, 0.1, True, "available", True, 1.0]
+    got = {r.spec: r for r in evaluation.metric_rows(spark.createDataFrame(pdf), ["spec"]).collect()}
+    assert got["c"].status == "insufficient" and got["c"].precision is None and got["c"].sample_count == 1
+    for s in "ab":
+        g = pdf[pdf.spec == s]
+        v = g[(g.status == "available") & g.mature]
+        p, a, x, r = v.predicted_event, v.actual_event, v.predicted_score.to_numpy(), got[s]
+        assert (r.sample_count, r.excluded_unavailable_count, r.excluded_immature_count, r.signal_count) == (len(v), (g.status != "available").sum(), (~g.mature).sum(), p.sum())
+        assert r.precision == pytest.approx((p & a).sum() / p.sum()) and r.balanced_accuracy == pytest.approx(((p & a).sum() / a.sum() + (~p & ~a).sum() / (~a).sum()) / 2)
+        assert r.false_positive_opportunity_cost == pytest.approx(v.mfe[p & ~a].mean()) and r.mean_terminal_return == pytest.approx(v.terminal_return.mean())
+        pos, neg = x[a], x[~a]
+        assert r.roc_auc == pytest.approx(((pos[:, None] > neg).sum() + (pos[:, None] == neg).sum() / 2) / (len(pos) * len(neg)))
+        steps = [((x >= t) & a).sum() / (x >= t).sum() * ((x == t) & a).sum() / a.sum() for t in np.unique(x)]
+        assert r.pr_auc == pytest.approx(sum(steps))
+
+
+def test_gates_and_ablations(spark):
+    from tidemark.operators import evaluation
+
+    rows = [(g, "non_overlapping", f, s, "ok", 0.5 + 0.1 * (s == "new") * (f != 1)) for g in ("x", "y") for f in range(4) for s in ("base", "new")]
+    metrics = spark.createDataFrame(rows, "scope string, sample_mode string, fold int, specification string, status string, balanced_accuracy double")
+    compared = evaluation.compare_folds(metrics, ["scope", "sample_mode"], "base")
+    assert {(r.scope, r.comparable_fold_count, r.fold_win_rate) for r in compared.collect()} == {("x", 4, 0.75), ("y", 4, 0.75)}
+    assert evaluation.promotion_gate(metrics, compared, ["x", "y"], "base").first().passed
+    assert evaluation.promotion_gate(metrics, compared, ["x", "z"], "base").first().reasons == ["required_group_evidence_missing"]
+    assert evaluation.promotion_gate(metrics, compared.limit(0), ["x"], "base").first().reasons == ["paired_fold_evidence_missing"]
+    assert evaluation.promotion_gate(metrics, compared.withColumn("fold_win_rate", F.lit(0.5)), ["x"], "base").first().reasons == ["fold_majority_not_won"]
+    df = spark.createDataFrame([(1, 1.0, 10.0, 100.0)], "id int, a double, b double, c double")
+    got = evaluation.ablations(df, {"ab": ["a", "b"], "c": ["c"]}, lambda v: sum((F.coalesce(x, F.lit(0.0)) for x in v.values()), F.lit(0.0)))
+    assert {r.specification: r.score for r in got.collect()} == {"all": 111.0, "without_ab": 100.0, "without_c": 11.0}
+
+
+def test_paired_evidence(spark):
+    from tidemark.operators import evaluation
+
+    rng = np.random.default_rng(7)
+    n = 400
+    pdf = pd.DataFrame({"session": pd.bdate_range("2020-01-01", periods=n).date, "case_up": rng.normal(1, 1, n), "control_up": rng.normal(0, 1, n), "case_same": rng.normal(0, 1, n), "control_same": rng.normal(0, 1, n), "case_flat": 1.0, "control_flat": 0.0})
+    got = {r.feature: r for r in evaluation.paired_evidence(spark.createDataFrame(pdf), ["up", "same", "flat"], resamples=300).collect()}
+    d = pdf.case_up - pdf.control_up
+    assert got["up"].admitted and got["up"].standardised == pytest.approx(d.mean() / d.std()) and got["up"].low < d.mean() < got["up"].high and got["up"].p < 0.05
+    assert not got["same"].admitted and got["flat"].p is None and got["flat"].standardised is None and not got["flat"].admitted
+    assert got["up"].q == pytest.approx(min(got["up"].p * 2, got["same"].p))

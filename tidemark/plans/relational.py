@@ -244,12 +244,9 @@ TEXTS |= {
     "g08_state_outcomes": "SELECT state, count(*) AS n, round(avg(CASE WHEN tail_down THEN 1D ELSE 0D END), 6) AS tail_rate, round(avg(least(mfe, 5D)), 5) AS mean_mfe FROM (SELECT CASE WHEN close > sma50 AND sma20 > sma50 THEN 'uptrend' WHEN close < sma50 THEN 'below' ELSE 'mixed' END AS state, tail_down, mfe FROM $features WHERE sma50 IS NOT NULL AND tail_down IS NOT NULL) t GROUP BY state",
     "g09_universe_rows": "SELECT ticker, CAST(session AS STRING) AS session, round(close, 8) AS close, round(off_high, 6) AS off_high, round(pct, 6) AS momentum_pct FROM (SELECT ticker, session, close, off_high, CASE WHEN mom_63 IS NOT NULL THEN (rank() OVER (PARTITION BY mom_63 IS NULL ORDER BY mom_63) + (count(*) OVER (PARTITION BY mom_63) - 1) / 2D) / count(mom_63) OVER () END AS pct FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY session DESC) AS k FROM $features) t WHERE k = 1) u",
     "g10_monitor_difference": "SELECT ticker, CAST(session AS STRING) AS session, label, was FROM (SELECT ticker, session, k, label, lead(label) OVER (PARTITION BY ticker ORDER BY k) AS was FROM (SELECT ticker, session, row_number() OVER (PARTITION BY ticker ORDER BY session DESC) AS k, CASE WHEN close > sma50 THEN 'above' ELSE 'below' END AS label FROM $features WHERE sma50 IS NOT NULL) t WHERE k <= 2) u WHERE k = 1",
-    "j22_identity_ladder": "SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN a.c_mktsegment <> b.c_mktsegment THEN 'rejected' WHEN a.c_nationkey <> b.c_nationkey THEN 'review' ELSE 'same' END AS verdict FROM $customer a JOIN $customer b ON upper(trim(a.c_name)) = upper(trim(b.c_name)) AND a.c_custkey <= b.c_custkey) t GROUP BY verdict",
     "m10_recency_weights": "SELECT ticker, round(sum(w), 5) AS total, round(sum(w * CASE WHEN tail_down THEN 1D ELSE 0D END) / sum(w), 6) AS rate FROM (SELECT ticker, tail_down, power(0.5D, datediff(DATE '2002-01-01', session) / 252D) AS w FROM $features WHERE tail_down IS NOT NULL) t GROUP BY ticker",
-    "m13_promotion_gates": "SELECT year, n, hit, n >= 50 AND hit >= 0.5 AS promoted FROM (SELECT year(session) AS year, count(*) AS n, round(avg(CASE WHEN tail_up THEN 1D ELSE 0D END), 6) AS hit FROM $features WHERE tail_up IS NOT NULL GROUP BY year(session)) t",
     "r12_liveness": "SELECT symbol, CASE WHEN newest - last > 86400000000000 THEN 'stale' WHEN newest - last > 3600000000000 THEN 'pending' ELSE 'live' END AS state FROM (SELECT symbol, max(ns) AS last FROM $trades GROUP BY symbol) t CROSS JOIN (SELECT max(ns) AS newest FROM $trades) u",
     "a19_exact_quantiles": "SELECT ticker, round(percentile_cont(0.05) WITHIN GROUP (ORDER BY least(ret, 5D)), 6) AS q05, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY least(ret, 5D)), 6) AS q95 FROM $features WHERE ret IS NOT NULL GROUP BY ticker",
-    "g01_macro_risk_replay": _MACRO + "SELECT CAST(seen_at AS STRING) AS seen_at, n_series, round(CASE WHEN n_series >= 4 THEN CASE WHEN v1 >= 15 THEN 25D ELSE 0D END + CASE WHEN v2 >= 15 THEN 25D ELSE 0D END + CASE WHEN v3 - p3 >= 0.1 THEN 25D ELSE 0D END + CASE WHEN v4 - p4 <= -0.1 THEN 25D ELSE 0D END END, 6) AS risk FROM w",
     "g02_visible_vintages": _MACRO + "SELECT CAST(seen_at AS STRING) AS seen_at, series, CAST(obs AS STRING) AS obs, round(value, 6) AS value FROM latest WHERE k = 1",
     "w40_policy_directions": _MACRO + "SELECT CAST(seen_at AS STRING) AS seen_at, CASE WHEN p1 IS NULL THEN 'unavailable' WHEN v1 > p1 + 0.05 THEN 'tightening' WHEN v1 < p1 - 0.05 THEN 'easing' ELSE 'flat' END AS rates, CASE WHEN p2 IS NULL THEN 'unavailable' WHEN v2 > p2 THEN 'up' ELSE 'down' END AS oil FROM w",
     "w44_yearly_inflation": "SELECT CAST(a.mth AS STRING) AS month, round(a.v / nullif(b.v, 0) - 1, 6) AS yoy FROM (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS mth, avg(o_totalprice) AS v FROM $orders GROUP BY CAST(date_trunc('month', o_orderdate) AS DATE)) a JOIN (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS mth, avg(o_totalprice) AS v FROM $orders GROUP BY CAST(date_trunc('month', o_orderdate) AS DATE)) b ON year(a.mth) = year(b.mth) + 1 AND month(a.mth) = month(b.mth)",
@@ -276,8 +273,6 @@ TEXTS |= {
     "w26_market_context": "SELECT CAST(session AS STRING) AS session, n, round(100 * (0.4D * above + 0.3D * rising + 0.3D * (1 - dist)), 5) AS opportunity, round(100 * (0.5D * (1 - above) + 0.5D * dist), 5) AS risk FROM (SELECT session, count(*) AS n, avg(CASE WHEN close > sma50 THEN 1D ELSE 0D END) AS above, avg(CASE WHEN chg_20 > 0 THEN 1D ELSE 0D END) AS rising, avg(CASE WHEN distribution THEN 1D ELSE 0D END) AS dist FROM $features WHERE sma50 IS NOT NULL GROUP BY session HAVING count(*) >= 5) t",
     "m08_boundary_grid": "SELECT cut / 10D AS cut, n, round(hit, 6) AS hit, row_number() OVER (ORDER BY hit DESC, cut) AS place FROM (SELECT g.cut, count(*) AS n, avg(CASE WHEN f.tail_down THEN 1D ELSE 0D END) AS hit FROM $features f JOIN (SELECT 10 AS cut UNION ALL SELECT 12 UNION ALL SELECT 15 UNION ALL SELECT 18 UNION ALL SELECT 20 UNION ALL SELECT 25) g ON f.vr >= g.cut / 10D WHERE f.tail_down IS NOT NULL GROUP BY g.cut) t",
     "m11_frozen_linear_scores": "SELECT ticker, CAST(session AS STRING) AS session, round(0.1D + 0.5D * coalesce(vr, 1D) - 0.2D * coalesce(cl, 0D) + 0.3D * coalesce(least(rel_20, 5D), 0D), 5) AS score FROM $features",
-    "m12_evaluation_contract": "SELECT fold, n, round(coverage, 6) AS coverage, round(rate - base, 6) AS lift, CASE WHEN n < 50 THEN 'insufficient' WHEN rate > base THEN 'supported' ELSE 'not_supported' END AS evidence_status FROM (SELECT year(session) AS fold, count(*) AS n, avg(CASE WHEN vr IS NOT NULL THEN 1D ELSE 0D END) AS coverage, avg(CASE WHEN distribution THEN CASE WHEN tail_down THEN 1D ELSE 0D END END) AS rate, avg(CASE WHEN tail_down THEN 1D ELSE 0D END) AS base FROM $features WHERE tail_down IS NOT NULL GROUP BY year(session)) t WHERE rate IS NOT NULL",
-    "m16_paired_evidence": "SELECT grp, n, round((ma - mb) / nullif(sqrt((va + vb) / 2), 0), 5) AS standardised_difference FROM (SELECT g.grp, count(*) AS n, avg(CASE WHEN f.tail_down THEN f.vr END) AS ma, avg(CASE WHEN NOT f.tail_down THEN f.vr END) AS mb, var_samp(CASE WHEN f.tail_down THEN f.vr END) AS va, var_samp(CASE WHEN NOT f.tail_down THEN f.vr END) AS vb FROM $features f JOIN $groups g ON f.ticker = g.ticker WHERE f.tail_down IS NOT NULL AND f.vr IS NOT NULL GROUP BY g.grp) t",
     "g03_period_returns": "SELECT id, ticker, n, round(last / first - 1, 5) AS total_return FROM (SELECT p.id, b.ticker, count(*) AS n, max(CASE WHEN b.session = e.a THEN b.close END) AS first, max(CASE WHEN b.session = e.z THEN b.close END) AS last FROM (SELECT 1 AS id, DATE '1995-06-01' AS a, DATE '1996-06-01' AS z UNION ALL SELECT 2, DATE '1997-01-01', DATE '1999-01-01') p JOIN $bars b ON b.session >= p.a AND b.session < p.z JOIN (SELECT q.id, c.ticker, min(c.session) AS a, max(c.session) AS z FROM (SELECT 1 AS id, DATE '1995-06-01' AS a, DATE '1996-06-01' AS z UNION ALL SELECT 2, DATE '1997-01-01', DATE '1999-01-01') q JOIN $bars c ON c.session >= q.a AND c.session < q.z GROUP BY q.id, c.ticker) e ON e.id = p.id AND e.ticker = b.ticker GROUP BY p.id, b.ticker) t",
     "g04_group_context": "SELECT g.grp, CAST(f.session AS STRING) AS session, count(*) AS members, round(avg(f.chg_20), 4) AS mean_chg_20, round(avg(CASE WHEN f.close > f.sma50 THEN 1D ELSE 0D END), 6) AS breadth FROM $features f JOIN $groups g ON f.ticker = g.ticker WHERE f.sma50 IS NOT NULL AND f.chg_20 IS NOT NULL GROUP BY g.grp, f.session",
     "g06_risk_comparison": "SELECT fold, round(tp / nullif(tp + fp, 0), 6) AS precision_, round(tp / nullif(tp + fn, 0), 6) AS recall_ FROM (SELECT year(session) AS fold, sum(CASE WHEN climax AND tail_down THEN 1D ELSE 0D END) AS tp, sum(CASE WHEN climax AND NOT tail_down THEN 1D ELSE 0D END) AS fp, sum(CASE WHEN NOT climax AND tail_down THEN 1D ELSE 0D END) AS fn FROM (SELECT session, tail_down, coalesce(chg_15 >= 0.25 AND vr >= 1.5, false) AS climax FROM $features WHERE tail_down IS NOT NULL) t GROUP BY year(session)) u",
