@@ -250,28 +250,74 @@ def test_contraction_and_reasons(spark):
     assert part == out[: len(part)]
 
 
-def test_support_touch_outcomes(spark):
+def touches(spark, close, low=None, high=None, zone=(9.4, 9.6), **over):
     from tidemark.operators import patterns
 
-    close = np.array([10.0, 10, 9.9, 10.5, 10.6, 10.7, 10.8, 10.9, 11, 11, 9.2, 9, 9, 9, 9, 9, 9])
-    low = close.copy()
-    low[2], low[10] = 9.4, 9.0
-    pdf = history(len(close), close, open=close, low=low).assign(support=9.5)
-    got = [(r.kind, r.outcome) for r in patterns.support_touches(spark.createDataFrame(pdf)).orderBy("session").collect()]
-    assert got == [("intersection", "accepted"), ("gap_through", "failed")]
+    close = np.asarray(close, float)
+    pdf = history(len(close), close, low=close if low is None else low, high=close if high is None else high).assign(atr20=1.0, mean_volume=5e5, lower=zone[0], upper=zone[1])
+    got = patterns.support_touches(spark.createDataFrame(pdf), waiting=5, **over).orderBy("session").collect()
+    return [(list(pdf["session"]).index(r.session), r.kind, r.delay, r.outcome, r.reclaim) for r in got]
+
+
+def test_support_touch_outcomes(spark):
+    ten = [10.0] * 3
+    assert touches(spark, [*ten, 9.5, 9.7, 9.8, *[10.0] * 8])[0] == (0, "intersection", 3, "accepted", 1)
+    assert touches(spark, [*ten, 9.3, 9.3, 9.8, *[10.0] * 8])[0] == (0, "gap_through", 3, "failed", 2)
+    assert touches(spark, [*ten, 9.5, 9.5, 9.5, *[10.0] * 8])[0] == (0, "intersection", 3, "ambiguous", None)
+    assert touches(spark, [*ten, 9.5, 8.8, 9.7, *[10.0] * 8])[0][3] == "failed"  # half a range under the zone
+    assert touches(spark, [*ten, 9.0, 9.0, 9.0, *[10.0] * 8])[0][1:4] == ("gap_through", 3, "failed")
+    # Untouched zones: the next episode begins after the waiting time, but not within ten sessions of the same zone.
+    assert [x[0] for x in touches(spark, [10.0] * 30)] == [0, 10, 20] and touches(spark, [10.0] * 30)[0][1:] == (None, None, "not_touched", None)
+    assert touches(spark, [14.0] * 30) == [] and touches(spark, [9.5] * 30) == []
+    assert [x[0] for x in touches(spark, [10.0] * 30, apart=1)] == [0, 6, 12, 18]
+
+
+def bottom_row(place, **over):
+    from types import SimpleNamespace
 
+    base = dict(place=place, downtrend=True, recent_downtrend=True, coverage=1.0, location=0.0, exhaustion=0.0, demand=0.0, higher_low=False, early_watch=False, any_breakout=False, follow_through=False, loud_low=False, close=10.0, invalidation=9.0)
+    return SimpleNamespace(**{**base, **over})
 
-def test_bottom_state_holds_and_breaks(spark):
+
+def test_bottom_states_rise_hold_and_fail():
     from tidemark.operators import patterns
 
-    n = 16
-    close = np.full(n, 10.0)
-    close[-1] = 8.0
-    pdf = history(n, close, low=close).assign(location=0.0, exhaustion=0.0, demand=0.0, structure=0.0)
-    pdf.loc[2, ["location", "exhaustion", "demand", "structure"]] = [15, 10, 20, 15]
-    pdf.loc[0, "location"] = np.nan
-    got = [r.state for r in patterns.bottom_states(spark.createDataFrame(pdf)).orderBy("session").collect()]
-    assert got[0] == "unavailable" and got[1] == "none" and got[2:13] == ["confirmed"] * 11 and got[-1] == "none"
+    walk = lambda rows: [(s, a, lv) for s, _, a, lv in patterns.bottom_walk(rows)]
+    plain = [bottom_row(100 + i) for i in range(16)]
+    up = bottom_row(99, location=15.0, exhaustion=10.0)
+    assert walk([bottom_row(10, location=15.0)]) == [("unavailable", None, None)]
+    got = walk([bottom_row(98, location=15.0), up, *plain])
+    assert got[:2] == [("potential_support", 0, 9.0), ("seller_exhaustion_watch", 0, 9.0)]
+    assert got[2:12] == [("seller_exhaustion_watch", k, 9.0) for k in range(1, 11)] and got[12] == ("downtrend_continuation", 0, None)
+    # The level is frozen where the state was renewed; a close a hundredth under it fails, and that shows three sessions more.
+    fall = bottom_row(101, close=8.9, invalidation=5.0)
+    got = walk([up, fall, *plain[:5]])
+    assert [g[0] for g in got] == ["seller_exhaustion_watch"] + ["bottom_failed"] * 4 + ["downtrend_continuation"] * 2 and [g[1] for g in got[1:5]] == [0, 1, 2, 3]
+    assert [g[0] for g in walk([bottom_row(99, location=15.0), fall])] == ["potential_support", "potential_support"]
+    assert walk([up, bottom_row(101, loud_low=True)])[1][0] == "bottom_failed"
+    # A retest needs a bottom before it; without one the same evidence is support at most.
+    retest = bottom_row(101, follow_through=True, location=15.0)
+    assert walk([up, retest])[1][0] == "breakout_retest_confirmed" and walk([retest])[0][0] == "potential_support"
+    assert walk([bottom_row(99, downtrend=False, recent_downtrend=False, location=15.0)])[0][0] == "unavailable"
+    assert walk([bottom_row(99, coverage=0.4, location=15.0)])[0][0] == "unavailable"
+    assert walk([bottom_row(99, higher_low=True, any_breakout=True)])[0][0] == "bullish_structure_confirmed"
+
+
+def test_bottom_scores_by_hand(spark):
+    from tidemark.operators import patterns
+
+    n = 80
+    pdf = history(n, 100 * 0.99 ** np.arange(n))
+    pdf = pdf.assign(ema20=pdf["close"] * 1.05, support_lower=40.0, support_upper=pdf["close"] * 0.99, support_score=70.0, support_state="near", demand_score=60.0, demand_coverage=1.0, early_watch=True, higher_low=False, prior_high_breakout=False, trendline_breakout=False, market_state="rally_attempt")
+    df = spark.createDataFrame(pdf).withColumn("demand_conditions", F.array(F.lit("seller_exhaustion"), F.lit("buyer_absorption")))
+    r = patterns.bottom_scores(df).orderBy("session").collect()[-1]
+    assert (r.location, r.exhaustion, r.demand, r.structure, r.environment, r.coverage) == (17.0, 18.0, 15.0, 5.0, 5.0, 1.0) and r.downtrend and r.score == 60.0
+    cut = patterns.bottom_scores(df, ("location", "demand")).orderBy("session").collect()[-1]
+    assert (cut.location, cut.demand, cut.coverage) == (0.0, 0.0, pytest.approx(0.6))
+    far = patterns.bottom_scores(df.withColumn("support_upper", F.lit(10.0)).withColumn("market_state", F.lit("unavailable"))).orderBy("session").collect()[-1]
+    assert far.location == pytest.approx(4.2) and far.environment == 0.0
+    out = patterns.bottom_states(df).orderBy("session").collect()
+    assert out[61].state == "unavailable" and out[62].state == "early_bullish_reversal_watch" and out[-1].invalidation == 40.0
 
 
 def test_lifecycle_ids_do_not_depend_on_later_rows(spark):

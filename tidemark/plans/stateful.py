@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, models, patterns, portfolio, state
+from tidemark.operators import asof, folds, models, patterns, portfolio, state
 from tidemark.operators import layers as L
 from tidemark.plans import layered, relational
 from tidemark.sources import bars as B
@@ -304,20 +309,36 @@ z AS (SELECT ticker, session, close, k, avg(x) AS level FROM c GROUP BY ticker,
 SELECT ticker, session::VARCHAR AS session, round(max(level) FILTER (level <= close), 6) AS support, round(min(level) FILTER (level > close), 6) AS resistance, count(*)::DOUBLE AS clusters FROM z GROUP BY ticker, session"""
 
 
+def _zones(lower: str = "support - 0.25D * atr20", upper: str = "support + 0.25D * atr20") -> list[L.Layer]:
+    """A support zone around the low of sessions 6 to 25 before, and the volume of the 20 before."""
+    return [
+        {"support": L.full("min", "low", 20, L.over("25 PRECEDING", "6 PRECEDING")), "mean_volume_20": L.full("avg", "volume", 20, L.prior(20))},
+        {"zone_lower": f"CASE WHEN {lower} > 0 THEN {lower} END", "zone_upper": upper},
+    ]
+
+
 def x14_bottom_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = L.stack(layered.base(spark, sf_dir, "week", True), [*layered.FULL, *L.RELATIVE]).selectExpr(
-        "ticker", "session", "low", "close",
-        "CASE WHEN chg_20 IS NULL OR sma20 IS NULL THEN NULL ELSE CASE WHEN chg_20 <= -0.08 THEN 10D ELSE 0D END + CASE WHEN close < sma20 THEN 5D ELSE 0D END + CASE WHEN off_high <= -0.15 THEN 5D ELSE 0D END END AS location",
-        "CASE WHEN distress THEN 10D ELSE 0D END + CASE WHEN vr >= 1.8 THEN 8D ELSE 0D END + CASE WHEN churn_10 >= 2 THEN 7D ELSE 0D END AS exhaustion",
-        "CASE WHEN vr IS NULL THEN NULL ELSE CASE WHEN recovery THEN 15D ELSE 0D END + CASE WHEN ret > 0 AND vr >= 1.2 AND cl >= 0.4 THEN 10D ELSE 0D END + CASE WHEN sv >= 0.75 THEN 5D ELSE 0D END END AS demand",
-        "CASE WHEN cross_up THEN 12D ELSE 0D END + CASE WHEN close > sma10 THEN 5D ELSE 0D END AS structure",
-    )
-    return patterns.bottom_states(rows).selectExpr("ticker", "CAST(session AS STRING) AS session", "state")
+    """Bottom states from the support zone, demand, structure and the market gate."""
+    base = L.stack(layered.base(spark, sf_dir, "week", "group"), [*layered.FULL, *L.RELATIVE, *L.CARRY, *L.SUPPLY, *_zones()])
+    gate = x09_market_gate(spark, sf_dir).select(F.to_date("session").alias("session"), F.col("state").alias("market_state"))
+    conditions = {
+        "seller_exhaustion": "distress", "buyer_absorption": f"vr >= 1.8 AND low >= 0.995 * min(low) {L.prior(5)} AND cl >= 0", "low_volume_higher_low": f"vr < 0.8 AND low > {L.lag('low')}",
+        "positive_signed_volume": "sv >= 0.75", "up_volume_confirmation": "ret > 0 AND vr >= 1.2 AND cl >= 0.4", "breakout_acceptance": "accepted", "breakout_follow_through": "follow_window AND NOT distribution",
+    }
+    names = "array_compact(array(" + ", ".join(f"CASE WHEN {x} THEN '{n}' END" for n, x in conditions.items()) + "))"
+    rows = base.selectExpr(
+        "ticker", "session", "low", "close", "volume", "ema20", "zone_lower AS support_lower", "zone_upper AS support_upper",
+        "CASE WHEN zone_upper IS NOT NULL THEN 50D + CASE WHEN tested THEN 20D ELSE 0D END END AS support_score", "CASE WHEN close BETWEEN zone_lower AND zone_upper THEN 'inside' WHEN low <= zone_upper AND close > zone_upper THEN 'testing' ELSE 'near' END AS support_state",
+        "least(100D, CAST(demand AS DOUBLE)) AS demand_score", "CASE WHEN demand IS NOT NULL THEN 1D ELSE 0D END AS demand_coverage", f"{names} AS demand_conditions",
+        "recovery AS early_watch", f"low > min(low) {L.prior(10)} AND close > sma10 AS higher_low", "pivot_breakout AS prior_high_breakout", "false AS trendline_breakout",
+    ).join(gate, "session", "left")
+    return patterns.bottom_states(rows).selectExpr("ticker", "CAST(session AS STRING) AS session", "state", "raw_state", "age", "round(invalidation, 6) AS invalidation", "round(score, 4) AS score", "coverage")
 
 
 def x16_support_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = L.stack(B.bars(spark, sf_dir), [{"support": L.full("min", "low", 20, "OVER (PARTITION BY ticker ORDER BY session ROWS BETWEEN 25 PRECEDING AND 6 PRECEDING)")}])
-    return patterns.support_touches(rows).selectExpr("ticker", "CAST(session AS STRING) AS session", "round(level, 6) AS level", "kind", "outcome")
+    rows = L.stack(B.bars(spark, sf_dir), [*L.PRESSURE, *L.TREND, *_zones("support * 0.97", "support * 1.03")]).selectExpr("*", "mean_volume_20 AS mean_volume_", "zone_lower AS lower", "zone_upper AS upper").drop("mean_volume").withColumnRenamed("mean_volume_", "mean_volume")
+    got = patterns.support_touches(rows)
+    return got.selectExpr("ticker", "CAST(session AS STRING) AS session", "round(lower, 6) AS lower", "round(upper, 6) AS upper", "CAST(touched AS STRING) AS touched", "delay", "kind", "outcome", "reclaim", "round(rebound, 6) AS rebound", "round(penetration, 6) AS penetration", "round(change, 6) AS change")
 
 
 def p31_us_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -420,37 +441,45 @@ def k02_idempotent_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 K02_SQL = "SELECT event_id, user_id, event_type FROM events"
 
 
+def _walk_forward(f: DataFrame, fit, shown: str) -> DataFrame:
+    """ticker, session, fold and prediction of each fold's test rows, by a model of the rows whose labels ended before it.
+
+    f has ticker, session, label_end, label and features. There are four folds, so four fits; one whose training rows don't
+    do (fit gives None) has no predictions.
+    """
+    parts = []
+    for edge in folds.fold_edges(f, 5).orderBy("fold").collect():
+        model = fit(f.where(F.col("label_end") < F.lit(edge["first"])))
+        if model is not None:
+            test = f.where(F.col("session").between(F.lit(edge["first"]), F.lit(edge["last"])))
+            parts.append(model.transform(test).withColumn("fold", F.lit(edge["fold"])))
+    out = reduce(DataFrame.unionByName, parts) if parts else f.limit(0).withColumns({"fold": F.lit(0).cast("long"), "prediction": F.lit(0.0), "probability": F.col("features")})
+    value = vector_to_array("probability")[1] if shown == "p" else F.col("prediction")
+    return out.select("ticker", F.col("session").cast("string").alias("session"), "fold", F.round(value, 4).alias(shown))
+
+
+def _vectors(spark: SparkSession, sf_dir: str, label) -> DataFrame:
+    f = _features(spark, sf_dir).where("fwd IS NOT NULL AND vr IS NOT NULL AND cl IS NOT NULL AND rel_20 IS NOT NULL")
+    f = f.select("ticker", "session", "label_end", label.alias("label"), "vr", "cl", F.least("rel_20", F.lit(5.0)).alias("rel_20"))
+    return storage.cut(VectorAssembler(inputCols=["vr", "cl", "rel_20"], outputCol="features").transform(f))
+
+
 def m05_logistic_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Balanced logistic probabilities for sessions from 2000 on, from labels that ended before."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    f = _features(spark, sf_dir).where("tail_down IS NOT NULL AND vr IS NOT NULL AND cl IS NOT NULL AND rel_20 IS NOT NULL")
-    f = f.select("ticker", "session", "label_end", F.col("tail_down").cast("double").alias("label"), "vr", "cl", F.least("rel_20", F.lit(5.0)).alias("rel_20"))
-    f = VectorAssembler(inputCols=["vr", "cl", "rel_20"], outputCol="features").transform(f)
-    past = f.where("label_end < DATE '2000-01-01'")
-    share = past.agg(F.avg("label")).first()[0]
-    if share is None or share in (0.0, 1.0):
-        return f.limit(0).select("ticker", F.col("session").cast("string").alias("session"), F.lit(0.0).alias("p"))
-    weighted = past.withColumn("w", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
-    model = LogisticRegression(weightCol="w", regParam=0.01, maxIter=50).fit(weighted)
-    return model.transform(f.where("session >= DATE '2000-01-01'")).select("ticker", F.col("session").cast("string").alias("session"), F.round(vector_to_array("probability")[1], 4).alias("p"))
+    """Balanced logistic probabilities of a fall, walked forward over purged folds."""
 
+    def fit(past: DataFrame):
+        share = past.agg(F.avg("label")).first()[0]
+        if share is None or share in (0.0, 1.0):
+            return None
+        return LogisticRegression(weightCol="w", regParam=0.01, maxIter=50).fit(past.withColumn("w", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share))))
 
-def m06_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees for the forward return of sessions from 2000 on, from labels that ended before."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
+    return _walk_forward(_vectors(spark, sf_dir, F.col("tail_down").cast("double")), fit, "p")
 
-    f = _features(spark, sf_dir).where("fwd IS NOT NULL AND vr IS NOT NULL AND cl IS NOT NULL AND rel_20 IS NOT NULL")
-    f = f.select("ticker", "session", "label_end", F.least("fwd", F.lit(1.0)).alias("label"), "vr", "cl", F.least("rel_20", F.lit(5.0)).alias("rel_20"))
-    f = VectorAssembler(inputCols=["vr", "cl", "rel_20"], outputCol="features").transform(f)
-    past = f.where("label_end < DATE '2000-01-01'")
-    if past.isEmpty():
-        return f.limit(0).select("ticker", F.col("session").cast("string").alias("session"), F.lit(0.0).alias("predicted"))
-    model = GBTRegressor(maxIter=10, maxDepth=3, seed=7).fit(past)
-    return model.transform(f.where("session >= DATE '2000-01-01'")).select("ticker", F.col("session").cast("string").alias("session"), F.round("prediction", 4).alias("predicted"))
+
+def m06_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees for the forward return, walked forward over purged folds."""
+    fit = lambda past: None if past.isEmpty() else GBTRegressor(maxIter=10, maxDepth=3, seed=7).fit(past)
+    return _walk_forward(_vectors(spark, sf_dir, F.least("fwd", F.lit(1.0))), fit, "predicted")
 
 
 QUERIES = {
