@@ -79,6 +79,8 @@ def test_asof_and_visibility(spark):
     assert got == {"x": (None, None), "y": (5, 50), "z": (5, 50), "w": (None, None)}
     got = {r.v: r.q for r in asof.asof_backward(left, right, ["k"], "t", ["q"], 3).collect()}
     assert got["z"] is None
+    for span in (1, 3, 100):
+        assert sorted(map(str, asof.asof_backward(left, right, ["k"], "t", ["q"], span=span).collect())) == sorted(map(str, asof.asof_backward(left, right, ["k"], "t", ["q"]).collect()))
     v = spark.createDataFrame([("cpi", 1, 10, 3.0), ("cpi", 1, 20, 3.5), ("cpi", 2, 30, 4.0)], "series string, at int, known int, value double")
     assert [(r.at, r.value) for r in asof.latest_visible(v, ["series", "at"], "known", 25).collect()] == [(1, 3.5)]
 

@@ -2,23 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_backward(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str], max_age: int | None = None) -> DataFrame:
+def last_before(df: DataFrame, by: list[str], time: str, order: list[str], value: Column, name: str, span: int, include: bool = False) -> DataFrame:
+    """df with `name`: the last value that is not null in the rows before (with include, up to the row itself), along each key.
+
+    time is an integer and leads `order`. Time is cut into spans, so a busy key is many groups: a window inside each span,
+    and the last value of each span carried over the spans after it, of which there is one row for each key and span.
+    """
+    cut = df.withColumn("__span", F.floor(F.col(time) / span)).withColumn("__value", value)
+    inside = Window.partitionBy(*by, "__span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if include else -1)
+    at = F.struct(*order)
+    spans = cut.groupBy(*by, "__span").agg(F.max_by(F.struct("__value"), F.when(F.col("__value").isNotNull(), at)).alias("__last"))
+    earlier = Window.partitionBy(*by).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("__carried", F.last("__last", ignorenulls=True).over(earlier)).drop("__last")
+    out = cut.withColumn("__near", F.last(F.when(F.col("__value").isNotNull(), F.struct("__value")), ignorenulls=True).over(inside))
+    same = F.col("c.__span") == F.col("s.__span")
+    for k in by:
+        same = same & F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}"))
+    joined = out.alias("c").join(spans.alias("s"), same, "left")
+    return joined.select(*(F.col(f"c.{c}") for c in df.columns), F.coalesce(F.col("c.__near"), F.col("s.__carried"))["__value"].alias(name))
+
+
+def asof_backward(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str], max_age: int | None = None, span: int | None = None) -> DataFrame:
     """left with the right side's values (and `found_at`) of the last row at or before each row's time.
 
     Both sides are stacked and sorted once; the last right row is carried forward. Right rows of a time
     come before left rows of the same time. max_age: older values are not taken (in units of time, an
-    integer). Left rows without a match keep nulls.
+    integer). Left rows without a match keep nulls. span: where a key may be busy, the units of time that one task sorts.
     """
     payload = F.struct(F.col(time).alias("found_at"), *values)
     left_cols = [c for c in left.columns if c not in by and c != time]
     a = right.select(*by, time, F.lit(0).alias("__side"), payload.alias("__right"), F.lit(None).cast(left.select(F.struct(*left_cols)).schema[0].dataType if left_cols else "string").alias("__left"))
     b = left.select(*by, time, F.lit(1).alias("__side"), F.lit(None).cast(a.schema["__right"].dataType).alias("__right"), (F.struct(*left_cols) if left_cols else F.lit(None).cast("string")).alias("__left"))
-    w = Window.partitionBy(*by).orderBy(time, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    out = a.unionByName(b).withColumn("__found", F.last("__right", ignorenulls=True).over(w)).where("__side = 1")
+    both = a.unionByName(b)
+    if span is None:
+        w = Window.partitionBy(*by).orderBy(time, "__side").rowsBetween(Window.unboundedPreceding, 0)
+        out = both.withColumn("__found", F.last("__right", ignorenulls=True).over(w))
+    else:
+        out = last_before(both, by, time, [time, "__side"], F.col("__right"), "__found", span, include=True)
+    out = out.where("__side = 1")
     if max_age is not None:
         out = out.withColumn("__found", F.when(F.col(time) - F.col("__found.found_at") <= max_age, F.col("__found")))
     return out.select(*by, time, *(F.col(f"__left.{c}").alias(c) for c in left_cols), F.col("__found.found_at").alias("found_at"), *(F.col(f"__found.{v}").alias(v) for v in values))

@@ -175,8 +175,7 @@ SELECT symbol, event_id, CASE WHEN price > mid THEN 'buy' WHEN price < mid THEN
 
 def _changes(events: DataFrame) -> DataFrame:
     """A correction or cancel is of the symbol's last trade or correction before it."""
-    w = Window.partitionBy("symbol").orderBy("ns", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    seen = events.withColumn("old_id", F.last(F.when(F.col("kind").isin("trade", "correction"), F.col("event_id")), True).over(w))
+    seen = asof.last_before(events, ["symbol"], "ns", ["ns", "event_id"], F.when(F.col("kind").isin("trade", "correction"), F.col("event_id")), "old_id", T.DAY)
     fixes = F.col("kind") == "correction"
     return seen.where("kind IN ('correction', 'cancel') AND old_id IS NOT NULL").select("symbol", "old_id", F.when(fixes, F.col("event_id")).alias("new_id"), F.when(fixes, F.col("price")).alias("price"))
 

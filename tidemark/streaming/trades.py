@@ -9,12 +9,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import asof_backward
+from tidemark.operators.asof import asof_backward, last_before
 from tidemark.sources.storage import cut
 
+#: Nanoseconds of a day.
+DAY = 86_400_000_000_000
+
 
 def normalise(raw: DataFrame) -> DataFrame:
     """JSON messages (column value) to typed events; control messages and invalid ones keep a reason and no price."""
@@ -43,11 +46,12 @@ def normalise(raw: DataFrame) -> DataFrame:
 
 
 def directions(events: DataFrame, max_age_ns: int = 5_000_000_000) -> DataFrame:
-    """Each trade as buy, sell or unknown: against the last quote if young enough, else by the tick before."""
+    """Each trade as buy, sell or unknown: against the last quote if young enough, else by the tick before. A task sorts a symbol's day."""
     trades = events.where("kind = 'trade'").select("symbol", "ns", "event_id", "price", "size")
     quotes = events.where("kind = 'quote'").select("symbol", "ns", F.col("price").alias("mid"), F.col("event_id").alias("quote_id"))
-    joined = asof_backward(trades, quotes, ["symbol"], "ns", ["mid", "quote_id"], max_age_ns)
-    before = F.lag("price").over(Window.partitionBy("symbol").orderBy("ns", "event_id"))
+    joined = asof_backward(trades, quotes, ["symbol"], "ns", ["mid", "quote_id"], max_age_ns, DAY)
+    joined = last_before(joined, ["symbol"], "ns", ["ns", "event_id"], F.col("price"), "before", DAY)
+    before = F.col("before")
     side = F.when(F.col("mid").isNotNull() & (F.col("price") > F.col("mid")), "buy").when(F.col("mid").isNotNull() & (F.col("price") < F.col("mid")), "sell")
     side = side.when(F.col("price") > before, "buy").when(F.col("price") < before, "sell").otherwise("unknown")
     how = F.when(F.col("mid").isNotNull() & (F.col("price") != F.col("mid")), "quote_mid").when(before.isNotNull() & (F.col("price") != before), "tick_rule").otherwise("none")
