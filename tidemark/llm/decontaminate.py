@@ -165,11 +165,14 @@ def candidates(keys: np.ndarray, ix: Index) -> Iterator[tuple[int, int, int]]:
         # A diagonal lies in the band that starts at its own step and in the one before.
         return item * span + (diagonal - low) // (ix.edits[item] + 1)
 
-    own, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    own = None
     for item, _, diagonal in _met(at, found, ix):
         one, n = np.unique(bands(item, diagonal), return_counts=True)
-        own, where = np.unique(np.concatenate([own, one]), return_inverse=True)
-        counts = np.bincount(where, np.concatenate([counts, n]), len(own)).astype(np.int64)
+        if own is None:
+            own, counts = one, n
+        else:
+            own, where = np.unique(np.concatenate([own, one]), return_inverse=True)
+            counts = np.bincount(where, np.concatenate([counts, n]), len(own)).astype(np.int64)
     both, where = np.unique(np.concatenate([own, own - 1]), return_inverse=True)
     total = np.bincount(where, np.concatenate([counts, counts]), len(both))
     passed = both[total >= ix.need[both // span]]
