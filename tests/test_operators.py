@@ -638,3 +638,38 @@ def test_paired_evidence(spark):
     assert got["up"].admitted and got["up"].standardised == pytest.approx(d.mean() / d.std()) and got["up"].low < d.mean() < got["up"].high and got["up"].p < 0.05
     assert not got["same"].admitted and got["flat"].p is None and got["flat"].standardised is None and not got["flat"].admitted
     assert got["up"].q == pytest.approx(min(got["up"].p * 2, got["same"].p))
+
+
+def test_transition_outcomes(spark):
+    from tidemark.operators import evaluation
+
+    pdf = history(8, [10, 10, 11, 12, 13, 14, 15, 16]).assign(state=["unavailable", "a", "a", "b", "unavailable", "a", "a", "b"])
+    got = evaluation.transition_outcomes(spark.createDataFrame(pdf), (2,)).orderBy("session").collect()
+    assert [(r.was, r.state) for r in got] == [("unavailable", "a"), ("a", "b"), ("unavailable", "a"), ("a", "b")]
+    assert got[0].fwd_2 == pytest.approx(12 / 11 - 1) and got[0].mae_2 == pytest.approx(0.99 - 1) and got[0].mfe_2 == pytest.approx(12 * 1.01 / 11 - 1)
+    assert got[2].fwd_2 == pytest.approx(16 / 15 - 1) and got[3].fwd_2 is None
+
+
+def test_predictions_and_their_vetoes(spark):
+    from tidemark.operators import rules
+
+    rows = [("a", 85.0, True, 1.0, 1.2, True, 4.0, 90.0, False), ("b", 85.0, False, 1.0, 1.2, True, 4.0, 90.0, False), ("c", 92.0, True, 6.0, 1.2, True, None, 90.0, True), ("d", 80.0, True, 1.0, 0.8, True, 4.0, None, False), ("e", 50.0, True, None, None, False, 2.0, 90.0, False)]
+    df = spark.createDataFrame(rows, "ticker string, total double, market_ok boolean, over_pivot double, volume_ratio double, breakout boolean, adr_20 double, rs double, gaps boolean")
+    got = {r.ticker: (r.direction, r.up_probability, r.expected_move, r.confidence, r.vetoes) for r in L.stack(df, rules.PREDICTION).collect()}
+    assert got == {
+        "a": ("up", 0.66, 12.0, "high", ""), "b": ("weak_up", 0.55, 6.0, "medium", "market_not_confirmed"), "c": ("up", 0.5, 9.0, "low", "beyond_pivot"),
+        "d": ("weak_up", 0.66, 6.0, "medium", "breakout_on_low_volume"), "e": ("weak_down", 0.42, -3.0, "high", ""),
+    }
+
+
+def test_technical_gate_and_regime(spark):
+    from tidemark.operators import rules
+
+    rise = state.with_emas(spark.createDataFrame(history(260, 100 * 1.002 ** np.arange(260))), (10, 20))
+    out = L.stack(rise, rules.TECHNICAL_GATE).orderBy("session").collect()
+    assert [out[i].technical_gate for i in (0, 100, 259)] == ["missing", "missing", "pass"] and out[100].passed_conditions == 3 and out[259].preferred_within_15pct
+    fall = 100 * np.r_[1.002 ** np.arange(220), 1.002**219 * 0.97 ** np.arange(1, 21)]
+    pdf = history(240, fall)
+    index = state.with_emas(spark.createDataFrame(pdf.assign(s_close=pdf["close"])), (20,))
+    got = [r.regime for r in L.stack(index, rules.REGIME).orderBy("session").collect()]
+    assert got[:199] == ["unavailable"] * 199 and set(got[199:220]) == {"uptrend"} and got[-1] == "acute_selloff"

@@ -155,3 +155,20 @@ def paired_evidence(pairs: DataFrame, features: list[str], by: list[str] | None
     out = raw.withColumn("q", F.least(F.lit(1.0), q)).drop("__q")
     admitted = (F.col("n") >= minimum) & (F.abs("standardised") >= effect) & (F.col("q") <= rate)
     return out.withColumn("admitted", F.coalesce(admitted, F.lit(False)))
+
+
+def transition_outcomes(rows: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """ticker, session, was, state, and fwd_h, mae_h and mfe_h of each session at which a ticker's state changed to a known one.
+
+    rows: ticker, session, open, high, low, close and state. Entry is the next open; an outcome needs its whole path and an
+    entry above 0. The first session of a ticker is no change.
+    """
+    order = Window.partitionBy("ticker").orderBy("session")
+    out, entry = rows.withColumn("was", F.lag("state").over(order)), F.lead("open").over(order)
+    for h in horizons:
+        path = order.rowsBetween(1, h)
+        whole = (F.count("low").over(path) == h) & (F.count("high").over(path) == h) & (entry > 0)
+        ends = {"fwd": F.lead("close", h).over(order), "mae": F.min("low").over(path), "mfe": F.max("high").over(path)}
+        out = out.withColumns({f"{k}_{h}": F.when(whole, x / entry - 1) for k, x in ends.items()})
+    changed = out.where((F.col("was") != F.col("state")) & (F.col("state") != "unavailable"))
+    return changed.select("ticker", "session", "was", "state", *(f"{k}_{h}" for h in horizons for k in ("fwd", "mae", "mfe")))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import evaluation, identity, macro
+from tidemark.operators import evaluation, identity, macro, rules, state
 from tidemark.operators import layers as L
-from tidemark.plans import layered, relational
+from tidemark.plans import layered, relational, stateful
 from tidemark.sources import bars as B
 
 Q = relational.duck_sql
@@ -208,7 +208,68 @@ def m16b_paired_evidence_tested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("grp", "feature", "n", *(F.round(c, 6).alias(c) for c in ("mean", "standardised", "low", "high", "p", "q")), "admitted")
 
 
+def p22_technical_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = L.stack(state.with_emas(B.bars(spark, sf_dir), (10, 20)), rules.TECHNICAL_GATE)
+    return rows.select("ticker", F.col("session").cast("string").alias("session"), "technical_gate", F.col("passed_conditions").cast("long").alias("passed_conditions"), "preferred_within_15pct")
+
+
+P22_SQL = Q(
+    "WITH h AS (SELECT b.*, e.ema10, e.ema20, list(b.close) OVER w AS c, list(e.ema10) OVER w AS x, list(e.ema20) OVER w AS y FROM $bars b JOIN $emas e ON b.ticker = e.ticker AND b.session = e.session WINDOW w AS (PARTITION BY b.ticker ORDER BY b.session ROWS UNBOUNDED PRECEDING)), "
+    "k AS (SELECT *, len(c) AS n, list_avg(c[-50:]) AS m, list_max(c[-252:]) AS top FROM h), "
+    "g AS (SELECT ticker, session, [CASE WHEN n < 50 THEN 'missing' WHEN close > m THEN 'pass' ELSE 'fail' END, CASE WHEN n < 20 THEN 'missing' WHEN ema10 > ema20 THEN 'pass' ELSE 'fail' END, CASE WHEN n < 25 THEN 'missing' WHEN ema10 > x[n - 5] AND ema20 > y[n - 5] THEN 'pass' ELSE 'fail' END, CASE WHEN n < 252 THEN 'missing' WHEN close / top - 1 >= -0.2D THEN 'pass' ELSE 'fail' END] AS s, n >= 252 AND close / top - 1 >= -0.15D AS near FROM k) "
+    "SELECT ticker, CAST(session AS STRING) AS session, CASE WHEN list_contains(s, 'fail') THEN 'fail' WHEN list_contains(s, 'missing') THEN 'missing' ELSE 'pass' END AS technical_gate, len(list_filter(s, lambda z: z = 'pass')) AS passed_conditions, near AS preferred_within_15pct FROM g"
+)
+
+
+def p23_market_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The market's regime by session: the pooled index leads, the first group's bars are the second index."""
+    market = B.index_bars(spark, sf_dir).select(F.lit("market").alias("ticker"), "session", *(F.col(f"m_{c}").alias(c) for c in ("open", "high", "low", "close", "volume")))
+    second = B.group_bars(spark, sf_dir).where("ticker = 'Brand#11'").select("session", F.col("g_close").alias("s_close"))
+    rows = L.stack(state.with_emas(market.join(second, "session"), (20,)), rules.REGIME)
+    return rows.select(F.col("session").cast("string").alias("session"), "regime", F.round("r_5", 6).alias("return_5"), F.round("r_20", 6).alias("return_20"), F.col("r_days").cast("double").alias("distribution_days_20"), F.col("pressure_conditions").cast("long").alias("pressure_conditions"))
+
+
+P23_SQL = (
+    f"WITH m AS (SELECT i.session, m_high AS h, m_low AS l, m_close AS c, m_volume AS v, g_close AS s FROM ({B.index_bars_sql()}) i JOIN ({B.group_bars_sql()}) g ON g.session = i.session AND g.ticker = 'Brand#11'), "
+    "a AS (SELECT *, lag(c) OVER o AS b, list(c) OVER p AS cs, list(s) OVER p AS ss, list(v) OVER p AS vs, count(*) OVER p AS n FROM m WINDOW o AS (ORDER BY session), p AS (ORDER BY session ROWS UNBOUNDED PRECEDING)), "
+    f"d AS (SELECT *, list_reduce(cs, lambda e, x: e + (x - e) * {2 / 21!r}::DOUBLE) AS ema, greatest(h - l, coalesce(abs(h - b), 0), coalesce(abs(l - b), 0)) AS tr, CASE WHEN n > 20 THEN CASE WHEN c < b AND v > list_avg(vs[-21:-2]) THEN 1 ELSE 0 END END AS day FROM a), "
+    "e AS (SELECT *, list(tr) OVER p AS ts, sum(day) OVER (ORDER BY session ROWS 19 PRECEDING) AS days, count(day) OVER (ORDER BY session ROWS 19 PRECEDING) AS nd, c / nullif(cs[n - 5], 0) - 1 AS r5, c / nullif(cs[n - 20], 0) - 1 AS r20 FROM d WINDOW p AS (ORDER BY session ROWS UNBOUNDED PRECEDING)), "
+    "f AS (SELECT *, CASE WHEN n >= 6 THEN r5 END AS q5, CASE WHEN n >= 21 THEN r20 END AS q20, CASE WHEN nd = 20 THEN days END AS qd, list_avg(cs[-50:]) AS m50, list_avg(cs[-200:]) AS m200, list_avg(ss[-50:]) AS s50, list_max(cs[-64:-2]) AS top, list_avg(ts[-20:]) / c AS atr FROM e), "
+    "g AS (SELECT *, CASE WHEN c < ema THEN 1 ELSE 0 END + CASE WHEN n >= 50 AND s < s50 THEN 1 ELSE 0 END + CASE WHEN q20 < 0 THEN 1 ELSE 0 END + CASE WHEN qd >= 4 THEN 1 ELSE 0 END AS k FROM f) "
+    "SELECT session::VARCHAR AS session, CASE WHEN n < 200 THEN 'unavailable' WHEN r5 <= -0.07 OR (r20 <= -0.12 AND atr >= 0.025) THEN 'acute_selloff' WHEN c < m50 AND (r20 <= -0.05 OR c / top - 1 <= -0.08) THEN 'correction' WHEN k >= 2 THEN 'under_pressure' WHEN c > ema AND c > m50 AND c > m200 THEN 'uptrend' ELSE 'range_bound' END AS regime, "
+    "round(q5, 6) AS return_5, round(q20, 6) AS return_20, qd::DOUBLE AS distribution_days_20, k::BIGINT AS pressure_conditions FROM g"
+)
+
+
+def p18_rule_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direction, probability, move and confidence from a total of four trend points of 25."""
+    f = L.stack(layered.base(spark, sf_dir, "week", True), relational.FEATURES).where("sma50 IS NOT NULL")
+    total = "CASE WHEN close > sma20 THEN 25D ELSE 0D END + CASE WHEN sma20 > sma50 THEN 25D ELSE 0D END + CASE WHEN rel_20 > 0 THEN 25D ELSE 0D END + CASE WHEN vr > 1 AND ret > 0 THEN 25D WHEN ret > 0 THEN 15D ELSE 0D END"
+    rows = f.selectExpr("ticker", "session", f"{total} AS total", "m_chg_20 > 0 AS market_ok", "over_pivot", "vr AS volume_ratio", "pivot_breakout AS breakout", "adr_20", "mom_252 AS rs", "dollar_volume_20 IS NULL AS gaps")
+    shown = ("direction", "vetoes", "confidence")
+    return L.stack(rows, rules.PREDICTION).select("ticker", F.col("session").cast("string").alias("session"), *shown, F.round("up_probability", 3).alias("up_probability"), "expected_move")
+
+
+P18_SQL = Q(
+    "WITH t AS (SELECT *, CASE WHEN close > sma20 THEN 25 ELSE 0 END + CASE WHEN sma20 > sma50 THEN 25 ELSE 0 END + CASE WHEN rel_20 > 0 THEN 25 ELSE 0 END + CASE WHEN ret > 0 THEN CASE WHEN vr > 1 THEN 25 ELSE 15 END ELSE 0 END AS p, coalesce(m_chg_20 > 0, false) AS ok, coalesce(over_pivot > 5, false) AS far, coalesce(vr > 0 AND vr < 1 AND pivot_breakout, false) AS thin FROM $features WHERE sma50 IS NOT NULL), "
+    "d AS (SELECT *, CASE WHEN p >= 80 THEN CASE WHEN ok AND NOT thin THEN 2 ELSE 1 END WHEN p >= 70 THEN 1 WHEN p >= 55 THEN 0 WHEN p >= 45 THEN -1 ELSE -2 END AS k, CASE WHEN p >= 90 THEN 0.74D WHEN p >= 80 THEN 0.66D WHEN p >= 70 THEN 0.585D WHEN p >= 55 THEN 0.5D WHEN p >= 45 THEN 0.42D ELSE 0.35D END AS q, (NOT ok OR far OR thin OR mom_252 IS NULL) AS doubt FROM t) "
+    "SELECT ticker, CAST(session AS STRING) AS session, ['down', 'weak_down', 'sideways', 'weak_up', 'up'][k + 3] AS direction, array_to_string(list_filter([CASE WHEN NOT ok THEN 'market_not_confirmed' END, CASE WHEN far THEN 'beyond_pivot' END, CASE WHEN thin THEN 'breakout_on_low_volume' END], lambda z: z IS NOT NULL), ',') AS vetoes, "
+    "CASE (CASE WHEN doubt THEN 1 ELSE 0 END + CASE WHEN dollar_volume_20 IS NULL THEN 1 ELSE 0 END) WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, round(least(q, CASE WHEN ok THEN 1D ELSE 0.55D END, CASE WHEN far THEN 0.5D ELSE 1D END), 3) AS up_probability, round(coalesce(nullif(adr_20, 0), 3D) * 1.5D * k, 1) AS expected_move FROM d"
+)
+
+
+def x17_transition_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each change of a ticker's bottom state, and what came of it in 5, 10 and 20 sessions."""
+    states = stateful.x14_bottom_state(spark, sf_dir).select("ticker", F.to_date("session").alias("session"), "state")
+    got = evaluation.transition_outcomes(B.bars(spark, sf_dir).join(states, ["ticker", "session"]), (5, 10, 20))
+    return got.select("ticker", F.col("session").cast("string").alias("session"), "was", "state", *(F.round(c, 6).alias(c) for c in got.columns[4:]))
+
+
 QUERIES = {
+    "p18_rule_prediction": p18_rule_prediction,
+    "p22_technical_gate": p22_technical_gate,
+    "p23_market_regime": p23_market_regime,
+    "x17_transition_outcomes": x17_transition_outcomes,
     "g01_macro_risk_replay": g01_macro_risk_replay,
     "j22_identity_ladder": j22_identity_ladder,
     "m12_evaluation_contract": m12_evaluation_contract,
@@ -218,6 +279,9 @@ QUERIES = {
     "m16b_paired_evidence_tested": m16b_paired_evidence_tested,
 }
 ORACLE_SQL = {
+    "p18_rule_prediction": P18_SQL,
+    "p22_technical_gate": P22_SQL,
+    "p23_market_regime": P23_SQL,
     "g01_macro_risk_replay": _g01_sql(),
     "j22_identity_ladder": J22_SQL,
     "m12_evaluation_contract": M12_SQL,

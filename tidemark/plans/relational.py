@@ -151,8 +151,6 @@ TEXTS: dict[str, str] = {
     "p02_validity_reasons": "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN c_name IS NULL THEN 'invalid_row' WHEN k > 1 THEN 'duplicate_date' WHEN c_acctbal IS NULL THEN 'invalid_numeric' WHEN c_acctbal <= 0 THEN 'non_positive_price' WHEN c_acctbal > 9000 THEN 'invalid_ohlc' ELSE 'valid' END AS reason FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY c_name) AS k FROM $customer) t) u GROUP BY reason",
     "p03_quality_audit": "SELECT ticker, CAST(sum(CASE WHEN abs(r) > 0.5 THEN 1 ELSE 0 END) AS DOUBLE) AS jumps, CAST(sum(CASE WHEN gap > 10 THEN 1 ELSE 0 END) AS DOUBLE) AS gaps FROM (SELECT ticker, close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY session), 0) - 1 AS r, datediff(session, lag(session) OVER (PARTITION BY ticker ORDER BY session)) AS gap FROM $days) t GROUP BY ticker",
     "p15_hard_filters": "SELECT ticker, CAST(session AS STRING) AS session FROM $features WHERE close > sma50 AND sma50 > sma200 AND off_high >= -0.9 AND coalesce(adr_20 >= 5, true) AND coalesce(rel_20 >= 0, true) AND volume >= 10",
-    "p22_technical_gate": "SELECT ticker, CAST(session AS STRING) AS session, CASE WHEN close <= sma50 OR off_high < -0.5 OR mom_63 <= 0 OR vr < 0.5 THEN 'fail' WHEN sma50 IS NULL OR off_high IS NULL OR mom_63 IS NULL OR vr IS NULL THEN 'missing' ELSE 'pass' END AS gate FROM $features",
-    "p23_market_regime": "SELECT ticker, CAST(session AS STRING) AS session, CASE WHEN sma50 IS NULL OR chg_20 IS NULL THEN 'unavailable' WHEN chg_5 <= -0.07 AND chg_20 <= -0.12 THEN 'acute_selloff' WHEN close < sma50 AND chg_20 <= -0.05 THEN 'correction' WHEN (CASE WHEN close < sma20 THEN 1 ELSE 0 END + CASE WHEN chg_20 < 0 THEN 1 ELSE 0 END + CASE WHEN distribution_20 >= 4 THEN 1 ELSE 0 END) >= 2 THEN 'under_pressure' WHEN close > sma20 AND close > sma50 AND sma20 > sma50 AND chg_20 > 0 THEN 'uptrend' ELSE 'range_bound' END AS regime FROM $features",
     "p19_bearish_evidence": "SELECT ticker, CAST(session AS STRING) AS session, CAST(least(100, CASE WHEN distribution THEN 25 ELSE 0 END + CASE WHEN close < sma20 THEN 20 ELSE 0 END + CASE WHEN vr >= 1.5 THEN 20 WHEN vr >= 1.2 THEN 12 ELSE 0 END + CASE WHEN cl <= -0.6 THEN 10 ELSE 0 END + CASE WHEN sv <= -1 THEN 10 ELSE 0 END + CASE WHEN rel_20 <= -0.05 THEN 5 ELSE 0 END + CASE WHEN failed_breakout THEN 10 ELSE 0 END) AS DOUBLE) AS score FROM $features",
     "w05_sigmoid_strength": "SELECT ticker, CAST(session AS STRING) AS session, round(100 / (1 + exp(-6 * least(5D, greatest(-5D, 0.5D * rel_20 + 0.5D * rel_5)))), 6) AS score FROM $features WHERE rel_20 IS NOT NULL",
     "w13_overheat": "SELECT ticker, CAST(session AS STRING) AS session, round(least(100D, least(greatest(ext_ma20, 0D) * 2, 30D) + least(greatest(chg_20 * 100, 0D) * 0.8D, 30D) + least(greatest(chg_10 * close / nullif(atr14, 0), 0D) * 4, 25D)), 6) AS overheat FROM $features WHERE ext_ma20 IS NOT NULL AND chg_20 IS NOT NULL AND atr14 IS NOT NULL",
@@ -239,7 +237,6 @@ TEXTS |= {
     "w43_crosses_when_known": "SELECT ticker, CAST(session AS STRING) AS session, CASE WHEN sma50 IS NULL OR p IS NULL OR ps IS NULL THEN NULL WHEN p <= ps AND close > sma50 THEN 1D ELSE 0D END AS crossed_above FROM (SELECT ticker, session, close, sma50, lag(close) OVER (PARTITION BY ticker ORDER BY session) AS p, lag(sma50) OVER (PARTITION BY ticker ORDER BY session) AS ps FROM $features) t",
     "w45_bottom_screen": "SELECT ticker, CAST(session AS STRING) AS session, recent_capitulation, reclaimed FROM (SELECT ticker, session, k, max(CASE WHEN vr >= 1.5 AND ret < 0 AND cl <= -0.5 THEN 1D ELSE 0D END) OVER (PARTITION BY ticker ORDER BY session ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS recent_capitulation, max(CASE WHEN cross_up AND vr >= 1.1 THEN 1D ELSE 0D END) OVER (PARTITION BY ticker ORDER BY session ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS reclaimed FROM (SELECT ticker, session, vr, ret, cl, cross_up, row_number() OVER (PARTITION BY ticker ORDER BY session DESC) AS k FROM $features) u WHERE k <= 90) t WHERE k = 1",
     "x15_early_reversal": "SELECT ticker, CAST(session AS STRING) AS session, score, CASE WHEN a AND b AND score >= 75 THEN 'watch' ELSE 'none' END AS state FROM (SELECT ticker, session, coalesce(low > low_before, false) AS a, coalesce(cross_up, false) AS b, CASE WHEN low > low_before THEN 25D ELSE 0D END + CASE WHEN cross_up THEN 25D ELSE 0D END + CASE WHEN vr >= 1.2 AND ret > 0 THEN 25D ELSE 0D END + CASE WHEN rel_5 > 0 THEN 25D ELSE 0D END AS score FROM (SELECT *, min(low) OVER (PARTITION BY ticker ORDER BY session ROWS BETWEEN 20 PRECEDING AND 6 PRECEDING) AS low_before FROM $features) t) u",
-    "x17_transition_outcomes": "SELECT state, count(*) AS n, round(avg(least(fwd, 1D)), 6) AS mean_fwd FROM (SELECT ticker, session, fwd, CASE WHEN close > sma20 THEN 'above' ELSE 'below' END AS state, lag(CASE WHEN close > sma20 THEN 'above' ELSE 'below' END) OVER (PARTITION BY ticker ORDER BY session) AS was FROM $features WHERE sma20 IS NOT NULL) t WHERE was IS NOT NULL AND was <> state AND fwd IS NOT NULL GROUP BY state",
     "g07_unified_risk": "SELECT source, count(*) AS n, round(avg(CASE WHEN flag = y THEN 1D ELSE 0D END), 6) AS accuracy, round(avg(CASE WHEN flag THEN 1D ELSE 0D END), 6) AS signal_rate FROM (SELECT 'individual' AS source, distribution AS flag, tail_down AS y FROM $features WHERE tail_down IS NOT NULL UNION ALL SELECT 'slow', coalesce(chg_20 <= -0.05, false), tail_down FROM $features WHERE tail_down IS NOT NULL UNION ALL SELECT 'any', distribution OR coalesce(chg_20 <= -0.05, false), tail_down FROM $features WHERE tail_down IS NOT NULL) t GROUP BY source",
     "g08_state_outcomes": "SELECT state, count(*) AS n, round(avg(CASE WHEN tail_down THEN 1D ELSE 0D END), 6) AS tail_rate, round(avg(least(mfe, 5D)), 5) AS mean_mfe FROM (SELECT CASE WHEN close > sma50 AND sma20 > sma50 THEN 'uptrend' WHEN close < sma50 THEN 'below' ELSE 'mixed' END AS state, tail_down, mfe FROM $features WHERE sma50 IS NOT NULL AND tail_down IS NOT NULL) t GROUP BY state",
     "g09_universe_rows": "SELECT ticker, CAST(session AS STRING) AS session, round(close, 8) AS close, round(off_high, 6) AS off_high, round(pct, 6) AS momentum_pct FROM (SELECT ticker, session, close, off_high, CASE WHEN mom_63 IS NOT NULL THEN (rank() OVER (PARTITION BY mom_63 IS NULL ORDER BY mom_63) + (count(*) OVER (PARTITION BY mom_63) - 1) / 2D) / count(mom_63) OVER () END AS pct FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY session DESC) AS k FROM $features) t WHERE k = 1) u",
@@ -261,7 +258,6 @@ TEXTS |= {
     "a21b_best_group_by_residual": "WITH m AS (SELECT g.grp, f.session, avg(f.chg_5) AS gc FROM $features f JOIN $groups g ON f.ticker = g.ticker WHERE f.chg_5 < 5 GROUP BY g.grp, f.session), c AS (SELECT f.ticker, m.grp, covar_pop(f.chg_5 - f.m_chg_5, m.gc - f.m_chg_5) / nullif(stddev_pop(f.chg_5 - f.m_chg_5) * stddev_pop(m.gc - f.m_chg_5), 0) AS r FROM $features f JOIN m ON m.session = f.session WHERE f.chg_5 < 5 AND f.m_chg_5 IS NOT NULL GROUP BY f.ticker, m.grp) "
     "SELECT ticker, grp, round(r, 5) AS r FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY r DESC, grp) AS k FROM c) t WHERE k = 1",
     "p28_isin_check": "SELECT p_partkey, concat('US', body, tail) AS isin, " + _luhn("concat('3028', body, tail)") + " AS valid FROM (SELECT p_partkey, lpad(CAST((p_partkey * 7919) % 1000000000 AS STRING), 9, '0') AS body, CAST(p_partkey % 10 AS STRING) AS tail FROM $part) t",
-    "p18_rule_prediction": "SELECT ticker, CAST(session AS STRING) AS session, CASE WHEN veto >= 2 THEN 'down' WHEN score >= 70 AND veto = 0 THEN 'up' WHEN score <= 30 THEN 'down' ELSE 'neutral' END AS direction, veto, round(least(0.9D, 0.5D + abs(score - 50) / 100), 6) AS probability FROM (SELECT ticker, session, CASE WHEN distribution THEN 1 ELSE 0 END + CASE WHEN failed_breakout THEN 1 ELSE 0 END + CASE WHEN close < sma50 THEN 1 ELSE 0 END AS veto, CASE WHEN close > sma20 THEN 25D ELSE 0D END + CASE WHEN sma20 > sma50 THEN 25D ELSE 0D END + CASE WHEN rel_20 > 0 THEN 25D ELSE 0D END + CASE WHEN vr > 1 AND ret > 0 THEN 25D ELSE 0D END AS score FROM $features WHERE sma50 IS NOT NULL) t",
     "s04_last_n_by_row_number": "SELECT ticker, CAST(session AS STRING) AS session, k FROM (SELECT ticker, session, row_number() OVER (PARTITION BY ticker ORDER BY session DESC) AS k FROM $bars WHERE ticker IN ('Brand#1', 'Brand#2', 'Brand#3')) t WHERE k <= 30",
     "s05_latest_segment": "SELECT o_custkey, o_orderkey, CAST(segment AS BIGINT) AS segment FROM (SELECT *, max(segment) OVER (PARTITION BY o_custkey) AS top FROM (SELECT o_custkey, o_orderkey, sum(new) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS segment FROM (SELECT o_custkey, o_orderkey, o_orderdate, CASE WHEN datediff(CAST(o_orderdate AS DATE), lag(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) > 180 THEN 1 ELSE 0 END AS new FROM $orders) t) u) v WHERE segment = top",
     "s01_one_ticker_history": "SELECT ticker, CAST(session AS STRING) AS session, round(close, 8) AS close FROM $bars WHERE ticker = 'Brand#7' AND session BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'",
