@@ -1,8 +1,7 @@
 """Document fingerprints after I-Match, in DataFrame functions only.
 
 The lexicon keeps the terms whose inverse document frequency lies in a band. A document's distinct lexicon terms are sorted and
-hashed, once for the whole lexicon and once for each of 40 random subsets of it: five each that keep every 4th, 8th, ... 512th
-term. Subsets that keep most terms agree only between near copies; those that keep few agree about as often as the documents share
+hashed, once for the whole lexicon and once for each of 32 random subsets of it, which keep every 8th to every 512th term. Subsets that keep most terms agree only between near copies; those that keep few agree about as often as the documents share
 terms. So the share of signatures in which two fingerprints agree is a likeness from 0 to 1.
 """
 
@@ -15,8 +14,11 @@ from tidemark.llm.common import in_order, materialize
 
 #: The band: ln(N / df) / ln(N) of a kept term, for N documents of which df have the term.
 BAND = (0.05, 0.9)
-#: Random subsets of the lexicon; every five keep half as many terms as the five before.
-SUBSETS = 40
+#: Random subsets of the lexicon: each keeps one term in 2 to the power of this.
+HALVINGS = [3] * 2 + [4] * 3 + [5] * 4 + [6] * 5 + [7] * 6 + [8] * 6 + [9] * 6
+SUBSETS = len(HALVINGS)
+#: Where the lists begin from which subsets are picked.
+LISTS = [0, 9, SUBSETS]
 #: A lexicon of more terms than these is joined by a shuffle in place of a broadcast (about 40 bytes a term).
 BROADCAST_TERMS = 500_000
 #: Hexadecimal digits of a signature.
@@ -24,40 +26,49 @@ DIGITS = 8
 #: The signature of no term: the beginning of the MD5 of the empty string.
 EMPTY = "d41d8cd9"
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What parts terms: all ASCII but letters and digits.
 PARTS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def terms(text: Column) -> Column:
-    """The distinct terms of a text, A-Z in lower case."""
-    return F.array_distinct(F.array_remove(F.split(F.translate(text, UPPER, LOWER), PARTS), ""))
+    """The distinct terms of a text in lower case."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), PARTS)), "")
 
 
 def lexicon(df: DataFrame, text: str, band: tuple[float, float] = BAND) -> DataFrame:
-    """term, code (60 bits that stand for it) and mask (its subsets as bits), for the terms in the band over all rows of df."""
+    """term, code (15 hexadecimal digits that stand for it) and mask (its subsets as bits), for the terms in the band over all rows of df."""
     counted = materialize(df.select(F.explode(terms(F.coalesce(F.col(f"`{text}`"), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("docs")), "termdocs")
     n = df.count()
     rarity, whole = F.log(F.lit(float(n)) / F.col("docs")), F.log(F.lit(float(max(n, 1))))
     digest = F.concat(F.sha2("term", 256), F.sha2(F.concat(F.lit(" "), "term"), 256))
     kept = counted.where((rarity >= band[0] * whole) & (rarity <= band[1] * whole)).select("term", digest.alias("digest"))
-    drawn = [F.when(F.substring("digest", 3 * k + 1, 3) < F.lit(f"{4096 >> (2 + k // 5):03x}"), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(SUBSETS)]
+    drawn = [F.when(F.substring("digest", 3 * k + 1, 3) < F.lit(f"{4096 >> h:03x}"), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, h in enumerate(HALVINGS)]
     mask = drawn[0]
     for bit in drawn[1:]:
         mask = mask + bit
-    return kept.select("term", F.conv(F.substring("digest", 1, 15), 16, 10).cast("long").alias("code"), (mask + F.lit(1 << SUBSETS)).alias("mask"))
+    return kept.select("term", F.substring("digest", 1, 15).alias("code"), (mask + F.lit(1 << SUBSETS)).alias("mask"))
 
 
-def signatures(found: Column, text_sha: Column) -> Column:
-    """All signatures, one after another. found: array of (code, mask) of a document's lexicon terms; one without any is hashed as a whole."""
-    listed = F.array_sort(found)
+def _signed(df: DataFrame, found: str, text_sha: Column, name: str) -> DataFrame:
+    """df with all signatures, one after another, as `name`. found: sorted array of (code, mask) of a document's lexicon terms; one without any is hashed as a whole.
 
-    def of(k: int) -> Column:
-        own = F.filter(listed, lambda t: t["mask"].bitwiseAND(F.lit(1 << k)) != 0)
-        return F.substring(F.md5(F.concat_ws(" ", F.transform(own, lambda t: t["code"].cast("string"))).cast("binary")), 1, DIGITS)
+    Subsets that keep few terms are picked from a list that holds just those of their kind.
+    """
+    parts = []
+
+    def of(held: str, bits: int) -> Column:
+        return F.filter(held, lambda t: t["mask"].bitwiseAND(F.lit(bits)) != 0)
+
+    for first, last in zip(LISTS, LISTS[1:]):
+        df = df.withColumn(f"__{first}", of(found, (1 << last) - (1 << first)))
+        parts.append((first, last, f"__{first}"))
+
+    def hashed(terms_of: Column) -> Column:
+        return F.substring(F.md5(F.concat_ws(" ", terms_of["code"]).cast("binary")), 1, DIGITS)
 
+    made = [hashed(of(held, 1 << k)) for first, last, held in parts for k in range(first, last)]
     alone = F.repeat(F.substring(F.md5(F.concat(F.lit("text "), text_sha).cast("binary")), 1, DIGITS), SUBSETS + 1)
-    return F.when(F.size(found) == 0, alone).otherwise(F.concat(*(of(k) for k in range(SUBSETS + 1))))
+    return df.withColumn(name, F.unhex(F.when(F.size(found) == 0, alone).otherwise(F.concat(*made, hashed(F.col(found)))))).drop(*(held for _, _, held in parts))
 
 
 def likeness(one: str, two: str) -> Column:
@@ -120,9 +131,9 @@ def fingerprints(df: DataFrame, key: str, text: str, band: tuple[float, float] =
     found = rows.join(kept, "term", "left").where("coalesce(at, 0) = 0 OR code IS NOT NULL")
     hit = F.struct("code", "mask")
     found = found.select("k", "nil", "rid", F.expr("if(coalesce(at, 0) = 0, info, null)").alias("info"), F.when(F.expr("code IS NOT NULL AND at < n_own"), hit).alias("own"), F.when(F.expr("code IS NOT NULL AND at >= n_own"), hit).alias("other"))
-    found = found.groupBy("k", "nil", "rid").agg(F.first("info", ignorenulls=True).alias("info"), F.collect_list("own").alias("own"), F.collect_list("other").alias("other"))
-    printed = found.select("k", "nil", "info", F.unhex(signatures(F.col("own"), F.lower(F.hex("info.sha")))).alias("fp"), F.unhex(signatures(F.col("other"), F.lower(F.hex("info.edited_sha")))).alias("edited_fp"))
-    printed = materialize(printed, "fingerprints", "zstd")
+    found = found.groupBy("k", "nil", "rid").agg(F.first("info", ignorenulls=True).alias("info"), F.sort_array(F.collect_list("own")).alias("own"), F.sort_array(F.collect_list("other")).alias("other"))
+    printed = _signed(_signed(found, "own", F.lower(F.hex("info.sha")), "fp"), "other", F.lower(F.hex("info.edited_sha")), "edited_fp")
+    printed = materialize(printed.select("k", "nil", "info", "fp", "edited_fp"), "fingerprints", "zstd")
     following = printed.where("info.stands").select(F.col("info.prev_k").alias("k"), F.col("info.prev_nil").alias("nil"), F.col("fp").alias("next_fp"))
     if repeats:
         following = following.dropDuplicates(["k", "nil"])
@@ -150,18 +161,18 @@ WITH docs AS (
 ), texts AS (
   SELECT doc_id, 0 AS which, text FROM docs UNION ALL SELECT doc_id, 1, left(text, n - n // 2) || left(next_text, n // 2) FROM docs
 ), termed AS (
-  SELECT doc_id, which, text, list_distinct(list_filter(regexp_split_to_array(translate(text, '{UPPER}', '{LOWER}'), '{PARTS}'), lambda t: t <> '')) AS terms FROM texts
+  SELECT doc_id, which, text, list_distinct(list_filter(regexp_split_to_array(lower(text), '{PARTS}'), lambda t: t <> '')) AS terms FROM texts
 ), counted AS (
   SELECT term, count(*) AS docs FROM (SELECT unnest(terms) AS term FROM termed WHERE which = 0) GROUP BY term
 ), lexicon AS (
-  SELECT term, ('0x' || substr(sha256(term), 1, 15))::BIGINT AS code, sha256(term) || sha256(' ' || term) AS digest
+  SELECT term, substr(sha256(term), 1, 15) AS code, sha256(term) || sha256(' ' || term) AS digest
   FROM counted, (SELECT count(*) AS n FROM documents)
   WHERE ln(n::DOUBLE / docs) BETWEEN {BAND[0]} * ln(n::DOUBLE) AND {BAND[1]} * ln(n::DOUBLE)
 ), hits AS (
   SELECT t.doc_id, t.which, l.code, l.digest FROM (SELECT doc_id, which, unnest(terms) AS term FROM termed) t JOIN lexicon l USING (term)
 ), signed AS (
-  SELECT doc_id, which, k, substr(md5(coalesce(string_agg(code::VARCHAR, ' ' ORDER BY code) FILTER (k = {SUBSETS} OR substr(digest, 3 * k + 1, 3) < printf('%03x', 4096 >> (2 + k // 5)::INTEGER)), '')), 1, {DIGITS}) AS sig
-  FROM hits, (SELECT unnest(range({SUBSETS + 1}))::INTEGER AS k) GROUP BY doc_id, which, k
+  SELECT doc_id, which, k, substr(md5(coalesce(string_agg(code, ' ' ORDER BY code) FILTER (k = {SUBSETS} OR substr(digest, 3 * k + 1, 3) < printf('%03x', 4096 >> h)), '')), 1, {DIGITS}) AS sig
+  FROM hits, (SELECT unnest(range({SUBSETS + 1}))::INTEGER AS k, unnest({[*HALVINGS, 0]})::INTEGER AS h) GROUP BY doc_id, which, k
 ), joined AS (SELECT doc_id, which, string_agg(sig, '' ORDER BY k) AS fp FROM signed GROUP BY doc_id, which),
 printed AS (
   SELECT t.doc_id, t.which, t.text, coalesce(j.fp, repeat(substr(md5('text ' || sha256(t.text)), 1, {DIGITS}), {SUBSETS + 1})) AS fp
