@@ -7,6 +7,8 @@ terms. So the share of signatures in which two fingerprints agree is a likeness
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +25,8 @@ LISTS = [0, 9, SUBSETS]
 BROADCAST_TERMS = 500_000
 #: Hexadecimal digits of a signature.
 DIGITS = 8
-#: The signature of no term: the beginning of the MD5 of the empty string.
-EMPTY = "d41d8cd9"
+#: The signature of no term: the beginning of the MD5 of an empty list, written as "[]".
+EMPTY = hashlib.md5(b"[]").hexdigest()[:DIGITS]
 
 #: What parts terms: all ASCII but letters and digits.
 PARTS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -36,7 +38,7 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(df: DataFrame, text: str, band: tuple[float, float] = BAND) -> DataFrame:
-    """term, code (15 hexadecimal digits that stand for it) and mask (its subsets as bits), for the terms in the band over all rows of df."""
+    """term, code (60 bits that stand for it) and mask (its subsets as bits), for the terms in the band over all rows of df."""
     counted = materialize(df.select(F.explode(terms(F.coalesce(F.col(f"`{text}`"), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("docs")), "termdocs")
     n = df.count()
     rarity, whole = F.log(F.lit(float(n)) / F.col("docs")), F.log(F.lit(float(max(n, 1))))
@@ -46,7 +48,7 @@ def lexicon(df: DataFrame, text: str, band: tuple[float, float] = BAND) -> DataF
     mask = drawn[0]
     for bit in drawn[1:]:
         mask = mask + bit
-    return kept.select("term", F.substring("digest", 1, 15).alias("code"), (mask + F.lit(1 << SUBSETS)).alias("mask"))
+    return kept.select("term", F.conv(F.substring("digest", 1, 15), 16, 10).cast("long").alias("code"), (mask + F.lit(1 << SUBSETS)).alias("mask"))
 
 
 def _signed(df: DataFrame, found: str, text_sha: Column, name: str) -> DataFrame:
@@ -64,7 +66,7 @@ def _signed(df: DataFrame, found: str, text_sha: Column, name: str) -> DataFrame
         parts.append((first, last, f"__{first}"))
 
     def hashed(terms_of: Column) -> Column:
-        return F.substring(F.md5(F.concat_ws(" ", terms_of["code"]).cast("binary")), 1, DIGITS)
+        return F.substring(F.md5(terms_of["code"].cast("string").cast("binary")), 1, DIGITS)
 
     made = [hashed(of(held, 1 << k)) for first, last, held in parts for k in range(first, last)]
     alone = F.repeat(F.substring(F.md5(F.concat(F.lit("text "), text_sha).cast("binary")), 1, DIGITS), SUBSETS + 1)
@@ -103,7 +105,7 @@ def _order(df: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def fingerprints(df: DataFrame, key: str, text: str, band: tuple[float, float] = BAND, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
-    """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next for each row of df.
+    """key (an integer), n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next for each row of df.
 
     The edited text is the text whose last half comes from the beginning of the next document, in descending order of the key; after the last
     comes the first, and a null key is last of all. A null text counts as empty. Rows that repeat a key have the same next document;
@@ -114,7 +116,7 @@ def fingerprints(df: DataFrame, key: str, text: str, band: tuple[float, float] =
     the lexicon is too large to be broadcast.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    put = df.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(0).cast("long")).alias("k"), F.col(f"`{key}`").isNull().alias("nil"), body.alias("text"))
+    put = df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(0).cast("long")).alias("k"), F.col(f"`{key}`").isNull().alias("nil"), body.alias("text"))
     kept = materialize(lexicon(df, text, band), "lexicon")
     if kept.count() <= broadcast_terms:
         kept = F.broadcast(kept)
@@ -124,21 +126,26 @@ def fingerprints(df: DataFrame, key: str, text: str, band: tuple[float, float] =
     if repeats:
         begins = begins.dropDuplicates(["k", "nil"])
     n = F.char_length("text")
-    both = placed.join(begins, ["k", "nil"]).select("id", "k", "nil", "pick", "prev_k", "prev_nil", n.alias("n"), "text", F.concat(F.expr("left(text, char_length(text) - char_length(text) div 2)"), F.expr("left(begin, char_length(text) div 2)")).alias("edited"))
-    info = F.struct("id", "n", F.unhex(F.sha2("text", 256)).alias("sha"), F.unhex(F.sha2("edited", 256)).alias("edited_sha"), "prev_k", "prev_nil", (F.xxhash64("text") == F.col("pick")).alias("stands"))
+    both = placed.join(begins, ["k", "nil"]).select("k", "nil", "pick", "prev_k", "prev_nil", n.alias("n"), "text", F.concat(F.expr("left(text, char_length(text) - char_length(text) div 2)"), F.expr("left(begin, char_length(text) div 2)")).alias("edited"))
+    info = F.struct("n", F.unhex(F.sha2("text", 256)).alias("sha"), F.unhex(F.sha2("edited", 256)).alias("edited_sha"), "prev_k", "prev_nil", (F.xxhash64("text") == F.col("pick")).alias("stands"))
     rows = both.select("k", "nil", F.monotonically_increasing_id().alias("rid"), info.alias("info"), terms(F.col("text")).alias("own"), terms(F.col("edited")).alias("other"))
-    rows = rows.select("k", "nil", "rid", "info", F.size("own").alias("n_own"), F.posexplode_outer(F.concat("own", "other")).alias("at", "term"))
+    # A term of both texts is one row: first the shared ones, then those of the text alone, then those of the edited text alone.
+    rows = rows.select("k", "nil", "rid", "info", F.array_intersect("own", "other").alias("shared"), F.array_except("own", "other").alias("own"), F.array_except("other", "own").alias("other"))
+    rows = rows.select("k", "nil", "rid", "info", F.size("shared").alias("n_shared"), F.size("own").alias("n_own"), F.posexplode_outer(F.concat("shared", "own", "other")).alias("at", "term"))
     found = rows.join(kept, "term", "left").where("coalesce(at, 0) = 0 OR code IS NOT NULL")
-    hit = F.struct("code", "mask")
-    found = found.select("k", "nil", "rid", F.expr("if(coalesce(at, 0) = 0, info, null)").alias("info"), F.when(F.expr("code IS NOT NULL AND at < n_own"), hit).alias("own"), F.when(F.expr("code IS NOT NULL AND at >= n_own"), hit).alias("other"))
-    found = found.groupBy("k", "nil", "rid").agg(F.first("info", ignorenulls=True).alias("info"), F.sort_array(F.collect_list("own")).alias("own"), F.sort_array(F.collect_list("other")).alias("other"))
+    hit = F.when(F.col("code").isNotNull(), F.struct("code", "mask"))
+    mine, others = F.expr("at < n_shared + n_own"), F.expr("at < n_shared OR at >= n_shared + n_own")
+    found = found.select("k", "nil", "rid", F.expr("if(coalesce(at, 0) = 0, info, null)").alias("info"), hit.alias("hit"), mine.alias("mine"), others.alias("others"))
+    listed = lambda when: F.sort_array(F.collect_list(F.when(F.col(when), F.col("hit"))))
+    found = found.groupBy("k", "nil", "rid").agg(F.first("info", ignorenulls=True).alias("info"), listed("mine").alias("own"), listed("others").alias("other"))
     printed = _signed(_signed(found, "own", F.lower(F.hex("info.sha")), "fp"), "other", F.lower(F.hex("info.edited_sha")), "edited_fp")
     printed = materialize(printed.select("k", "nil", "info", "fp", "edited_fp"), "fingerprints", "zstd")
     following = printed.where("info.stands").select(F.col("info.prev_k").alias("k"), F.col("info.prev_nil").alias("nil"), F.col("fp").alias("next_fp"))
     if repeats:
         following = following.dropDuplicates(["k", "nil"])
-    out = printed.join(following, ["k", "nil"]).select("info", *(F.lower(F.hex(c)).alias(c) for c in ("fp", "edited_fp", "next_fp")))
-    return out.select(F.col("info.id").alias(key), F.col("info.n").cast("long").alias("n_chars"), F.lower(F.hex("info.edited_sha")).alias("edited_sha256"), F.col("fp").alias("fingerprint"), F.col("edited_fp").alias("edited_fingerprint"), likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"))
+    out = printed.join(following, ["k", "nil"]).select("k", "nil", "info", *(F.lower(F.hex(c)).alias(c) for c in ("fp", "edited_fp", "next_fp")))
+    own_key = F.when(~F.col("nil"), F.col("k")).cast(df.schema[key].dataType)
+    return out.select(own_key.alias(key), F.col("info.n").cast("long").alias("n_chars"), F.lower(F.hex("info.edited_sha")).alias("edited_sha256"), F.col("fp").alias("fingerprint"), F.col("edited_fp").alias("edited_fingerprint"), likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"))
 
 
 def op13_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,13 +172,13 @@ WITH docs AS (
 ), counted AS (
   SELECT term, count(*) AS docs FROM (SELECT unnest(terms) AS term FROM termed WHERE which = 0) GROUP BY term
 ), lexicon AS (
-  SELECT term, substr(sha256(term), 1, 15) AS code, sha256(term) || sha256(' ' || term) AS digest
+  SELECT term, ('0x' || substr(sha256(term), 1, 15))::BIGINT AS code, sha256(term) || sha256(' ' || term) AS digest
   FROM counted, (SELECT count(*) AS n FROM documents)
   WHERE ln(n::DOUBLE / docs) BETWEEN {BAND[0]} * ln(n::DOUBLE) AND {BAND[1]} * ln(n::DOUBLE)
 ), hits AS (
   SELECT t.doc_id, t.which, l.code, l.digest FROM (SELECT doc_id, which, unnest(terms) AS term FROM termed) t JOIN lexicon l USING (term)
 ), signed AS (
-  SELECT doc_id, which, k, substr(md5(coalesce(string_agg(code, ' ' ORDER BY code) FILTER (k = {SUBSETS} OR substr(digest, 3 * k + 1, 3) < printf('%03x', 4096 >> h)), '')), 1, {DIGITS}) AS sig
+  SELECT doc_id, which, k, substr(md5('[' || coalesce(string_agg(code::VARCHAR, ', ' ORDER BY code) FILTER (k = {SUBSETS} OR substr(digest, 3 * k + 1, 3) < printf('%03x', 4096 >> h)), '') || ']'), 1, {DIGITS}) AS sig
   FROM hits, (SELECT unnest(range({SUBSETS + 1}))::INTEGER AS k, unnest({[*HALVINGS, 0]})::INTEGER AS h) GROUP BY doc_id, which, k
 ), joined AS (SELECT doc_id, which, string_agg(sig, '' ORDER BY k) AS fp FROM signed GROUP BY doc_id, which),
 printed AS (
