@@ -122,7 +122,8 @@ def fingerprints(df: DataFrame, key: str, text: str, band: tuple[float, float] =
         kept = F.broadcast(kept)
     order, repeats = _order(put.select("k", "nil", F.xxhash64("text").alias("hash"), F.char_length("text").alias("n")))
     placed = put.join(order, ["k", "nil"])
-    begins = placed.where(F.xxhash64("text") == F.col("pick")).select(F.col("prev_k").alias("k"), F.col("prev_nil").alias("nil"), F.expr("left(text, half)").alias("begin"))
+    # Not written as an equality, which would be a key of the join below and keep the shuffle of the texts from being used twice.
+    begins = placed.where(F.expr("(xxhash64(text) ^ pick) = 0")).select(F.col("prev_k").alias("k"), F.col("prev_nil").alias("nil"), F.expr("left(text, half)").alias("begin"))
     if repeats:
         begins = begins.dropDuplicates(["k", "nil"])
     n = F.char_length("text")
