@@ -14,15 +14,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import in_order, materialize
 
-#: The band: ln(N / df) / ln(N) of a kept term, for N documents of which df have the term.
-BAND = (0.05, 0.9)
+#: The band: ln(N / df) / ln(N) of a kept term, for N documents of which df have the term. So df is from N^0.4 to N^0.95.
+BAND = (0.05, 0.6)
 #: Random subsets of the lexicon: each keeps one term in 2 to the power of this.
 HALVINGS = [3] * 2 + [4] * 3 + [5] * 4 + [6] * 5 + [7] * 6 + [8] * 6 + [9] * 6
 SUBSETS = len(HALVINGS)
 #: Where the lists begin from which subsets are picked.
 LISTS = [0, 9, SUBSETS]
-#: A lexicon of more terms than these is joined by a shuffle in place of a broadcast (about 40 bytes a term).
-BROADCAST_TERMS = 500_000
+#: A lexicon of more terms than these is joined by a shuffle in place of a broadcast (about 100 bytes a term).
+BROADCAST_TERMS = 1_000_000
 #: Hexadecimal digits of a signature.
 DIGITS = 8
 #: The signature of no term: the beginning of the MD5 of an empty list, written as "[]".
