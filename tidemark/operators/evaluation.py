@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.order import cumulated_within, exact_quantiles
+
 
 def metric_rows(predictions: DataFrame, by: list[str], minimum: int = 30) -> DataFrame:
     """The keys `by`, the counts left out, and the metrics of each group, with status ok or insufficient.
@@ -14,8 +16,7 @@ def metric_rows(predictions: DataFrame, by: list[str], minimum: int = 30) -> Dat
     predictions: the keys, status, predicted_event, predicted_score, actual_event, mature, terminal_return, mae, mfe and
     lead_sessions. A row counts if its status is available, it is mature, and both events are known. Groups of under
     `minimum` rows or of one kind of outcome only are insufficient and have no metrics. Ranks (roc_auc, and pr_auc as
-    average precision) need a finite score on every row and over two different ones; they come from counts by score, so
-    a group's window is as long as it has different scores.
+    average precision) need a finite score on every row and over two different ones; they come from counts by score, ranked over range partitions led by the keys, so no task holds a group.
     """
     on, both = F.lit(True), (F.col("status") == "available") & F.col("predicted_event").isNotNull()
     grown = F.col("mature") & F.col("actual_event").isNotNull()
@@ -36,10 +37,9 @@ def metric_rows(predictions: DataFrame, by: list[str], minimum: int = 30) -> Dat
         mean("mfe", p & ~a).alias("false_positive_opportunity_cost"),
     )
     tied = rows.where("__ok").where(finite).groupBy(*by, "predicted_score").agg(F.count_if(a).alias("pos"), F.count_if(~a).alias("neg"))
-    down = Window.partitionBy(*by).orderBy(F.desc("predicted_score"))
-    whole = Window.partitionBy(*by)
-    upto = down.rowsBetween(Window.unboundedPreceding, 0)
-    ranked = tied.select(*by, "pos", "neg", F.sum("pos").over(upto).alias("tp_at"), F.sum("neg").over(upto).alias("fp_at"), F.sum("pos").over(whole).alias("P"), F.sum("neg").over(whole).alias("N"))
+    placed = cumulated_within(tied, by, ["predicted_score"], ["pos", "neg"])
+    # Those at a score or above it are all but those below.
+    ranked = placed.select(*by, "pos", "neg", (F.col("all_pos") - F.col("before_pos")).alias("tp_at"), (F.col("all_neg") - F.col("before_neg")).alias("fp_at"), F.col("all_pos").alias("P"), F.col("all_neg").alias("N"))
     ranks = ranked.groupBy(*by).agg(
         F.count("*").alias("scores"),
         F.try_divide(F.sum(F.col("neg") * (F.col("tp_at") - F.col("pos") / 2)), F.first("P") * F.first("N")).alias("auc"),
@@ -134,7 +134,8 @@ def paired_evidence(pairs: DataFrame, features: list[str], by: list[str] | None
     rows = pairs.select(*by, block.alias("block"), one.alias("x")).select(*by, "block", "x.feature", "x.d")
     known = rows.where(F.col("d").isNotNull() & ~F.isnan("d"))
     keys = [*by, "feature"]
-    whole = known.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.percentile("d", 0.5).alias("median"), F.stddev_samp("d").alias("sd"))
+    whole = known.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"))
+    middle = exact_quantiles(known, ["d"], [0.5], keys).select(*keys, F.col("value").alias("median"))
     sums = known.groupBy(*keys, "block").agg(F.sum("d").alias("s"), F.count("*").alias("m"))
     u = (F.pmod(F.xxhash64("block", "b", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     weight, total, p = F.lit(0), 0.0, math.exp(-1)
@@ -146,7 +147,7 @@ def paired_evidence(pairs: DataFrame, features: list[str], by: list[str] | None
     means = drawn.groupBy(*keys, "b").agg((F.sum(F.col("s") * F.col("w")) / F.sum(F.col("m") * F.col("w"))).alias("r"))
     tail = means.groupBy(*keys).agg(F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high"), F.avg((F.col("r") <= 0).cast("double")).alias("down"), F.avg((F.col("r") >= 0).cast("double")).alias("up"))
     usable = (F.col("n") >= 2) & (F.col("sd") > 0)
-    out = whole.join(tail, keys, "left").select(*keys, "n", "mean", "median", F.when(usable, F.col("mean") / F.col("sd")).alias("standardised"), F.when(usable, F.col("low")).alias("low"), F.when(usable, F.col("high")).alias("high"), F.when(usable, F.least(F.lit(1.0), 2 * F.least("down", "up"))).alias("p"))
+    out = whole.join(middle, keys, "left").join(tail, keys, "left").select(*keys, "n", "mean", "median", F.when(usable, F.col("mean") / F.col("sd")).alias("standardised"), F.when(usable, F.col("low")).alias("low"), F.when(usable, F.col("high")).alias("high"), F.when(usable, F.least(F.lit(1.0), 2 * F.least("down", "up"))).alias("p"))
     # A row a feature: Benjamini-Hochberg by rank, made monotone from the greatest p down.
     tested = Window.partitionBy(*by, F.col("p").isNull())
     rank = F.row_number().over(tested.orderBy("p", "feature"))

@@ -7,14 +7,50 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.state import pivots
+from tidemark.operators.state import swings
 
 BASES = range(20, 81)
 
 
-def legs(high: np.ndarray, low: np.ndarray, close: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
-    """(peak, trough, depth in percent) of the confirmed falls of a base, the last four of at least two percent."""
-    marks = [(place, kind) for place, _, kind in pivots(close, close, np.full(len(close), threshold))]
+class Swings:
+    """Confirmed highs and lows of closes under one threshold, from any start, as pivots() finds them.
+
+    Once a swing is confirmed, what follows depends only on where that was and on its kind; so walks from different starts become
+    one, and each stretch is walked once.
+    """
+
+    def __init__(self, close: np.ndarray, threshold: float):
+        self.close, self.up, self.down, self.known = close.tolist(), 1 + threshold, 1 - threshold, {}
+
+    def _next(self, at: int, kind: str, either: bool = False) -> tuple[int, int, str] | None:
+        """The next swing after one that was confirmed at `at`, which was of that kind; from a start either kind may come."""
+        c, top, bottom = self.close, at, at
+        for i in range(at + 1, len(c)):
+            x = c[i]
+            if x > c[top]:
+                top = i
+            if x < c[bottom]:
+                bottom = i
+            if (either or kind == "low") and top < i and x <= c[top] * self.down:
+                return top, i, "high"
+            if (either or kind == "high") and bottom < i and x >= c[bottom] * self.up:
+                return bottom, i, "low"
+        return None
+
+    def since(self, start: int) -> list[tuple[int, str]]:
+        """(place, kind) of all swings of the closes from start on."""
+        out, swing = [], self._next(start, "", True)
+        while swing is not None:
+            place, at, kind = swing
+            out.append((place, kind))
+            if (at, kind) not in self.known:
+                self.known[at, kind] = self._next(at, kind)
+            swing = self.known[at, kind]
+        return out
+
+
+def legs(high: np.ndarray, low: np.ndarray, marks: list[tuple[int, str]]) -> list[tuple[int, int, float]]:
+    """(peak, trough, depth in percent) of the falls between swings, the last four of at least two percent."""
     out = []
     for (a, first), (b, second) in zip(marks, marks[1:]):
         if first == "high" and second == "low":
@@ -39,27 +75,30 @@ def contraction(high: np.ndarray, low: np.ndarray, close: np.ndarray, volume: np
         return {"stage": "below_ma50"}
     if n >= 200 and mean50 < close[-200:].mean():
         return {"stage": "long_trend_not_rising"}
-    best, swings = None, False
-    for length in BASES:
-        if length > n:
-            break
-        h, lo, c = high[-length:], low[-length:], close[-length:]
-        travel = np.abs(np.diff(c)).sum()
-        if (h.max() - lo.min()) / h.max() > 0.35 or (c[-1] / c[0] - 1 > 0.15 and abs(c[-1] - c[0]) > 0.5 * travel):
-            continue
-        found = legs(h, lo, c, threshold)
+    # Ranges, ends and paths of all bases at once, from the last session back; only those that pass are walked.
+    size = min(n, BASES[-1])
+    h, lo, c = high[-size:], low[-size:], close[-size:]
+    lengths = np.arange(BASES[0], size + 1)
+    tops, bottoms = np.maximum.accumulate(h[::-1])[lengths - 1], np.minimum.accumulate(lo[::-1])[lengths - 1]
+    travel = np.concatenate([[0.0], np.cumsum(np.abs(np.diff(c))[::-1])])[lengths - 1]
+    starts = c[size - lengths]
+    shallow = (tops - bottoms) / tops <= 0.35
+    sideways = ~((c[-1] / starts - 1 > 0.15) & (np.abs(c[-1] - starts) > 0.5 * travel))
+    tight = (h[-10:].max() - lo[-10:].min()) / price * 100
+    walk, best, swung = Swings(c, threshold), None, False
+    for length in lengths[shallow & sideways].tolist():
+        found = legs(h, lo, walk.since(size - length))
         if len(found) < 2:
             continue
-        swings = True
+        swung = True
         depths = [d for _, _, d in found]
         if any(b > 0.95 * a for a, b in zip(depths, depths[1:])) or depths[-1] > 0.75 * depths[0] or depths[0] - depths[-1] < 3:
             continue
-        tight = (h[-10:].max() - lo[-10:].min()) / price * 100
-        score = (len(found), -depths[-1] / depths[0], -tight, found[-1][1] - length, -length)
+        score = (len(found), -depths[-1] / depths[0], -tight, found[-1][1] - size, -length)
         if best is None or score > best[0]:
             best = (score, length, depths, float(h[found[-1][0]]))
     if best is None:
-        return {"stage": "contractions_not_decreasing" if swings else "insufficient_swings"}
+        return {"stage": "contractions_not_decreasing" if swung else "insufficient_swings"}
     _, length, depths, pivot = best
     distance = (price / pivot - 1) * 100
     stage = "extended" if distance > 5 else "breakout" if distance > 0 else "near_pivot" if distance >= -5 else "forming"
@@ -259,31 +298,32 @@ def bottom_states(df: DataFrame, disabled: tuple[str, ...] = (), memory: int = 1
 
 
 def trendlines(df: DataFrame) -> DataFrame:
-    """The line through the last two confirmed falling highs, breakouts over it, and whether confirmed lows rise.
+    """The line through the last two confirmed falling highs of closes, breakouts over it, and sessions that confirm a higher low.
 
-    A high counts from the session that confirms it. A breakout needs the same two highs on the session before.
+    A swing counts from the session that confirms it. A breakout needs the same two highs on the session before. A low is higher
+    by a quarter of the mean range at least.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("session").reset_index(drop=True)
-        high, low, close = (pdf[c].to_numpy(float) for c in ("high", "low", "close"))
-        marks = pivots(high, low, np.clip(1.5 * pdf["range_share"].to_numpy(float), 0.03, 0.10))
+        close, span = pdf["close"].to_numpy(float), pdf["atr20"].to_numpy(float)
+        marks = swings(close, np.clip(1.5 * span / close, 0.03, 0.10))
         by_day: dict[int, list[tuple[int, str]]] = {}
         for place, confirmed, kind in marks:
             by_day.setdefault(confirmed, []).append((place, kind))
         tops, lows, before, rows = [], [], None, []
         for i in range(len(pdf)):
+            rising = False
             for place, kind in by_day.get(i, ()):
                 (tops if kind == "high" else lows).append(place)
+                rising = kind == "low" and len(lows) > 1 and bool(close[lows[-1]] - close[lows[-2]] >= 0.25 * span[i])
             line, pair = None, None
-            if len(tops) > 1 and high[tops[-1]] < high[tops[-2]]:
+            if len(tops) > 1 and close[tops[-1]] < close[tops[-2]]:
                 a, b = pair = tuple(tops[-2:])
-                line = high[b] + (high[b] - high[a]) / (b - a) * (i - b)
+                line = close[b] + (close[b] - close[a]) / (b - a) * (i - b)
             crossed = before is not None and line is not None and before[0] == pair and close[i - 1] <= before[1] and close[i] > line
-            rising = bool(len(lows) > 1 and low[lows[-1]] > low[lows[-2]])
             before = (pair, line) if line is not None else None
             rows.append((pdf["ticker"][i], pdf["session"][i], line, crossed, rising))
         return pd.DataFrame(rows, columns=["ticker", "session", "line", "breakout", "higher_low"])
 
-    inner = df.select("ticker", "session", "high", "low", "close", (F.col("atr20") / F.col("close")).alias("range_share"))
-    return inner.groupBy("ticker").applyInPandas(run, "ticker string, session date, line double, breakout boolean, higher_low boolean")
+    return df.select("ticker", "session", "close", "atr20").groupBy("ticker").applyInPandas(run, "ticker string, session date, line double, breakout boolean, higher_low boolean")

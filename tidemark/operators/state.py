@@ -99,24 +99,47 @@ def pivots(high: np.ndarray, low: np.ndarray, threshold: np.ndarray) -> list[tup
     return found
 
 
+def swings(close: np.ndarray, threshold: np.ndarray) -> list[tuple[int, int, str]]:
+    """(place, place of confirmation, kind) of the swings of closes: a rise from the lowest close of a fall by the threshold confirms a low, a fall from the highest of a rise a high.
+
+    Before the first swing both extremes count from the beginning, and a low goes first where both would be confirmed. A session without a threshold
+    confirms nothing.
+    """
+    found: list[tuple[int, int, str]] = []
+    leg, top, bottom = "", 0, 0
+    for i in range(1, len(close)):
+        x, t = close[i], threshold[i]
+        if leg != "down" and x > close[top]:
+            top = i
+        if leg != "up" and x < close[bottom]:
+            bottom = i
+        if leg != "up" and close[bottom] and (x - close[bottom]) / close[bottom] >= t:
+            found.append((bottom, i, "low"))
+            leg, top = "up", i
+        elif leg != "down" and close[top] and (close[top] - x) / close[top] >= t:
+            found.append((top, i, "high"))
+            leg, bottom = "down", i
+    return found
+
+
 def zigzag(df: DataFrame) -> DataFrame:
-    """ticker, pivot and confirming session, kind and price; the threshold is 1.5 mean ranges, from 3 to 10 percent."""
+    """ticker, session of the swing and of its confirmation, kind and price, all of closes; the threshold is 1.5 mean ranges, from 3 to 10 percent."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("session").reset_index(drop=True)
         t = np.clip(1.5 * pdf["atr20"] / pdf["close"], 0.03, 0.10).to_numpy()
-        got = pivots(pdf["high"].to_numpy(), pdf["low"].to_numpy(), t)
+        got = swings(pdf["close"].to_numpy(float), t)
         return pd.DataFrame(
             {
                 "ticker": [pdf["ticker"][0]] * len(got),
                 "session": [pdf["session"][a] for a, _, _ in got],
                 "confirmed": [pdf["session"][b] for _, b, _ in got],
                 "kind": [k for _, _, k in got],
-                "price": [float(pdf["high" if k == "high" else "low"][a]) for a, _, k in got],
+                "price": [float(pdf["close"][a]) for a, _, _ in got],
             }
         )
 
-    return df.select("ticker", "session", "high", "low", "close", "atr20").groupBy("ticker").applyInPandas(run, "ticker string, session date, confirmed date, kind string, price double")
+    return df.select("ticker", "session", "close", "atr20").groupBy("ticker").applyInPandas(run, "ticker string, session date, confirmed date, kind string, price double")
 
 
 def _distribution_days(close: np.ndarray, volume: np.ndarray, window: int = 25, gain: float = 0.05) -> np.ndarray:

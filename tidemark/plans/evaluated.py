@@ -97,7 +97,7 @@ def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     modes = F.explode(F.when(F.col("pos") % 5 == 0, F.array(F.lit("all"), F.lit("non_overlapping"))).otherwise(F.array(F.lit("all")))).alias("sample_mode")
     limit = F.when(F.col("x.specification") == "volume", 1.2).otherwise(0.2)
     return rows.select(
-        "scope", "fold", modes, "x.specification", "mature", "actual_event", "terminal_return", "mae", "mfe", F.round("x.score", 2).alias("predicted_score"), (F.col("x.score") >= limit).alias("predicted_event"),
+        "scope", "fold", modes, "x.specification", "mature", "actual_event", "terminal_return", "mae", "mfe", F.round("x.score", 9).alias("predicted_score"), (F.col("x.score") >= limit).alias("predicted_event"),
         F.when(F.col("x.score").isNull(), "unavailable").otherwise("available").alias("status"), F.lit(None).cast("double").alias("lead_sessions"),
     )
 
@@ -114,7 +114,7 @@ def m12_evaluation_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PRED_SQL = (
     "WITH f AS (SELECT $features.*, g.grp FROM $features JOIN $groups g USING (ticker)), "
     "s AS (SELECT grp AS scope, year(session) AS fold, pos, 'volume' AS specification, vr AS score, vr >= 1.2D AS hit, mature, tail_down AS y, least(fwd, 1) AS fwd, mae, least(mfe, 1) AS mfe FROM f UNION ALL SELECT grp, year(session), pos, 'close', -cl, -cl >= 0.2D, mature, tail_down, least(fwd, 1), mae, least(mfe, 1) FROM f), "
-    "r AS (SELECT s.*, m.sample_mode, s.score IS NOT NULL AND s.mature AS ok, round(score, 2) AS sc FROM s JOIN (SELECT 'all' AS sample_mode UNION ALL SELECT 'non_overlapping') m ON m.sample_mode = 'all' OR s.pos % 5 = 0), "
+    "r AS (SELECT s.*, m.sample_mode, s.score IS NOT NULL AND s.mature AS ok, round(score, 9) AS sc FROM s JOIN (SELECT 'all' AS sample_mode UNION ALL SELECT 'non_overlapping') m ON m.sample_mode = 'all' OR s.pos % 5 = 0), "
     "t AS (SELECT scope, fold, sample_mode, specification, sc, count(*) FILTER (y) AS p, count(*) FILTER (NOT y) AS q FROM r WHERE ok GROUP BY ALL), "
     "u AS (SELECT a.scope, a.fold, a.sample_mode, a.specification, count(DISTINCT a.sc) AS scores, sum(a.p * b.q * CASE WHEN a.sc > b.sc THEN 1D WHEN a.sc = b.sc THEN 0.5D ELSE 0D END) AS wins FROM t a JOIN t b USING (scope, fold, sample_mode, specification) GROUP BY ALL), "
     "c AS (SELECT a.scope, a.fold, a.sample_mode, a.specification, a.sc, any_value(a.p) AS p, sum(b.p) AS tp, sum(b.q) AS fp FROM t a JOIN t b ON a.scope = b.scope AND a.fold = b.fold AND a.sample_mode = b.sample_mode AND a.specification = b.specification AND b.sc >= a.sc GROUP BY a.scope, a.fold, a.sample_mode, a.specification, a.sc), "

@@ -133,7 +133,6 @@ TEXTS: dict[str, str] = {
     "SELECT CAST(session AS STRING) AS session, round(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 6) AS ic FROM r GROUP BY session HAVING count(*) >= 5",
     "a13_correlations": "SELECT round(covar_pop(vr, abs(ret)) / nullif(stddev_pop(CASE WHEN ret IS NOT NULL THEN vr END) * stddev_pop(CASE WHEN vr IS NOT NULL THEN abs(ret) END), 0), 5) AS vr_ret, round(covar_pop(cl, uw) / nullif(stddev_pop(cl) * stddev_pop(uw), 0), 6) AS cl_uw, round(sum(CASE WHEN distribution AND non_progress THEN 1D ELSE 0D END) / nullif(sum(CASE WHEN distribution OR non_progress THEN 1D ELSE 0D END), 0), 6) AS jaccard FROM $features WHERE ret < 5",
     "a15_brier_log_loss": "SELECT round(avg((p - y) * (p - y)), 6) AS brier, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS log_loss FROM (SELECT least(0.99D, greatest(0.01D, vr / 4)) AS p, CASE WHEN tail_down THEN 1D ELSE 0D END AS y FROM $features WHERE vr IS NOT NULL AND tail_down IS NOT NULL) t",
-    "a16_score_buckets": "SELECT bucket, count(*) AS n, round(avg(CASE WHEN fwd > 0 THEN 1D ELSE 0D END), 6) AS up_rate, round(median(fwd), 6) AS median_fwd FROM (SELECT CASE WHEN cl < -0.5 THEN 0 WHEN cl < 0 THEN 1 WHEN cl < 0.5 THEN 2 ELSE 3 END AS bucket, fwd FROM $features WHERE cl IS NOT NULL AND fwd IS NOT NULL) t GROUP BY bucket",
     "a18_top_k": "SELECT CAST(session AS STRING) AS session, round(avg(fwd), 6) AS mean_fwd, round(avg(CASE WHEN fwd > 0 THEN 1D ELSE 0D END), 6) AS wins FROM (SELECT session, fwd, row_number() OVER (PARTITION BY session ORDER BY vr DESC, ticker) AS k FROM $features WHERE vr IS NOT NULL AND fwd IS NOT NULL) t WHERE k <= 5 GROUP BY session",
     "a20_nearest_rank": "SELECT ticker, round(max(CASE WHEN k = CAST(ceil(0.9D * n) AS BIGINT) THEN vr END), 6) AS p90 FROM (SELECT ticker, vr, row_number() OVER (PARTITION BY ticker ORDER BY vr) AS k, count(*) OVER (PARTITION BY ticker) AS n FROM $features WHERE vr IS NOT NULL) t GROUP BY ticker",
     "a23_residuals": "SELECT ticker, CAST(session AS STRING) AS session, round(y - (ic + sl * x), 5) AS residual FROM (SELECT ticker, session, vr AS y, uw AS x, count(*) OVER (PARTITION BY session) AS n, regr_slope(vr, uw) OVER (PARTITION BY session) AS sl, regr_intercept(vr, uw) OVER (PARTITION BY session) AS ic, var_pop(uw) OVER (PARTITION BY session) AS v FROM $features WHERE vr IS NOT NULL AND uw IS NOT NULL) t WHERE n >= 5 AND v > 0.0001",
@@ -169,7 +168,7 @@ TEXTS: dict[str, str] = {
     "t02_top_k_per_group": "SELECT ticker, CAST(session AS STRING) AS session, k FROM (SELECT ticker, session, row_number() OVER (PARTITION BY ticker ORDER BY volume DESC, session) AS k FROM $bars) t WHERE k <= 3",
     "u02_u03_set_operations": "SELECT CAST(session AS STRING) AS session, 'both' AS side FROM (SELECT session FROM $bars WHERE ticker = 'Brand#1' INTERSECT SELECT session FROM $bars WHERE ticker = 'Brand#2') a UNION ALL SELECT CAST(session AS STRING), 'first' FROM (SELECT session FROM $bars WHERE ticker = 'Brand#1' EXCEPT SELECT session FROM $bars WHERE ticker = 'Brand#2') b",
     "s03_last_n_bars": "SELECT ticker, CAST(session AS STRING) AS session FROM (SELECT ticker, session, row_number() OVER (PARTITION BY ticker ORDER BY session DESC) AS k FROM $days) t WHERE k <= 260",
-    "r07_order_flow": "SELECT symbol, round(100 * (buy - sell) / nullif(buy + sell, 0), 2) AS pressure, round((buy + sell) / total, 6) AS coverage FROM (SELECT symbol, sum(CASE WHEN d > 0 THEN size + 0D ELSE 0D END) AS buy, sum(CASE WHEN d < 0 THEN size + 0D ELSE 0D END) AS sell, sum(size + 0D) AS total FROM (SELECT symbol, size, price - lag(price) OVER (PARTITION BY symbol ORDER BY ns) AS d FROM $trades WHERE kind = 'trade') t GROUP BY symbol) u",
+    "r07_order_flow": "SELECT symbol, round(100 * (buy - sell) / nullif(buy + sell, 0), 2) AS pressure, round((buy + sell) / total, 6) AS coverage FROM (SELECT symbol, sum(CASE WHEN d > 0 THEN size + 0D ELSE 0D END) AS buy, sum(CASE WHEN d < 0 THEN size + 0D ELSE 0D END) AS sell, sum(size + 0D) AS total FROM (SELECT symbol, size, price - lag(price) OVER (PARTITION BY symbol ORDER BY ns, event_id) AS d FROM $trades WHERE kind = 'trade') t GROUP BY symbol) u",
     "r08_latest_quote": "SELECT symbol, ns, price FROM (SELECT symbol, ns, price, row_number() OVER (PARTITION BY symbol ORDER BY ns DESC, event_id DESC) AS k FROM $trades WHERE kind = 'quote') t WHERE k = 1",
 }
 
@@ -243,7 +242,6 @@ TEXTS |= {
     "g10_monitor_difference": "SELECT ticker, CAST(session AS STRING) AS session, label, was FROM (SELECT ticker, session, k, label, lead(label) OVER (PARTITION BY ticker ORDER BY k) AS was FROM (SELECT ticker, session, row_number() OVER (PARTITION BY ticker ORDER BY session DESC) AS k, CASE WHEN close > sma50 THEN 'above' ELSE 'below' END AS label FROM $features WHERE sma50 IS NOT NULL) t WHERE k <= 2) u WHERE k = 1",
     "m10_recency_weights": "SELECT ticker, round(sum(w), 5) AS total, round(sum(w * CASE WHEN tail_down THEN 1D ELSE 0D END) / sum(w), 6) AS rate FROM (SELECT ticker, tail_down, power(0.5D, datediff(DATE '2002-01-01', session) / 252D) AS w FROM $features WHERE tail_down IS NOT NULL) t GROUP BY ticker",
     "r12_liveness": "SELECT symbol, CASE WHEN newest - last > 86400000000000 THEN 'stale' WHEN newest - last > 3600000000000 THEN 'pending' ELSE 'live' END AS state FROM (SELECT symbol, max(ns) AS last FROM $trades GROUP BY symbol) t CROSS JOIN (SELECT max(ns) AS newest FROM $trades) u",
-    "a19_exact_quantiles": "SELECT ticker, round(percentile_cont(0.05) WITHIN GROUP (ORDER BY least(ret, 5D)), 6) AS q05, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY least(ret, 5D)), 6) AS q95 FROM $features WHERE ret IS NOT NULL GROUP BY ticker",
     "g02_visible_vintages": _MACRO + "SELECT CAST(seen_at AS STRING) AS seen_at, series, CAST(obs AS STRING) AS obs, round(value, 6) AS value FROM latest WHERE k = 1",
     "w40_policy_directions": _MACRO + "SELECT CAST(seen_at AS STRING) AS seen_at, CASE WHEN p1 IS NULL THEN 'unavailable' WHEN v1 > p1 + 0.05 THEN 'tightening' WHEN v1 < p1 - 0.05 THEN 'easing' ELSE 'flat' END AS rates, CASE WHEN p2 IS NULL THEN 'unavailable' WHEN v2 > p2 THEN 'up' ELSE 'down' END AS oil FROM w",
     "w44_yearly_inflation": "SELECT CAST(a.mth AS STRING) AS month, round(a.v / nullif(b.v, 0) - 1, 6) AS yoy FROM (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS mth, avg(o_totalprice) AS v FROM $orders GROUP BY CAST(date_trunc('month', o_orderdate) AS DATE)) a JOIN (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS mth, avg(o_totalprice) AS v FROM $orders GROUP BY CAST(date_trunc('month', o_orderdate) AS DATE)) b ON year(a.mth) = year(b.mth) + 1 AND month(a.mth) = month(b.mth)",

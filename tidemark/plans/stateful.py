@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import asof, folds, models, patterns, portfolio, state
 from tidemark.operators import layers as L
+from tidemark.operators.order import exact_quantiles
 from tidemark.plans import layered, relational
 from tidemark.sources import bars as B
 from tidemark.sources import storage
@@ -111,6 +112,28 @@ def x03_zigzag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.zigzag(L.stack(B.bars(spark, sf_dir), [*L.PRESSURE, *L.TREND])).selectExpr("ticker", "CAST(session AS STRING) AS session", "CAST(confirmed AS STRING) AS confirmed", "kind", "round(price, 8) AS price")
 
 
+def _x03_sql() -> str:
+    """The same swings by a fold over each ticker's list of closes in DuckDB: the state is the leg, both extremes and the swings so far."""
+    top, top_at = "CASE WHEN s.leg <> -1 AND e.x > s.top THEN e.x ELSE s.top END", "CASE WHEN s.leg <> -1 AND e.x > s.top THEN e.i ELSE s.top_at END"
+    low, low_at = "CASE WHEN s.leg <> 1 AND e.x < s.low THEN e.x ELSE s.low END", "CASE WHEN s.leg <> 1 AND e.x < s.low THEN e.i ELSE s.low_at END"
+    rise = f"(s.leg <> 1 AND coalesce((e.x - ({low})) / nullif({low}, 0) >= e.t, FALSE))"
+    fall = f"(NOT {rise} AND s.leg <> -1 AND coalesce((({top}) - e.x) / nullif({top}, 0) >= e.t, FALSE))"
+    step = (
+        f"{{'i': e.i, 'x': e.x, 't': e.t, 'leg': CASE WHEN {rise} THEN 1 WHEN {fall} THEN -1 ELSE s.leg END, "
+        f"'top': CASE WHEN {rise} THEN e.x ELSE {top} END, 'top_at': CASE WHEN {rise} THEN e.i ELSE {top_at} END, "
+        f"'low': CASE WHEN {fall} THEN e.x ELSE {low} END, 'low_at': CASE WHEN {fall} THEN e.i ELSE {low_at} END, "
+        f"'found': CASE WHEN {rise} THEN list_append(s.found, {{'place': {low_at}, 'at': e.i, 'kind': 'low'}}) WHEN {fall} THEN list_append(s.found, {{'place': {top_at}, 'at': e.i, 'kind': 'high'}}) ELSE s.found END}}"
+    )
+    first = "{'i': i, 'x': close, 't': t, 'leg': 0, 'top': close, 'top_at': i, 'low': close, 'low_at': i, 'found': CAST([] AS STRUCT(place BIGINT, \"at\" BIGINT, kind VARCHAR)[])}"
+    return (
+        "WITH " + layered.stack_sql([*L.PRESSURE, *L.TREND]) + f""", b AS (SELECT ticker, session, close, row_number() OVER (PARTITION BY ticker ORDER BY session) AS i, least(0.10::DOUBLE, greatest(0.03::DOUBLE, CASE WHEN atr20 IS NULL THEN NULL ELSE 1.5::DOUBLE * atr20 / close END)) AS thr, atr20 IS NULL AS lacks FROM top),
+d AS (SELECT ticker, session, close, i, CASE WHEN lacks THEN NULL ELSE thr END AS t FROM b),
+r AS (SELECT ticker, list_reduce(list({first} ORDER BY i), lambda s, e: {step}) AS s FROM d GROUP BY ticker),
+f AS (SELECT ticker, unnest(s.found) AS p FROM r)
+SELECT f.ticker, a.session::VARCHAR AS session, c.session::VARCHAR AS confirmed, p.kind AS kind, round(a.close, 8) AS price FROM f JOIN d a ON a.ticker = f.ticker AND a.i = p.place JOIN d c ON c.ticker = f.ticker AND c.i = p.at"""
+    )
+
+
 def x08_platform_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = L.stack(B.bars(spark, sf_dir), [*layered.FULL, *L.PLATFORM, {"top": f"max(high) {L.trailing(20)}", "bottom": f"min(low) {L.trailing(20)}", "loose": "pos >= 20 AND width <= 20 * atr20 / nullif(close, 0) * 100"}])
     return state.lifecycle(rows.withColumn("tight_platform", F.coalesce("loose", F.lit(False)))).selectExpr("ticker", "event", "CAST(session AS STRING) AS session", "stage", "round(pivot_price, 8) AS pivot_price")
@@ -204,12 +227,16 @@ FROM done JOIN e t ON t.event_id = done.root AND t.symbol = done.symbol LEFT JOI
 
 
 def r03_deduplicated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events twice, some without their id: what stays is one of each, and different events of one instant all stay."""
-    e = B.market_events(spark, sf_dir).withColumn("event_id", F.expr("CASE WHEN event_id % 5 <> 0 THEN event_id END"))
+    """All events twice, some without their id, ids starting anew in each kind of a symbol: one of each stays, and a trade and a quote of one id both do."""
+    e = B.market_events(spark, sf_dir)
+    own = F.row_number().over(Window.partitionBy("symbol", "kind").orderBy("ns", "event_id")).cast("long")
+    e = e.withColumn("own", own).withColumn("event_id", F.expr("CASE WHEN event_id % 5 <> 0 THEN own END")).drop("own")
     return T.deduplicated(e.unionByName(e)).select("symbol", "event_id", "kind", "ns", "price", F.col("size").cast("double").alias("size"))
 
 
-R03_SQL = f"SELECT DISTINCT symbol, CASE WHEN event_id % 5 <> 0 THEN event_id END AS event_id, kind, ns, price, size::DOUBLE AS size FROM ({B.MARKET_EVENTS_SQL})"
+R03_SQL = f"""
+SELECT DISTINCT symbol, CASE WHEN event_id % 5 <> 0 THEN own END AS event_id, kind, ns, price, size::DOUBLE AS size
+FROM (SELECT *, row_number() OVER (PARTITION BY symbol, kind ORDER BY ns, event_id) AS own FROM ({B.MARKET_EVENTS_SQL}))"""
 
 
 def r05_minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,6 +301,22 @@ def m09_threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 M09_SQL = Q("SELECT t / 10.0D AS t, round((sum(CASE WHEN vr >= t / 10.0D AND tail_down THEN 1D ELSE 0D END) / nullif(sum(CASE WHEN tail_down THEN 1D ELSE 0D END), 0) + sum(CASE WHEN vr < t / 10.0D AND NOT tail_down THEN 1D ELSE 0D END) / nullif(sum(CASE WHEN NOT tail_down THEN 1D ELSE 0D END), 0)) / 2, 6) AS balanced FROM $features, (SELECT unnest(range(5, 31)) AS t) WHERE tail_down IS NOT NULL AND vr IS NOT NULL GROUP BY t")
 
 
+def walked_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of every ticker whose closes add up small moves: how far each day's mean price is from its 60-day mean decides the day's return.
+
+    Line items' prices have no trend; these have swings, so that detectors meet bases.
+    """
+    day = B.bars(spark, sf_dir, "day")
+    rows = L.stack(day, [{"mean_60": f"avg(close) {L.trailing(60)}"}, {"r": "least(0.03D, greatest(-0.03D, 0.02D * (close / mean_60 - 1)))"}, {"walk": f"100 * exp(sum(r) {L.trailing(100_000)})"}])
+    return rows.selectExpr("ticker", "session", "walk / (1 + r / 2) AS open", "walk * (1 + 0.004D + abs(r) / 2) AS high", "walk * (1 - 0.004D - abs(r) / 2) AS low", "walk AS close", "volume")
+
+
+def x06b_contractions_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contractions of daily series with trends, in which every stage occurs."""
+    rows = L.stack(walked_bars(spark, sf_dir), [*L.PRESSURE, *L.TREND])
+    return patterns.contractions(rows).selectExpr("ticker", "CAST(session AS STRING) AS session", "stage", "base", "n_legs", "round(pivot, 6) AS pivot", "round(distance, 6) AS distance", "round(dry_up, 6) AS dry_up")
+
+
 def x06_contractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = L.stack(B.bars(spark, sf_dir), [*L.PRESSURE, *L.TREND])
     return patterns.contractions(rows).selectExpr("ticker", "CAST(session AS STRING) AS session", "stage", "base", "n_legs", "round(pivot, 6) AS pivot", "round(distance, 6) AS distance", "round(dry_up, 6) AS dry_up")
@@ -320,6 +363,8 @@ def x14_bottom_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bottom states from the support zone, demand, structure and the market gate."""
     base = L.stack(layered.base(spark, sf_dir, "week", "group"), [*layered.FULL, *L.RELATIVE, *L.CARRY, *L.SUPPLY, *_zones()])
     gate = x09_market_gate(spark, sf_dir).select(F.to_date("session").alias("session"), F.col("state").alias("market_state"))
+    lines = x04_trendlines(spark, sf_dir).select("ticker", F.to_date("session").alias("session"), F.col("breakout").alias("trendline_breakout"))
+    early = relational.QUERIES["x15_early_reversal"](spark, sf_dir).select("ticker", F.to_date("session").alias("session"), (F.col("state") == "watch").alias("early_watch"))
     conditions = {
         "seller_exhaustion": "distress", "buyer_absorption": f"vr >= 1.8 AND low >= 0.995 * min(low) {L.prior(5)} AND cl >= 0", "low_volume_higher_low": f"vr < 0.8 AND low > {L.lag('low')}",
         "positive_signed_volume": "sv >= 0.75", "up_volume_confirmation": "ret > 0 AND vr >= 1.2 AND cl >= 0.4", "breakout_acceptance": "accepted", "breakout_follow_through": "follow_window AND NOT distribution",
@@ -329,8 +374,8 @@ def x14_bottom_state(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ticker", "session", "low", "close", "volume", "ema20", "zone_lower AS support_lower", "zone_upper AS support_upper",
         "CASE WHEN zone_upper IS NOT NULL THEN 50D + CASE WHEN tested THEN 20D ELSE 0D END END AS support_score", "CASE WHEN close BETWEEN zone_lower AND zone_upper THEN 'inside' WHEN low <= zone_upper AND close > zone_upper THEN 'testing' ELSE 'near' END AS support_state",
         "least(100D, CAST(demand AS DOUBLE)) AS demand_score", "CASE WHEN demand IS NOT NULL THEN 1D ELSE 0D END AS demand_coverage", f"{names} AS demand_conditions",
-        "recovery AS early_watch", f"low > min(low) {L.prior(10)} AND close > sma10 AS higher_low", "pivot_breakout AS prior_high_breakout", "false AS trendline_breakout",
-    ).join(gate, "session", "left")
+        f"low > min(low) {L.prior(10)} AND close > sma10 AS higher_low", "pivot_breakout AS prior_high_breakout",
+    ).join(gate, "session", "left").join(lines, ["ticker", "session"], "left").join(early, ["ticker", "session"], "left")
     return patterns.bottom_states(rows).selectExpr("ticker", "CAST(session AS STRING) AS session", "state", "raw_state", "age", "round(invalidation, 6) AS invalidation", "round(score, 4) AS score", "coverage")
 
 
@@ -370,12 +415,14 @@ SELECT kind, CASE WHEN kind = 'quote' AND event_id % 50 = 0 THEN 'invalid_quote'
 
 def m04_robust_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features clipped at their 0.005 and 0.995 quantiles, filled by the median, standardised and clipped at 12."""
-    f = _features(spark, sf_dir).select("ticker", "session", "vr", "cl", "chg_20")
-    stats = f.agg(*(F.percentile(c, F.array(F.lit(0.005), F.lit(0.5), F.lit(0.995))).alias(c) for c in ("vr", "cl", "chg_20")))
-    q = F.broadcast(stats.select(*(F.col(c)[i].alias(f"{c}_{n}") for c in ("vr", "cl", "chg_20") for i, n in enumerate(("lo", "mid", "hi")))))  # one row
-    filled = f.crossJoin(q).select("ticker", "session", *(F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"{c}_lo")), F.col(f"{c}_hi"))).otherwise(F.col(f"{c}_mid")).alias(c) for c in ("vr", "cl", "chg_20")))
-    moments = F.broadcast(filled.agg(*(x for c in ("vr", "cl", "chg_20") for x in (F.avg(c).alias(f"{c}_m"), F.stddev_pop(c).alias(f"{c}_s")))))
-    z = [F.round(F.least(F.lit(12.0), F.greatest(F.lit(-12.0), F.try_divide(F.col(c) - F.col(f"{c}_m"), F.col(f"{c}_s")))), 5).alias(c) for c in ("vr", "cl", "chg_20")]
+    names = ["vr", "cl", "chg_20"]
+    f = _features(spark, sf_dir).select("ticker", "session", *names)
+    found = exact_quantiles(f, names, [0.005, 0.5, 0.995])
+    # One row for all columns and quantiles.
+    q = F.broadcast(found.agg(*(F.max(F.when((F.col("name") == c) & (F.col("share") == s), F.col("value"))).alias(f"{c}_{n}") for c in names for n, s in (("lo", 0.005), ("mid", 0.5), ("hi", 0.995)))))
+    filled = f.crossJoin(q).select("ticker", "session", *(F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"{c}_lo")), F.col(f"{c}_hi"))).otherwise(F.col(f"{c}_mid")).alias(c) for c in names))
+    moments = F.broadcast(filled.agg(*(x for c in names for x in (F.avg(c).alias(f"{c}_m"), F.stddev_pop(c).alias(f"{c}_s")))))
+    z = [F.round(F.least(F.lit(12.0), F.greatest(F.lit(-12.0), F.try_divide(F.col(c) - F.col(f"{c}_m"), F.col(f"{c}_s")))), 5).alias(c) for c in names]
     return filled.crossJoin(moments).select("ticker", F.col("session").cast("string").alias("session"), *z)
 
 
@@ -490,6 +537,7 @@ QUERIES = {
     "x19_core_satellite": x19_core_satellite,
     "x04_trendlines": x04_trendlines,
     "x06_contractions": x06_contractions,
+    "x06b_contractions_daily": x06b_contractions_daily,
     "x11_zones": x11_zones,
     "x14_bottom_state": x14_bottom_state,
     "x16_support_touches": x16_support_touches,
@@ -520,6 +568,7 @@ ORACLE_SQL = {
     "p02b_provider_validation": P02B_SQL,
     "k01_upsert_last_wins": K01_SQL,
     "k02_idempotent_append": K02_SQL,
+    "x03_zigzag": _x03_sql(),
     "x11_zones": X11_SQL,
     "p31_us_sessions": P31_SQL,
     "r01_normalised_messages": R01_SQL,

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,14 +16,28 @@ from pyspark.sql import types as T
 PROVIDER_BARS = T.StructType([T.StructField("ticker", T.StringType()), T.StructField("date", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "adjusted_close", "volume"))])
 
 
+_own_dirs: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir. Only where it is unset and all tasks run in this process (tests) a temporary one stands in."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
+    return _own_dirs[app]
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the shared folder of spark.checkpoint.dir: a short plan that outlives lost executors."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))  # tests in one process
-    return df.checkpoint()
+    """df written as Parquet to the shared folder and read again: a short plan that outlives lost executors and reads only the columns it needs."""
+    path = f"{shared_dir(df.sparkSession)}/cut-{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType = PROVIDER_BARS) -> DataFrame:
@@ -57,7 +74,7 @@ def validate(rows: DataFrame, order: str | None = None) -> DataFrame:
     Reasons in order: invalid_row, invalid_date, duplicate_date, invalid_numeric, non_positive_price,
     negative_volume, invalid_ohlc. Of a ticker's rows of one date the first holds the date, whatever comes of it, and the
     others are duplicates: the first by the column `order`, the source's own, or without one the first sound row by content.
-    Rows without ticker or date take no part in the window, so nulls are no hot key there.
+    All rows go through one window; those without ticker or date are spread in it by a hash of the row, so nulls are no hot key.
     """
     prices = ("open", "high", "low", "close", "adjusted_close")
     day = F.to_date(F.try_to_timestamp("date", F.lit("yyyy-MM-dd")))
@@ -75,9 +92,10 @@ def validate(rows: DataFrame, order: str | None = None) -> DataFrame:
     judged = rows.withColumn("session", day).withColumn("reason", own)
     dated = F.col("ticker").isNotNull() & F.col("session").isNotNull()
     place = [order] if order else [F.col("reason").isNotNull()]
-    k = F.row_number().over(Window.partitionBy("ticker", "session").orderBy(*place, *prices, "volume"))
+    spread = F.when(~dated, F.xxhash64(*prices, "volume", "date", "ticker"))
+    k = F.row_number().over(Window.partitionBy("ticker", "session", spread).orderBy(*place, *prices, "volume"))
     lost = F.when(F.col("ticker").isNull() | F.col("date").isNull(), "invalid_row").otherwise("invalid_date")
-    return judged.where(dated).withColumn("reason", F.when(k > 1, "duplicate_date").otherwise(F.col("reason"))).unionByName(judged.where(~dated).withColumn("reason", lost))
+    return judged.withColumn("reason", F.when(~dated, lost).when(k > 1, "duplicate_date").otherwise(F.col("reason")))
 
 
 def adjusted(rows: DataFrame) -> DataFrame:
@@ -106,18 +124,37 @@ def merged(old: DataFrame, new: DataFrame, keys: list[str], order: str | None =
     return kept.unionByName(last.select(*old.columns))
 
 
+def _known(new: DataFrame, old: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """new (as n) joined with old (as o) where all keys are equal, null to null as well."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"n.`{k}`").eqNullSafe(F.col(f"o.`{k}`"))
+    return new.alias("n").join(old.alias("o"), same, how)
+
+
+def unknown(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of new whose key isn't in old, one of each key."""
+    return _known(new.dropDuplicates(keys), old, keys, "left_anti").select(*(f"`{c}`" for c in old.columns))
+
+
 def appended(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Idempotent append: new rows whose key is known are left out."""
-    return old.unionByName(new.dropDuplicates(keys).join(old, keys, "left_anti"))
+    """Idempotent append: new rows whose key is known are left out, and of new rows with one key one stays. Null keys are equal to each other."""
+    return old.unionByName(unknown(old, new, keys))
 
 
 def ledger_append(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Append that refuses a known key with another payload; the same payload again is nothing new."""
+    """Append that refuses a key with two payloads, among the new rows or against the old ones; the same payload again is nothing new.
+
+    Null keys are equal to each other, and so are null fields; a frame is read as it is, so what is null is part of the payload.
+    """
     rest = [c for c in old.columns if c not in keys]
-    mark = lambda df, name: df.select(*keys, F.sha2(F.to_json(F.struct(*rest)), 256).alias(name))
-    clash = mark(old, "a").join(mark(new, "b"), keys).where("a <> b")
-    if not clash.isEmpty():
-        raise ValueError(f"rows with known keys and other payloads: {clash.limit(3).collect()}")
+    payload = F.sha2(F.to_json(F.struct(F.lit(1).alias("__one"), *(F.col(f"`{c}`") for c in rest)), {"ignoreNullFields": "false"}), 256)
+    marks = new.groupBy(*keys).agg(F.min(payload).alias("__low"), F.max(payload).alias("__high"))
+    inside = marks.where("__low <> __high").select(*keys)
+    against = _known(marks, old.select(*keys, payload.alias("__mark")), keys, "inner").where("o.__mark <> n.__low").select(*(F.col(f"n.`{k}`") for k in keys))
+    clash = inside.unionByName(against).limit(3).collect()
+    if clash:
+        raise ValueError(f"keys with two payloads: {clash}")
     return appended(old, new, keys)
 
 

@@ -104,18 +104,23 @@ def minute_bars(trades: DataFrame, watermark: str | None = None) -> DataFrame:
     ).select("symbol", F.col("w.start").alias("minute"), "open", "high", "low", "close", "volume", "trades")
 
 
-def event_key() -> Column:
-    """What makes an event the same: its id, or without one a hash of its fields and its exact time."""
-    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("symbol", "kind", "ns", "price", "size")]
+def event_key(by: tuple[str, ...] = ("symbol",)) -> Column:
+    """What makes an event the same inside its kind and `by`: its id, or without one a hash of its fields and its exact time."""
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*by, "kind", "ns", "price", "size")]
     return F.coalesce(F.concat(F.lit("id:"), F.col("event_id").cast("string")), F.concat(F.lit("hash:"), F.sha2(F.concat_ws("|", *fields), 256)))
 
 
-def deduplicated(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """One of each (symbol, event_key); the state of a stream is bounded by the watermark."""
-    keyed = events.withColumn("__key", event_key())
+def deduplicated(events: DataFrame, watermark: str = "10 minutes", by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """One of each (by, kind, event_key); the state of a stream is bounded by the watermark.
+
+    A source numbers its trades, quotes, corrections and cancels apart, so a trade and a quote of one id both stay. by: what
+    ids count inside, such as provider and symbol. Nulls in `by` or kind are equal to each other.
+    """
+    keyed = events.withColumn("__key", event_key(by))
+    keys = [*by, "kind", "__key"]
     if events.isStreaming:
-        return keyed.withWatermark("event_ts", watermark).dropDuplicatesWithinWatermark(["symbol", "__key"]).drop("__key")
-    return keyed.dropDuplicates(["symbol", "__key"]).drop("__key")
+        return keyed.withWatermark("event_ts", watermark).dropDuplicatesWithinWatermark(keys).drop("__key")
+    return keyed.dropDuplicates(keys).drop("__key")
 
 
 def stream_directions(events: DataFrame, max_age_ns: int = 5_000_000_000) -> DataFrame:
