@@ -1,11 +1,11 @@
 """SimHash near-duplicates through a hierarchical index in Gray order.
 
-The bits of a fingerprint are cut into blocks. Fingerprints within D bits agree in at least `more` of D +
-more blocks, so there is one table for each choice of that many blocks; `more` grows with the rows, so
-that runs of equal keys stay short. In a table the chosen blocks lead, and rows are sorted by Gray rank, in
-which neighbours differ in few bits. Over a run stands a tree: a node covers FAN nodes below it and keeps the
-bits that all its members share. Pairs of nodes go down together; each level adds the differences in the
-bits that became known there, and a pair with over D of them is dropped with all below it.
+The bits of a fingerprint are cut into blocks. Fingerprints within D bits agree in at least `more` of D + more
+blocks, so there is one table for each choice of that many blocks. In a table the chosen blocks lead, and rows are sorted by
+Gray rank, in which neighbours differ in few bits. A run is what has the same first bits of the chosen blocks: as few as leave RUN
+rows to a run, so runs are long and their number is what follows the rows. Over a run stands a tree: a node covers FAN nodes
+below it and keeps the bits that all its members share. Pairs of nodes go down together; each level adds the differences in
+the bits that became known there, and a pair with over D of them is dropped with all below it.
 
 A run of up to PIECE rows is met in one task, many runs at a time. Longer runs are cut at Gray ranks into pieces,
 and pairs of pieces, whose shared bits allow a link, are dealt out.
@@ -31,8 +31,10 @@ BITS = 64
 PIECE = 4096
 #: Children of a node, and pairs of nodes that are opened at a time.
 FAN, OPEN = 8, 1 << 14
-#: Rows of a run on the mean of random fingerprints, above which keys take in one more block.
-RUN = 64
+#: Rows of a run on the mean of random fingerprints: the first bits of the leading blocks are a key only as far as this asks.
+RUN = 2048
+#: The same for word fingerprints, which lie close to those of all texts of their language; there whole blocks are the key, two at least.
+WORD_RUN = 64
 
 #: near-copies of texts: the search's bits on words, the shingles that decide, and their bits that may differ. At a
 #: similarity of 0.8 (cosine 8/9) 256 bits differ in 38.8 on the mean, with a deviation of 5.7: two of those are allowed.
@@ -110,14 +112,19 @@ def marked(docs: DataFrame, names: list[str], mark) -> DataFrame:
     return materialize(inner.mapInArrow(run, schema), "fps", "zstd")
 
 
-def layout(distance: int, n: int) -> tuple[list[tuple[int, int]], int]:
-    """(lowest bit, width) of the blocks, and how many of them lead in a table, for n fingerprints."""
-    for more in (2, 3, 4):
+def layout(distance: int, n: int, run: int, least: int = 1) -> tuple[list[tuple[int, int]], int, int]:
+    """(lowest bit, width) of the blocks, how many of them lead in a table, and how many first bits are the key, for n fingerprints.
+
+    More blocks lead only where the whole of fewer would leave over `run` rows to a run (of one block: four times as many). least: blocks that lead at any size; from
+    two on all their bits are the key.
+    """
+    for more in range(least, 5):
         m = distance + more
-        if n >> (BITS * more // m) <= RUN:
+        whole = more * (BITS // m)
+        if n >> whole <= (4 * run if least == 1 else run):
             break
     edges = [BITS * i // m for i in range(m + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])], more
+    return [(a, b - a) for a, b in zip(edges, edges[1:])], more, whole if least > 1 or not run else min(whole, (n // run).bit_length())
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -128,8 +135,8 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
-def tables(reps: DataFrame, blocks: list[tuple[int, int]], more: int) -> DataFrame:
-    """reps for each table: t, key (the leading blocks' Gray rank), gray (the whole one's) and reps' columns but fp, its first.
+def tables(reps: DataFrame, blocks: list[tuple[int, int]], more: int, key_bits: int) -> DataFrame:
+    """reps for each table: t, key (the first key_bits of the Gray rank), gray (the whole one's) and reps' columns but fp, its first.
 
     A bit order of its own for each table leaves all distances as they are, and rank ^ (rank >>> 1) gives the bits back.
     """
@@ -145,7 +152,7 @@ def tables(reps: DataFrame, blocks: list[tuple[int, int]], more: int) -> DataFra
                     at -= width
                     turned |= part << np.uint64(at)
                 gray = gray_rank(turned)
-                key = gray >> np.uint64(BITS - sum(blocks[b][1] for b in chosen))
+                key = gray >> np.uint64(BITS - key_bits) if key_bits else np.zeros(len(fps), np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), t, np.int32)), pa.array(key.view(np.int64)), pa.array(gray.view(np.int64)), *batch.columns[1:]], ["t", "key", "gray", *rest])
 
     return reps.mapInArrow(run, ", ".join(["t int", "key long", "gray long", *(f"{c} long" for c in rest)]))
@@ -292,17 +299,16 @@ def _pieces(long: DataFrame, rest: list[str], distance: int, piece: int) -> Data
     return cut.join(wanted, ["t", "key", "piece"]).select("t", "key", "a", "b", "side", "gray", *rest)
 
 
-def links(reps: DataFrame, distance: int, piece: int = PIECE, limit: int = 0) -> DataFrame:
+def links(reps: DataFrame, distance: int, piece: int = PIECE, limit: int = 0, run: int | None = None, least: int = 1) -> DataFrame:
     """Edges (u, v) between nodes whose components are those of all links.
 
     reps has node and fp, then any columns of further bits. A link has at most `distance` differing bits in fp,
-    and at most `limit` over the further bits, if there are any.
+    and at most `limit` over the further bits, if there are any. run, least: as layout() takes them.
     """
     if not 0 <= distance <= 12:
         raise ValueError("distance must be from 0 to 12")
     rest = ["node", *(c for c in reps.columns if c not in ("node", "fp"))]
-    blocks, more = layout(distance, reps.count())
-    rows = tables(reps.select("fp", *rest), blocks, more)
+    rows = tables(reps.select("fp", *rest), *layout(distance, reps.count(), RUN if run is None else run, least))
     long = materialize(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > piece).select("t", "key"), "long")
     dealt = rows.join(long, ["t", "key"], "left_anti").select("t", "key", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("side"), "gray", *rest)
     if not long.isEmpty():
@@ -349,7 +355,7 @@ def keep_one(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     key = F.col(f"c{docs.columns.index('doc_id')}")
     best = F.min(F.struct(key.isNull().alias("none"), key.alias("id"), F.col("rid").alias("rid"))).alias("best")
     nodes = spread(fps.groupBy("fp", *bits).agg(best).withColumn("node", F.col("best.rid")), "nodes")
-    roots = components(links(nodes.select("node", "fp", *bits), WORD_BITS, piece, SHINGLE_BITS))
+    roots = components(links(nodes.select("node", "fp", *bits), WORD_BITS, piece, SHINGLE_BITS, WORD_RUN, 2))
     least = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("component")).agg(F.min("best").alias("best"))
     kept = fps.join(least.select("best.rid"), "rid", "left_semi")
     return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
