@@ -420,3 +420,49 @@ def test_archive_members_are_partitions(spark, tmp_path):
     assert len(got) == 62 and {(r.value.cik, r.value.name) for r in got if r.member != "odd.json"} == {(i, f"{a} {i} é") for a in ("one", "two") for i in range(30)}
     assert all(r.value is None or r.value.cik is None for r in got if r.member == "odd.json")
     assert archives.read_members(spark, paths[2:], "cik long").count() == 0
+
+
+def test_decision_ladder(spark):
+    from tidemark.operators import decision
+
+    schema = "id int, raw_direction string, immediate_score double, known boolean, individual_score double, group_score double, slow_decline_score double, score double, top_state string, top_raw_state string, sources array<string>"
+    calm = (10.0, True, 5.0, 5.0, 5.0, 5.0)
+    rows = [
+        (1, "up", 70.0, False, None, None, None, None, None, None, None),
+        (2, "up", *calm, "confirmed", "confirmed", ["group"]),
+        (3, "up", 40.0, True, None, 60.0, None, 0.0, "low", "low", ["group"]),
+        (4, "up", 39.0, True, None, 60.0, None, 0.0, "low", "low", ["group"]),
+        (5, "down", 0.0, True, 30.0, None, None, 0.0, "low", "low", []),
+        (6, "up", *calm, "fading", "low", []),
+        (7, "up", 0.0, True, 20.0, None, None, 90.0, "low", "low", ["individual"]),
+        (8, "up", 0.0, True, None, None, None, 30.0, "low", "low", []),
+        (9, "up", 0.0, True, 0.0, None, 49.0, 90.0, "low", "low", ["x"]),
+        (10, "up", None, False, 99.0, None, None, 99.0, "confirmed", "confirmed", ["x"]),
+        (11, "unavailable", 99.0, True, 99.0, None, None, 99.0, "low", "low", ["x"]),
+        (12, "neutral", 0.0, True, None, None, 70.0, 0.0, "confirmed", "high", []),
+    ]
+    got = {r.id: (r.risk_state, r.final_direction, r.action, ",".join(r.reasons)) for r in decision.decide(spark.createDataFrame(rows, schema)).collect()}
+    assert got[1] == ("confirmed", "down", "override_to_down", "immediate_bearish_confirmation")
+    assert got[2] == ("confirmed", "down", "override_to_down", "high_level_distribution_risk,high_level_structure_damage_confirmation,group_bearish_risk")
+    assert got[3] == ("confirmed", "down", "override_to_down", "persistent_bearish_risk,persistent_immediate_confluence,group_bearish_risk")
+    assert got[4] == ("high", "neutral", "downgrade_to_neutral", "persistent_bearish_risk,group_bearish_risk")
+    assert got[5] == ("high", "down", "retain", "persistent_bearish_risk")
+    assert got[6] == ("high", "neutral", "downgrade_to_neutral", "high_level_distribution_risk")
+    assert got[7] == ("watch", "up", "retain", "persistent_bearish_risk,individual_bearish_risk")
+    assert got[8][0] == "high" and got[9] == ("low", "up", "retain", "")
+    assert got[10] == ("unavailable", "up", "retain", "") and got[11] == (None, "unavailable", "retain", "")
+    assert got[12] == ("high", "neutral", "retain", "persistent_bearish_risk")
+    with pytest.raises(ValueError, match="out of order"):
+        decision.Policy(watch=50.0)
+
+
+def test_trailing_windows(spark):
+    minute = 60_000_000_000
+    rows = [("s", i * minute, i, 10.0 + i, 2.0, d) for i, d in enumerate(("buy", "sell", "unknown", "buy"))] + [("t", 0, 1, 1.0, 1.0, "unknown"), ("u", S.DAY - 1, 1, 1.0, 1.0, "buy"), ("u", S.DAY + 1, 2, 2.0, 5.0, "sell")]
+    df = spark.createDataFrame(rows, "symbol string, ns long, event_id long, price double, size double, direction string")
+    got = {r.symbol: r for r in S.trailing(df, 2).collect()}
+    assert (got["s"].trades, got["s"].open, got["s"].close, got["s"].volume, got["s"].delta, got["s"].pressure) == (3, 11.0, 13.0, 6.0, 0.0, 0.0)
+    assert got["s"].coverage == pytest.approx(4 / 6) and got["t"].pressure is None and got["t"].coverage == 0.0
+    assert got["u"].trades == 1 and got["u"].pressure == -100.0  # the day before has no part
+    with pytest.raises(ValueError, match="minutes"):
+        S.trailing(df, 391)

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators import assignments, factors, folds, frozen, order, scenarios, state, tails
+from tidemark.operators import assignments, decision, factors, folds, frozen, order, scenarios, state, tails
 from tidemark.operators import layers as L
 from tidemark.plans import layered, relational, stateful
 from tidemark.sources import bars as B
 from tidemark.sources import batches, storage
-from tidemark.streaming import processors
+from tidemark.streaming import processors, trades
 
 Q = relational.duck_sql
 SHARES = [0.1, 0.5, 0.9]
@@ -259,12 +259,57 @@ A35_PATHS_SQL = Q(
 )
 
 
+#: What the decision reads, made of features by rule.
+_DECIDED = """SELECT ticker, session, CASE WHEN chg_20 IS NULL THEN 'unavailable' WHEN chg_20 > 0.01 THEN 'up' WHEN chg_20 < -0.01 THEN 'down' ELSE 'neutral' END AS raw_direction,
+  CASE WHEN distribution THEN 25D ELSE 0D END + CASE WHEN close < sma20 THEN 20D ELSE 0D END + CASE WHEN vr >= 1.5 THEN 20D ELSE 0D END + CASE WHEN cl <= -0.6 THEN 10D ELSE 0D END AS immediate_score, pos > 30 AS known,
+  CASE WHEN chg_5 IS NOT NULL THEN least(100D, greatest(0D, -60 * chg_5)) END AS individual_score, CASE WHEN rel_20 IS NOT NULL AND pos % 3 > 0 THEN least(100D, greatest(0D, -90 * rel_20)) END AS group_score,
+  CASE WHEN chg_60 IS NOT NULL AND pos % 4 > 0 THEN least(100D, greatest(0D, -100 * chg_60)) END AS slow_decline_score, CASE WHEN vr IS NULL THEN 0D ELSE least(100D, 15 * vr) END AS score,
+  CASE WHEN off_high >= -0.2 AND distribution_10 >= 2 THEN 'confirmed' WHEN off_high >= -0.2 AND distribution_5 >= 1 THEN 'fading' ELSE 'low' END AS top_state, CASE WHEN ret < 0 THEN 'confirmed' ELSE 'high' END AS top_raw_state FROM $features"""
+
+
+def p21b_decision_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six steps of the ladder over scores made of features."""
+    rows = relational.spark_sql(spark, sf_dir, _DECIDED)
+    names = F.array_compact(F.array(*(F.when(F.col(f"{n}_score") >= low, n) for n, low in (("individual", 20), ("group", 40), ("slow_decline", 50)))))
+    got = decision.decide(rows.withColumn("sources", names))
+    return got.select("ticker", F.col("session").cast("string").alias("session"), "raw_direction", "risk_state", "final_direction", "action", F.array_join("reasons", ",").alias("reasons"))
+
+
+P21B_SQL = Q(
+    f"WITH d AS ({_DECIDED}), "
+    "l AS (SELECT *, CASE WHEN NOT known THEN 'unavailable' WHEN individual_score IS NULL AND group_score IS NULL AND slow_decline_score IS NULL THEN CASE WHEN score >= 30 THEN 'high' WHEN score >= 20 THEN 'watch' ELSE 'low' END "
+    "WHEN individual_score >= 30 OR group_score >= 60 OR slow_decline_score >= 70 THEN 'high' WHEN individual_score >= 20 OR group_score >= 40 OR slow_decline_score >= 50 THEN 'watch' ELSE 'low' END AS lv FROM d), "
+    "s AS (SELECT *, CASE WHEN immediate_score >= 70 THEN 1 WHEN known AND top_state = 'confirmed' AND top_raw_state = 'confirmed' THEN 2 WHEN lv = 'high' AND immediate_score >= 40 THEN 3 WHEN lv = 'high' THEN 4 WHEN known AND top_state IN ('confirmed', 'fading', 'high') THEN 5 WHEN lv = 'watch' THEN 6 ELSE 7 END AS k FROM l), "
+    "f AS (SELECT *, CASE WHEN k <= 3 THEN 'down' WHEN k <= 5 AND raw_direction = 'up' THEN 'neutral' ELSE raw_direction END AS fd, concat_ws(',', CASE k WHEN 1 THEN 'immediate_bearish_confirmation' WHEN 2 THEN 'high_level_distribution_risk,high_level_structure_damage_confirmation' WHEN 3 THEN 'persistent_bearish_risk,persistent_immediate_confluence' WHEN 4 THEN 'persistent_bearish_risk' WHEN 5 THEN 'high_level_distribution_risk' WHEN 6 THEN 'persistent_bearish_risk' END, "
+    "CASE WHEN k <= 6 AND known AND individual_score >= 20 THEN 'individual_bearish_risk' END, CASE WHEN k <= 6 AND known AND group_score >= 40 THEN 'group_bearish_risk' END, CASE WHEN k <= 6 AND known AND slow_decline_score >= 50 THEN 'slow_decline_bearish_risk' END) AS why FROM s) "
+    "SELECT ticker, CAST(session AS STRING) AS session, raw_direction, CASE WHEN raw_direction = 'unavailable' THEN NULL WHEN k <= 3 THEN 'confirmed' WHEN k <= 5 THEN 'high' WHEN k = 6 THEN 'watch' WHEN known THEN 'low' ELSE 'unavailable' END AS risk_state, CASE WHEN raw_direction = 'unavailable' THEN raw_direction ELSE fd END AS final_direction, "
+    "CASE WHEN raw_direction = 'unavailable' OR fd = raw_direction THEN 'retain' WHEN fd = 'neutral' THEN 'downgrade_to_neutral' ELSE 'override_to_down' END AS action, CASE WHEN raw_direction = 'unavailable' THEN '' ELSE why END AS reasons FROM f"
+)
+
+
+def r06b_trailing_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of five minutes, an hour and a trading day up to each symbol's newest trade, with volumes by direction."""
+    directed = storage.cut(trades.directions(B.market_events(spark, sf_dir), 3_600_000_000_000))
+    parts = [trades.trailing(directed, m).withColumn("minutes", F.lit(m).cast("long")) for m in (5, 60, 390)]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.select("symbol", "minutes", "trades", "open", "high", "low", "close", "volume", "buy_volume", "sell_volume", "unknown_volume", "delta", F.round("pressure", 4).alias("pressure"), F.round("coverage", 6).alias("coverage"))
+
+
+R06B_SQL = f"""
+WITH d AS ({stateful.R02_SQL}), t AS (SELECT e.symbol, e.event_id, e.ns, e.price, e.size::DOUBLE AS size, d.direction FROM ({B.MARKET_EVENTS_SQL}) e JOIN d ON d.symbol = e.symbol AND d.event_id = e.event_id WHERE e.kind = 'trade'),
+n AS (SELECT symbol, max(ns) AS newest FROM t GROUP BY symbol),
+r AS (SELECT t.*, minutes FROM t JOIN n USING (symbol) JOIN (SELECT unnest([5, 60, 390])::BIGINT AS minutes) m ON ns >= newest - minutes * 60000000000 WHERE ns // 86400000000000 = newest // 86400000000000),
+a AS (SELECT symbol, minutes, count(*) AS trades, arg_min(price, (ns, event_id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ns, event_id)) AS close, sum(size) AS volume,
+  coalesce(sum(size) FILTER (direction = 'buy'), 0) AS buy_volume, coalesce(sum(size) FILTER (direction = 'sell'), 0) AS sell_volume, coalesce(sum(size) FILTER (direction = 'unknown'), 0) AS unknown_volume FROM r GROUP BY symbol, minutes)
+SELECT *, buy_volume - sell_volume AS delta, round(100 * (buy_volume - sell_volume) / nullif(buy_volume + sell_volume, 0), 4) AS pressure, round((buy_volume + sell_volume) / nullif(volume, 0), 6) AS coverage FROM a"""
+
+
 def r04b_effective_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The effective trades again, by a stream of the events in several batches in any order, through state and retractions."""
     events = stateful._numbered(B.market_events(spark, sf_dir))
-    trades = events.where("kind = 'trade'").select(F.col("symbol").cast("string").alias("symbol"), "kind", "event_id", F.lit(None).cast("long").alias("old_id"), F.lit(None).cast("long").alias("new_id"), "ns", "price", F.col("size").cast("double").alias("size"))
+    own = events.where("kind = 'trade'").select(F.col("symbol").cast("string").alias("symbol"), "kind", "event_id", F.lit(None).cast("long").alias("old_id"), F.lit(None).cast("long").alias("new_id"), "ns", "price", F.col("size").cast("double").alias("size"))
     changes = stateful._changes(events).select(F.col("symbol").cast("string").alias("symbol"), F.when(F.col("new_id").isNull(), "cancel").otherwise("correction").alias("kind"), F.lit(None).cast("long").alias("event_id"), "old_id", "new_id", F.lit(0).cast("long").alias("ns"), "price", F.lit(0.0).alias("size"))
-    log = streamed(trades.unionByName(changes).repartition(4, F.xxhash64("event_id", "old_id")), processors.effective_stream, "effective")
+    log = streamed(own.unionByName(changes).repartition(4, F.xxhash64("event_id", "old_id")), processors.effective_stream, "effective")
     now = processors.effective_now(log)
     return now.select(F.col("symbol").cast("long").alias("symbol"), "event_id", "price", F.col("replaced_by").cast("double").alias("replaced_by"))
 
@@ -314,6 +359,8 @@ QUERIES = {
     "m11_frozen_scores": m11_frozen_scores,
     "a35_scenario_bands": a35_scenario_bands,
     "a35_scenario_paths": a35_scenario_paths,
+    "p21b_decision_policy": p21b_decision_policy,
+    "r06b_trailing_windows": r06b_trailing_windows,
     "r04b_effective_stream": r04b_effective_stream,
     "r12b_liveness_stream": r12b_liveness_stream,
     "k01b_stream_upsert": k01b_stream_upsert,
@@ -327,6 +374,8 @@ ORACLE_SQL = {
     "m11_frozen_scores": _m11_sql(),
     "a35_scenario_bands": A35_SQL,
     "a35_scenario_paths": A35_PATHS_SQL,
+    "p21b_decision_policy": P21B_SQL,
+    "r06b_trailing_windows": R06B_SQL,
     "r04b_effective_stream": stateful.R04_SQL,
     "r12b_liveness_stream": R12B_SQL,
     "k01b_stream_upsert": stateful.K01_SQL,

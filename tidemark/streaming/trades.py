@@ -104,6 +104,26 @@ def minute_bars(trades: DataFrame, watermark: str | None = None) -> DataFrame:
     ).select("symbol", F.col("w.start").alias("minute"), "open", "high", "low", "close", "volume", "trades")
 
 
+def trailing(directed: DataFrame, minutes: int) -> DataFrame:
+    """A row for each symbol: its trades of the last minutes (1 to 390) up to its newest one, on that one's day only.
+
+    directed: as directions() gives them, with ns and event_id. Volumes by direction, their delta, the pressure 100 * (buy - sell) / (buy + sell), and the
+    share of the volume that has a direction. Sums and ends are added up before they are shuffled, so a busy symbol is no long group.
+    """
+    if not 1 <= minutes <= 390:
+        raise ValueError("minutes must be from 1 to 390")
+    newest = directed.groupBy("symbol").agg(F.max("ns").alias("__newest"))
+    rows = directed.join(newest, "symbol").where((F.col("ns") >= F.col("__newest") - minutes * 60_000_000_000) & (F.floor(F.col("ns") / DAY) == F.floor(F.col("__newest") / DAY)))
+    at = F.struct("ns", "event_id")
+    side = lambda name: F.sum(F.when(F.col("direction") == name, F.col("size").cast("double")).otherwise(0.0))
+    out = rows.groupBy("symbol").agg(
+        F.count("*").alias("trades"), F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"),
+        F.sum(F.col("size").cast("double")).alias("volume"), side("buy").alias("buy_volume"), side("sell").alias("sell_volume"), side("unknown").alias("unknown_volume"),
+    )
+    both = F.col("buy_volume") + F.col("sell_volume")
+    return out.select("*", (F.col("buy_volume") - F.col("sell_volume")).alias("delta"), (100 * F.try_divide(F.col("buy_volume") - F.col("sell_volume"), both)).alias("pressure"), F.try_divide(both, F.col("volume")).alias("coverage"))
+
+
 def event_key(by: tuple[str, ...] = ("symbol",)) -> Column:
     """What makes an event the same inside its kind and `by`: its id, or without one a hash of its fields and its exact time."""
     fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*by, "kind", "ns", "price", "size")]
