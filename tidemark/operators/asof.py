@@ -7,23 +7,30 @@ from pyspark.sql import functions as F
 
 
 def last_before(df: DataFrame, by: list[str], time: str, order: list[str], value: Column, name: str, span: int, include: bool = False) -> DataFrame:
-    """df with `name`: the last value that is not null in the rows before (with include, up to the row itself), along each key.
+    """df with `name`: the last value that is not null in the rows before (with include, up to the row itself), along each key."""
+    return lasts_before(df, by, time, order, {name: value}, span, include)
 
-    time is an integer and leads `order`. Time is cut into spans, so a busy key is many groups: a window inside each span,
-    and the last value of each span carried over the spans after it, of which there is one row for each key and span.
+
+def lasts_before(df: DataFrame, by: list[str], time: str, order: list[str], values: dict[str, Column], span: int, include: bool = False) -> DataFrame:
+    """df with a column for each of values: the last one that is not null in the rows before (with include, up to the row itself), along each key.
+
+    time is an integer and leads `order`. Time is cut into spans, so a busy key is many groups: one window inside each span for all
+    values, and the last values of each span carried over the spans after it, of which there is one row for each key and span.
     """
-    cut = df.withColumn("__span", F.floor(F.col(time) / span)).withColumn("__value", value)
+    names = list(values)
+    cut = df.withColumn("__span", F.floor(F.col(time) / span)).withColumns({f"__v{i}": values[n] for i, n in enumerate(names)})
     inside = Window.partitionBy(*by, "__span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if include else -1)
     at = F.struct(*order)
-    spans = cut.groupBy(*by, "__span").agg(F.max_by(F.struct("__value"), F.when(F.col("__value").isNotNull(), at)).alias("__last"))
+    known = [F.col(f"__v{i}").isNotNull() for i in range(len(names))]
+    spans = cut.groupBy(*by, "__span").agg(*(F.max_by(F.struct(f"__v{i}"), F.when(k, at)).alias(f"__l{i}") for i, k in enumerate(known)))
     earlier = Window.partitionBy(*by).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("__carried", F.last("__last", ignorenulls=True).over(earlier)).drop("__last")
-    out = cut.withColumn("__near", F.last(F.when(F.col("__value").isNotNull(), F.struct("__value")), ignorenulls=True).over(inside))
+    spans = spans.select(*by, "__span", *(F.last(f"__l{i}", ignorenulls=True).over(earlier).alias(f"__c{i}") for i in range(len(names))))
+    out = cut.select("*", *(F.last(F.when(k, F.struct(f"__v{i}")), ignorenulls=True).over(inside).alias(f"__n{i}") for i, k in enumerate(known)))
     same = F.col("c.__span") == F.col("s.__span")
     for k in by:
         same = same & F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}"))
     joined = out.alias("c").join(spans.alias("s"), same, "left")
-    return joined.select(*(F.col(f"c.{c}") for c in df.columns), F.coalesce(F.col("c.__near"), F.col("s.__carried"))["__value"].alias(name))
+    return joined.select(*(F.col(f"c.{c}") for c in df.columns), *(F.coalesce(F.col(f"c.__n{i}"), F.col(f"s.__c{i}"))[f"__v{i}"].alias(n) for i, n in enumerate(names)))
 
 
 def asof_backward(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str], max_age: int | None = None, span: int | None = None) -> DataFrame:

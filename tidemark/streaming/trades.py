@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import asof_backward, last_before
+from tidemark.operators.asof import lasts_before
 from tidemark.sources.storage import cut
 
 #: Nanoseconds of a day.
@@ -46,11 +46,15 @@ def normalise(raw: DataFrame) -> DataFrame:
 
 
 def directions(events: DataFrame, max_age_ns: int = 5_000_000_000) -> DataFrame:
-    """Each trade as buy, sell or unknown: against the last quote if young enough, else by the tick before. A task sorts a symbol's day."""
-    trades = events.where("kind = 'trade'").select("symbol", "ns", "event_id", "price", "size")
-    quotes = events.where("kind = 'quote'").select("symbol", "ns", F.col("price").alias("mid"), F.col("event_id").alias("quote_id"))
-    joined = asof_backward(trades, quotes, ["symbol"], "ns", ["mid", "quote_id"], max_age_ns, DAY)
-    joined = last_before(joined, ["symbol"], "ns", ["ns", "event_id"], F.col("price"), "before", DAY)
+    """Each trade as buy, sell or unknown: against the last quote if young enough, else by the tick before.
+
+    Quotes and trades go through one window, quotes of an instant before its trades; a task sorts a symbol's day.
+    """
+    quote = F.col("kind") == "quote"
+    rows = events.where("kind IN ('trade', 'quote')").select("symbol", "ns", F.when(quote, 0).otherwise(1).alias("__side"), "event_id", "price", "size")
+    quoted = {"__quote": F.when(F.col("__side") == 0, F.struct("price", "ns")), "before": F.when(F.col("__side") == 1, F.col("price"))}
+    joined = lasts_before(rows, ["symbol"], "ns", ["ns", "__side", "event_id"], quoted, DAY).where("__side = 1")
+    joined = joined.withColumn("mid", F.when(F.col("ns") - F.col("__quote.ns") <= max_age_ns, F.col("__quote.price")))
     before = F.col("before")
     side = F.when(F.col("mid").isNotNull() & (F.col("price") > F.col("mid")), "buy").when(F.col("mid").isNotNull() & (F.col("price") < F.col("mid")), "sell")
     side = side.when(F.col("price") > before, "buy").when(F.col("price") < before, "sell").otherwise("unknown")
