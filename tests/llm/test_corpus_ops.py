@@ -738,6 +738,32 @@ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
     assert {r[0]: r.licenses for r in got.select("doc_id", "licenses").collect()} == {i: x for i, (_, x) in enumerate(cases)}
 
 
+def test_licenses_in_expressions_and_continued_sentences(spark):
+    cases = [
+        ("// SPDX-License-Identifier: Apache-2.0 OR MIT\nint x;", "Apache-2.0,MIT"),
+        ("# SPDX-License-Identifier: (GPL-2.0-or-later AND MIT)", "GPL-2.0-or-later,MIT"),
+        ("/* SPDX-License-Identifier: MIT OR Apache-2.0 OR BSD-3-Clause */", "Apache-2.0,BSD-3-Clause,MIT"),
+        ("SPDX-License-Identifier: GPL-3.0-or-later WITH GCC-exception-3.1", "GPL-3.0-or-later"),
+        ("This project is licensed under the MIT License - see the LICENSE file for details.", "MIT"),
+        ("This project is licensed under the MIT License - see the [LICENSE.md](LICENSE.md) file for details", "MIT"),
+        ("The software is released under the terms of the MIT license, see LICENSE.txt.", "MIT"),
+        ("This library is licensed under the Apache License, Version 2.0 (see LICENSE for details).", "Apache-2.0"),
+        ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "ISC"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"),
+        ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"),
+        ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.", "Apache-2.0"),
+        ("We think that this project is under no licence; see the file.", ""),
+    ]
+    got = licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.licenses for r in got} == {i: licence for i, (_, licence) in enumerate(cases)}
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(cases)), "text": [t for t, _ in cases]}))
+    assert {r[0]: r[3] for r in con.execute(licenses.OP2_SQL).fetchall()} == {i: licence for i, (_, licence) in enumerate(cases)}
+
+
 def test_licenses_find_published_notices(spark):
     forms = (lambda t: t, lambda t: " ".join(t.split()), lambda t: "\n".join(f"# {x}".rstrip() for x in t.split("\n")))
     cases = [(f(t), licence) for licence, t in NOTICES.items() for f in forms]

@@ -88,6 +88,23 @@ SENTENCES: dict[str, str] = {
     "zlib.warranty": "this software is provided as is without any express or implied warranty",
     "zlib.liability": "in no event will the authors be held liable for any damages arising from the use of this software",
     "zlib.grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "isc.grant2": "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "cc.by-nc-sa": "licensed under cc by nc sa 4.0",
+    "cc.by-nd": "licensed under cc by nd 4.0",
+    "cc.by-nc-nd": "licensed under cc by nc nd 4.0",
+    "cc.work-by-nc": "this work is licensed under a creative commons attribution noncommercial 4.0 international license",
+    "cc.work-by-nc-sa": "this work is licensed under a creative commons attribution noncommercial sharealike 4.0 international license",
+    "cc.work-by-nd": "this work is licensed under a creative commons attribution noderivatives 4.0 international license",
+    "apache.title": "apache license",
+    "apache.version": "version 2.0 january 2004",
+    "apache.terms": "terms and conditions for use reproduction and distribution",
+    "apache.licensed3": "licensed under the apache license 2.0",
+    "apache.licensed4": "licensed under the apache 2.0 license",
+    "apache.released": "released under the apache license version 2.0",
+    "bsd.licensed3": "licensed under the bsd 3 clause license",
+    "bsd.licensed2": "licensed under the bsd 2 clause license",
+    "isc.licensed": "licensed under the isc license",
+    "mpl.licensed": "licensed under the mozilla public license 2.0",
     "rights": "all rights reserved",
 }
 
@@ -173,6 +190,25 @@ RULES: list[tuple[str, str, tuple[str, ...]]] = [
     ("epl-licensed", "EPL-2.0", ("epl.licensed",)),
     ("bsl-distributed", "BSL-1.0", ("bsl.distributed",)),
     ("zlib-grant", "Zlib", ("zlib.grant",)),
+    ("isc-text2", "ISC", ("isc.grant2", "isc.warranty", "isc.liability")),
+    ("isc-grant2", "ISC", ("isc.grant2",)),
+    ("cc-by-nc-sa", "CC-BY-NC-SA-4.0", ("cc.by-nc-sa",)),
+    ("cc-by-nd", "CC-BY-ND-4.0", ("cc.by-nd",)),
+    ("cc-by-nc-nd", "CC-BY-NC-ND-4.0", ("cc.by-nc-nd",)),
+    ("cc-work-by-nc", "CC-BY-NC-4.0", ("cc.work-by-nc",)),
+    ("cc-work-by-nc-sa", "CC-BY-NC-SA-4.0", ("cc.work-by-nc-sa",)),
+    ("cc-work-by-nd", "CC-BY-ND-4.0", ("cc.work-by-nd",)),
+    ("apache-text", "Apache-2.0", ("apache.title", "apache.version")),
+    ("apache-version", "Apache-2.0", ("apache.version",)),
+    ("apache-terms", "Apache-2.0", ("apache.terms",)),
+    ("apache-licensed3", "Apache-2.0", ("apache.licensed3",)),
+    ("apache-licensed4", "Apache-2.0", ("apache.licensed4",)),
+    ("apache-released", "Apache-2.0", ("apache.released",)),
+    ("apache-title", "Apache-2.0", ("apache.title",)),
+    ("bsd-licensed3", "BSD-3-Clause", ("bsd.licensed3",)),
+    ("bsd-licensed2", "BSD-2-Clause", ("bsd.licensed2",)),
+    ("isc-licensed", "ISC", ("isc.licensed",)),
+    ("mpl-licensed", "MPL-2.0", ("mpl.licensed",)),
     ("rights", "All-rights-reserved", ("rights",)),
 ]
 RULES[-1:-1] = [(f"spdx-{x.lower()}", x, (f"spdx.{x.lower()}",)) for x in LISTED]
@@ -181,12 +217,24 @@ RULES[-1:-1] = [(f"spdx-{x.lower()}", x, (f"spdx.{x.lower()}",)) for x in LISTED
 GAP = 2
 
 # Each known sentence has one of these inside a word, so a text without any of them has none.
-CUES = ("licen", "permission", "copyright", "redistribution", "warrant", "rights", "software", "domain", "mpl", "cc0")
+CUES = ("licen", "permission", "copyright", "redistribution", "warrant", "rights", "software", "domain", "mpl", "cc0", "january 2004", "terms and conditions")
 assert all(any(c in s for c in CUES) for s in SENTENCES.values())
 
 END, NOISE, BREAK = r"[.;!?]+([ \t\r\n]+|$)", r"[^a-z0-9.\n]+", r" *\n[ \n]*"
 
 
+#: What is made plain before sentences are cut, in order, as (pattern, replacement) with \1 for a group: who is licensed, where the text is said to
+#: lie, and each operand of a tag's expression as a tag of its own (an exception behind `with` leaves its licence).
+PLAIN = [
+    (r"\b(?:this|the) (?:project|software|library|code|package|program|repository|module) is (licensed|released|distributed) under", r"\1 under"),
+    (r"\bunder the terms of the (mit|apache|bsd|isc|mozilla) ", r"under the \1 "),
+    (r"(licen[sc]e(?:,?[ \t]+version[ \t]+[0-9.]*[0-9])?)[ \t]*(?:[-,(]+[ \t]*)?see (?:the )?(?:file )?\[?(?:licen[sc]e|copying)(?:\.md|\.txt)?\]?(?:\([a-z./]*\))?(?: file)?(?: for (?:more |further )?(?:details|information))?\)?", r"\1"),
+    (r"spdx-license-identifier:[ \t]*\(?([a-z0-9.+-]+)\)?[ \t]+(?:or|and)[ \t]+\(?([a-z0-9.+-]+)\)?[ \t]+(?:or|and)[ \t]+\(?([a-z0-9.+-]+)\)?", "spdx-license-identifier: \\1\nspdx-license-identifier: \\2\nspdx-license-identifier: \\3"),
+    (r"spdx-license-identifier:[ \t]*\(?([a-z0-9.+-]+)\)?[ \t]+(?:or|and)[ \t]+\(?([a-z0-9.+-]+)\)?", "spdx-license-identifier: \\1\nspdx-license-identifier: \\2"),
+    (r"(spdx-license-identifier:[ \t]*[a-z0-9.+-]+)[ \t]+with[ \t]+[a-z0-9.-]+", r"\1"),
+]
+
+
 def _token(identifier: str) -> str:
     return f"<{identifier.replace('.', ':')}>"
 
@@ -200,6 +248,8 @@ def normalised(lower: Column, wrapped: bool) -> Column:
     if wrapped:
         out = F.regexp_replace(out, r"[ \t\r]*\n[ \t\r]*\n[ \t\r\n]*", "; ")
         out = F.regexp_replace(out, r"\n", " ")
+    for pattern, plain in PLAIN:
+        out = F.regexp_replace(out, pattern, plain.replace("\\", "$"))
     out = F.regexp_replace(out, END, "\n")
     return F.btrim(F.regexp_replace(F.regexp_replace(out, NOISE, " "), BREAK, "\n"), F.lit(" \n"))
 
@@ -257,6 +307,11 @@ def _sql() -> str:
     def lit(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
+    def made_plain(x: str) -> str:
+        for pattern, plain in PLAIN:
+            x = f"regexp_replace({x}, {lit(pattern)}, {lit(plain)}, 'g')"
+        return x
+
     words = ", ".join(f"({lit(s)}, {lit(_token(i))})" for i, s in SENTENCES.items())
     norm = r"trim(regexp_replace(regexp_replace(regexp_replace({x}, '[.;!?]+([ \t\r\n]+|$)', chr(10), 'g'), '[^a-z0-9.\n]+', ' ', 'g'), ' *\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
     wrapped = r"replace(regexp_replace(lower(text), '[ \t\r]*\n[ \t\r]*\n[ \t\r\n]*', '; ', 'g'), chr(10), ' ')"
@@ -267,8 +322,8 @@ def _sql() -> str:
     return f"""
 WITH dict(sentence, token) AS (VALUES {words}), rule(k, name, licence) AS (VALUES {rules}),
 lines AS (
-  SELECT doc_id, 'a' AS way, {norm.format(x="lower(text)")} AS norm FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
-  UNION ALL SELECT doc_id, 'b', {norm.format(x=wrapped)} FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+  SELECT doc_id, 'a' AS way, {norm.format(x=made_plain("lower(text)"))} AS norm FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+  UNION ALL SELECT doc_id, 'b', {norm.format(x=made_plain(wrapped))} FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
 ), sentences AS (
   SELECT doc_id, way, generate_subscripts(s, 1) AS i, unnest(s) AS sentence FROM (SELECT doc_id, way, string_split(norm, chr(10)) AS s FROM lines)
 ), tokens AS (

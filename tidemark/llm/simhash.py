@@ -308,14 +308,18 @@ def links(reps: DataFrame, distance: int, piece: int = PIECE, limit: int = 0, ru
     if not 0 <= distance <= 12:
         raise ValueError("distance must be from 0 to 12")
     rest = ["node", *(c for c in reps.columns if c not in ("node", "fp"))]
-    rows = tables(reps.select("fp", *rest), *layout(distance, reps.count(), RUN if run is None else run, least))
+    n = reps.count()
+    blocks, more, key_bits = layout(distance, n, RUN if run is None else run, least)
+    rows = tables(reps.select("fp", *rest), blocks, more, key_bits)
     long = materialize(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > piece).select("t", "key"), "long")
     dealt = rows.join(long, ["t", "key"], "left_anti").select("t", "key", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("side"), "gray", *rest)
     if not long.isEmpty():
         dealt = dealt.unionByName(_pieces(rows.join(long, ["t", "key"], "left_semi"), rest, distance, piece))
     order = ["t", "key", "a", "b", "side"]
     up = F.col("gray").bitwiseXOR(F.lit(-(1 << 63)))
-    met = dealt.repartition("t", "key", "a", "b").sortWithinPartitions(*order, up)
+    # Few bytes are much work here, so the number of parts follows the rows and isn't cut by their size.
+    parts = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * math.comb(len(blocks), more) // (16 * PIECE))
+    met = dealt.repartition(parts, "t", "key", "a", "b").sortWithinPartitions(*order, up)
     return met.mapInArrow(_search(distance, limit, len(rest) - 1), "u long, v long")
 
 
