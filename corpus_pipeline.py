@@ -14,27 +14,46 @@ from tidemark.llm.common import materialize
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a quality rule rejects go."""
+    """Documents that a quality rule rejects go.
+
+    A null or empty text has no words, so it goes. Texts are measured whole; repeated rows are judged each by itself; columns may have
+    any names; an empty table gives none.
+    """
     return quality_rules.keep_good(docs)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents far less likely than trusted text of their language go."""
+    """Documents far less likely than trusted text of their language go.
+
+    A null or empty text has no symbols and goes; a language without trusted text has no model and keeps its other texts, and a null language
+    counts as one. Labels with null ids or marks train nothing. Long texts are scored whole, repeated rows
+    each by itself; an empty table gives none.
+    """
     return kneser_ney.keep_likely(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: the least doc_id, a null one last.
+
+    Of repeated rows one stays; null and empty texts are copies of each other; ties in doc_id are broken by row. An empty table gives none.
+    """
     return simhash.keep_one(docs)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go.
+
+    Null and empty texts hold none; null and empty items match nothing, an item with a null id counts. Texts are searched whole, repeated rows
+    each by itself; without a benchmark all stay.
+    """
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in place of the text, and the digest of what they decode to."""
+    """Token ids in place of the text, and the digest of what they decode to.
+
+    A null text counts as empty and has no ids. Texts are encoded whole; repeated rows have a row each; an empty table gives none.
+    """
     coded = bpe_trie.encode_docs(docs.select("doc_id", "lang", "source", "text"), bpe_trie.vocabulary("byte_bpe_50k.json"))
     n = F.expr("octet_length(ids) div 4").cast("long")
     return coded.select("doc_id", "lang", "source", n.alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
