@@ -34,8 +34,10 @@ HIGH = 0.99
 CENTRE_WEIGHT, FENCE_WEIGHT = 5, 20
 #: Log perplexities nearer than this are equal.
 ROUNDING = 1e-9
-#: Trusted documents that the counts come from, about, chosen for each language by the hash of their doc_id.
+#: Documents that training_ids() chooses, about.
 TRAINING = 20_000
+#: Doc_ids of trusted documents that may go to every task.
+BROADCAST_IDS = 1_000_000
 #: N-grams with their probabilities (16 bytes each) that may go to every task.
 TABLE_ROWS = 3_000_000
 BLOCK_CHARS, CHUNK = 8 << 20, 1 << 20
@@ -86,23 +88,30 @@ def _texts(batches: Iterator[pa.RecordBatch], numbers: dict[str, int]) -> Iterat
         yield ids, np.array(langs), np.array([len(t) for t in texts]), np.concatenate(texts)
 
 
-def count_grams(docs: DataFrame, numbers: dict[str, int], training: list[int]) -> DataFrame:
-    """g and n: every n-gram of docs, and how often the training documents have it (0 if never)."""
+def _tally(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the sum of n of each."""
+    codes, found = pd.factorize(keys)
+    return found, np.bincount(codes, n, len(found)).astype(np.int64)
+
+
+def count_grams(docs: DataFrame, numbers: dict[str, int], training: DataFrame) -> DataFrame:
+    """g and n: every n-gram of docs, and how often the documents of training (distinct doc_ids) have it (0 if never).
+
+    Few doc_ids go to all tasks; over BROADCAST_IDS of them the texts are dealt by doc_id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = set(training)
-        for ids, langs, lengths, symbols in _texts(batches, numbers):
-            used = np.array([i in wanted for i in ids])
-            met, counted = [], []
-            for doc, to, keys in grams_of(symbols, lengths, langs):
-                met.append(pd.unique(keys))
-                counted.append(keys[np.repeat(used[doc:to], lengths[doc:to])])
-            g, n = np.unique(np.concatenate(counted), return_counts=True)
-            rest = np.setdiff1d(pd.unique(np.concatenate(met)), g, assume_unique=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g, rest])), pa.array(np.concatenate([n, np.zeros(len(rest), np.int64)]))], ["g", "n"])
+        for used, langs, lengths, symbols in _texts(batches, numbers):
+            used = np.array(used, bool)
+            # Summed up chunk by chunk, so that a block holds each n-gram once for each of its chunks.
+            parts = [_tally(keys, np.repeat(used[doc:to], lengths[doc:to])) for doc, to, keys in grams_of(symbols, lengths, langs)]
+            g, n = _tally(*(np.concatenate(x) for x in zip(*parts)))
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], ["g", "n"])
 
-    rows = docs.select("doc_id", "lang", "text").mapInArrow(run, "g long, n long")
-    return materialize(rows.groupBy("g").agg(F.sum("n").alias("n")), "grams")
+    marks = training.select("doc_id", F.lit(True).alias("used"))
+    marks = F.broadcast(marks) if training.count() <= BROADCAST_IDS else marks
+    rows = docs.select("doc_id", "lang", "text").join(marks, "doc_id", "left").select(F.coalesce("used", F.lit(False)).alias("used"), "lang", "text")
+    return materialize(rows.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")), "grams")
 
 
 def read_blocks(docs: DataFrame, numbers: dict[str, int]) -> DataFrame:
@@ -139,7 +148,7 @@ def level(sizes: list[int], room: int) -> int:
 
 
 def training_ids(trusted: DataFrame, docs: DataFrame, numbers: dict[str, int]) -> list[int]:
-    """doc_ids to count from: all of them up to TRAINING, else about as many, by their hash. They fit on the driver.
+    """About TRAINING trusted doc_ids by their hash, or all if they are fewer. For looking at a model by hand: judged() counts all trusted documents.
 
     The room is dealt out by language: one with few documents keeps them all, the others share the rest alike.
     """
@@ -260,7 +269,8 @@ def perplexities(docs: DataFrame, labels: DataFrame, carry: list[str]) -> DataFr
     """
     seen = docs.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n"))
     numbers = {r["lang"]: i + 1 for i, r in enumerate(seen.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())}
-    counts = count_grams(docs, numbers, training_ids(trusted_ids(labels), docs, numbers))
+    training = materialize(trusted_ids(labels).where("NOT calibrates").select("doc_id"), "training")
+    counts = count_grams(docs, numbers, training)
     known = probabilities(counts.select("g"), counts.where("n > 0"))
     kept = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]
     kinds = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)]
