@@ -7,6 +7,7 @@ a call reads only what it needs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,18 +19,40 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 CHANGES = "symbol string, event_id long, version long, op string, ns long, price double, size double, replaced_by long"
 
 
+#: Parts that symbols are dealt to; a stream's state keeps its number.
+PARTS = 256
+#: Neighbouring ids that share an entry of the state.
+PAGE = 64
+ENTRIES = "ids array<long>, ns array<long>, price array<double>, size array<double>, shown array<string>, linked array<boolean>, new_id array<long>, new_price array<double>, back array<array<long>>"
+
+
+@dataclass
+class _Entry:
+    """What is known of an id, in the order of ENTRIES. shown: what the log says of it, null if it is no trade's."""
+
+    ns: int | None = None
+    price: float | None = None
+    size: float | None = None
+    shown: str | None = None
+    linked: bool = False
+    new_id: int | None = None
+    new_price: float | None = None
+    back: list[int] | None = None
+
+
 def _integer(x) -> int | None:
     return None if x is None or x != x else int(x)
 
 
 class EffectiveTrades(StatefulProcessor):
-    """Trades, corrections and cancels of a symbol, in any order, to a log of what its trades are now.
+    """Trades, corrections and cancels of symbols, in any order, to a log of what their trades are now.
 
-    Input columns: kind (trade, correction, cancel), event_id of a trade, old_id and new_id of a change, ns, price, size. Links lead from
+    The key is a part of the symbols, so that a call is not for a handful of rows; ids count inside their symbol. Input columns: symbol, kind (trade, correction, cancel), event_id of a trade, old_id and new_id of a change, ns, price, size. Links lead from
     an id to its replacement; `back` leads from an id to those it replaces, so a change touches only the trades whose
     chain it is in. A change that comes before its trade waits in the links. Of several changes of one id the
-    greatest new_id counts, and a cancel only where nothing replaces the id. ttl_ms: after so long without an update an
-    entry is forgotten; None keeps all.
+    greatest new_id counts, and a cancel only where nothing replaces the id. State is held by pages of PAGE neighbouring ids of a symbol:
+    for each batch of rows a page that is needed is read once and one that was changed is written once, however many of its ids are
+    met. Versions count along a part. ttl_ms: after so long without an update a page is forgotten; None keeps all.
     """
 
     def __init__(self, ttl_ms: int | None = None):
@@ -37,76 +60,105 @@ class EffectiveTrades(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         kept = {"ttlDurationMs": self.ttl} if self.ttl else {}
-        self.trades = handle.getMapState("trades", "id long", "ns long, price double, size double, shown string", **kept)
-        self.links = handle.getMapState("links", "id long", "new_id long, price double", **kept)
-        self.back = handle.getMapState("back", "id long", "ids array<long>", **kept)
+        self.pages = handle.getMapState("pages", "symbol string, page long", ENTRIES, **kept)
         self.version = handle.getValueState("version", "n long")
 
-    def _end(self, root: int) -> tuple[bool, float | None, int | None]:
+    def _page(self, symbol: str | None, at: int) -> dict[int, _Entry]:
+        page = symbol, at // PAGE
+        if page not in self.held:
+            found = self.pages.getValue(page)
+            self.held[page] = {} if found is None else {i: _Entry(*values) for i, *values in zip(*found)}
+        return self.held[page]
+
+    def _entry(self, symbol: str | None, at: int) -> _Entry | None:
+        return self._page(symbol, at).get(at)
+
+    def _own(self, symbol: str | None, at: int) -> _Entry:
+        """The entry of an id that is about to change."""
+        self.changed.add((symbol, at // PAGE))
+        return self._page(symbol, at).setdefault(at, _Entry())
+
+    def _end(self, symbol: str | None, root: int) -> tuple[bool, float | None, int | None]:
         """Whether the trade stands, and the price and id of the last correction."""
         at, price, last, met = root, None, None, set()
-        while self.links.containsKey((at,)):
-            new, new_price = self.links.getValue((at,))
-            if new is None or new in met or new == at:
+        while (entry := self._entry(symbol, at)) is not None and entry.linked:
+            if entry.new_id is None or entry.new_id in met or entry.new_id == at:
                 return False, None, None
             met.add(at)
-            at, price, last = new, new_price, new
+            at, price, last = entry.new_id, entry.new_price, entry.new_id
         return True, price, last
 
-    def _roots(self, start: int) -> list[int]:
+    def _roots(self, symbol: str | None, start: int) -> list[int]:
         """Trades from which a chain leads to start."""
-        met, todo = {start}, [start]
+        met, todo, roots = {start}, [start], []
         while todo:
             at = todo.pop()
-            for old in self.back.getValue((at,))[0] if self.back.containsKey((at,)) else []:
+            if (entry := self._entry(symbol, at)) is None:
+                continue
+            if entry.shown is not None:
+                roots.append(at)
+            for old in entry.back or []:
                 if old not in met:
                     met.add(old)
                     todo.append(old)
-        return sorted(x for x in met if self.trades.containsKey((x,)))
+        return roots
 
-    def _shown(self, root: int) -> tuple | None:
+    def _shown(self, symbol: str | None, root: int) -> tuple | None:
         """The log's row for a trade, if it says something new."""
-        ns, price, size, shown = self.trades.getValue((root,))
-        stands, new_price, last = self._end(root)
-        op, price_now = ("upsert", new_price if new_price is not None else price) if stands else ("delete", None)
+        entry = self._entry(symbol, root)
+        stands, new_price, last = self._end(symbol, root)
+        op, price_now = ("upsert", new_price if new_price is not None else entry.price) if stands else ("delete", None)
         mark = f"{op}|{price_now!r}|{last}"
-        if mark == shown or op == "delete" and not shown:
+        if mark == entry.shown or op == "delete" and not entry.shown:
             return None
-        self.trades.updateValue((root,), (ns, price, size, mark))
-        return root, op, ns, price_now, size if stands else None, last
+        self._own(symbol, root).shown = mark
+        return op, entry.ns, price_now, entry.size if stands else None, last
+
+    def _link(self, symbol: str | None, old: int, new: int | None, price: float | None) -> bool:
+        """Whether the change counts, and so is held."""
+        entry = self._entry(symbol, old)
+        if entry is not None and entry.linked:
+            had = entry.new_id
+            if (new if new is not None else -1) <= (had if had is not None else -1):
+                return False
+            if had is not None:
+                self._own(symbol, had).back = [x for x in self._entry(symbol, had).back or [] if x != old]
+        entry = self._own(symbol, old)
+        entry.linked, entry.new_id, entry.new_price = True, new, price
+        if new is not None:
+            after = self._own(symbol, new)
+            after.back = [*(after.back or []), old]
+        return True
+
+    def _taken(self, rows: pd.DataFrame) -> list[tuple]:
+        """Takes rows in; the log's rows for the trades they touch, without versions."""
+        touched: dict[tuple[str | None, int], None] = {}
+        for symbol, kind, event_id, old_id, new_id, ns, price, size in zip(*(rows[c].tolist() for c in ("symbol", "kind", "event_id", "old_id", "new_id", "ns", "price", "size"))):
+            if kind == "trade":
+                if (at := _integer(event_id)) is not None and ((entry := self._entry(symbol, at)) is None or entry.shown is None):
+                    entry = self._own(symbol, at)
+                    entry.ns, entry.price, entry.size, entry.shown = _integer(ns), float(price), float(size), ""
+                    touched[symbol, at] = None
+            elif kind in ("correction", "cancel") and (old := _integer(old_id)) is not None:
+                if self._link(symbol, old, _integer(new_id) if kind == "correction" else None, None if price is None or price != price else float(price)):
+                    touched |= dict.fromkeys((symbol, root) for root in self._roots(symbol, old))
+        return [(*at, *shown) for at in touched if (shown := self._shown(*at)) is not None]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n = self.version.get()[0] if self.version.exists() else 0
-        touched: set[int] = set()
+        found = self.version.get()
+        n = found[0] if found is not None else 0
         for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                if r.kind == "trade":
-                    if (at := _integer(r.event_id)) is not None and not self.trades.containsKey((at,)):
-                        self.trades.updateValue((at,), (_integer(r.ns), float(r.price), float(r.size), ""))
-                        touched.add(at)
-                elif r.kind in ("correction", "cancel") and (old := _integer(r.old_id)) is not None:
-                    new = _integer(r.new_id) if r.kind == "correction" else None
-                    if self.links.containsKey((old,)):
-                        had = self.links.getValue((old,))[0]
-                        if (new if new is not None else -1) <= (had if had is not None else -1):
-                            continue
-                        if had is not None:
-                            self.back.updateValue((had,), ([x for x in self.back.getValue((had,))[0] if x != old],))
-                    self.links.updateValue((old,), (new, None if r.price != r.price else float(r.price)))
-                    if new is not None:
-                        held = list(self.back.getValue((new,))[0]) if self.back.containsKey((new,)) else []
-                        self.back.updateValue((new,), ([*held, old],))
-                    touched.update(self._roots(old))
-        out = []
-        for root in sorted(touched):
-            if (shown := self._shown(root)) is not None:
-                n += 1
-                root, op, ns, price, size, last = shown
-                out.append((key[0], root, n, op, ns, price, size, last))
-        if out:
-            self.version.update((n,))
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
-            yield frame.astype({"replaced_by": "Int64", "ns": "Int64"})
+            self.held: dict[tuple[str | None, int], dict[int, _Entry]] = {}
+            self.changed: set[tuple[str | None, int]] = set()
+            out = self._taken(pdf)
+            for page in self.changed:
+                self.pages.updateValue(page, tuple(map(list, zip(*((at, *vars(e).values()) for at, e in self.held[page].items())))))
+            if out:
+                symbol, root, op, ns, price, size, last = zip(*out)
+                made = {"symbol": symbol, "event_id": root, "version": range(n + 1, n + len(out) + 1), "op": op, "ns": pd.array(ns, "Int64"), "price": pd.array(price, "float64"), "size": pd.array(size, "float64"), "replaced_by": pd.array(last, "Int64")}
+                n += len(out)
+                yield pd.DataFrame(made)
+        self.version.update((n,))
 
     def close(self) -> None:
         pass
@@ -114,7 +166,7 @@ class EffectiveTrades(StatefulProcessor):
 
 def effective_stream(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """The log of EffectiveTrades on a stream whose symbol is a string; write it in update mode."""
-    return events.groupBy("symbol").transformWithStateInPandas(EffectiveTrades(ttl_ms), CHANGES, "Update", "None")
+    return events.withColumn("part", F.pmod(F.xxhash64("symbol"), F.lit(PARTS))).groupBy("part").transformWithStateInPandas(EffectiveTrades(ttl_ms), CHANGES, "Update", "None")
 
 
 def effective_now(log: DataFrame) -> DataFrame:
